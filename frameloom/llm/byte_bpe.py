@@ -191,11 +191,14 @@ class Chunks(dict):
             ids = self.old[part]
         else:
             ids = None if not part or part[0].isspace() or part[-1].isspace() else self.encode(self.lead + part)
+        self.put(part, ids)
+        return ids
+
+    def put(self, part: str, ids: bytes | None) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[part] = ids
-        return ids
 
 
 class ChunkedEncoder:
