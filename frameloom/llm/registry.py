@@ -9,6 +9,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def _fold(modulus: int):
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from frameloom.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.fit(docs, labels.where(_fold(4) != 2))
+    held = F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out")
+    return toxicity.scores(docs, machine).select("doc_id", held, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from frameloom.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.fit(docs.where(_fold(5) != 0))
+    return language_id.predictions(docs, filters).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +77,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_html_text": op2_html_text,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
     "op5_token_store": op5_token_store,
+    "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
