@@ -5,8 +5,8 @@ order. Two facts make a left-to-right machine possible. A sequence is *the* enco
 to itself, and of all encodings of a string's prefixes exactly one token ends at each position. So the encodings of all
 prefixes form a tree over positions. A position stays alive while the bytes after it begin some longer token; what the ways
 to all live positions share can be emitted. A state is the last emitted token, the bytes since the first live position and,
-for each live position, the tokens that lead to it; the longest token bounds all of them, and so the lookahead. States and transitions are made when first met and are
-kept in a table with a bounded number of states; a full table is emptied, as in lazy automata for regular expressions.
+for each live position, the tokens that lead to it; the longest token bounds all of them, and so the lookahead. States and transitions are made when first met and kept in a
+table of a bounded number of states; where a full table ends, the same moves go on without being kept.
 
 **Decoding.** Token bytes are joined block by block; a byte-level state machine carries a character that a block cuts in two.
 
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 
 from frameloom.llm.common import map_rows
 
-#: States of the transducer and entries of the piece memory that a worker keeps at most; beyond, they are made anew.
-MAX_STATES = 100_000
-MAX_PIECES = 250_000
+#: States of the transducer and entries of the piece memory that a worker keeps at most; beyond, they aren't kept.
+MAX_STATES = 60_000
+MAX_PIECES = 400_000
 #: Tokens that are decoded at a time.
 BLOCK = 1 << 16
 
@@ -48,11 +48,10 @@ class Transducer:
         self.ranks, self.max_states = ranks, max_states
         self.token = {r: t for t, r in ranks.items()}
         self.starts = {t[:i] for t in ranks for i in range(1, len(t))}
+        #: of a byte string, twice its rank plus one (0: no token), plus one if it begins a longer token
+        self.look = {t: 2 * ranks.get(t, -1) + 2 + (t in self.starts) for t in self.starts | set(ranks)}
         self.pairs: dict[int, bool] = {}
         self.made: dict[int, tuple[int, int] | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         begin = (-1, b"", ((0, ()),))
         self.ids = {begin: 0}
         self.states = [begin]
@@ -93,7 +92,7 @@ class Transducer:
         key = a << 32 | b
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 4 * self.max_states:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             ok = self.stable(-1, a) and self.stable(-1, b)
             x, y, before = a, b, 1 << 60
@@ -141,16 +140,47 @@ class Transducer:
         self.moves[state][byte] = to, out
         return to, out
 
+    def _rest(self, state: int, data: bytes) -> list[int]:
+        """The tokens from a state on, by the same moves but without making states. Ways are linked lists, last token first."""
+        last, tail, live = self.states[state]
+        data = tail + data
+        n, ways = len(tail), []
+        for back, chain in live:
+            way = None
+            for t in chain:
+                way = t, way
+            ways.append((n - back, way))
+        look, stable = self.look.get, self.stable
+        for n in range(n + 1, len(data) + 1):
+            found, on = None, []
+            for at in ways:
+                begin, way = at
+                v = look(data[begin:n])
+                if v:
+                    if found is None and v > 1 and stable(way[0] if way else last, (v >> 1) - 1):
+                        found = (v >> 1) - 1, way
+                    if v & 1:
+                        on.append(at)
+            on.append((n, found))
+            ways = on
+        out, way = [], ways[-1][1]
+        while way:
+            out.append(way[0])
+            way = way[1]
+        return out[::-1]
+
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece. A piece that is itself a token stays whole, as rank-file encoders do."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
-            self._reset()
         state, out, moves = 0, [], self.moves
-        for byte in piece:
-            to = moves[state].get(byte) or self._move(state, byte)
+        for i, byte in enumerate(piece):
+            to = moves[state].get(byte)
+            if to is None:
+                if len(moves) >= self.max_states:
+                    return out + self._rest(state, piece[i:])
+                to = self._move(state, byte)
             state = to[0]
             if to[1]:
                 out += to[1]
