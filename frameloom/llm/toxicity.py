@@ -25,6 +25,8 @@ from frameloom.llm.common import map_rows
 MAX_ROWS, BITS, LEAST_DOCS, FACTORS = 8_000, 26, 6, 8
 #: Lengths of word beginnings that are terms too; words of which a worker remembers the terms.
 PREFIXES, MAX_WORDS = (4, 5, 6, 7), 300_000
+#: Weight from which a term takes part in pairs.
+PAIR_WEIGHT = 0.3
 THRESHOLD = 0.3
 _WORDS = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256))
 
@@ -77,7 +79,7 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.15, l1: float = 4e-4, shrink: float = 4e-4, batch: int = 256, seed: int = 7) -> Machine:
+def train(rows: list[tuple[bytes, int]], epochs: int = 6, alone: int = 4, rate: float = 0.15, pair_rate: float = 0.02, l1: float = 6e-4, shrink: float = 3e-3, batch: int = 256, seed: int = 7) -> Machine:
     """Fits a machine. ``rows``: each document's term hashes (32-bit little-endian) and its label."""
     import numpy as np
 
@@ -98,32 +100,44 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.15, l1
     n, base = len(ids), min(max(y.mean(), 1e-4), 1 - 1e-4)
     b, w, v = float(np.log(base / (1 - base))), np.zeros(n), rng.normal(0, 0.02, (n, FACTORS))
     gb, gw, gv = 1e-2, np.full(n, 1e-4), np.full((n, FACTORS), 1e-4)
-    for _ in range(epochs):
+    open_ = None
+    for epoch in range(epochs):
+        pairs = epoch >= alone  # the weights come first; the pairs then explain what these leave
         order = rng.permutation(len(y))
         for k in range(0, len(y), batch):
             some = order[k : k + batch]
             t = np.concatenate([term[begin[i] : begin[i + 1]] for i in some])
             d = np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
-            vt = v[t]
-            s = np.stack([np.bincount(d, vt[:, f], len(some)) for f in range(FACTORS)], axis=1)
-            q = np.bincount(d, (vt * vt).sum(axis=1), len(some))
-            z = b + np.bincount(d, w[t], len(some)) + 0.5 * ((s * s).sum(axis=1) - q)
+            z = b + np.bincount(d, w[t], len(some))
+            if pairs:
+                if open_ is None:  # terms that carry weight get factors; the others' pairs would only learn the rows by heart
+                    open_ = np.abs(w) >= PAIR_WEIGHT
+                    v *= open_[:, None]
+                some_open = open_[t]
+                tp, dp = t[some_open], d[some_open]
+                vt = v[tp]
+                s = np.stack([np.bincount(dp, vt[:, f], len(some)) for f in range(FACTORS)], axis=1)
+                z += 0.5 * ((s * s).sum(axis=1) - np.bincount(dp, (vt * vt).sum(axis=1), len(some)))
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)
             gd = g[d]
             dw = np.bincount(t, gd, n)
             hit = np.flatnonzero(np.bincount(t, minlength=n))
-            dv = np.stack([np.bincount(t, gd * (s[d, f] - vt[:, f]), n) for f in range(FACTORS)], axis=1)
             gb += g.sum() ** 2
             b -= rate * g.sum() / np.sqrt(gb)
             gw[hit] += dw[hit] ** 2
             step = rate / np.sqrt(gw[hit])
             x = w[hit] - step * dw[hit]
             w[hit] = np.sign(x) * np.maximum(np.abs(x) - step * l1, 0)
+            if not pairs:
+                continue
+            dv = np.stack([np.bincount(tp, g[dp] * (s[dp, f] - vt[:, f]), n) for f in range(FACTORS)], axis=1)
+            hit = np.unique(tp)
             gv[hit] += dv[hit] ** 2
-            step = rate / np.sqrt(gv[hit])
+            step = pair_rate / np.sqrt(gv[hit])
             x = v[hit] - step * dv[hit]
             norm = np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-12
             v[hit] = x * np.maximum(1 - step.mean(axis=1, keepdims=True) * shrink / norm, 0)
+    v = v if open_ is not None else v * 0
     used = (w != 0) | (np.abs(v).max(axis=1) > 1e-3)
     return Machine(b, ids[used], w[used], v[used])
 
