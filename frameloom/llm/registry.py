@@ -62,6 +62,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(spark))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameloom.llm.simhash import near_duplicates
 
@@ -89,6 +95,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_token_store": op5_token_store,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
