@@ -21,7 +21,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-def _fold(modulus: int):
+def fold(modulus: int):
     from pyspark.sql import functions as F
 
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -33,8 +33,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameloom.llm import toxicity
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    machine = toxicity.fit(docs, labels.where(_fold(4) != 2))
-    held = F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out")
+    machine = toxicity.fit(docs, labels.where(fold(4) != 2))
+    held = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
     return toxicity.scores(docs, machine).select("doc_id", held, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -44,8 +44,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameloom.llm import language_id
 
     docs = table(spark, sf_dir, "documents")
-    filters = language_id.fit(docs.where(_fold(5) != 0))
-    return language_id.predictions(docs, filters).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    filters = language_id.fit(docs.where(fold(5) != 0))
+    return language_id.predictions(docs, filters).select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

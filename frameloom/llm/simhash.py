@@ -100,21 +100,29 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
+def _groups(prints: DataFrame, limit: int) -> DataFrame:
+    """``fp, root`` of every distinct fingerprint: the least fingerprint that its links reach."""
+    nodes = prints.select("fp").distinct()
+    roots = components(links(nodes, limit))
+    return materialise(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "groups")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """Returns ``id_col, fingerprint, component_id`` for every row: 16 hex digits, and the least id that links reach."""
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = components(links(nodes.select("fp"), limit))
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = materialise(grouped, "groups")
-    whole = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = _groups(prints, limit)
+    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least")).join(groups, "fp")
+    whole = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = groups.join(whole, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the row with the least id (of repeated rows, one)."""
-    groups = near_duplicates(docs, id_col, text_col, limit)
-    chosen = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*[c for c in docs.columns]))
-    return docs.join(chosen, id_col, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all columns: of each group one row, that of the least id (of equal ids, the text with the least hash)."""
+    raw = docs.select(F.struct(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h")).alias("k"), F.col(text_col).alias("t"))
+    prints = materialise(fingerprints(raw, "k", "t"), "fingerprints")
+    best = prints.groupBy("fp").agg(F.min("k").alias("k")).join(_groups(prints, limit), "fp").groupBy("root").agg(F.min("k").alias("k"))
+    chosen = best.select(F.col("k.d").alias("__sh_d"), F.col("k.h").alias("__sh_h")).distinct()
+    kept = docs.join(chosen, docs[id_col].eqNullSafe(F.col("__sh_d")) & (F.xxhash64(docs[text_col]) == F.col("__sh_h")), "left_semi")
+    order = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("__sh_n", F.row_number().over(order)).where("__sh_n = 1").select(*docs.columns)
