@@ -1 +1 @@
-"""See the modules."""
+"""Column functions: interval relations, geometry, motion types, text."""

@@ -1 +1 @@
-"""See the modules."""
+"""DataFrame operators over scenes: objects, frames, runs, tweens."""

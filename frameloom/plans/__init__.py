@@ -1 +1 @@
-"""See the modules."""
+"""The query language: parser, compiler, and the registered queries."""

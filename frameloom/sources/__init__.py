@@ -1 +1 @@
-"""See the modules."""
+"""Scene sources and sinks."""
