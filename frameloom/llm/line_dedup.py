@@ -40,39 +40,59 @@ def segment_starts(n: Column | int, i: int, parts: int):
     return F.floor(n * F.lit(i) / F.lit(parts)).cast("int") if isinstance(n, Column) else n * i // parts
 
 
-def _keys(edits: int) -> list[Column]:
-    """Structs ``(key, index, probe)`` of a line: its own segments, and the substrings that it looks up."""
-    parts, n, out = edits + 1, F.length("line"), []
-    for less in range(edits + 1):  # the indexed line is shorter by so much
-        m = n - less
-        for i in range(parts):
-            begin, end = segment_starts(m, i, parts), segment_starts(m, i + 1, parts)
-            # shifts that leave no more edits than allowed on the left, and on the right
+def _key(m: Column, i: int, parts: int, shift: int) -> Column:
+    """Hash of the substring of ``line`` (of ``n`` characters) at the place of segment i of a line of m characters, shifted; null if it doesn't fit."""
+    begin, end = segment_starts(m, i, parts), segment_starts(m, i + 1, parts)
+    at = begin + F.lit(shift + 1)
+    return F.when((at >= 1) & (at + (end - begin) <= F.col("n") + 1) & (end > begin), F.xxhash64(m, F.lit(i), F.substring("line", at, end - begin)))
+
+
+def index_keys(edits: int) -> list[Column]:
+    """A line's own segments."""
+    return [_key(F.col("n"), i, edits + 1, 0) for i in range(edits + 1)]
+
+
+def probe_keys(edits: int) -> list[Column]:
+    """Substrings that can be a segment of a line that is shorter by up to ``edits``: shifted by no more than the edits on the left, and on the right."""
+    out = []
+    for less in range(edits + 1):
+        for i in range(edits + 1):
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = begin + F.lit(shift + 1)
-                ok = (at >= 1) & (at + (end - begin) <= n + 1) & (end > begin)
-                key = F.xxhash64(m, F.lit(i), F.substring("line", at, end - begin))
-                out.append(F.when(ok, F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("index"))))
+                out.append(_key(F.col("n") - less, i, edits + 1, shift))
     return out
 
 
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs ``a, b`` of ids (``h1``) of distinct lines that may be within ``edits`` edits."""
-    rows = lines.select(F.col("h1").alias("id"), F.explode(F.filter(F.array(*_keys(edits)), lambda x: x.isNotNull())).alias("k")).select("id", "k.key", "k.index")
-    index, probe = rows.where("index").select("key", F.col("id").alias("a")), rows.select("key", F.col("id").alias("b"))
+    """Pairs ``a, b`` of ids (``h1``) of distinct lines (``h1, n, line``) that may be within ``edits`` edits."""
+    index = lines.select(F.col("h1").alias("a"), F.explode(F.array(*index_keys(edits))).alias("key")).where("key is not null")
+    probe = lines.select(F.col("h1").alias("b"), F.explode(F.array(*probe_keys(edits))).alias("key")).where("key is not null")
     pairs = probe.join(index, "key").where("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def distance_within(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of two texts, null if over ``edits``.
+def shared_length(a: Column, b: Column, most: Column) -> Column:
+    """Length of the common prefix, at most ``most``, by doubling steps down from 2^20 (texts that share more count as sharing that much)."""
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(21))]), F.lit(0), lambda s, step: F.when((s + step <= most) & (F.left(a, s + step) == F.left(b, s + step)), s + step).otherwise(s))
 
-    For each number of errors one bitmask holds the diagonals of the band that are reachable with at most so many; a character
-    of ``b`` moves all of them at once (matches stay on their diagonal; a substitution, an insertion or a deletion costs one error).
+
+def verified(pairs: DataFrame, edits: int) -> DataFrame:
+    """Those of ``pairs`` whose ``a_line`` and ``b_line`` are within ``edits`` edits.
+
+    What both begin and end with is taken off first (equal ends never change an edit distance). The automaton then runs over the first
+    characters, where most false candidates end, and over the rest only of pairs that it hasn't given up.
     """
+    x = pairs.withColumn("__p", shared_length(F.col("a_line"), F.col("b_line"), F.least("a_n", "b_n")))
+    x = x.withColumns({"__a": F.reverse(F.substring("a_line", F.col("__p") + 1, F.col("a_n"))), "__b": F.reverse(F.substring("b_line", F.col("__p") + 1, F.col("b_n")))})
+    x = x.withColumn("__s", shared_length(F.col("__a"), F.col("__b"), F.least("a_n", "b_n") - F.col("__p")))
+    x = x.withColumns({"__a": F.substring("__a", F.col("__s") + 1, F.col("a_n")), "__b": F.substring("__b", F.col("__s") + 1, F.col("b_n"))})
+    alive = prefix_alive(F.col("__a"), F.col("__b"), edits)
+    return x.where((F.abs(F.col("a_n") - F.col("b_n")) <= edits) & F.when(alive, distance_within(F.col("__a"), F.col("__b"), edits).isNotNull()).otherwise(False)).drop("__p", "__s", "__a", "__b")
+
+
+def _automaton(a: Column, b: Column, n: Column, edits: int) -> Column:
+    """State after ``n`` characters of ``b``: for each number of errors the reachable diagonals."""
     width = 2 * edits + 1
     x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
     full = F.lit((1 << width) - 1)
     begin, reach = [], 1 << edits
     for _ in range(edits + 1):
@@ -90,7 +110,24 @@ def distance_within(a: Column, b: Column, edits: int) -> Column:
             new.append(s[f"r{e}"].bitwiseAND(hit).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(full))
         return F.struct(s["x"].alias("x"), s["y"].alias("y"), *[r.cast("int").alias(f"r{e}") for e, r in enumerate(new)])
 
-    final = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(x.alias("x"), y.alias("y"), *begin), step)
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.struct(x.alias("x"), y.alias("y"), *begin), step)
+
+
+def prefix_alive(a: Column, b: Column, edits: int, most: int = 16) -> Column:
+    """Whether the first characters leave any diagonal reachable within ``edits`` errors."""
+    n = F.least(F.length(b), F.lit(most))
+    return (n < most) | (_automaton(F.left(a, F.lit(most + edits)), F.left(b, F.lit(most)), n, edits)[f"r{edits}"] != 0)
+
+
+def distance_within(a: Column, b: Column, edits: int) -> Column:
+    """Edit distance of two texts, null if over ``edits``.
+
+    For each number of errors one bitmask holds the diagonals of the band that are reachable with at most so many; a character
+    of ``b`` moves all of them at once (matches stay on their diagonal; a substitution, an insertion or a deletion costs one error).
+    """
+    m, n = F.length(a), F.length(b)
+    final = _automaton(a, b, n, edits)
+    width = 2 * edits + 1
     there = F.lit(0)  # the bit of the diagonal on which both texts end
     for o in range(width):
         there = F.when(m - n == o - edits, F.lit(1 << o)).otherwise(there)
@@ -105,14 +142,14 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     spark = docs.sparkSession
     place = F.struct(F.col("d"), F.col("pos"))
     seen = occurrences(docs, id_col, text_col, least)
-    distinct = materialise(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line")), "lines")
+    distinct = materialise(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line")).withColumn("n", F.length("line")), "lines")
     pairs = materialise(candidates(distinct, edits), "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     few = ids.count() <= BROADCAST_ROWS
     some = distinct.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
-    sides = [some.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "h2", "first", "line")]) for s in "ab"]
+    sides = [some.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "h2", "first", "line", "n")]) for s in "ab"]
     both = pairs.join(sides[0], pairs.a == F.col("a_h1")).join(sides[1], pairs.b == F.col("b_h1"))
-    linked = both.where(distance_within(F.col("a_line"), F.col("b_line"), edits).isNotNull())
+    linked = verified(both.repartition(), edits)
     earlier = F.struct("a_first", "a_h1") < F.struct("b_first", "b_h1")
     ends = F.array(
         F.struct(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2"), (~earlier).alias("later")),
