@@ -149,7 +149,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     some = distinct.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
     sides = [some.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "h2", "first", "line", "n")]) for s in "ab"]
     both = pairs.join(sides[0], pairs.a == F.col("a_h1")).join(sides[1], pairs.b == F.col("b_h1"))
-    linked = verified(both.repartition(), edits)
+    linked = verified(both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b"), edits)
     earlier = F.struct("a_first", "a_h1") < F.struct("b_first", "b_h1")
     ends = F.array(
         F.struct(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2"), (~earlier).alias("later")),

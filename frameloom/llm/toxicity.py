@@ -79,11 +79,12 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = 6, alone: int = 4, rate: float = 0.15, pair_rate: float = 0.02, l1: float = 6e-4, shrink: float = 3e-3, batch: int = 256, seed: int = 7) -> Machine:
+def train(rows: list[tuple[bytes, int]], epochs: int = 6, alone: int = 4, rate: float = 0.15, pair_rate: float = 0.02, l1: float = 6e-4, shrink: float = 1e-3, batch: int | None = None, seed: int = 7) -> Machine:
     """Fits a machine. ``rows``: each document's term hashes (32-bit little-endian) and its label."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
+    batch = batch or min(256, max(16, len(rows) // 30))
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y):
         return Machine(0.0, [], np.zeros(0), np.zeros((0, FACTORS)))
@@ -98,7 +99,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 6, alone: int = 4, rate:
     ids = ids[kept]
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
     n, base = len(ids), min(max(y.mean(), 1e-4), 1 - 1e-4)
-    b, w, v = float(np.log(base / (1 - base))), np.zeros(n), rng.normal(0, 0.02, (n, FACTORS))
+    b, w, v = float(np.log(base / (1 - base))), np.zeros(n), rng.normal(0, 0.1, (n, FACTORS))
     gb, gw, gv = 1e-2, np.full(n, 1e-4), np.full((n, FACTORS), 1e-4)
     open_ = None
     for epoch in range(epochs):
