@@ -84,7 +84,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 6, alone: int = 4, rate:
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    batch = batch or min(256, max(16, len(rows) // 30))
+    batch = batch or (256 if len(rows) >= 2000 else max(16, len(rows) // 40))
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y):
         return Machine(0.0, [], np.zeros(0), np.zeros((0, FACTORS)))
