@@ -29,6 +29,7 @@ from frameloom.llm.common import map_rows
 #: States of the transducer and entries of the piece memory that a worker keeps at most; beyond, they aren't kept.
 MAX_STATES = 60_000
 MAX_PIECES = 400_000
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Tokens that are decoded at a time.
 BLOCK = 1 << 16
 
@@ -212,18 +213,37 @@ class Chunks(dict):
     It holds two generations of ``most`` parts each: a full one becomes the old one, from which parts in use come back.
     """
 
-    def __init__(self, encode, lead: str, most: int) -> None:
+    def __init__(self, encode, lead: str, most: int, first: Chunks | None = None) -> None:
         super().__init__()
-        self.encode, self.lead, self.most, self.old = encode, lead, most, {}
+        self.encode, self.lead, self.most, self.old, self.first, self.tails = encode, lead, most, {}, self if first is None else first, {}
 
     def __missing__(self, part: str) -> bytes | None:
         if part in self.old:
             ids = self.old[part]
         else:
-            ids = None if not part or part[0].isspace() or part[-1].isspace() else self.encode(self.lead + part)
+            ids = None if not part or part[0].isspace() or part[-1].isspace() else self._whole(part)
         self.put(part, ids)
         return ids
 
+    def _whole(self, part: str) -> bytes:
+        """A part's ids, from those of its pieces where it surely splits: around a line break between other characters, and after letters
+        that only ASCII punctuation follows. So words are encoded once for all the forms in which they stand."""
+        head, cut, rest = part.partition("\n")
+        if cut and head and rest and not head[-1].isspace() and not rest[0].isspace():
+            return self[head] + self._tail("\n") + self.first[rest]
+        stem = part.rstrip(PUNCTUATION)
+        if stem != part and stem.isalpha():
+            return self[stem] + self._tail(part[len(stem) :])
+        return self.encode(self.lead + part)
+
+    def _tail(self, text: str) -> bytes:
+        ids = self.tails.get(text)
+        if ids is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            ids = self.tails[text] = self.encode(text)
+        return ids
+
     def put(self, part: str, ids: bytes | None) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
@@ -241,8 +261,8 @@ class ChunkedEncoder:
 
     def __init__(self, encode_piece, most: int = MAX_PIECES) -> None:
         self.encode_piece = encode_piece
-        self.inner = Chunks(encode_piece, " ", most)
-        self.first = Chunks(encode_piece, "", most // 8)
+        self.first = Chunks(encode_piece, "", most // 4)
+        self.inner = Chunks(encode_piece, " ", most, self.first)
 
     def encode(self, text: str) -> bytes:
         if not text:

@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from frameloom.llm.byte_bpe import ChunkedEncoder
+from frameloom.llm.byte_bpe import ChunkedEncoder, pack
 from frameloom.llm.common import map_rows, materialise, scratch_path
 
 #: Rolling-hash cuts: window, bits that must be zero, least and greatest ids of a chunk.
@@ -33,25 +33,36 @@ WINDOW, BITS, LEAST, MOST = 16, 10, 256, 8192
 #: Texts that a worker encodes together.
 TOGETHER = 256
 #: Words of which a worker remembers the ids (two generations of so many).
-MAX_PARTS = 250_000
+MAX_PARTS = 350_000
 MIX = 0x9E3779B97F4A7C15  # fixed value: an odd multiplier
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the letters from U+0100 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class LibraryEncoder(ChunkedEncoder):
-    """Encodes with the library; parts not yet known are encoded together, as one text that is cut again at its blanks."""
+    """Encodes with the library: words of letters by its model alone (they are one match of the split), all else by the whole tokenizer."""
 
     held: dict[str, LibraryEncoder] = {}
 
     def __init__(self, spec: str) -> None:
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         self.library.encode_special_tokens = True
-        vocab = self.library.get_vocab()
-        self.blank = np.zeros(max(vocab.values()) + 1, bool)
-        self.blank[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # the byte-level alphabet's sign for a blank
-        super().__init__(lambda text: np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), MAX_PARTS)
+        model, whole, alphabet = self.library.model.tokenize, self.library.encode, str.maketrans(_byte_letters())
+        plain = self.library.normalizer is None
+
+        def piece(text: str) -> bytes:
+            if plain and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+                return pack([t.id for t in model(text.encode().decode("latin-1").translate(alphabet))])
+            return pack(whole(text, add_special_tokens=False).ids)
+
+        super().__init__(piece, MAX_PARTS)
 
     @classmethod
     def of(cls, spec: str) -> LibraryEncoder:
@@ -60,22 +71,6 @@ class LibraryEncoder(ChunkedEncoder):
             cls.held = {key: cls(spec)}
         return cls.held[key]
 
-    def warm(self, texts: Iterable[str]) -> None:
-        """Encodes the unknown words of ``texts`` in runs."""
-        import numpy as np
-
-        inner, old = self.inner, self.inner.old
-        new = list({p for t in texts for p in t.split(" ") if p not in inner and p not in old and p and not p[0].isspace() and not p[-1].isspace()})
-        for k in range(0, len(new), 2000):
-            run = new[k : k + 2000]
-            ids = np.array(self.library.encode("".join([" " + p for p in run]), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.blank[ids])
-            if len(cuts) != len(run) or cuts[0]:
-                continue  # one at a time, when asked for
-            raw, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
-            for p, a, b in zip(run, (cuts * 4).tolist(), ends):
-                inner.put(p, raw[a:b])
-
 
 def cut_points(ids) -> list[int]:
     """Ends of the chunks of an id array: where the rolling hash of the last ``WINDOW`` ids has ``BITS`` zero bits."""
@@ -135,7 +130,6 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id
             for k in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(k, TOGETHER)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                library.warm(texts)
                 chunks, recipes = {}, []
                 for rid, doc, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts):
                     raw = library.encode(text) + end
