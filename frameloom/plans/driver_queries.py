@@ -145,17 +145,20 @@ register("q_get_pos", f"""WITH {BOXES} SELECT vec_id, round(("left" + "right") /
 
 # derived columns
 
-_AT = Window.partitionBy("vec_id").orderBy("frame")
+def _at():
+    return Window.partitionBy("vec_id").orderBy("frame")
+
+
 register("q_delta_translate", f"WITH {PAIRED} SELECT vec_id, frame, round(x - coalesce(lag(x) OVER w, 0), 6) AS dx, round(y - coalesce(lag(y) OVER w, 0), 6) AS dy FROM paths WINDOW w AS (PARTITION BY vec_id ORDER BY frame)")(
-    lambda s, d: paths(s, d).select("vec_id", "frame", F.round(F.col("x") - F.coalesce(F.lag("x").over(_AT), F.lit(0.0)), 6).alias("dx"), F.round(F.col("y") - F.coalesce(F.lag("y").over(_AT), F.lit(0.0)), 6).alias("dy"))
+    lambda s, d: paths(s, d).select("vec_id", "frame", F.round(F.col("x") - F.coalesce(F.lag("x").over(_at()), F.lit(0.0)), 6).alias("dx"), F.round(F.col("y") - F.coalesce(F.lag("y").over(_at()), F.lit(0.0)), 6).alias("dy"))
 )
 register("q_delta_scale", f"WITH {SERIES} SELECT vec_id, frame, acc / nullif(coalesce(lag(acc) OVER (PARTITION BY vec_id ORDER BY frame), 1), 0) AS ratio FROM series")(
-    lambda s, d: series(s, d).select("vec_id", "frame", F.try_divide(F.col("acc"), F.coalesce(F.lag("acc").over(_AT), F.lit(1.0))).alias("ratio"))
+    lambda s, d: series(s, d).select("vec_id", "frame", F.try_divide(F.col("acc"), F.coalesce(F.lag("acc").over(_at()), F.lit(1.0))).alias("ratio"))
 )
 
 
 def _deltas(s, d):
-    step = lambda c: F.round(F.col(c) - F.coalesce(F.lag(c).over(_AT), F.lit(0.0)), 6)
+    step = lambda c: F.round(F.col(c) - F.coalesce(F.lag(c).over(_at()), F.lit(0.0)), 6)
     return paths(s, d).select("vec_id", "frame", step("x").alias("dx"), step("y").alias("dy"))
 
 
