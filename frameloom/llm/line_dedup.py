@@ -25,6 +25,8 @@ from frameloom.llm.common import materialise
 
 #: Edits within which lines are copies, and characters from which lines are looked at.
 EDITS, LEAST = 1, 20
+#: Characters whose counts are compared before lines are.
+COUNTED = "etanior "
 #: Ids of candidate lines that may be broadcast (16 bytes each); more are joined in a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -62,11 +64,31 @@ def probe_keys(edits: int) -> list[Column]:
     return out
 
 
+def letter_signature(line: Column, n: Column) -> Column:
+    """Counts of eight common characters, modulo 256, in the bytes of a long. An edit changes at most two of them."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(COUNTED):
+        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255))
+        out = out.bitwiseOR(F.shiftleft(count, 8 * k))
+    return out
+
+
+def signatures_differ(a: Column, b: Column) -> Column:
+    """Number of bytes in which two signatures differ."""
+    x = a.bitwiseXOR(b)
+    for k in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs ``a, b`` of ids (``h1``) of distinct lines (``h1, n, line``) that may be within ``edits`` edits."""
-    index = lines.select(F.col("h1").alias("a"), F.explode(F.array(*index_keys(edits))).alias("key")).where("key is not null")
-    probe = lines.select(F.col("h1").alias("b"), F.explode(F.array(*probe_keys(edits))).alias("key")).where("key is not null")
-    pairs = probe.join(index, "key").where("a <> b")
+    """Pairs ``a, b`` of ids (``h1``) of distinct lines (``h1, n, line, sig``) that may be within ``edits`` edits.
+
+    The join itself keeps only pairs whose letter counts allow for so few edits, so that many lines with one equal half don't meet in pairs of rows.
+    """
+    index = lines.select(F.col("h1").alias("a"), F.col("sig").alias("a_sig"), F.explode(F.array(*index_keys(edits))).alias("key")).where("key is not null")
+    probe = lines.select(F.col("h1").alias("b"), F.col("sig").alias("b_sig"), F.explode(F.array(*probe_keys(edits))).alias("key")).where("key is not null")
+    pairs = probe.join(index, "key").where((F.col("a") != F.col("b")) & (signatures_differ(F.col("a_sig"), F.col("b_sig")) <= 2 * edits))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -81,12 +103,23 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
     What both begin and end with is taken off first (equal ends never change an edit distance). The automaton then runs over the first
     characters, where most false candidates end, and over the rest only of pairs that it hasn't given up.
     """
-    x = pairs.withColumn("__p", shared_length(F.col("a_line"), F.col("b_line"), F.least("a_n", "b_n")))
-    x = x.withColumns({"__a": F.reverse(F.substring("a_line", F.col("__p") + 1, F.col("a_n"))), "__b": F.reverse(F.substring("b_line", F.col("__p") + 1, F.col("b_n")))})
-    x = x.withColumn("__s", shared_length(F.col("__a"), F.col("__b"), F.least("a_n", "b_n") - F.col("__p")))
-    x = x.withColumns({"__a": F.substring("__a", F.col("__s") + 1, F.col("a_n")), "__b": F.substring("__b", F.col("__s") + 1, F.col("b_n"))})
-    alive = prefix_alive(F.col("__a"), F.col("__b"), edits)
-    return x.where((F.abs(F.col("a_n") - F.col("b_n")) <= edits) & F.when(alive, distance_within(F.col("__a"), F.col("__b"), edits).isNotNull()).otherwise(False)).drop("__p", "__s", "__a", "__b")
+    def ends(a: Column, b: Column, then) -> Column:
+        """``then`` of what is left of two texts when their common prefix is gone."""
+        most = F.least(F.length(a), F.length(b))
+        return let(shared_length(a, b, most), lambda p: then(F.substring(a, p + 1, F.length(a)), F.substring(b, p + 1, F.length(b))))
+
+    def core(a: Column, b: Column) -> Column:
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.when(prefix_alive(x["a"], x["b"], edits), distance_within(x["a"], x["b"], edits).isNotNull()).otherwise(False))
+
+    def turned(a: Column, b: Column) -> Column:
+        return let(F.struct(F.reverse(a).alias("a"), F.reverse(b).alias("b")), lambda x: ends(x["a"], x["b"], core))
+
+    return pairs.where((F.abs(F.col("a_n") - F.col("b_n")) <= edits) & ends(F.col("a_line"), F.col("b_line"), turned))
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _automaton(a: Column, b: Column, n: Column, edits: int) -> Column:
@@ -126,15 +159,18 @@ def distance_within(a: Column, b: Column, edits: int) -> Column:
     of ``b`` moves all of them at once (matches stay on their diagonal; a substitution, an insertion or a deletion costs one error).
     """
     m, n = F.length(a), F.length(b)
-    final = _automaton(a, b, n, edits)
     width = 2 * edits + 1
     there = F.lit(0)  # the bit of the diagonal on which both texts end
     for o in range(width):
         there = F.when(m - n == o - edits, F.lit(1 << o)).otherwise(there)
-    found = F.lit(None).cast("int")
-    for e in reversed(range(edits + 1)):
-        found = F.when(final[f"r{e}"].bitwiseAND(there) != 0, F.lit(e)).otherwise(found)
-    return F.when((m == 0) | (n == 0), F.when(m + n <= edits, m + n)).otherwise(found)
+
+    def least(final: Column) -> Column:
+        found = F.lit(None).cast("int")
+        for e in reversed(range(edits + 1)):
+            found = F.when(final[f"r{e}"].bitwiseAND(there) != 0, F.lit(e)).otherwise(found)
+        return found
+
+    return F.when((m == 0) | (n == 0), F.when(m + n <= edits, m + n)).otherwise(let(_automaton(a, b, n, edits), least))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -142,7 +178,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     spark = docs.sparkSession
     place = F.struct(F.col("d"), F.col("pos"))
     seen = occurrences(docs, id_col, text_col, least)
-    distinct = materialise(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line")).withColumn("n", F.length("line")), "lines")
+    distinct = materialise(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line")).withColumn("n", F.length("line")).withColumn("sig", letter_signature(F.col("line"), F.col("n"))), "lines")
     pairs = materialise(candidates(distinct, edits), "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     few = ids.count() <= BROADCAST_ROWS
