@@ -3,7 +3,8 @@
 Texts and test items are compared as lower-case words: letters and digits, everything else of ASCII is a blank, runs of blanks are one.
 An item of n characters has an error budget k = floor(``rate`` * n). It is cut into k + 1 pieces of nearly equal length; k
 edits can't touch them all, so every occurrence holds one piece exactly. An automaton finds all piece hits in one pass over a
-text; each hit places its item, and Myers' bit-parallel distance verifies the window around that place.
+text; each hit places its item, and Myers' bit-parallel distance verifies the window around that place. Places (which may lie before the
+text) are dealt into cells of k + 1 characters; a window covers all that the hits of its cell can belong to, and is verified once.
 
 The items go to the executors in blocks of a bounded size; a larger benchmark takes more passes in the same map. No shuffle.
 
@@ -87,20 +88,22 @@ class Matcher:
         out: dict[int, int] = {}
         if not self.items:
             return out
-        tried: dict[int, int] = {}
+        tried: set[tuple[int, int]] = set()
         for end, (size, found) in self.automaton.iter(text):
             for n, at in found:
                 if out.get(n) == 0:
                     continue
                 _, item, k, where = self.items[n]
                 begin = end + 1 - size - at
-                if begin <= tried.get(n, -1):
-                    continue  # the window tried last reaches over this place
                 if text.startswith(item, max(0, begin)):
                     out[n] = 0
                     continue
-                d = best_distance(item, where, text[max(0, begin - k) : begin + len(item) + 2 * k], k)
-                tried[n] = begin + k // 2 if k else begin
+                cell = begin // (k + 1)
+                if (n, cell) in tried:
+                    continue  # that window holds all occurrences which this hit can belong to
+                tried.add((n, cell))
+                first = cell * (k + 1)
+                d = best_distance(item, where, text[max(0, first - k) : first + len(item) + 2 * k], k)
                 if d <= k:
                     out[n] = min(d, out.get(n, d))
         return out

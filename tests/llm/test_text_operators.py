@@ -49,6 +49,29 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(df, bench.limit(0)).collect())
 
 
+def test_decontamination_verifies_every_place():
+    """Items at a text's start with edits, and items with repeated pieces after chance hits: as by the plain distance."""
+    rng = random.Random(8)
+    letters = lambda n, of="abcdefgh ": "".join(rng.choice(of) for _ in range(n))
+    items = [decontaminate.fold(letters(rng.randint(30, 90))) for _ in range(8)]
+    phrase = "the same words again and "
+    items += [decontaminate.fold(phrase * 2 + letters(30) + " " + phrase), decontaminate.fold("ab " * 20 + "end of it")]
+    matcher = decontaminate.Matcher(list(enumerate(items)), decontaminate.RATE, decontaminate.LEAST)
+    texts = [item[cut:] + tail for item in items for cut in (1, 2) for tail in ("", " and more")] + ["zz" + item for item in items]
+    for _ in range(150):
+        item = list(rng.choice(items))
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(item))
+            item[at] = rng.choice(["", "x", item[at] + "q"])
+        texts.append(rng.choice(["", "", phrase, phrase * 2, "ab ab ab ", letters(20)]) + "".join(item) + rng.choice(["", letters(20)]))
+    hit = 0
+    for text in map(decontaminate.fold, texts):
+        want = {n: d for n, item in enumerate(items) if (d := within(item, text)) <= int(decontaminate.RATE * len(item))}
+        assert matcher.find(text) == want
+        hit += bool(want)
+    assert hit > 100
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body class="home sidebar-open">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>{promo}
 <article><header><h1>A &amp; B&nbsp;title</h1></header><p><b>One
