@@ -1,14 +1,16 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 key characters that has a digit, or one of the known key forms. The forest judges it by its length, its
-transitions between character classes, its shares of digits, capitals, vowels and distinct characters, the share of it that a dictionary covers,
+A candidate is a run of at least 16 key characters that has a digit, one of the known key forms (with or without a digit), or a value of any length that
+is assigned to a name which ends in a key word (quoted: up to the closing quote, blanks as one; bare: up to white space). The forest judges it by its length, its
+transitions between character classes, its shares of digits, capitals, vowels, symbols and distinct characters, the share of it that a dictionary covers,
 the path it stands in, and the words before it. Forests are grown on a bounded table of labelled findings and compiled to one SQL expression
 each tree, so that the scan is a single map of built-in functions over the texts.
 
 Labelled findings come as a table (``candidate, before, path, label``); without one, :func:`sample_findings` makes a fixed, seeded table of the usual key forms and of
 what is often taken for them (digests of commits and files, identifiers, long words, numbers, addresses, placeholders).
 
-Results: a null or empty text has no candidate. Candidates come in text order with their word number; repeated rows each report theirs. A null path is
+Results: a null or empty text has no candidate. Candidates come in text order with their word number; in
+a word, known forms and assigned values that are no such run follow the runs. Repeated rows each report theirs. A null path is
 an empty one. Found keys aren't returned: a finding carries the SHA-256 of its candidate.
 """
 
@@ -23,13 +25,17 @@ from pyspark.sql import functions as F
 KEY = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Trees, their depth, and labelled findings that a fit may read.
 TREES, DEPTH, MAX_FINDINGS = 15, 6, 20_000
-FEATURES = ("length", "transitions", "digits", "capitals", "vowels", "distinct", "hexadecimal", "covered", "key_words", "other_words", "assigned", "test_path", "known_form")
+FEATURES = ("length", "transitions", "digits", "capitals", "vowels", "distinct", "hexadecimal", "covered", "key_words", "other_words", "assigned", "test_path", "known_form", "symbols")
 
 # Word lists and key forms.
 DICTIONARY = "about access account action address admin after again agent alpha and apache api application array article async attr auth back base batch before block body book branch buffer build byte cache call case chain change char check class clean client clock close cloud code color column command comment commit common config connect const container content context control copy core count create current custom data database date debug default define delete deploy desc detail device digest direct disk docs document domain down drive driver element email empty enable encode end engine enter entry error event example exec export extend factory false fetch field file filter final find first flag float folder font form format frame from function get global graph group handle hash head header health height hello help hidden high home host html http image import index info init input insert install instance int integer interface internal item java join json key kind label language last layer layout length level library license line link list load local lock log login long loop machine main make manager map mask match max media member memory menu merge message meta method min mobile mode model module monitor more mount move name native network new next node none note null number object offset online open option order out output over package page panel param parent parse pass password path pattern pixel place player plugin point policy pool port post prefix press print private process product profile program project property protocol provider proxy public push query queue random range read record release remote remove render replace report request reset resource response result return role root route rule run sample save scale schema scope screen script search secret section select send sequence server service session set shape share show side sign simple size small sort source space spark spec split stack stage start state static status step stop storage store stream string style sub submit success suffix sum support switch sync system tab table tag target task team template term test text theme thread time title token tool total track transform tree true type union unique unit update upload url user util valid value variable vector version video view virtual visit watch web width window word work world wrap write zone".split()
 KEY_WORDS = "secret|token|passw|pwd|api|key|auth|credential|private|bearer|access|signature"
 OTHER_WORDS = "commit|sha|md5|hash|checksum|digest|uuid|guid|revision|etag|example|sample|placeholder|version|build|http|href|path|file|card|phone|order|invoice"
 KNOWN_FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^xox[abpr]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}|^glpat-[A-Za-z0-9_-]{20}$"
+#: The same forms inside a word.
+KNOWN_INSIDE = "(?<![A-Za-z0-9])(?:" + "|".join(f.strip("^$") for f in KNOWN_FORMS.split("|^")) + ")(?![A-Za-z0-9])"
+#: A name that ends in a key word, with what may close it; and what assigns.
+NAME, ASSIGN = r"(?:secret|token|passw[a-z]*|passphrase|pwd|key|credentials?|auth|bearer|signature|access|private)[\"'\])]*", r"(?::=|=>|==?|:)"
 TEST_PATH = "test|example|sample|fixture|mock|docs?/|readme"
 
 
@@ -55,6 +61,7 @@ def features(candidate: Column, before: Column, path: Column) -> list[Column]:
         flag(context.rlike(KEY_WORDS)), flag(context.rlike(OTHER_WORDS)), flag(context.rlike("[:=]\\s*[\"']?$")),
         flag(F.lower(F.coalesce(path, F.lit(""))).rlike(TEST_PATH)),
         flag(candidate.rlike(KNOWN_FORMS)),
+        share("[^A-Za-z0-9]"),
     ]
 
 
@@ -91,6 +98,36 @@ def sample_findings(count: int = 3000, seed: int = 11) -> list[tuple[str, str, s
         )[kind]
         before = plain() + " " + cased(name) + tail if kind in (0, 1) else plain() + rng.choice([" ", " id: ", " = ", "\n", " card ", " order "]) if kind != 6 else plain() + " api_key" + tail
         out.append((value, before, path, 0))
+    return out + _assigned_findings(count // 2, rng)
+
+
+def _assigned_findings(count: int, rng: random.Random) -> list[tuple[str, str, str, int]]:
+    """Known key forms without a digit, and short values assigned to key words: passwords, and what is none (words, types, references, placeholders)."""
+    capitals, letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    some = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    out = []
+    for _ in range(count):
+        path = rng.choice(["src/app", "conf/prod", "web", "", "tests/unit", "src0", "src7"])
+        name = rng.choice("token secret api_key password auth_token access_key client_secret PASSWORD db_password passwd pwd".split())
+        before = "set " + name + rng.choice([' = "', ": ", "=", '="', " = '", " := "])
+        kind = rng.randrange(8)
+        words = rng.sample(DICTIONARY, 3)
+        if kind < 2:
+            value = ("AKIA" + some(capitals, 16), "sk_live_" + some(letters, 24))[kind]
+            before = before if rng.random() < 0.5 else "run of this "
+        elif kind < 5:
+            value = (
+                some(letters + "0123456789!@#$%&*?^", rng.randint(8, 15)),
+                rng.choice([words[0], words[0].title()]) + rng.choice(["", "!", "#", "@", "_"]) + str(rng.randrange(10, 10000)) + rng.choice(["", "!", "$"]),
+                some(letters, rng.randint(9, 15)) + rng.choice(["", "!", "#9", "$7x"]),
+            )[kind - 2]
+        else:
+            value = (
+                rng.choice([words[0], words[0].title(), words[0].upper(), "_".join(words[:2]), " ".join(words), "-".join(words[:2]), "string", "null", "None", "true", "false", "required", "the", "a", "it", "this", "***", "xxxx", "changeme", "undefined", "str,", "String,"]),
+                rng.choice(["${" + "_".join(words[:2]).upper() + "}", "$" + words[0].upper(), "<" + "-".join(words[:2]) + ">", "{{" + words[0] + "}}", "%s", "{}", "your_" + words[0], "YOUR_" + words[0].upper()]),
+                rng.choice([f"{words[0]}.{words[1]}", f"{words[0]}.{words[1]}()", f"{words[0]}({words[1]})", f"{words[0]}[{words[1]}]", f"self.{words[0]},", f"os.environ[{words[0].upper()}]"]),
+            )[kind - 5]
+        out.append((value, before, path, int(kind < 5 and "test" not in path)))
     return out
 
 
@@ -150,13 +187,27 @@ def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str =
     """A row for each candidate: ``id_col, word, nth`` (its word and place in it), ``length, sha256, score, secret``."""
     words = F.split(F.col("t"), r"\s+")
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), (F.col(path_col) if path_col else F.lit("")).cast("string").alias("p"))
-    split = texts.where(F.col("t").rlike(r"[A-Za-z0-9+/_-]{16}")).select("d", "p", words.alias("w"))
-    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(r"[0-9]") & F.get("w", i).rlike(KEY))
+    named = rf"(?i){NAME}\s*{ASSIGN}"
+    split = texts.where(F.col("t").rlike(r"[A-Za-z0-9+/_-]{16}") | F.col("t").rlike(KNOWN_INSIDE) | F.col("t").rlike(named)).select("d", "p", words.alias("w"))
     near = lambda i, k: F.coalesce(F.get("w", i - k), F.lit(""))
-    found = split.select("d", "p", F.explode(F.transform(places, lambda i: F.struct(i.alias("word"), F.get("w", i).alias("own"), F.concat_ws(" ", near(i, 3), near(i, 2), near(i, 1)).alias("before")))).alias("x"))
-    parts = found.select("d", "p", "x.*").select("*", F.posexplode(F.regexp_extract_all("own", F.lit(f"({KEY})"), F.lit(1))).alias("nth", "candidate")).where(F.col("candidate").rlike("[0-9]"))
-    inside = F.expr("substring_index(own, candidate, 1)")
-    ready = parts.select("d", "word", "nth", "candidate", "p", F.concat(F.col("before"), F.lit(" "), inside).alias("before"))
+    # a word holds a value that is assigned in it, or that the words before it assign
+    inside = lambda own: own.rlike(rf"(?i){NAME}{ASSIGN}[^=:>]")
+    after = lambda own, before: before.rlike(rf"(?i){NAME}\s*{ASSIGN}$") | own.rlike(rf"^{ASSIGN}[^=:>]") & before.rlike(rf"(?i){NAME}$")
+    last = lambda i: F.concat_ws(" ", near(i, 2), near(i, 1))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(r"[0-9]") & F.get("w", i).rlike(KEY) | F.get("w", i).rlike(KNOWN_INSIDE) | inside(F.get("w", i)) | after(F.get("w", i), last(i)))
+    word = lambda i: F.struct(i.alias("word"), F.get("w", i).alias("own"), F.concat_ws(" ", near(i, 3), near(i, 2), near(i, 1)).alias("before"), last(i).alias("last"), F.when(F.get("w", i).rlike("[\"']") & (inside(F.get("w", i)) | after(F.get("w", i), last(i))), F.concat_ws(" ", F.slice("w", i + 1, F.size("w")))).otherwise(F.get("w", i)).alias("tail"))
+    found = split.select("d", "p", F.explode(F.transform(places, word)).alias("x")).select("d", "p", "x.*")
+    value = r"(?:\"([^\"]+)\"|'([^']+)'|([^\s\"']\S*?)[\"',;)]*(?:\s|$))"
+    first = lambda pattern: F.array(*[F.regexp_extract("tail", pattern, k) for k in (1, 2, 3)])
+    own = F.col("own")
+    here = rf"(?i)^\S*?{NAME}{ASSIGN}{value}"
+    assigned = F.when(inside(own), first(here)).when(after(own, F.col("last")), first(rf"^{ASSIGN}?{value}")).otherwise(F.array().cast("array<string>"))
+    runs = F.regexp_extract_all("own", F.lit(f"({KEY})"), F.lit(1))
+    known = F.regexp_extract_all("own", F.lit(f"({KNOWN_INSIDE})"), F.lit(1))
+    more = F.array_except(F.filter(F.concat(known, assigned), lambda c: c != ""), F.filter(runs, lambda c: c.rlike("[0-9]")))
+    each = found.select("*", F.size(runs).alias("n_runs"), F.posexplode(F.concat(runs, more)).alias("nth", "candidate"))
+    parts = each.where((F.col("nth") >= F.col("n_runs")) | F.col("candidate").rlike("[0-9]"))
+    ready = parts.select("d", "word", "nth", "candidate", "p", F.concat(F.col("before"), F.lit(" "), F.expr("substring_index(tail, candidate, 1)")).alias("before"))
     scored = ready.select("d", "word", "nth", "candidate", *[c.cast("double").alias(n) for n, c in zip(FEATURES, features(F.col("candidate"), F.col("before"), F.col("p")))])
     total = " + ".join(tree_sql(t) for t in forest)
     out = scored.select(F.col("d").alias(id_col), "word", "nth", F.col("length").cast("long").alias("length"), F.sha2("candidate", 256).alias("sha256"), F.round(F.expr(f"({total}) / {len(forest)}D"), 6).alias("score"))
