@@ -2,8 +2,9 @@
 
 A page is parsed into a tree. Every element's subtree is hashed (tag, class, id, and what it holds) and the hashes are counted over the
 pages of each host in Spark. Subtrees that recur on many pages of their host are template and are deleted, the outermost whole.
-The article itself is never taken for template: its paragraphs may recur (copies of a page, licence lines) and are text all
-the same. What is a menu, header, footer, sidebar, notice, advert, form, comment or code by its element, role or class goes as well.
+The article itself is never taken for template, nor are its paragraphs, headings, quotes and listings: they may recur (copies of a page, licence
+lines) and are text all the same. Inside it only containers (``CONTAINERS``) are counted, over pages of different main text: pages with one
+longest block count once, so that copies and near copies of a page don't make template of what they share. What is a menu, header, footer, sidebar, notice, advert, form, comment or code by its element, role or class goes as well.
 
 Results: a null or empty page, or one without text, gives the empty string. Malformed markup is read as browsers do it: unclosed
 elements end with their parent, a block ends an open paragraph, stray end tags are skipped. Repeated rows count as pages of their own and each
@@ -36,6 +37,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption option".split())
 #: What an opening tag closes, up to the nearest of the elements that hold it.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+#: Elements that can be template inside the main text.
+CONTAINERS = frozenset("div section ul ol dl table figure details center article header".split())
 GONE = frozenset("nav footer aside form script style noscript template iframe svg math button select option textarea input head title object embed canvas audio video dialog menu datalist label fieldset map applet".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CLASSES = frozenset(
@@ -167,31 +170,45 @@ def subtree_hashes(node: Node, into: dict[int, bytes]) -> bytes:
     return into[id(node)]
 
 
-def template_candidates(page: str | None) -> list[int]:
-    """Distinct hashes of the elements with text that are neither the main text, nor in it, nor around it."""
+def template_key(digest: bytes, inside: bool) -> int:
+    """The counted number of a subtree: its hash, with the last bit telling whether it lies in the main text."""
+    return int.from_bytes(digest, "big", signed=True) & ~1 | inside
+
+
+def template_candidates(page: str | None) -> tuple[list[int], int]:
+    """Distinct keys of the elements with text that aren't the main text or around it (in it, only containers), and a hash of its longest block."""
     root = parse(page)
-    keep = {id(x) for x in main_roots(root)}
+    roots = main_roots(root)
+    keep = {id(x) for x in roots}
     into: dict[int, bytes] = {}
     subtree_hashes(root, into)
     out: set[int] = set()
 
     def walk(node: Node) -> bool:
         """Whether the main text lies in the node."""
-        if id(node) in keep and node.tag in ("article", "main"):
+        if id(node) in keep and roots[0].tag in ("article", "main"):
+            todo = _kids(node)
+            while todo:
+                x = todo.pop()
+                if not boilerplate(x, True):
+                    if x.tag in CONTAINERS and x.kids:
+                        out.add(template_key(into[id(x)], True))
+                    todo += _kids(x)
             return True
         around = False
         for k in _kids(node):
             around |= walk(k)
         if not around and node.tag not in ("#root", "html", "body", "head") and node.kids:
-            out.add(int.from_bytes(into[id(node)], "big", signed=True))
+            out.add(template_key(into[id(node)], False))
         return around
 
     walk(root)
-    return sorted(out)
+    longest = max((b for r in roots for b in blocks(r, frozenset())), key=lambda b: (len(b), b), default="")
+    return sorted(out), int.from_bytes(hashlib.blake2b(longest.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def blocks(node: Node, template: frozenset[int]) -> list[str]:
-    """The text blocks of a main element in page order."""
+def blocks(node: Node, template: frozenset[int], inside: bool = False) -> list[str]:
+    """The text blocks of a main element in page order. ``inside``: it is an article or main element."""
     into: dict[int, bytes] = {}
     if template:
         subtree_hashes(node, into)
@@ -213,7 +230,7 @@ def blocks(node: Node, template: frozenset[int]) -> list[str]:
             elif k.tag in VOID:
                 if k.tag == "hr":
                     close()
-            elif not boilerplate(k, True) and not (template and int.from_bytes(into[id(k)], "big", signed=True) in template):
+            elif not boilerplate(k, True) and not (template and template_key(into[id(k)], inside) in template):
                 if k.tag in BLOCK:
                     close()
                     walk(k)
@@ -233,23 +250,26 @@ def blocks(node: Node, template: frozenset[int]) -> list[str]:
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """The main text of one page, given the template hashes of its host."""
     roots = main_roots(parse(page))
-    safe = roots and roots[0].tag in ("article", "main")
-    return "\n".join(b for r in roots for b in blocks(r, frozenset() if safe else template))
+    inside = roots[0].tag in ("article", "main")
+    return "\n".join(b for r in roots for b in blocks(r, template, inside))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """Returns ``id_col, url_col, text, n_chars`` for every page.
 
-    One map finds candidate hashes, which are counted by host and hash (pre-aggregated; a host with a third of all pages is many keys). The
+    One map finds candidate hashes, which are counted by host and hash, those inside the main text once for each longest block (pre-aggregated; a host with a third of all pages is many keys). The
     templates, at most 1 / ``least_share`` times a page's elements for each host, are broadcast while they are few, else joined.
     """
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    seen = map_rows(pages.select(host.alias("host"), F.col(html_col).alias("h")), "host string, hashes array<long>", lambda: lambda h, page: (h, template_candidates(page)))
-    counts = seen.select("host", F.explode(F.array_append("hashes", F.lit(None).cast("long"))).alias("hash")).groupBy("host", "hash").count()  # null: the page itself
+    seen = map_rows(pages.select(host.alias("host"), F.col(html_col).alias("h")), "host string, hashes array<long>, main long", lambda: lambda h, page: (h, *template_candidates(page)))
+    each = seen.select("host", "main", F.explode(F.array_append("hashes", F.lit(None).cast("long"))).alias("hash"))  # null: the page itself
+    inside = F.coalesce(F.col("hash").bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    by_main = each.groupBy("host", "hash", F.when(inside | F.col("hash").isNull(), F.col("main")).alias("main")).count()
+    counts = by_main.groupBy("host", "hash").agg(F.sum(F.when(inside, F.lit(1)).otherwise(F.col("count"))).alias("count"), F.count("*").alias("mains"))
     counts = materialise(counts.where(F.col("hash").isNull() | (F.col("count") >= least_pages)), "subtrees")
-    size = counts.where("hash is null").select("host", F.col("count").alias("pages"))
-    template = counts.where("hash is not null").join(size, "host").where(F.col("count") >= least_share * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+    size = counts.where("hash is null").select("host", F.col("count").alias("pages"), F.col("mains").alias("of"))
+    template = counts.where("hash is not null").join(size, "host").where(F.col("count") >= least_share * F.when(inside, F.col("of")).otherwise(F.col("pages"))).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
     rows = pages.select(F.col(id_col).alias("k"), F.col(url_col).alias("u"), host.alias("host"), F.col(html_col).alias("h"))
     out = f"k {pages.schema[id_col].dataType.simpleString()}, u {pages.schema[url_col].dataType.simpleString()}, text string"
     if template.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0] <= BROADCAST_ROWS:

@@ -98,6 +98,18 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_inside_the_article(spark):
+    """A recurring container in articles of different text goes; copied paragraphs, and what copies of one page share, stay."""
+    box = '<div class="xbox"><p>Read our other stories</p></div>'
+    page = lambda body: f"<body><article><h1>Title</h1>{body}</article></body>"
+    rows = [(i, f"http://a.example/{i}", page(f"<p>Licence line</p>{box}<div><p>A longer text of its own, number {i}</p></div>")) for i in range(8)]
+    copy = "<p>A text that is copied from page to page, longest</p><div><p>Shared part</p></div>"
+    rows += [(20 + i, f"http://b.example/{i}", page(copy + f"<p>no {i}</p>")) for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title\nLicence line\nA longer text of its own, number {i}" for i in range(8))
+    assert all(got[20 + i] == f"Title\nA text that is copied from page to page, longest\nShared part\nno {i}" for i in range(8))
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
