@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.common import map_rows, materialise
 
-#: A subtree is template if it recurs on at least so many pages of its host, and on at least this share of them.
+#: A subtree is template if it recurs on at least so many pages of its host, and on at least this share of them; outside the main text,
+#: twice the root of the number of pages is enough, which is less than that share on hosts of over 100 pages.
 LEAST_PAGES, LEAST_SHARE = 4, 0.2
 #: Template hashes that may be broadcast; more are joined in a shuffle.
 BROADCAST_ROWS = 200_000
@@ -258,7 +259,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Returns ``id_col, url_col, text, n_chars`` for every page.
 
     One map finds candidate hashes, which are counted by host and hash, those inside the main text once for each longest block (pre-aggregated; a host with a third of all pages is many keys). The
-    templates, at most 1 / ``least_share`` times a page's elements for each host, are broadcast while they are few, else joined.
+    templates, for each host at most as many as a page's elements times the larger of 1 / ``least_share`` and half the root of its pages, are broadcast while they are few, else joined.
     """
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -269,7 +270,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     counts = by_main.groupBy("host", "hash").agg(F.sum(F.when(inside, F.lit(1)).otherwise(F.col("count"))).alias("count"), F.count("*").alias("mains"))
     counts = materialise(counts.where(F.col("hash").isNull() | (F.col("count") >= least_pages)), "subtrees")
     size = counts.where("hash is null").select("host", F.col("count").alias("pages"), F.col("mains").alias("of"))
-    template = counts.where("hash is not null").join(size, "host").where(F.col("count") >= least_share * F.when(inside, F.col("of")).otherwise(F.col("pages"))).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+    template = counts.where("hash is not null").join(size, "host").where(F.col("count") >= F.when(inside, least_share * F.col("of")).otherwise(F.least(least_share * F.col("pages"), 2 * F.sqrt("pages")))).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
     rows = pages.select(F.col(id_col).alias("k"), F.col(url_col).alias("u"), host.alias("host"), F.col(html_col).alias("h"))
     out = f"k {pages.schema[id_col].dataType.simpleString()}, u {pages.schema[url_col].dataType.simpleString()}, text string"
     if template.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0] <= BROADCAST_ROWS:

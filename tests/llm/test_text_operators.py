@@ -110,6 +110,12 @@ def test_html_template_inside_the_article(spark):
     assert all(got[20 + i] == f"Title\nA text that is copied from page to page, longest\nShared part\nno {i}" for i in range(8))
 
 
+def test_html_section_templates_of_a_large_host(spark):
+    rows = [(i, f"http://a.example/{i}", "<body>" + "<div>Section box</div>" * (i < 60) + f"<p>text {i}</p></body>") for i in range(400)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}" for i in range(400)}
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
