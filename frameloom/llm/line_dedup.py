@@ -1,16 +1,22 @@
-"""Line deduplication over a corpus: exact copies, and copies within a few edits by a segment-partition join.
+"""Line deduplication over a corpus: exact copies, and copies within a budget of edits by a segment-partition join.
 
-A line of at least ``least`` characters is dropped if an equal line, or one within ``edits`` edits, comes earlier in the corpus. Lines come in
-the order of (doc_id, position); of different lines of one place (a repeated doc_id) the one with the lesser hash comes first. Shorter lines stay.
+A line is dropped if an equal line, or a near one, comes earlier in the corpus. Lines come in the order of (doc_id, hash of the text, position), so that
+rows with one doc_id and different texts are different documents. Exact copies go at every length; blank lines stay. Near copies are looked for among lines of
+at least ``least`` characters: two lines are near if they are within one character edit or, where the longer one has at least ``per_edit`` words, within
+w // ``per_edit`` word edits (at most ``most``; w: its words). Words are what single spaces separate.
 
-**Near copies.** Distinct lines only, with copies folded first, so that a line in a third of all rows is one row. A line is cut into ``edits`` + 1
-segments of nearly equal length. ``edits`` edits leave one segment of the shorter line untouched; it then stands in the longer one, shifted
-by at most the edits on either side of it. So each line indexes its segments under (line length, segment number, hash), and probes
-the indexes of its own and the ``edits`` lesser lengths with just the substrings that can match. Candidates are verified by an
-edit distance that runs one bit-parallel automaton over the band of 2 * ``edits`` + 1 diagonals.
+**Near copies.** A line's symbols are its words, and in lines of fewer than 2 * ``per_edit`` words also its characters. A line whose budget is k is
+cut into k + 1 segments of nearly equal length. k edits leave one segment of the shorter line untouched; it then stands in the longer one, shifted
+by at most the edits on either side of it. So each line indexes its segments under (budget, length, segment number, hash), and probes
+the indexes of its own and the k lesser lengths with just the substrings that can match. Candidates are verified by an
+edit distance that runs one bit-parallel automaton over the band of 2k + 1 diagonals.
 
-Everything is DataFrame functions. Line texts are shuffled once; the index rows hold two hashes each. Verification
-broadcasts the candidates' ids only while they are few; beyond, it joins in a shuffle.
+**Scale.** Only hashes are shuffled, pre-aggregated, until it is known which keys two different lines share; texts are read again for those lines alone.
+Near lines are not expanded into pairs: of all lines that share a key, each is first held against the earliest one, which is one pair a line.
+Only lines that this leaves undecided meet the others of their keys, and only those whose word sketches allow for so few edits. Whether a line is near to
+an earlier one is thus decided exactly, while the links inside a group of near copies are never listed; a dropped line names one earlier line.
+
+Everything is DataFrame functions. Tables of ids are broadcast only while they are few; beyond, they join in a shuffle.
 
 Results: a null text has no lines and stays null; an empty one has one empty line, which stays. A null doc_id comes before all others. Repeated
 rows (same id and text) are one document to the rule and each get the same result. An empty table gives an empty result.
@@ -20,76 +26,89 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from frameloom.llm.common import materialise
 
-#: Edits within which lines are copies, and characters from which lines are looked at.
-EDITS, LEAST = 1, 20
-#: Characters whose counts are compared before lines are.
-COUNTED = "etanior "
-#: Ids of candidate lines that may be broadcast (16 bytes each); more are joined in a shuffle.
-BROADCAST_ROWS = 500_000
+#: Characters from which near copies are looked for, words for each word edit, greatest number of word edits.
+LEAST, PER_EDIT, MOST = 20, 20, 3
+#: Rows of ids that may be broadcast (up to 40 bytes each); more are joined in a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def place(d: Column, t: Column, pos: Column, kind) -> Column:
+    """A line's place in the corpus as one sortable value, null ids first: a number for integral ids (it aggregates in hash tables), else a struct."""
+    if not isinstance(kind, IntegralType):
+        return F.struct(d.alias("d"), t.alias("t"), pos.alias("pos"))
+    low = F.shiftleft(t.bitwiseAND(F.lit((1 << 31) - 1)), 31) + pos
+    return F.coalesce(d.cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 62).cast("decimal(19,0)") + low.cast("decimal(19,0)")
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """A row for each line that is looked at: ``d`` (id), ``t`` (hash of the text), ``pos``, ``line``, and two hashes of it."""
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row for each line that isn't blank: ``d`` (id), ``t`` (hash of the text), ``pos``, ``place``, ``line``, and two hashes of it."""
     lines = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return lines.where((F.length("line") >= least) & (F.length(F.trim("line")) > 0)).select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    at = place(F.col("d"), F.col("t"), F.col("pos"), docs.schema[id_col].dataType)
+    return lines.where(F.length(F.trim("line")) > 0).select("d", "t", "pos", at.alias("place"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
+def budget(words: Column, per_edit: int, most: int) -> Column:
+    """Word edits within which a line of so many words, as the longer one, is near to another."""
+    return F.least(F.floor(words / F.lit(per_edit)).cast("int"), F.lit(most))
+
 
+def segment_starts(n: Column, i: int, parts: int) -> Column:
+    """Start (from 0) of segment i of a line of n symbols."""
+    return F.floor(n * F.lit(i) / F.lit(parts)).cast("int")
 
-def segment_starts(n: Column | int, i: int, parts: int):
-    """Start (from 0) of segment i of a line of n characters."""
-    return F.floor(n * F.lit(i) / F.lit(parts)).cast("int") if isinstance(n, Column) else n * i // parts
 
+def _key(n: Column, less: int, i: int, edits: int, shift: int, cut, tag: str) -> Column:
+    """Hash of what a line of n symbols has at the place of segment i of a line that is shorter by ``less``, shifted; null if it doesn't fit.
+
+    The last bit tells whether it is a segment of the line itself, which its index holds.
+    """
+    m = n - F.lit(less)
+    begin, end = segment_starts(m, i, edits + 1), segment_starts(m, i + 1, edits + 1)
+    at = begin + F.lit(shift)
+    value = F.xxhash64(F.lit(f"{tag}{edits}"), m, F.lit(i), cut(at + 1, end - begin)).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(less == shift == 0)))
+    return F.when((at >= 0) & (at + (end - begin) <= n) & (end > begin), value)
 
-def _key(m: Column, i: int, parts: int, shift: int) -> Column:
-    """Hash of the substring of ``line`` (of ``n`` characters) at the place of segment i of a line of m characters, shifted; null if it doesn't fit."""
-    begin, end = segment_starts(m, i, parts), segment_starts(m, i + 1, parts)
-    at = begin + F.lit(shift + 1)
-    return F.when((at >= 1) & (at + (end - begin) <= F.col("n") + 1) & (end > begin), F.xxhash64(m, F.lit(i), F.substring("line", at, end - begin)))
 
+def index_keys(n: Column, edits: int, cut, tag: str) -> list[Column]:
+    """Keys of a line's own segments."""
+    return [_key(n, 0, i, edits, 0, cut, tag) for i in range(edits + 1)]
 
-def index_keys(edits: int) -> list[Column]:
-    """A line's own segments."""
-    return [_key(F.col("n"), i, edits + 1, 0) for i in range(edits + 1)]
 
+def probe_keys(n: Column, edits: int, cut, tag: str) -> list[Column]:
+    """Keys of the substrings that can be a segment of a line that is shorter by up to ``edits`` (its own segments among them).
 
-def probe_keys(edits: int) -> list[Column]:
-    """Substrings that can be a segment of a line that is shorter by up to ``edits``: shifted by no more than the edits on the left, and on the right."""
+    A substring is shifted by no more than the edits on its left, and on its right.
+    """
     out = []
     for less in range(edits + 1):
         for i in range(edits + 1):
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                out.append(_key(F.col("n") - less, i, edits + 1, shift))
+                out.append(_key(n, less, i, edits, shift, cut, tag))
     return out
 
 
-def letter_signature(line: Column, n: Column) -> Column:
-    """Counts of eight common characters, modulo 256, in the bytes of a long. An edit changes at most two of them."""
-    out = F.lit(0).cast("long")
-    for k, c in enumerate(COUNTED):
-        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255))
-        out = out.bitwiseOR(F.shiftleft(count, 8 * k))
-    return out
-
+def line_keys(per_edit: int, most: int) -> Column:
+    """All keys of a line that has the columns ``line, n_chars, n_words, hashes`` (of its words)."""
+    n, c = F.col("n_words"), F.col("n_chars")
+    none = F.array().cast("array<bigint>")
+    words = lambda at, size: F.slice("hashes", at, size)
+    own = budget(n, per_edit, most)
+    keys = [F.when(n < 2 * per_edit, F.array(*probe_keys(c, 1, lambda at, size: F.substring("line", at, size), "c"))).otherwise(none)]
+    probes = none
+    for k in range(1, most + 1):
+        probes = F.when(own == k, F.array(*probe_keys(n, k, words, "w"))).otherwise(probes)
+        # lines that a longer one of the next budget can be near to stand in that budget's index too
+        keys.append(F.when((own < k) & (budget(n + k, per_edit, most) >= k), F.array(*index_keys(n, k, words, "w"))).otherwise(none))
+    return F.filter(F.concat(probes, *keys), lambda x: x.isNotNull())
 
-def signatures_differ(a: Column, b: Column) -> Column:
-    """Number of bytes in which two signatures differ."""
-    x = a.bitwiseXOR(b)
-    for k in (4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs ``a, b`` of ids (``h1``) of distinct lines (``h1, n, line, sig``) that may be within ``edits`` edits.
-
-    The join itself keeps only pairs whose letter counts allow for so few edits, so that many lines with one equal half don't meet in pairs of rows.
-    """
-    index = lines.select(F.col("h1").alias("a"), F.col("sig").alias("a_sig"), F.explode(F.array(*index_keys(edits))).alias("key")).where("key is not null")
-    probe = lines.select(F.col("h1").alias("b"), F.col("sig").alias("b_sig"), F.explode(F.array(*probe_keys(edits))).alias("key")).where("key is not null")
-    pairs = probe.join(index, "key").where((F.col("a") != F.col("b")) & (signatures_differ(F.col("a_sig"), F.col("b_sig")) <= 2 * edits))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def word_sketch(hashes: Column) -> Column:
+    """For each of 64 classes of words, whether the line has an odd number of them. A word edit changes at most two bits, a character edit three."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def shared_length(a: Column, b: Column, most: Column) -> Column:
@@ -97,24 +116,26 @@ def shared_length(a: Column, b: Column, most: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(21))]), F.lit(0), lambda s, step: F.when((s + step <= most) & (F.left(a, s + step) == F.left(b, s + step)), s + step).otherwise(s))
 
 
-def verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """Those of ``pairs`` whose ``a_line`` and ``b_line`` are within ``edits`` edits.
+def within_one(a: str, b: str) -> Column:
+    """Whether ``<a>_line`` and ``<b>_line`` are within one character edit.
 
     What both begin and end with is taken off first (equal ends never change an edit distance). The automaton then runs over the first
     characters, where most false candidates end, and over the rest only of pairs that it hasn't given up.
     """
-    def ends(a: Column, b: Column, then) -> Column:
+    def ends(x: Column, y: Column, then) -> Column:
         """``then`` of what is left of two texts when their common prefix is gone."""
-        most = F.least(F.length(a), F.length(b))
-        return let(shared_length(a, b, most), lambda p: then(F.substring(a, p + 1, F.length(a)), F.substring(b, p + 1, F.length(b))))
+        most = F.least(F.length(x), F.length(y))
+        return let(shared_length(x, y, most), lambda p: then(F.substring(x, p + 1, F.length(x)), F.substring(y, p + 1, F.length(y))))
 
-    def core(a: Column, b: Column) -> Column:
-        return let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.when(prefix_alive(x["a"], x["b"], edits), distance_within(x["a"], x["b"], edits).isNotNull()).otherwise(False))
+    def core(x: Column, y: Column) -> Column:
+        pair = F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b"), F.length(x).alias("m"), F.length(y).alias("n"))
+        short = (F.length(x) == 0) | (F.length(y) == 0)
+        return F.when(short, F.length(x) + F.length(y) <= 1).otherwise(let(pair, lambda s: F.when(prefix_alive(s["a"], s["b"], s["n"], 1), distance_within(s["a"], s["b"], 1).isNotNull()).otherwise(False)))
 
-    def turned(a: Column, b: Column) -> Column:
-        return let(F.struct(F.reverse(a).alias("a"), F.reverse(b).alias("b")), lambda x: ends(x["a"], x["b"], core))
+    def turned(x: Column, y: Column) -> Column:
+        return let(F.struct(F.reverse(x).alias("a"), F.reverse(y).alias("b")), lambda s: ends(s["a"], s["b"], core))
 
-    return pairs.where((F.abs(F.col("a_n") - F.col("b_n")) <= edits) & ends(F.col("a_line"), F.col("b_line"), turned))
+    return (F.abs(F.col(f"{a}_n_chars") - F.col(f"{b}_n_chars")) <= 1) & ends(F.col(f"{a}_line"), F.col(f"{b}_line"), turned)
 
 
 def let(value: Column, then) -> Column:
@@ -122,10 +143,9 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _automaton(a: Column, b: Column, n: Column, edits: int) -> Column:
-    """State after ``n`` characters of ``b``: for each number of errors the reachable diagonals."""
+def _automaton(x: Column, y: Column, n: Column, edits: int) -> Column:
+    """State after ``n`` symbols of the array ``y``: for each number of errors the reachable diagonals."""
     width = 2 * edits + 1
-    x, y = F.split(a, ""), F.split(b, "")
     full = F.lit((1 << width) - 1)
     begin, reach = [], 1 << edits
     for _ in range(edits + 1):
@@ -146,22 +166,20 @@ def _automaton(a: Column, b: Column, n: Column, edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.struct(x.alias("x"), y.alias("y"), *begin), step)
 
 
-def prefix_alive(a: Column, b: Column, edits: int, most: int = 16) -> Column:
-    """Whether the first characters leave any diagonal reachable within ``edits`` errors."""
-    n = F.least(F.length(b), F.lit(most))
-    return (n < most) | (_automaton(F.left(a, F.lit(most + edits)), F.left(b, F.lit(most)), n, edits)[f"r{edits}"] != 0)
+def prefix_alive(x: Column, y: Column, n: Column, edits: int, most: int = 16) -> Column:
+    """Whether the first symbols leave any diagonal reachable within ``edits`` errors."""
+    return (n < most) | (_automaton(x, y, F.lit(most), edits)[f"r{edits}"] != 0)
 
 
-def distance_within(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of two texts, null if over ``edits``.
+def distance_within(x: Column, y: Column, edits: int) -> Column:
+    """Edit distance of two arrays of symbols, null if over ``edits``.
 
-    For each number of errors one bitmask holds the diagonals of the band that are reachable with at most so many; a character
-    of ``b`` moves all of them at once (matches stay on their diagonal; a substitution, an insertion or a deletion costs one error).
+    For each number of errors one bitmask holds the diagonals of the band that are reachable with at most so many; a symbol
+    of ``y`` moves all of them at once (matches stay on their diagonal; a substitution, an insertion or a deletion costs one error).
     """
-    m, n = F.length(a), F.length(b)
-    width = 2 * edits + 1
-    there = F.lit(0)  # the bit of the diagonal on which both texts end
-    for o in range(width):
+    m, n = F.size(x), F.size(y)
+    there = F.lit(0)  # the bit of the diagonal on which both end
+    for o in range(2 * edits + 1):
         there = F.when(m - n == o - edits, F.lit(1 << o)).otherwise(there)
 
     def least(final: Column) -> Column:
@@ -170,38 +188,85 @@ def distance_within(a: Column, b: Column, edits: int) -> Column:
             found = F.when(final[f"r{e}"].bitwiseAND(there) != 0, F.lit(e)).otherwise(found)
         return found
 
-    return F.when((m == 0) | (n == 0), F.when(m + n <= edits, m + n)).otherwise(let(_automaton(a, b, n, edits), least))
+    return F.when((m == 0) | (n == 0), F.when(m + n <= edits, m + n)).otherwise(let(_automaton(x, y, n, edits), least))
+
+
+def near_pairs(pairs: DataFrame, texts: DataFrame, per_edit: int, most: int) -> DataFrame:
+    """Those of ``pairs`` (``u``, ``x``: hashes of lines) that are near lines: ``u, x``."""
+    side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "line", "n_chars", "n_words")])
+    both = pairs.join(side("a"), F.col("u") == F.col("a_h1")).join(side("b"), F.col("x") == F.col("b_h1"))
+    longer = F.greatest("a_n_words", "b_n_words")
+    k = budget(longer, per_edit, most)
+    words = F.lit(False)
+    for edits in range(1, most + 1):
+        words = F.when(k == edits, (F.abs(F.col("a_n_words") - F.col("b_n_words")) <= edits) & distance_within(F.split("a_line", " "), F.split("b_line", " "), edits).isNotNull()).otherwise(words)
+    return both.where(F.when(longer < 2 * per_edit, within_one("a", "b")).otherwise(False) | words).select("u", "x")
+
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A materialised table, marked for broadcast if it is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """Dropped lines of each document that has some: ``d, t`` (id, text hash), ``exact`` and ``near`` (positions), ``links`` (near links of its first occurrences)."""
+
+def near_copies(lines: DataFrame, texts_of, per_edit: int, most: int, cuts: int) -> DataFrame:
+    """``h1, h2, x``: the lines that are near to an earlier line, and the hash of one such line.
+
+    ``lines`` has ``h1, place, n_words, n_chars, sketch, keys`` for each occurrence; ``texts_of`` gives ``h1, h2, line, n_chars, n_words`` of the lines in a table of ``h1, place``.
+    """
+    each = lines.select("h1", F.explode("keys").alias("k"))
+    key, own = F.col("k").bitwiseAND(F.lit(-2)).alias("key"), F.col("k").bitwiseAND(F.lit(1))
+    shared = each.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max(own).alias("own")).where("lo <> hi and own = 1").select("key")
+    shared = materialise(shared, "line-keys")
+    met = lines.select("h1", "place", "n_words", "n_chars", "sketch", F.explode("keys").alias("k")).withColumn("key", key).join(_few(shared), "key")
+    met = met.groupBy("key", "h1").agg(F.min("place").alias("place"), F.first("n_words").alias("n_words"), F.first("n_chars").alias("n_chars"), F.first("sketch").alias("sketch"), F.max(own).alias("own"))
+    met = materialise(met, "line-members")
+    texts = materialise(texts_of(_few(materialise(met.select("h1", "place").distinct(), "line-ids"))), "line-texts")
+
+    # every line against the earliest line of each of its keys
+    earliest = met.groupBy("key").agg(F.min("place").alias("first"), F.min_by("h1", "place").alias("x"))
+    first = met.join(earliest, "key").where(F.col("place") > F.col("first")).select(F.col("h1").alias("u"), "x").distinct()
+    decided = materialise(near_pairs(_dealt(first, cuts), texts, per_edit, most).groupBy("u").agg(F.min("x").alias("x")), "line-near")
+
+    # what is left against all earlier lines of its keys, as far as lengths and sketches allow
+    left = met.join(_few(decided.select(F.col("u").alias("h1"))), "h1", "left_anti")
+    a, b = (left.select("key", *[F.col(c).alias(f"u_{c}") for c in ("h1", "place", "n_words", "n_chars", "sketch", "own")]), met.select("key", *[F.col(c).alias(f"x_{c}") for c in ("h1", "place", "n_words", "n_chars", "sketch", "own")]))
+    longer = F.greatest("u_n_words", "x_n_words")
+    k = budget(longer, per_edit, most)
+    apart = F.bit_count(F.col("u_sketch").bitwiseXOR(F.col("x_sketch")))
+    by_words = (F.abs(F.col("u_n_words") - F.col("x_n_words")) <= k) & (apart <= 2 * k)
+    by_chars = (longer < 2 * per_edit) & (F.abs(F.col("u_n_chars") - F.col("x_n_chars")) <= 1) & (apart <= 3)
+    other = a.join(b, "key").where((F.col("u_place") > F.col("x_place")) & (F.col("u_own") + F.col("x_own") > 0) & (by_words | by_chars)).select(F.col("u_h1").alias("u"), F.col("x_h1").alias("x")).distinct()
+    more = near_pairs(_dealt(other, cuts), texts, per_edit, most).groupBy("u").agg(F.min("x").alias("x"))
+    return texts.select("h1", "h2").join(decided.union(more), F.col("h1") == F.col("u")).select("h1", "h2", "x")
+
+
+def _dealt(pairs: DataFrame, cuts: int) -> DataFrame:
+    """Pairs dealt evenly, whatever lines they have in common."""
+    return pairs.repartition(cuts, "u", "x")
+
+
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_edit: int = PER_EDIT, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """Dropped lines of each document that has some: ``d, t`` (id, text hash), ``exact`` and ``near`` (positions), ``of`` (for each near one the id of a document with an earlier near line)."""
     spark = docs.sparkSession
-    place = F.struct(F.col("d"), F.col("pos"))
-    seen = occurrences(docs, id_col, text_col, least)
-    distinct = materialise(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line")).withColumn("n", F.length("line")).withColumn("sig", letter_signature(F.col("line"), F.col("n"))), "lines")
-    pairs = materialise(candidates(distinct, edits), "line-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    few = ids.count() <= BROADCAST_ROWS
-    some = distinct.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
-    sides = [some.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "h2", "first", "line", "n")]) for s in "ab"]
-    both = pairs.join(sides[0], pairs.a == F.col("a_h1")).join(sides[1], pairs.b == F.col("b_h1"))
-    linked = verified(both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b"), edits)
-    earlier = F.struct("a_first", "a_h1") < F.struct("b_first", "b_h1")
-    ends = F.array(
-        F.struct(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2"), (~earlier).alias("later")),
-        F.struct(F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"), earlier.alias("later")),
-    )
-    near = linked.select(F.explode(ends).alias("e")).select("e.*").groupBy("h1", "h2").agg(F.max("later").alias("later"), F.count("*").alias("links"))
-    firsts = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    marked = seen.select("d", "t", "pos", "h1", "h2").join(firsts, ["h1", "h2"]).withColumn("copy", ~place.eqNullSafe(F.col("first")))
+    seen = occurrences(docs, id_col, text_col).withColumn("n_chars", F.length("line"))
+    words = F.when(F.col("n_chars") >= least, F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
+    keyed = seen.withColumn("hashes", words).withColumn("n_words", F.size("hashes"))
+    lines = materialise(keyed.select("d", "t", "pos", "place", "h1", "h2", "n_words", "n_chars", word_sketch(F.col("hashes")).alias("sketch"), F.when(F.col("n_chars") >= least, line_keys(per_edit, most)).alias("keys")), "lines")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        found = seen.where(F.col("n_chars") >= least).join(ids, ["h1", "place"]).dropDuplicates(["h1", "h2"])
+        return found.select("h1", "h2", "line", "n_chars", F.size(F.split("line", " ")).alias("n_words"))
+
+    near = materialise(near_copies(lines.where("keys is not null"), texts_of, per_edit, most, int(spark.conf.get("spark.sql.shuffle.partitions"))), "line-copies")
+    firsts = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("count")).join(near, ["h1", "h2"], "left").where("count > 1 or x is not null")
+    firsts = materialise(firsts.select("h1", "h2", "first", "x"), "line-firsts")
+    named = lines.select(F.col("h1").alias("x"), "place", "d").join(_few(materialise(firsts.where("x is not null").select("x").distinct(), "line-named")), "x").groupBy("x").agg(F.min_by("d", "place").alias("of"))
+    firsts = materialise(firsts.join(named, "x", "left").select("h1", "h2", "first", F.col("x").isNotNull().alias("near"), "of"), "line-verdicts")
+    marked = lines.select("d", "t", "pos", "place", "h1", "h2").join(_few(firsts), ["h1", "h2"]).withColumn("copy", F.col("place") != F.col("first"))
     return (
-        marked.where(F.col("copy") | F.coalesce("later", F.lit(False)) | F.col("links").isNotNull())
-        .groupBy("d", "t")
-        .agg(
-            F.array_sort(F.collect_set(F.when(F.col("copy"), F.col("pos")))).alias("exact"),
-            F.array_sort(F.collect_set(F.when(~F.col("copy") & F.coalesce("later", F.lit(False)), F.col("pos")))).alias("near"),
-            F.sum(F.when(~F.col("copy"), F.col("links"))).alias("links"),
-        )
+        marked.where(F.col("copy") | F.col("near")).groupBy("d", "t")
+        .agg(F.array_sort(F.collect_set(F.when(F.col("copy"), F.col("pos")))).alias("exact"), F.array_sort(F.collect_set(F.when(~F.col("copy"), F.struct("pos", "of")))).alias("near"))
+        .select("d", "t", "exact", F.col("near.pos").alias("near"), F.col("near.of").alias("of"))
     )
 
 
@@ -210,20 +275,19 @@ def _joined(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Da
     return docs.join(found, docs[id_col].eqNullSafe(F.col("__ld_d")) & (F.xxhash64(docs[text_col]) == F.col("__ld_t")), "left")
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """A row for each document: ``id_col, n_lines, exact, near`` (positions of dropped lines) ``n_kept, n_links``."""
-    found = decisions(docs, id_col, text_col, edits, least)
-    slim = docs.select(id_col, F.xxhash64(text_col).alias("__t"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    found = found.select(*[F.col(c).alias(f"__ld_{c}") for c in found.columns])
-    none = F.array().cast("array<int>")
-    out = slim.join(found, slim[id_col].eqNullSafe(F.col("__ld_d")) & (F.col("__t") == F.col("__ld_t")), "left")
-    out = out.select(id_col, F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("__ld_exact", none).alias("exact"), F.coalesce("__ld_near", none).alias("near"), F.coalesce("__ld_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.select(id_col, "n_lines", "exact", "near", (F.col("n_lines") - F.size("exact") - F.size("near")).alias("n_kept"), "n_links")
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_edit: int = PER_EDIT, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """A row for each document: ``id_col, n_lines, exact, near`` (positions of dropped lines), ``near_of`` (for each near one the id of a document with an earlier near line), ``n_kept``."""
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.greatest(F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"))
+    found = decisions(docs, id_col, text_col, per_edit, most, least)
+    out = slim.join(found, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")), "left")
+    none, ids = F.array().cast("array<int>"), F.array().cast(found.schema["of"].dataType)
+    out = out.select(F.col("id").alias(id_col), "n_lines", F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near"), F.coalesce("of", ids).alias("near_of"))
+    return out.withColumn("n_kept", F.col("n_lines") - F.size("exact") - F.size("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_edit: int = PER_EDIT, most: int = MOST, least: int = LEAST) -> DataFrame:
     """``docs`` with all columns and rows, and without the dropped lines in ``text_col``."""
-    out = _joined(docs, decisions(docs, id_col, text_col, edits, least), id_col, text_col)
+    out = _joined(docs, decisions(docs, id_col, text_col, per_edit, most, least), id_col, text_col)
     gone = F.array_union(F.col("__ld_exact"), F.col("__ld_near"))
     kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     text = F.when(F.col("__ld_d").isNull() & F.col("__ld_t").isNull(), docs[text_col]).otherwise(kept)

@@ -100,59 +100,114 @@ def edited(rng, text, n, letters="abé"):
     return "".join(out)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
+@pytest.mark.parametrize("edits", [1, 2, 3])
 def test_distance(spark, edits):
     rng = random.Random(4)
     pairs = [(a, edited(rng, a, rng.randint(0, 4))) for a in ("".join(rng.choice("abé") for _ in range(rng.randint(0, 40))) for _ in range(300))]
     df = spark.createDataFrame(pairs, "a string, b string")
-    for r in df.select("a", "b", line_dedup.distance_within(F.col("a"), F.col("b"), edits).alias("d")).collect():
+    symbols = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    for r in df.select("a", "b", line_dedup.distance_within(symbols("a"), symbols("b"), edits).alias("d")).collect():
         d = lev(r.a, r.b)
         assert r.d == (d if d <= edits else None)
-    sides = df.select(F.col("a").alias("a_line"), F.col("b").alias("b_line"), F.length("a").alias("a_n"), F.length("b").alias("b_n"))
-    assert sorted((r.a_line, r.b_line) for r in line_dedup.verified(sides, edits).collect()) == sorted(p for p in pairs if lev(*p) <= edits)
-
-
-def brute_lines(rows, edits, least):
-    """Dropped (doc, position): exact copies, then near copies of earlier lines."""
-    seen, first = {}, {}
-    for key, text in rows:
-        for pos, line in enumerate((text or "").split("\n") if text is not None else []):
-            if len(line) >= least and line.strip(" "):
-                place = (key is not None, key, pos)
-                seen.setdefault((key, text, pos), line)
-                first[line] = min(first.get(line, place), place)
-    near = {b for a in first for b in first if a != b and lev(a, b) <= edits and first[a] < first[b]}
+    sides = df.select(F.col("a").alias("a_line"), F.col("b").alias("b_line"), F.length("a").alias("a_n_chars"), F.length("b").alias("b_n_chars"))
+    assert sorted((r.a_line, r.b_line) for r in sides.where(line_dedup.within_one("a", "b")).collect()) == sorted(p for p in pairs if lev(*p) <= 1)
+
+
+def is_near(a, b, per_edit, most):
+    n = max(len(a.split(" ")), len(b.split(" ")))
+    return n < 2 * per_edit and lev(a, b) <= 1 or n >= per_edit and lev(a.split(" "), b.split(" ")) <= min(most, n // per_edit)
+
+
+def brute_lines(rows, per_edit, most, least):
+    """Dropped (exact, near) positions of each row, and for each row the ids of documents with an earlier near line by position."""
+    seen, first, holders = {}, {}, {}
+    names = [r.h for r in line_hashes([t for _, t in rows])]
+    for (key, text), h in zip(rows, names):
+        for pos, line in enumerate(text.split("\n") if text is not None else []):
+            if line.strip(" "):
+                at = (key is not None, key or 0, h, pos)
+                seen[key, text, pos] = line, at
+                if line not in first or at < first[line]:
+                    first[line], holders[line] = at, key
+    long_ = [x for x in first if len(x) >= least]
+    near = {b: {holders[a] for a in long_ if a != b and first[a] < first[b] and is_near(a, b, per_edit, most)} for b in long_}
     out = {}
-    for (key, text, pos), line in seen.items():
-        if first[line] != (key is not None, key, pos):
-            out.setdefault((key, text), (set(), set()))[0].add(pos)
-        elif line in near:
-            out.setdefault((key, text), (set(), set()))[1].add(pos)
+    for (key, text, pos), (line, at) in seen.items():
+        if first[line] != at:
+            out.setdefault((key, text), ({}, {}))[0][pos] = None
+        elif near.get(line):
+            out.setdefault((key, text), ({}, {}))[1][pos] = near[line]
     return out
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_dedup(spark, edits):
-    rng = random.Random(6)
-    lines = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(8, 24))) for _ in range(25)]
-    pool = lines + [edited(rng, rng.choice(lines), rng.randint(1, 3)) for _ in range(40)] + ["", "x", " " * 12]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))) for i in range(40)] + [(50, None), (51, ""), (None, lines[0]), (3, "other\n" + lines[1] + "!")]
-    rows.append(rows[5])
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("clash")).withColumn("t", F.lit(1)).withColumn("h1", F.lit(2)).repartition(3)
-    want = brute_lines(rows, edits, 10)
-    report = line_dedup.line_report(docs, edits=edits, least=10)
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_lines, tuple(r.exact), tuple(r.near), r.n_kept) for r in report.collect())
+def line_hashes(texts):
+    """The order of rows with one id: 31 bits of the text's hash."""
+    from pyspark.sql import SparkSession
+
+    df = SparkSession.getActiveSession().createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return df.select("i", (F.xxhash64("t").bitwiseAND(F.lit((1 << 31) - 1))).alias("h")).orderBy("i").collect()
+
+
+def check_lines(docs, rows, per_edit, most, least):
+    want = brute_lines(rows, per_edit, most, least)
+    key = lambda k: (k is not None, k or 0)
+    got = sorted(((key(r.doc_id), r.n_lines, tuple(r.exact), tuple(r.near), tuple(r.near_of), r.n_kept) for r in line_dedup.line_report(docs, per_edit=per_edit, most=most, least=least).collect()), key=lambda x: x[:4])
     expected = []
-    for key, text in rows:
-        exact, near = want.get((key, text), (set(), set()))
+    for k, text in rows:
+        exact, near = want.get((k, text), ({}, {}))
         n = 0 if text is None else text.count("\n") + 1
-        expected.append((key if key is not None else -1, n, tuple(sorted(exact)), tuple(sorted(near)), n - len(exact) - len(near)))
-    assert got == sorted(expected)
-    out = line_dedup.dedup_lines(docs, edits=edits, least=10)
+        expected.append((key(k), n, tuple(sorted(exact)), tuple(sorted(near)), [near[p] for p in sorted(near)], n - len(exact) - len(near)))
+    expected.sort(key=lambda x: x[:4])
+    assert [(*g[:4], g[5]) for g in got] == [(*e[:4], e[5]) for e in expected]
+    assert all(x in may for g, e in zip(got, expected) for x, may in zip(g[4], e[4]))
+    out = line_dedup.dedup_lines(docs, per_edit=per_edit, most=most, least=least)
     assert out.columns == docs.columns
     texts = []
-    for key, text in rows:
-        gone = set().union(*want.get((key, text), (set(), set())))
-        texts.append((key if key is not None else -1, None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)))
-    assert sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in out.collect()), key=repr) == sorted(texts, key=repr)
-    assert line_dedup.line_report(docs.limit(0)).count() == 0
+    for k, text in rows:
+        gone = set().union(*want.get((k, text), ({}, {})))
+        texts.append((key(k), None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)))
+    assert sorted(((key(r.doc_id), r.text) for r in out.collect()), key=repr) == sorted(texts, key=repr)
+    return want
+
+
+@pytest.mark.parametrize("per_edit,most", [(4, 1), (3, 2), (3, 3)])
+def test_line_dedup(spark, per_edit, most):
+    rng = random.Random(per_edit + 7 * most)
+    words = lambda n: [rng.choice(["a", "bé", "c", "dd", "xyz"]) for _ in range(n)]
+    lines = [words(rng.randint(2, 16)) for _ in range(30)]
+    pool = [" ".join(x) for x in lines] + ["", "x", " " * 12, "  a", "a  b c d e f g h"]
+    for _ in range(60):
+        x = list(rng.choice(lines))
+        for _ in range(rng.randint(1, 4)):
+            k, how = rng.randrange(len(x) + 1), rng.randrange(3)
+            x[k : k + (how > 0)] = [] if how == 1 else [rng.choice(["a", "q"])]
+        pool += [" ".join(x), edited(rng, " ".join(x), rng.randint(1, 2))]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))) for i in range(50)]
+    rows += [(60, None), (61, ""), (None, pool[0]), (3, "other\n" + pool[1] + "!"), (3, "other\n" + pool[2]), (3, pool[3] + "\nother")]
+    rows.append(rows[5])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("clash")).withColumn("t", F.lit(1)).withColumn("h1", F.lit(2)).withColumn("id", F.lit(3)).repartition(3)
+    want = check_lines(docs, rows, per_edit, most, 10)
+    assert sum(len(x[1]) for x in want.values()) > 15
+    assert line_dedup.line_report(docs.limit(0)).count() == 0 and line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_lines_of_large_groups(spark):
+    """500 copies within one edit of a line at every place, a very long line, string ids, and tables that join in a shuffle."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(50)}" for _ in range(24)]
+    rows = [(i, " ".join(base[:k] + [f"n{i}"] + base[k + 1 :]) + "\nshort") for i in range(500) for k in [i % 6 * 4]]
+    long_ = " ".join(f"w{rng.randrange(9999)}" for _ in range(30_000))
+    rows += [(600, long_), (601, long_.replace(" ", "  ", 1)), (602, long_ + " end"), (603, long_[:-300])]
+    kept = {r.doc_id: r for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = [(i, t.split("\n")[0].split()) for i, t in rows[:500]]
+    for i, w in words:
+        near = any(sum(x != y for x, y in zip(w, v)) <= 1 for j, v in words if j < i)
+        assert kept[i].near == ([0] if near else []) and kept[i].exact == ([1] if i else [])
+    assert [kept[i].near for i in (600, 601, 602, 603)] == [[], [0], [0], []]
+    held = line_dedup.BROADCAST_ROWS
+    line_dedup.BROADCAST_ROWS = 0
+    try:
+        named = line_dedup.line_report(spark.createDataFrame([(f"{i:04d}", t) for i, t in rows], "doc_id string, text string")).collect()
+    finally:
+        line_dedup.BROADCAST_ROWS = held
+    assert {int(r.doc_id): (r.exact, r.near) for r in named} == {i: (r.exact, r.near) for i, r in kept.items()}
