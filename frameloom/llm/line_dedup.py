@@ -106,9 +106,14 @@ def line_keys(per_edit: int, most: int) -> Column:
     return F.filter(F.concat(probes, *keys), lambda x: x.isNotNull())
 
 
-def word_sketch(hashes: Column) -> Column:
+def word_sketch(hashes: Column, shift: int) -> Column:
     """For each of 64 classes of words, whether the line has an odd number of them. A word edit changes at most two bits, a character edit three."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
+
+
+def word_hashes(line: Column) -> Column:
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
 def shared_length(a: Column, b: Column, most: Column) -> Column:
@@ -152,17 +157,19 @@ def _automaton(x: Column, y: Column, n: Column, edits: int) -> Column:
         begin.append(F.lit(reach).cast("int").alias(f"r{len(begin)}"))
         reach |= reach << 1 & (1 << width) - 1
 
-    def step(s: Column, j: Column) -> Column:
-        c = F.get(s["y"], j)
-        hit = F.lit(0)
-        for o in range(width):
-            hit = hit + F.when(F.get(s["x"], j + F.lit(o - edits)) == c, F.lit(1 << o)).otherwise(F.lit(0))
+    def moved(s: Column, hit: Column) -> Column:
         new = [s["r0"].bitwiseAND(hit)]
         for e in range(1, edits + 1):
             old = s[f"r{e - 1}"]
             new.append(s[f"r{e}"].bitwiseAND(hit).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(full))
         return F.struct(s["x"].alias("x"), s["y"].alias("y"), *[r.cast("int").alias(f"r{e}") for e, r in enumerate(new)])
 
+    def step(s: Column, j: Column) -> Column:
+        def hits(c: Column) -> Column:
+            return sum((F.when(F.get(s["x"], j + F.lit(o - edits)) == c, F.lit(1 << o)).otherwise(F.lit(0)) for o in range(width)), F.lit(0))
+
+        return let(let(F.get(s["y"], j), hits), lambda hit: moved(s, hit))
+
     return F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.struct(x.alias("x"), y.alias("y"), *begin), step)
 
 
@@ -177,30 +184,33 @@ def distance_within(x: Column, y: Column, edits: int) -> Column:
     For each number of errors one bitmask holds the diagonals of the band that are reachable with at most so many; a symbol
     of ``y`` moves all of them at once (matches stay on their diagonal; a substitution, an insertion or a deletion costs one error).
     """
-    m, n = F.size(x), F.size(y)
-    there = F.lit(0)  # the bit of the diagonal on which both end
-    for o in range(2 * edits + 1):
-        there = F.when(m - n == o - edits, F.lit(1 << o)).otherwise(there)
 
-    def least(final: Column) -> Column:
-        found = F.lit(None).cast("int")
-        for e in reversed(range(edits + 1)):
-            found = F.when(final[f"r{e}"].bitwiseAND(there) != 0, F.lit(e)).otherwise(found)
-        return found
+    def run(s: Column) -> Column:
+        m, n = F.size(s["x"]), F.size(s["y"])
+
+        def least(final: Column) -> Column:
+            found = F.lit(None).cast("int")
+            for e in reversed(range(edits + 1)):  # the bit of the diagonal on which both end
+                found = F.when(F.call_function("getbit", final[f"r{e}"], m - n + F.lit(edits)) == 1, F.lit(e)).otherwise(found)
+            return found
 
-    return F.when((m == 0) | (n == 0), F.when(m + n <= edits, m + n)).otherwise(let(_automaton(x, y, n, edits), least))
+        whole = F.when((m == 0) | (n == 0), m + n).otherwise(let(_automaton(s["x"], s["y"], n, edits), least))
+        return F.when(F.abs(m - n) <= edits, whole)
 
+    return let(F.struct(x.alias("x"), y.alias("y")), run)
 
-def near_pairs(pairs: DataFrame, texts: DataFrame, per_edit: int, most: int) -> DataFrame:
+
+def near_pairs(pairs: DataFrame, texts: DataFrame, per_edit: int, most: int, cuts: int) -> DataFrame:
     """Those of ``pairs`` (``u``, ``x``: hashes of lines) that are near lines: ``u, x``."""
     side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "line", "n_chars", "n_words")])
-    both = pairs.join(side("a"), F.col("u") == F.col("a_h1")).join(side("b"), F.col("x") == F.col("b_h1"))
+    both = pairs.join(side("a"), F.col("u") == F.col("a_h1")).join(side("b"), F.col("x") == F.col("b_h1")).repartition(cuts, "u", "x")
     longer = F.greatest("a_n_words", "b_n_words")
     k = budget(longer, per_edit, most)
     words = F.lit(False)
     for edits in range(1, most + 1):
-        words = F.when(k == edits, (F.abs(F.col("a_n_words") - F.col("b_n_words")) <= edits) & distance_within(F.split("a_line", " "), F.split("b_line", " "), edits).isNotNull()).otherwise(words)
-    return both.where(F.when(longer < 2 * per_edit, within_one("a", "b")).otherwise(False) | words).select("u", "x")
+        words = F.when(k == edits, distance_within(F.split("a_line", " "), F.split("b_line", " "), edits).isNotNull()).otherwise(words)
+    near = F.when(longer < 2 * per_edit, within_one("a", "b")).otherwise(False) | words
+    return both.select(F.explode(F.when(near, F.array(F.struct("u", "x")))).alias("p")).select("p.*")  # a filter would be moved ahead of the even dealing
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -211,51 +221,51 @@ def _few(ids: DataFrame) -> DataFrame:
 def near_copies(lines: DataFrame, texts_of, per_edit: int, most: int, cuts: int) -> DataFrame:
     """``h1, h2, x``: the lines that are near to an earlier line, and the hash of one such line.
 
-    ``lines`` has ``h1, place, n_words, n_chars, sketch, keys`` for each occurrence; ``texts_of`` gives ``h1, h2, line, n_chars, n_words`` of the lines in a table of ``h1, place``.
+    ``lines`` has ``h1, place, keys`` for each occurrence; ``texts_of`` gives ``h1, h2, line, n_chars`` of the lines in a table of ``h1, place``.
     """
     each = lines.select("h1", F.explode("keys").alias("k"))
     key, own = F.col("k").bitwiseAND(F.lit(-2)).alias("key"), F.col("k").bitwiseAND(F.lit(1))
     shared = each.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max(own).alias("own")).where("lo <> hi and own = 1").select("key")
     shared = materialise(shared, "line-keys")
-    met = lines.select("h1", "place", "n_words", "n_chars", "sketch", F.explode("keys").alias("k")).withColumn("key", key).join(_few(shared), "key")
-    met = met.groupBy("key", "h1").agg(F.min("place").alias("place"), F.first("n_words").alias("n_words"), F.first("n_chars").alias("n_chars"), F.first("sketch").alias("sketch"), F.max(own).alias("own"))
-    met = materialise(met, "line-members")
-    texts = materialise(texts_of(_few(materialise(met.select("h1", "place").distinct(), "line-ids"))), "line-texts")
+    met = lines.select("h1", "place", F.explode("keys").alias("k")).withColumn("key", key).join(_few(shared), "key")
+    met = materialise(met.groupBy("key", "h1").agg(F.min("place").alias("place"), F.max(own).alias("own")), "line-members")
+    texts = texts_of(_few(materialise(met.select("h1", "place").distinct(), "line-ids"))).withColumn("hashes", word_hashes(F.col("line")))
+    sketches = [word_sketch(F.col("hashes"), 6 * i).alias(f"sketch{i}") for i in (0, 1)]
+    texts = materialise(texts.select("h1", "h2", "line", "n_chars", F.size("hashes").alias("n_words"), *sketches), "line-texts")
+    columns = ["h1", "place", "n_words", "n_chars", "sketch0", "sketch1", "own"]
+    met = materialise(met.join(_few(texts.select("h1", *columns[2:6])), "h1").select("key", *columns), "line-members")
+    u = met.select("key", *[F.col(c).alias(f"u_{c}") for c in columns])
+    near = lambda pairs: near_pairs(pairs.select(F.col("u_h1").alias("u"), F.col("x_h1").alias("x")).distinct(), texts, per_edit, most, cuts).groupBy("u").agg(F.min("x").alias("x"))
 
     # every line against the earliest line of each of its keys
-    earliest = met.groupBy("key").agg(F.min("place").alias("first"), F.min_by("h1", "place").alias("x"))
-    first = met.join(earliest, "key").where(F.col("place") > F.col("first")).select(F.col("h1").alias("u"), "x").distinct()
-    decided = materialise(near_pairs(_dealt(first, cuts), texts, per_edit, most).groupBy("u").agg(F.min("x").alias("x")), "line-near")
+    earliest = met.groupBy("key").agg(F.min("place").alias("x_place"), *[F.min_by(c, "place").alias(f"x_{c}") for c in columns if c != "place"])
+    decided = materialise(near(u.join(earliest, "key").where(may_be_near(per_edit, most))), "line-near")
+
+    # what is left against all earlier lines of its keys
+    left = u.join(_few(decided.select(F.col("u").alias("u_h1"))), "u_h1", "left_anti")
+    more = near(left.join(met.select("key", *[F.col(c).alias(f"x_{c}") for c in columns]), "key").where(may_be_near(per_edit, most)))
+    return texts.select("h1", "h2").join(decided.union(more), F.col("h1") == F.col("u")).select("h1", "h2", "x")
+
 
-    # what is left against all earlier lines of its keys, as far as lengths and sketches allow
-    left = met.join(_few(decided.select(F.col("u").alias("h1"))), "h1", "left_anti")
-    a, b = (left.select("key", *[F.col(c).alias(f"u_{c}") for c in ("h1", "place", "n_words", "n_chars", "sketch", "own")]), met.select("key", *[F.col(c).alias(f"x_{c}") for c in ("h1", "place", "n_words", "n_chars", "sketch", "own")]))
+def may_be_near(per_edit: int, most: int) -> Column:
+    """Whether ``x_`` comes before ``u_``, one of them probes what the other indexes, and their lengths and word sketches allow for so few edits."""
     longer = F.greatest("u_n_words", "x_n_words")
     k = budget(longer, per_edit, most)
-    apart = F.bit_count(F.col("u_sketch").bitwiseXOR(F.col("x_sketch")))
+    apart = F.greatest(*[F.bit_count(F.col(f"u_sketch{i}").bitwiseXOR(F.col(f"x_sketch{i}"))) for i in (0, 1)])
     by_words = (F.abs(F.col("u_n_words") - F.col("x_n_words")) <= k) & (apart <= 2 * k)
     by_chars = (longer < 2 * per_edit) & (F.abs(F.col("u_n_chars") - F.col("x_n_chars")) <= 1) & (apart <= 3)
-    other = a.join(b, "key").where((F.col("u_place") > F.col("x_place")) & (F.col("u_own") + F.col("x_own") > 0) & (by_words | by_chars)).select(F.col("u_h1").alias("u"), F.col("x_h1").alias("x")).distinct()
-    more = near_pairs(_dealt(other, cuts), texts, per_edit, most).groupBy("u").agg(F.min("x").alias("x"))
-    return texts.select("h1", "h2").join(decided.union(more), F.col("h1") == F.col("u")).select("h1", "h2", "x")
-
-
-def _dealt(pairs: DataFrame, cuts: int) -> DataFrame:
-    """Pairs dealt evenly, whatever lines they have in common."""
-    return pairs.repartition(cuts, "u", "x")
+    return (F.col("u_place") > F.col("x_place")) & (F.col("u_own") + F.col("x_own") > 0) & (by_words | by_chars)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_edit: int = PER_EDIT, most: int = MOST, least: int = LEAST) -> DataFrame:
     """Dropped lines of each document that has some: ``d, t`` (id, text hash), ``exact`` and ``near`` (positions), ``of`` (for each near one the id of a document with an earlier near line)."""
     spark = docs.sparkSession
     seen = occurrences(docs, id_col, text_col).withColumn("n_chars", F.length("line"))
-    words = F.when(F.col("n_chars") >= least, F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
-    keyed = seen.withColumn("hashes", words).withColumn("n_words", F.size("hashes"))
-    lines = materialise(keyed.select("d", "t", "pos", "place", "h1", "h2", "n_words", "n_chars", word_sketch(F.col("hashes")).alias("sketch"), F.when(F.col("n_chars") >= least, line_keys(per_edit, most)).alias("keys")), "lines")
+    keyed = seen.withColumn("hashes", F.when(F.col("n_chars") >= least, word_hashes(F.col("line")))).withColumn("n_words", F.size("hashes"))
+    lines = materialise(keyed.select("d", "t", "pos", "place", "h1", "h2", F.when(F.col("n_chars") >= least, line_keys(per_edit, most)).alias("keys")), "lines")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        found = seen.where(F.col("n_chars") >= least).join(ids, ["h1", "place"]).dropDuplicates(["h1", "h2"])
-        return found.select("h1", "h2", "line", "n_chars", F.size(F.split("line", " ")).alias("n_words"))
+        return seen.where(F.col("n_chars") >= least).join(ids, ["h1", "place"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", "line", "n_chars")
 
     near = materialise(near_copies(lines.where("keys is not null"), texts_of, per_edit, most, int(spark.conf.get("spark.sql.shuffle.partitions"))), "line-copies")
     firsts = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("count")).join(near, ["h1", "h2"], "left").where("count > 1 or x is not null")
