@@ -213,14 +213,18 @@ class Chunks(dict):
     It holds two generations of ``most`` parts each: a full one becomes the old one, from which parts in use come back.
     """
 
-    def __init__(self, encode, lead: str, most: int, first: Chunks | None = None) -> None:
+    def __init__(self, encode, word, lead: str, most: int, first: Chunks | None = None) -> None:
         super().__init__()
-        self.encode, self.lead, self.most, self.old, self.first, self.tails = encode, lead, most, {}, self if first is None else first, {}
+        self.encode, self.word, self.lead, self.most, self.old, self.first, self.tails = encode, word, lead, most, {}, self if first is None else first, {}
 
     def __missing__(self, part: str) -> bytes | None:
-        if part in self.old:
-            ids = self.old[part]
-        else:
+        ids = self.old.get(part, 0)
+        if ids == 0:
+            if part.isalpha():
+                ids = self[part] = self.word(self.lead + part)
+                if len(self) > self.most:
+                    self.put(part, ids)
+                return ids
             ids = None if not part or part[0].isspace() or part[-1].isspace() else self._whole(part)
         self.put(part, ids)
         return ids
@@ -256,13 +260,13 @@ class ChunkedEncoder:
 
     ``encode_piece`` maps a string to id bytes. A blank between two characters that aren't white space always starts a new
     match of the usual split patterns, so a text may be cut before such blanks and each part encoded once. Parts at other blanks are joined again
-    before they are encoded, whole and never cut.
+    before they are encoded, whole and never cut. ``encode_word`` does the same for letters, with or without a blank before them: one match.
     """
 
-    def __init__(self, encode_piece, most: int = MAX_PIECES) -> None:
+    def __init__(self, encode_piece, encode_word, most: int = MAX_PIECES) -> None:
         self.encode_piece = encode_piece
-        self.first = Chunks(encode_piece, "", most // 4)
-        self.inner = Chunks(encode_piece, " ", most, self.first)
+        self.first = Chunks(encode_piece, encode_word, "", most // 4)
+        self.inner = Chunks(encode_piece, encode_word, " ", most, self.first)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -369,14 +373,8 @@ class Codec:
         find = regex.compile(pattern).findall
         encode = self.machine.encode
 
-        matches = Matches(encode)
-
-        def piece(text: str) -> bytes:
-            if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # one match: a blank and letters
-                return matches[text]
-            return b"".join([matches[m] for m in find(text)])
-
-        self.encode = ChunkedEncoder(piece).encode
+        matches = Matches(encode, MAX_PIECES // 4)
+        self.encode = ChunkedEncoder(lambda text: b"".join([matches[m] for m in find(text)]), lambda text: pack(encode(text.encode()))).encode
 
     @classmethod
     def of(cls, data: bytes, pattern: str) -> Codec:

@@ -3,15 +3,17 @@
 Every text is encoded with the ``tokenizers`` library and ended with one end id. A rolling hash over the ids cuts each
 document's stream into chunks; cuts depend on content alone, so shared passages give equal chunks. The store is a folder:
 
-* ``data/kind=chunk``: ``gkey`` (SHA-256 of the ids as little-endian unsigned 32-bit integers), ``n``, ``payload`` (zstd of
+* ``chunks``: ``gkey`` (SHA-256 of the ids as little-endian unsigned 32-bit integers), ``n``, ``payload`` (zstd of
   the ids as unsigned 16-bit integers, or 32-bit ones where an id needs it); each distinct chunk is stored once;
-* ``recipes``: in ascending order of ``doc_id``, each document's ``start``, ``n_tokens``, chunk ``keys`` and Merkle ``root``;
-* ``manifest``: a Merkle root for each run of at most 1,024 recipes.
+* ``recipes``: files in ascending order of ``doc_id``, each document's ``start``, ``n_tokens``, chunk ``keys`` and Merkle ``root`` over them;
+* ``manifest``: one Merkle tree over all recipes, kept at three levels: a root for each run of at most 1,024 recipes (leaves: hash of a recipe's id, start,
+  length and root), one for each part (range of ids) over its runs, and one for the store over its parts.
 
-Reading back hashes every chunk again, compares it with its key, and each recipe's root with its chunks.
+Reading back computes the whole manifest from the recipes and raises if any root differs; it hashes every chunk again, compares it with its key, and each recipe's root with its chunks.
 
 Results: a null or empty text is the end id alone. Rows with a null ``doc_id`` come first; rows with equal ``doc_id`` follow in the order
-of their roots, and repeated rows each keep their own recipe. An empty table gives an empty store. Extra columns aren't read.
+of their roots, and repeated rows each keep their own recipe. An empty table gives an empty store. Extra columns aren't read. Special tokens that stand in a text
+get their ids, as the library does by default.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from frameloom.llm.byte_bpe import ChunkedEncoder, pack
-from frameloom.llm.common import map_rows, materialise, scratch_path
+from frameloom.llm.common import drop_table, map_rows, materialise, scratch_path
 
 #: Rolling-hash cuts: window, bits that must be zero, least and greatest ids of a chunk.
 WINDOW, BITS, LEAST, MOST = 16, 10, 256, 8192
 #: Texts that a worker encodes together.
 TOGETHER = 256
 #: Words of which a worker remembers the ids (two generations of so many).
-MAX_PARTS = 350_000
+MAX_PARTS = 400_000
+#: Chunk keys that a task remembers; recipes under one root of the manifest's lowest level.
+SEEN, RUN = 200_000, 1024
 MIX = 0x9E3779B97F4A7C15  # fixed value: an odd multiplier
 
 
@@ -50,19 +54,26 @@ class LibraryEncoder(ChunkedEncoder):
     held: dict[str, LibraryEncoder] = {}
 
     def __init__(self, spec: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True
-        model, whole, alphabet = self.library.model.tokenize, self.library.encode, str.maketrans(_byte_letters())
-        plain = self.library.normalizer is None
+        library = Tokenizer.from_str(spec)
+        model, letters = library.model.tokenize, str.maketrans(_byte_letters())
+        splits = library.pre_tokenizer
+        self.added = [t.content for t in library.get_added_tokens_decoder().values()]
+        #: whether parts may be encoded alone: no normalizer, and the byte-level split, which never joins over a blank between other characters
+        self.parts = library.normalizer is None and isinstance(splits, pre_tokenizers.ByteLevel) and splits.use_regex and not splits.add_prefix_space
 
-        def piece(text: str) -> bytes:
-            if plain and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-                return pack([t.id for t in model(text.encode().decode("latin-1").translate(alphabet))])
-            return pack(whole(text, add_special_tokens=False).ids)
+        def word(text: str) -> bytes:
+            text = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(letters)
+            return pack([t.id for t in model(text)])
 
-        super().__init__(piece, MAX_PARTS)
+        self.whole = lambda text: pack(library.encode(text, add_special_tokens=False).ids)
+        super().__init__(self.whole, word, MAX_PARTS)
+
+    def encode(self, text: str) -> bytes:
+        if not self.parts or any(map(text.__contains__, self.added)):
+            return self.whole(text)
+        return super().encode(text)
 
     @classmethod
     def of(cls, spec: str) -> LibraryEncoder:
@@ -110,7 +121,8 @@ def merkle_root(keys: list[bytes]) -> bytes:
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes ``docs`` into a store at ``path``.
 
-    Chunks are deduplicated by key: map-side first, then in one shuffle of the compressed chunks. The tokenizer's file is
+    Texts are encoded once, into a table that later steps read (a lost executor repeats no more than its own tasks). A task writes a chunk that it
+    meets again once (of ``SEEN`` keys that it remembers); one shuffle of the compressed chunks leaves each key once. Recipes are sorted in a shuffle of their own. The tokenizer's file is
     read on the driver and broadcast (a vocabulary, a few MB).
     """
     spark = docs.sparkSession
@@ -124,59 +136,84 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id
         import numpy as np
         import zstandard
 
-        library, press = LibraryEncoder.of(spec.value), zstandard.ZstdCompressor(level=1)
+        library, press, seen = LibraryEncoder.of(spec.value), zstandard.ZstdCompressor(level=1), set()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(k, TOGETHER)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                chunks, recipes = {}, []
-                for rid, doc, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts):
-                    raw = library.encode(text) + end
+                rows = []
+                for doc, text in zip(part.column(1).to_pylist(), part.column(0).to_pylist()):
+                    raw = library.encode(text or "") + end
                     ids = np.frombuffer(raw, "<u4")
                     keys, begin = [], 0
                     for stop in cut_points(ids):
                         key = hashlib.sha256(raw[4 * begin : 4 * stop]).digest()
                         keys.append(key)
-                        if key not in chunks:
+                        if key not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(key)
                             some = ids[begin:stop]
-                            chunks[key] = stop - begin, press.compress((some.astype("<u2") if some.max() < 1 << 16 else some).tobytes())
+                            rows.append(("chunk", key, stop - begin, press.compress((some.astype("<u2") if some.max() < 1 << 16 else some).tobytes()), None))
                         begin = stop
-                    recipes.append((rid.to_bytes(8, "big"), len(ids), b"".join(keys), doc))
-                rows = [("chunk", key, n, data, None) for key, (n, data) in chunks.items()] + [("recipe", *r) for r in recipes]
+                    rows.append(("recipe", merkle_root(keys), len(ids), b"".join(keys), doc))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["kind", "gkey", "n", "payload", "doc_id"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col), F.col(id_col)).mapInArrow(encode, f"kind string, gkey binary, n int, payload binary, doc_id {kind}")
-    rows.dropDuplicates(["kind", "gkey"]).write.partitionBy("kind").option("compression", "none").parquet(f"{path}/data")
-    recipes = _data(spark, path, "recipe", f", doc_id {kind}").select("doc_id", F.col("n").cast("long").alias("n_tokens"), F.col("payload").alias("keys"))
-    rooted = map_rows(recipes, f"doc_id {kind}, n_tokens long, keys binary, root binary", _rooted)
-    sorted_ = materialise(rooted.repartitionByRange("doc_id", "root").withColumn("part", F.spark_partition_id()), "recipes")
+    encoded = scratch_path(spark, "encoded")
+    rows = docs.select(F.col(text_col), F.col(id_col)).mapInArrow(encode, f"kind string, gkey binary, n int, payload binary, doc_id {kind}")
+    rows.write.partitionBy("kind").option("compression", "none").parquet(encoded)
+    both = spark.read.schema(f"gkey binary, n int, payload binary, doc_id {kind}, kind string").parquet(encoded)
+    both.where("kind = 'chunk'").select("gkey", "n", "payload").repartition("gkey").dropDuplicates(["gkey"]).write.option("compression", "none").parquet(f"{path}/chunks")
+    recipes = both.where("kind = 'recipe'").select("doc_id", F.col("n").cast("long").alias("n_tokens"), F.col("payload").alias("keys"), F.col("gkey").alias("root"))
+    sorted_ = materialise(recipes.repartitionByRange("doc_id", "root").withColumn("part", F.spark_partition_id()), "recipes")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of the range shuffle
     offsets = sorted_.groupBy("part").agg(F.sum("n_tokens").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("part").orderBy("doc_id", "root")
-    (
+    placed = (
         sorted_.join(F.broadcast(offsets), "part")
         .withColumn("start", F.col("offset") + F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("row", F.row_number().over(inside))
         .select("part", "row", "doc_id", "start", "n_tokens", "keys", "root")
-        .write.option("compression", "none").parquet(f"{path}/recipes")
-    )
-    (
-        _recipes(spark, path)
-        .groupBy("part", F.floor((F.col("row") - 1) / 1024).alias("block"))
-        .agg(F.count("*").alias("n_docs"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("row", "root"))).alias("roots"))
-        .withColumn("root", F.sha2(F.concat_ws("", F.transform("roots", lambda x: F.hex(x["root"]))), 256))
-        .drop("roots")
-        .write.parquet(f"{path}/manifest")
     )
+    placed.repartitionByRange("part", "row").sortWithinPartitions("part", "row").write.option("compression", "none").parquet(f"{path}/recipes")
+    manifest(_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    drop_table(spark, encoded)
 
 
-def _rooted():
-    return lambda doc_id, n, keys: (doc_id, n, keys, merkle_root([keys[i : i + 32] for i in range(0, len(keys), 32)]))
+def manifest(recipes: DataFrame) -> DataFrame:
+    """The Merkle tree over recipes: ``level`` (0: runs of at most ``RUN`` recipes, 1: parts, 2: the store), ``part, run, n_docs, n_tokens, root``.
 
-
-def _data(spark: SparkSession, path: str, kind: str, more: str = "") -> DataFrame:
-    return spark.read.schema(f"gkey binary, n int, payload binary{more}, kind string").parquet(f"{path}/data").where(F.col("kind") == kind).drop("kind")
+    A part holds as many recipes as one task of the range shuffle, so its runs are few; the store has one row for each of its parts.
+    """
+    leaf = F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", F.hex("root")).cast("binary"), 256))
+    levels = [recipes.select("part", F.floor((F.col("row") - 1) / RUN).alias("run"), F.col("row").alias("at"), leaf.alias("root"), F.lit(1).cast("long").alias("n_docs"), "n_tokens")]
+    schema = "part int, run long, n_docs long, n_tokens long, root binary"
+    out = []
+    for keys in (["part", "run"], ["part"], []):
+        below = levels[-1]
+        grouped = below.groupBy(*keys).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "root"))).alias("leaves"))
+        named = grouped.select(*[F.col(c) if c in keys else F.lit(-1).cast(t).alias(c) for c, t in (("part", "int"), ("run", "long"))], F.coalesce("n_docs", F.lit(0)), F.coalesce("n_tokens", F.lit(0)), F.col("leaves.root"))
+        rooted = map_rows(named, schema, lambda: lambda part, run, n, tokens, leaves: (part, run, n, tokens, merkle_root(leaves)))
+        out.append(rooted.withColumn("level", F.lit(len(out))))
+        levels.append(rooted.withColumn("at", F.col(keys[-1])) if keys else rooted)
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Computes the manifest of the recipes anew and raises ``ValueError`` if it isn't the stored one."""
+    held = spark.read.parquet(f"{path}/manifest")
+    new = manifest(_recipes(spark, path)).select(*[F.col(c).alias(f"new_{c}") for c in held.columns])
+    same = F.lit(True)
+    for c in held.columns:
+        same &= F.col(c).eqNullSafe(F.col(f"new_{c}"))
+    keys = [F.col(c) == F.col(f"new_{c}") for c in ("level", "part", "run")]
+    odd = held.join(new, keys, "full").where(~same).count()
+    if odd:
+        raise ValueError(f"{odd} roots of the manifest don't fit the recipes")
+
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/chunks")
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -200,8 +237,9 @@ def _placed(recipes: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Reconstructs every document: ``doc_id, start, n_tokens, ids`` (ids as little-endian unsigned 32-bit integers)."""
-    chunks = map_rows(_data(spark, path, "chunk"), "gkey binary, ids binary", lambda: lambda key, n, data: (key, _checked(key, _unpack(data, n))))
+    """Reconstructs every document: ``doc_id, start, n_tokens, ids`` (ids as little-endian unsigned 32-bit integers). Raises if the manifest or a chunk doesn't fit."""
+    verify_manifest(spark, path)
+    chunks = map_rows(_chunks(spark, path), "gkey binary, ids binary", lambda: lambda key, n, data: (key, _checked(key, _unpack(data, n))))
     whole = _placed(_recipes(spark, path)).join(chunks, "gkey").groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("c"))
     joined = whole.join(_recipes(spark, path), ["part", "row"]).select("doc_id", "start", "n_tokens", F.col("c.ids").alias("ids"))
     return map_rows(joined, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids binary", lambda: lambda d, s, n, ids: (d, s, n, b"".join(ids)))
@@ -218,8 +256,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     Each stored chunk is read once: its ids are hashed, counted and summed where they lie. Only those sums are shuffled to
     the recipes, where the checksums of consecutive chunks combine to that of the document. A chunk that many documents share
-    is one row on its side, and Spark may split the other side of that join.
+    is one row on its side, and Spark may split the other side of that join. Raises if the manifest doesn't fit the recipes.
     """
+    verify_manifest(spark, path)
 
     def sums():
         def row(key, n, data):
@@ -228,7 +267,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
         return row
 
-    chunks = map_rows(_data(spark, path, "chunk"), "gkey binary, n int, crc long, ok boolean", sums)
+    chunks = map_rows(_chunks(spark, path), "gkey binary, n int, crc long, ok boolean", sums)
     recipes = _recipes(spark, path)
     parts = _placed(recipes).join(chunks, "gkey").groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc", "ok", "gkey"))).alias("c"))
     joined = recipes.join(parts, ["part", "row"], "left").select("doc_id", "start", "n_tokens", "root", F.col("c.n").alias("n"), F.col("c.crc").alias("crc"), F.col("c.ok").alias("ok"), F.col("c.gkey").alias("k"))
