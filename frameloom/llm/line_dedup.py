@@ -24,6 +24,8 @@ rows (same id and text) are one document to the rule and each get the same resul
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -33,7 +35,9 @@ from frameloom.llm.common import materialise
 #: Characters from which near copies are looked for, words for each word edit, greatest number of word edits.
 LEAST, PER_EDIT, MOST = 20, 20, 3
 #: Rows of ids that may be broadcast (up to 40 bytes each); more are joined in a shuffle.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 150_000
+#: Symbols after which the automaton looks whether it can stop.
+STRETCH = 16
 
 
 def place(d: Column, t: Column, pos: Column, kind) -> Column:
@@ -92,7 +96,7 @@ def probe_keys(n: Column, edits: int, cut, tag: str) -> list[Column]:
 
 
 def line_keys(per_edit: int, most: int) -> Column:
-    """All keys of a line that has the columns ``line, n_chars, n_words, hashes`` (of its words)."""
+    """All keys (some null) of a line that has the columns ``line, n_chars, n_words, hashes`` (of its words)."""
     n, c = F.col("n_words"), F.col("n_chars")
     none = F.array().cast("array<bigint>")
     words = lambda at, size: F.slice("hashes", at, size)
@@ -103,7 +107,7 @@ def line_keys(per_edit: int, most: int) -> Column:
         probes = F.when(own == k, F.array(*probe_keys(n, k, words, "w"))).otherwise(probes)
         # lines that a longer one of the next budget can be near to stand in that budget's index too
         keys.append(F.when((own < k) & (budget(n + k, per_edit, most) >= k), F.array(*index_keys(n, k, words, "w"))).otherwise(none))
-    return F.filter(F.concat(probes, *keys), lambda x: x.isNotNull())
+    return F.concat(probes, *keys)
 
 
 def word_sketch(hashes: Column, shift: int) -> Column:
@@ -121,67 +125,67 @@ def shared_length(a: Column, b: Column, most: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(21))]), F.lit(0), lambda s, step: F.when((s + step <= most) & (F.left(a, s + step) == F.left(b, s + step)), s + step).otherwise(s))
 
 
-def within_one(a: str, b: str) -> Column:
-    """Whether ``<a>_line`` and ``<b>_line`` are within one character edit.
-
-    What both begin and end with is taken off first (equal ends never change an edit distance). The automaton then runs over the first
-    characters, where most false candidates end, and over the rest only of pairs that it hasn't given up.
-    """
-    def ends(x: Column, y: Column, then) -> Column:
-        """``then`` of what is left of two texts when their common prefix is gone."""
-        most = F.least(F.length(x), F.length(y))
-        return let(shared_length(x, y, most), lambda p: then(F.substring(x, p + 1, F.length(x)), F.substring(y, p + 1, F.length(y))))
+def stripped(a: Column, b: Column, words: bool, then) -> Column:
+    """``then`` of what is left of two texts when their common beginning and end are gone, both turned around (which changes no distance). With ``words`` only whole words go."""
+    def ends(x: Column, y: Column, next_) -> Column:
+        def cut(p: Column) -> Column:
+            p = p - F.length(F.substring_index(F.left(x, p), " ", -1)) if words else p
+            return let(p, lambda q: next_(F.substring(x, q + 1, F.length(x)), F.substring(y, q + 1, F.length(y))))
 
-    def core(x: Column, y: Column) -> Column:
-        pair = F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b"), F.length(x).alias("m"), F.length(y).alias("n"))
-        short = (F.length(x) == 0) | (F.length(y) == 0)
-        return F.when(short, F.length(x) + F.length(y) <= 1).otherwise(let(pair, lambda s: F.when(prefix_alive(s["a"], s["b"], s["n"], 1), distance_within(s["a"], s["b"], 1).isNotNull()).otherwise(False)))
+        return let(shared_length(x, y, F.least(F.length(x), F.length(y))), cut)
 
     def turned(x: Column, y: Column) -> Column:
-        return let(F.struct(F.reverse(x).alias("a"), F.reverse(y).alias("b")), lambda s: ends(s["a"], s["b"], core))
+        return let(F.struct(F.reverse(x).alias("a"), F.reverse(y).alias("b")), lambda s: ends(s["a"], s["b"], then))
+
+    return ends(a, b, turned)
+
 
-    return (F.abs(F.col(f"{a}_n_chars") - F.col(f"{b}_n_chars")) <= 1) & ends(F.col(f"{a}_line"), F.col(f"{b}_line"), turned)
+def within(a: Column, b: Column, edits: int, words: bool) -> Column:
+    """Whether two different texts are within so many edits of their words, or else of their characters."""
+    symbols = lambda x: F.split(x, " ") if words else F.filter(F.split(x, ""), lambda c: c != "")
+    return stripped(a, b, words, lambda x, y: distance_within(symbols(x), symbols(y), edits).isNotNull())
 
 
 def let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once, however often it is used."""
+    """``then`` of a value that is computed once, however often it is used. (What ``then`` returns is copied: no large arrays.)"""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _automaton(x: Column, y: Column, n: Column, edits: int) -> Column:
-    """State after ``n`` symbols of the array ``y``: for each number of errors the reachable diagonals."""
+    """State after ``n`` symbols of the array ``y``: a long that holds, for each number of errors, a slot with a bit for each diagonal that is reachable."""
     width = 2 * edits + 1
-    full = F.lit((1 << width) - 1)
-    begin, reach = [], 1 << edits
-    for _ in range(edits + 1):
-        begin.append(F.lit(reach).cast("int").alias(f"r{len(begin)}"))
-        reach |= reach << 1 & (1 << width) - 1
+    slots = range(edits + 1)
 
-    def moved(s: Column, hit: Column) -> Column:
-        new = [s["r0"].bitwiseAND(hit)]
-        for e in range(1, edits + 1):
-            old = s[f"r{e - 1}"]
-            new.append(s[f"r{e}"].bitwiseAND(hit).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(full))
-        return F.struct(s["x"].alias("x"), s["y"].alias("y"), *[r.cast("int").alias(f"r{e}") for e, r in enumerate(new)])
+    def each(slot: int) -> Column:
+        """The same bits in every slot."""
+        return F.lit(sum(slot << width * e for e in slots))
 
-    def step(s: Column, j: Column) -> Column:
-        def hits(c: Column) -> Column:
-            return sum((F.when(F.get(s["x"], j + F.lit(o - edits)) == c, F.lit(1 << o)).otherwise(F.lit(0)) for o in range(width)), F.lit(0))
+    begin, reach = 0, 1 << edits
+    for e in slots:
+        begin |= reach << width * e
+        reach |= reach << 1 & (1 << width) - 1
+    every, last = each((1 << width) - 1), F.lit((1 << width) - 1 << width * edits)
 
-        return let(let(F.get(s["y"], j), hits), lambda hit: moved(s, hit))
+    def moved(s: Column) -> Column:
+        """Symbols of ``x`` that are passed over: each costs an error and leads to the diagonal above."""
+        return reduce(Column.bitwiseOR, [F.shiftleft(s.bitwiseAND(each((1 << width - j) - 1)), j * (width + 1)) for j in slots]).bitwiseAND(every)
 
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.struct(x.alias("x"), y.alias("y"), *begin), step)
+    def step(s: Column, j: Column) -> Column:
+        hit = sum((F.when(F.get(x, j + F.lit(o - edits)) == F.get(y, j), F.lit(1 << o)).otherwise(F.lit(0)) for o in range(width)), F.lit(0)).cast("long")
+        cost = F.shiftleft(s.bitwiseOR(F.shiftrightunsigned(s, 1).bitwiseAND(each((1 << width - 1) - 1))), width)  # a substitution, or a symbol of y alone
+        return let(s.bitwiseAND(hit * each(1)).bitwiseOR(cost).bitwiseAND(every), moved)
 
+    def stretch(s: Column, first: Column) -> Column:
+        """The next ``STRETCH`` symbols, unless no diagonal is left."""
+        return F.when(s.bitwiseAND(last) == 0, s).otherwise(F.aggregate(F.sequence(first, F.least(first + F.lit(STRETCH), n) - 1), s, step))
 
-def prefix_alive(x: Column, y: Column, n: Column, edits: int, most: int = 16) -> Column:
-    """Whether the first symbols leave any diagonal reachable within ``edits`` errors."""
-    return (n < most) | (_automaton(x, y, F.lit(most), edits)[f"r{edits}"] != 0)
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(STRETCH)), F.lit(begin).cast("long"), stretch)
 
 
 def distance_within(x: Column, y: Column, edits: int) -> Column:
     """Edit distance of two arrays of symbols, null if over ``edits``.
 
-    For each number of errors one bitmask holds the diagonals of the band that are reachable with at most so many; a symbol
+    For each number of errors one slot of a word holds the diagonals of the band that are reachable with at most so many; a symbol
     of ``y`` moves all of them at once (matches stay on their diagonal; a substitution, an insertion or a deletion costs one error).
     """
 
@@ -191,7 +195,7 @@ def distance_within(x: Column, y: Column, edits: int) -> Column:
         def least(final: Column) -> Column:
             found = F.lit(None).cast("int")
             for e in reversed(range(edits + 1)):  # the bit of the diagonal on which both end
-                found = F.when(F.call_function("getbit", final[f"r{e}"], m - n + F.lit(edits)) == 1, F.lit(e)).otherwise(found)
+                found = F.when(F.call_function("getbit", final, m - n + F.lit(edits + e * (2 * edits + 1))) == 1, F.lit(e)).otherwise(found)
             return found
 
         whole = F.when((m == 0) | (n == 0), m + n).otherwise(let(_automaton(s["x"], s["y"], n, edits), least))
@@ -208,8 +212,9 @@ def near_pairs(pairs: DataFrame, texts: DataFrame, per_edit: int, most: int, cut
     k = budget(longer, per_edit, most)
     words = F.lit(False)
     for edits in range(1, most + 1):
-        words = F.when(k == edits, distance_within(F.split("a_line", " "), F.split("b_line", " "), edits).isNotNull()).otherwise(words)
-    near = F.when(longer < 2 * per_edit, within_one("a", "b")).otherwise(False) | words
+        words = F.when(k == edits, within(F.col("a_line"), F.col("b_line"), edits, True)).otherwise(words)
+    chars = (longer < 2 * per_edit) & (F.abs(F.col("a_n_chars") - F.col("b_n_chars")) <= 1)
+    near = F.when(chars, within(F.col("a_line"), F.col("b_line"), 1, False)).otherwise(False) | words
     return both.select(F.explode(F.when(near, F.array(F.struct("u", "x")))).alias("p")).select("p.*")  # a filter would be moved ahead of the even dealing
 
 
@@ -223,11 +228,11 @@ def near_copies(lines: DataFrame, texts_of, per_edit: int, most: int, cuts: int)
 
     ``lines`` has ``h1, place, keys`` for each occurrence; ``texts_of`` gives ``h1, h2, line, n_chars`` of the lines in a table of ``h1, place``.
     """
-    each = lines.select("h1", F.explode("keys").alias("k"))
+    each = lines.select("h1", F.explode("keys").alias("k")).where("k is not null")
     key, own = F.col("k").bitwiseAND(F.lit(-2)).alias("key"), F.col("k").bitwiseAND(F.lit(1))
     shared = each.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max(own).alias("own")).where("lo <> hi and own = 1").select("key")
     shared = materialise(shared, "line-keys")
-    met = lines.select("h1", "place", F.explode("keys").alias("k")).withColumn("key", key).join(_few(shared), "key")
+    met = lines.select("h1", "place", F.explode("keys").alias("k")).where("k is not null").withColumn("key", key).join(_few(shared), "key")
     met = materialise(met.groupBy("key", "h1").agg(F.min("place").alias("place"), F.max(own).alias("own")), "line-members")
     texts = texts_of(_few(materialise(met.select("h1", "place").distinct(), "line-ids"))).withColumn("hashes", word_hashes(F.col("line")))
     sketches = [word_sketch(F.col("hashes"), 6 * i).alias(f"sketch{i}") for i in (0, 1)]

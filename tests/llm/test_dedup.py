@@ -109,8 +109,11 @@ def test_distance(spark, edits):
     for r in df.select("a", "b", line_dedup.distance_within(symbols("a"), symbols("b"), edits).alias("d")).collect():
         d = lev(r.a, r.b)
         assert r.d == (d if d <= edits else None)
-    sides = df.select(F.col("a").alias("a_line"), F.col("b").alias("b_line"), F.length("a").alias("a_n_chars"), F.length("b").alias("b_n_chars"))
-    assert sorted((r.a_line, r.b_line) for r in sides.where(line_dedup.within_one("a", "b")).collect()) == sorted(p for p in pairs if lev(*p) <= 1)
+    for words in (False, True):
+        cut = lambda x: x.replace("b", " ").split(" ") if words else x
+        a, b = (F.replace(F.col(c), F.lit("b"), F.lit(" " if words else "b")) for c in ("a", "b"))
+        got = df.where(line_dedup.within(a, b, edits, words)).collect()
+        assert sorted((r.a, r.b) for r in got) == sorted(p for p in pairs if lev(*map(cut, p)) <= edits)
 
 
 def is_near(a, b, per_edit, most):
