@@ -273,9 +273,10 @@ class ChunkedEncoder:
             return b""
         parts = text.split(" ")
         found = [self.first[parts[0]], *map(self.inner.__getitem__, parts[1:])]
-        if None not in found:
+        try:
             return b"".join(found)
-        out, run = [], None
+        except TypeError:  # some part can't stand alone
+            out, run = [], None
         for k, (part, ids) in enumerate(zip(parts, found)):
             lead = " " * (k > 0)
             if ids is not None and (run is None or (run and not run[-1][-1:].isspace() and run[-1] != "")):

@@ -6,20 +6,27 @@ edits can't touch them all, so every occurrence holds one piece exactly. An auto
 text; each hit places its item, and Myers' bit-parallel distance verifies the window around that place. Places (which may lie before the
 text) are dealt into cells of k + 1 characters; a window covers all that the hits of its cell can belong to, and is verified once.
 
-The items go to the executors in blocks of a bounded size; a larger benchmark takes more passes in the same map. No shuffle.
+Items shorter than ``least`` characters have no error budget: they are searched whole and count where they begin and end at word borders.
 
-Results: a null or empty text has no hits. Items that are null or shorter than ``least`` characters after folding are not searched.
+The items go to the executors in blocks of a bounded size, one block at a time; a benchmark of one block is one map over the documents without a shuffle. A larger one takes a
+pass for each block, whose hits (not texts) are joined by the document's id and text hash.
+
+Results: a null or empty text has no hits. Items that are null, or empty after folding, are not searched.
 Repeated items each report; repeated documents each get their row. An empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_rows
+from frameloom.llm.common import map_rows, materialise
 
-#: Edits for each character of an item, and the length from which items are searched.
+#: Edits for each character of an item, and the length from which items may have edits.
 RATE, LEAST = 0.08, 24
 #: Characters of benchmark text that one broadcast may hold.
 BLOCK_CHARS = 500_000
@@ -72,9 +79,9 @@ class Matcher:
         self.items, places = [], {}
         for key, text in items:
             text = fold(text)
-            if len(text) >= least:
-                k = int(rate * len(text))
-                for at, piece in pieces(text, k):
+            if text:
+                k = int(rate * len(text)) if len(text) >= least else -1
+                for at, piece in pieces(text, max(k, 0)):
                     places.setdefault(piece, []).append((len(self.items), at))
                 self.items.append((key, text, k, masks(text)))
         self.automaton = ahocorasick.Automaton()
@@ -95,6 +102,10 @@ class Matcher:
                     continue
                 _, item, k, where = self.items[n]
                 begin = end + 1 - size - at
+                if k < 0:
+                    if (begin == 0 or text[begin - 1] == " ") and text[end + 1 : end + 2] in ("", " "):
+                        out[n] = 0
+                    continue
                 if text.startswith(item, max(0, begin)):
                     out[n] = 0
                     continue
@@ -109,41 +120,48 @@ class Matcher:
         return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ``most`` characters; the driver holds one block at a time beyond those broadcast."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple]]:
+    """The items in blocks of about ``most`` characters; the driver holds one block at a time."""
     items = benchmark.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null and k is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // most))
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("k"), F.lit(n)) == b).orderBy("k", "t").collect()] for b in range(n)]
+    for b in range(n):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("k"), F.lit(n)) == b).orderBy("k", "t").collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Returns ``id_col, contaminated, item_ids, distances`` for every document; lists are in the order of the item ids."""
-    context = docs.sparkSession.sparkContext
-    kind, key = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.lit(None).cast(f"array<struct<k:{key},d:int>>").alias("hits"))
-    for block in item_blocks(benchmark, item_col, item_text, block_chars):
-        held = context.broadcast(block)
+def _matches(rows: DataFrame, block: list[tuple], rate: float, least: int, key: str) -> DataFrame:
+    """The columns of ``rows`` but its last one, the text, and ``hits`` of the block's items."""
+    held = rows.sparkSession.sparkContext.broadcast(block)
 
-        def make(held=held):
-            matcher = Matcher(held.value, rate, least)
+    def make():
+        matcher = Matcher(held.value, rate, least)
+        return lambda *row: (*row[:-1], [{"k": matcher.items[n][0], "d": d} for n, d in matcher.find(fold(row[-1])).items()])
 
-            def row(doc, text, hits):
-                found = matcher.find(fold(text))
-                return doc, text, (hits or []) + [{"k": matcher.items[n][0], "d": d} for n, d in found.items()]
+    kept = rows.schema.fields[:-1]
+    return map_rows(rows, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"hits array<struct<k:{key},d:int>>"]), make)
 
-            return row
 
-        out = map_rows(out, f"d {kind}, t string, hits array<struct<k:{key},d:int>>", make)
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Returns ``id_col, contaminated, item_ids, distances`` for every document; lists are in the order of the item ids."""
+    key = benchmark.schema[item_col].dataType.simpleString()
+    blocks = item_blocks(benchmark, item_col, item_text, block_chars)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        out = _matches(docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")), first, rate, least, key)
+    else:
+        rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+        parts = [materialise(_matches(rows, block, rate, least, key).where("size(hits) > 0").select("d", "h", F.explode("hits").alias("hit")).distinct(), "hits") for block in chain([first, second], blocks)]
+        found = reduce(DataFrame.union, parts).groupBy(F.col("d").alias("fd"), F.col("h").alias("fh")).agg(F.collect_list("hit").alias("hits"))  # at most the benchmark's items
+        out = rows.select("d", "h").join(found, F.col("d").eqNullSafe(F.col("fd")) & (F.col("h") == F.col("fh")), "left").select("d", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)).alias("hits"))
     hits = F.array_sort("hits")
     return out.select(F.col("d").alias(id_col), (F.size("hits") > 0).alias("contaminated"), hits["k"].alias("item_ids"), hits["d"].alias("distances"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a benchmark item, with all their columns, in one map over the text."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents without a benchmark item, with all their columns: a map that filters, and for a benchmark of several blocks a table between the passes."""
     context = docs.sparkSession.sparkContext
-    out, columns = docs, docs.columns
-    for block in item_blocks(benchmark, "item_id", "text", BLOCK_CHARS):
+    out, last = docs, None
+    for block in item_blocks(benchmark, "item_id", "text", block_chars):
         held = context.broadcast(block)
 
         def keep(batches, held=held):
@@ -154,5 +172,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 at = batch.schema.get_field_index(text_col)
                 yield batch.filter(pa.array([not matcher.find(fold(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
-    return out.select(*columns)
+        out = (out if last is None else materialise(out, "cleaned")).mapInArrow(keep, docs.schema)
+        last = block
+    return out

@@ -193,7 +193,7 @@ def manifest(recipes: DataFrame) -> DataFrame:
         below = levels[-1]
         grouped = below.groupBy(*keys).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "root"))).alias("leaves"))
         named = grouped.select(*[F.col(c) if c in keys else F.lit(-1).cast(t).alias(c) for c, t in (("part", "int"), ("run", "long"))], F.coalesce("n_docs", F.lit(0)), F.coalesce("n_tokens", F.lit(0)), F.col("leaves.root"))
-        rooted = map_rows(named, schema, lambda: lambda part, run, n, tokens, leaves: (part, run, n, tokens, merkle_root(leaves)))
+        rooted = materialise(map_rows(named, schema, lambda: lambda part, run, n, tokens, leaves: (part, run, n, tokens, merkle_root(leaves))), "roots")
         out.append(rooted.withColumn("level", F.lit(len(out))))
         levels.append(rooted.withColumn("at", F.col(keys[-1])) if keys else rooted)
     return out[0].unionByName(out[1]).unionByName(out[2])

@@ -24,8 +24,9 @@ def within(pattern, text):
 def test_decontamination(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(6, 20)))) for i in range(15)] + [(90, None), (91, "tiny"), (92, ""), (0, "again the same id " * 2)]
+    items = [(i, " ".join(word() for _ in range(rng.randint(6, 20)))) for i in range(15)] + [(90, None), (91, "tiny"), (92, ""), (93, "?!"), (94, "What is two plus two?"), (0, "again the same id " * 2)]
     docs = [(1, None), (2, ""), (3, items[2][1].upper() + "!!"), (3, items[2][1].upper() + "!!")]
+    docs += [(4, "what is TWO, plus two"), (5, "so what is two plus two then"), (6, "somewhat is two plus two"), (7, "Tiny"), (8, "tinyer x")]
     for k in range(60):
         text = list(" ".join(word() for _ in range(30)) + " " + rng.choice(items[:15])[1] + " " + word())
         for _ in range(rng.randint(0, 12)):
@@ -37,14 +38,19 @@ def test_decontamination(spark):
     for key, text in docs:
         found = []
         for n, item in items:
-            item = decontaminate.fold(item)
-            if len(item) >= decontaminate.LEAST and (d := within(item, decontaminate.fold(text))) <= int(decontaminate.RATE * len(item)):
+            item, text_ = decontaminate.fold(item), decontaminate.fold(text)
+            if len(item) >= decontaminate.LEAST and (d := within(item, text_)) <= int(decontaminate.RATE * len(item)):
                 found.append((n, d))
+            elif item and len(item) < decontaminate.LEAST and f" {item} " in f" {text_} ":
+                found.append((n, 0))
         want.append((key, bool(found), sorted(found)))
     for most in (500_000, 300):  # one block, and several
         rows = decontaminate.contamination(df, bench, block_chars=most).collect()
         assert sorted((r.doc_id, r.contaminated, list(zip(r.item_ids, r.distances))) for r in rows) == sorted(want)
-    assert decontaminate.clean(df, bench).count() == sum(not w[1] for w in want)
+        kept = decontaminate.clean(df, bench, block_chars=most)
+        assert kept.columns == df.columns and kept.count() == sum(not w[1] for w in want)
+    long_ = spark.createDataFrame([(9, "z " * 300_000 + "tiny " + items[3][1] * 2 + "q" * 300_000)], "doc_id long, text string")
+    assert [(r.item_ids, r.distances) for r in decontaminate.contamination(long_, bench).collect()] == [([3, 91], [0, 0])]
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(df, bench.limit(0)).collect())
 
