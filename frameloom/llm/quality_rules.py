@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
 Statistics that every text needs are computed once. The rules then run in the order of rejected share per cost, which a sample
-of texts measures: the first rule that rejects ends the row's work. A row is kept iff no rule rejects it, so the verdict doesn't depend on the order,
+of texts measures, in the executors: texts don't come to the driver. The first rule that rejects ends the row's work. A row is kept iff no rule rejects it, so the verdict doesn't depend on the order,
 and the measured costs can't change a result.
 
 Results: a null or empty text has no words and fails the base. Repeated rows each get their row. On an empty table the rules keep their listed order.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import map_rows
 
 SYMBOLS = "#*$%&|<>"
-#: Texts of which the cascade's order is estimated (at most; those with the least hash of the id).
+#: Rows of which the cascade's order is estimated: those with the least hash of the id (and what shares the last of these hashes).
 SAMPLE = 300
 LEAST_WORDS = 50
 
@@ -83,21 +83,31 @@ RULES: dict[str, Callable[[dict], bool]] = {
 }
 
 
-def cascade_order(texts: list[str], rules: dict[str, Callable[[dict], bool]] = RULES) -> list[tuple[str, float, float]]:
-    """Rules with their rejected share and cost in seconds a text, by share per cost."""
-    found = [x for t in texts for x, stats in [base(t)] if stats[0]]
+def measured(text: str | None) -> list[dict]:
+    """For each rule, whether it rejects a text and the seconds it takes; nothing for a text without words."""
+    x, stats = base(text or "")
     out = []
-    for name, rule in rules.items():
+    for name, rule in RULES.items() if stats[0] else ():
         began = time.perf_counter()
-        rejected = sum(map(rule, found))
-        out.append((name, rejected / max(1, len(found)), (time.perf_counter() - began + 1e-9) / max(1, len(found))))
-    return sorted(out, key=lambda x: -x[1] / x[2])
+        rejected = rule(x)
+        out.append({"rule": name, "rejected": int(rejected), "cost": time.perf_counter() - began})
+    return out
+
+
+def cascade_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[tuple[str, float, float]]:
+    """Rules with their rejected share and cost in seconds a text, by share per cost; the driver gets a row for each rule."""
+    least = docs.select(F.xxhash64(id_col).alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    some = docs.where(F.xxhash64(id_col) <= F.lit(least)).select(F.col(text_col).alias("t"))
+    each = map_rows(some, "found array<struct<rule:string,rejected:int,cost:double>>", lambda: lambda text: (measured(text),))
+    rows = each.select(F.explode("found").alias("f")).groupBy("f.rule").agg(F.avg("f.rejected"), F.avg("f.cost")).collect() if least is not None else []
+    found = {name: (share, cost) for name, share, cost in rows}
+    out = [(name, *found.get(name, (0.0, 0.0))) for name in RULES]
+    return sorted(out, key=lambda x: -x[1] / (x[2] + 1e-9))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Statistics and verdict of every row; see the module's description. One map, after the sample's estimate."""
-    some = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), F.xxhash64(text_col)).limit(sample).select(F.col(text_col).alias("t"))
-    order = [name for name, _, _ in cascade_order([r[0] for r in some.collect()])]
+    order = [name for name, _, _ in cascade_order(docs, id_col, text_col, sample)]
 
     def make():
         rules = [RULES[name] for name in order]
