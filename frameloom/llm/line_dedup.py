@@ -50,7 +50,8 @@ def place(d: Column, t: Column, pos: Column, kind) -> Column:
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each line that isn't blank: ``d`` (id), ``t`` (hash of the text), ``pos``, ``place``, ``line``, and two hashes of it."""
-    lines = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    texts = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("x"))  # hashed once a text, not once a line
+    lines = texts.select("d", "t", F.posexplode(F.split("x", "\n")).alias("pos", "line"))
     at = place(F.col("d"), F.col("t"), F.col("pos"), docs.schema[id_col].dataType)
     return lines.where(F.length(F.trim("line")) > 0).select("d", "t", "pos", at.alias("place"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -234,7 +235,7 @@ def near_copies(lines: DataFrame, texts_of, per_edit: int, most: int, cuts: int)
     shared = materialise(shared, "line-keys")
     met = lines.select("h1", "place", F.explode("keys").alias("k")).where("k is not null").withColumn("key", key).join(_few(shared), "key")
     met = materialise(met.groupBy("key", "h1").agg(F.min("place").alias("place"), F.max(own).alias("own")), "line-members")
-    texts = texts_of(_few(materialise(met.select("h1", "place").distinct(), "line-ids"))).withColumn("hashes", word_hashes(F.col("line")))
+    texts = texts_of(materialise(met.select("h1", "place").distinct(), "line-ids")).withColumn("hashes", word_hashes(F.col("line")))
     sketches = [word_sketch(F.col("hashes"), 6 * i).alias(f"sketch{i}") for i in (0, 1)]
     texts = materialise(texts.select("h1", "h2", "line", "n_chars", F.size("hashes").alias("n_words"), *sketches), "line-texts")
     columns = ["h1", "place", "n_words", "n_chars", "sketch0", "sketch1", "own"]
@@ -270,7 +271,12 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     lines = materialise(keyed.select("d", "t", "pos", "place", "h1", "h2", F.when(F.col("n_chars") >= least, line_keys(per_edit, most)).alias("keys")), "lines")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return seen.where(F.col("n_chars") >= least).join(ids, ["h1", "place"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", "line", "n_chars")
+        holders = materialise(lines.join(_few(ids), ["h1", "place"]).select(F.col("d").alias("__ld_d"), F.col("t").alias("__ld_t")).distinct(), "line-holders")
+        some = docs
+        if holders.count() <= BROADCAST_ROWS:  # only documents that hold such a line are split again
+            some = docs.join(F.broadcast(holders), docs[id_col].eqNullSafe(F.col("__ld_d")) & (F.xxhash64(docs[text_col]) == F.col("__ld_t")), "left_semi")
+        found = occurrences(some, id_col, text_col).join(_few(ids), ["h1", "place"])
+        return found.dropDuplicates(["h1", "h2"]).select("h1", "h2", "line", F.length("line").alias("n_chars"))
 
     near = materialise(near_copies(lines.where("keys is not null"), texts_of, per_edit, most, int(spark.conf.get("spark.sql.shuffle.partitions"))), "line-copies")
     firsts = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("count")).join(near, ["h1", "h2"], "left").where("count > 1 or x is not null")
