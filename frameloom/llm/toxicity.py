@@ -2,8 +2,10 @@
 
 A text's features are its distinct words and their beginnings, hashed. The machine scores them by a bias, a weight for each term and the inner
 products of the terms' factor vectors, so that a pair (an insult with a group mention) can count for more, or less, than the sum of its
-parts. It is trained by AdaGrad on the logistic loss; weights and whole factor vectors that don't earn their keep shrink to zero, so
-that long clean texts don't add up noise.
+parts. It is trained by AdaGrad on the logistic loss: first the weights alone; then every kept term is tested for pairs that the weights leave
+unexplained, whatever its own weight is: the squared residuals that it gathers in pairs with other terms, against what chance gives. The terms that pass get factors,
+which begin in the directions that the residuals of their pairs ask for, and weights and factors are trained together. Weights and whole factor vectors that don't earn their keep
+shrink to zero, so that long clean texts don't add up noise.
 
 The fit reads at most ``max_rows`` labelled rows, those with the least hash of the id; the labels' sample is a bounded table and
 broadcast, documents aren't shuffled. Only hashed terms reach the driver. Scoring is one map.
@@ -25,8 +27,9 @@ from frameloom.llm.common import map_rows
 MAX_ROWS, BITS, LEAST_DOCS, FACTORS = 8_000, 26, 6, 8
 #: Lengths of word beginnings that are terms too; words of which a worker remembers the terms.
 PREFIXES, MAX_WORDS = (4, 5, 6, 7), 300_000
-#: Weight from which a term takes part in pairs.
-PAIR_WEIGHT = 0.3
+#: A term gets factors if its pairs hold so many times the residuals that chance gives, over so many random draws of the other terms; it must stand in
+#: so many labelled documents, and at most so many terms (the least explained ones) get factors.
+UNEXPLAINED, DRAWS, PAIR_DOCS, PAIR_TERMS = 1.6, 32, 12, 500
 THRESHOLD = 0.3
 _WORDS = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256))
 
@@ -79,12 +82,82 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = 6, alone: int = 4, rate: float = 0.15, pair_rate: float = 0.02, l1: float = 6e-4, shrink: float = 1e-3, batch: int | None = None, seed: int = 7) -> Machine:
-    """Fits a machine. ``rows``: each document's term hashes (32-bit little-endian) and its label."""
+class Sparse:
+    """The rows of a fit: 0/1 features as two parallel arrays, row numbers (ascending) and term numbers."""
+
+    def __init__(self, row, term, rows: int, terms: int) -> None:
+        import numpy as np
+
+        self.row, self.term, self.rows, self.terms = row, term, rows, terms
+        self.begin = np.searchsorted(row, np.arange(rows + 1))
+
+    def by_row(self, values):
+        """For each row, the sum of its terms' values."""
+        import numpy as np
+
+        return np.bincount(self.row, values[self.term], self.rows)
+
+    def by_term(self, values):
+        """For each term, the sum of its rows' values."""
+        import numpy as np
+
+        return np.bincount(self.term, values[self.row], self.terms)
+
+    def part(self, some) -> Sparse:
+        """Some rows, numbered anew."""
+        import numpy as np
+
+        row = np.repeat(np.arange(len(some)), self.begin[some + 1] - self.begin[some])
+        return Sparse(row, np.concatenate([self.term[self.begin[i] : self.begin[i + 1]] for i in some]), len(some), self.terms)
+
+    def only(self, terms) -> Sparse:
+        """Only the terms that are marked, with their numbers."""
+        on = terms[self.term]
+        return Sparse(self.row[on], self.term[on], self.rows, self.terms)
+
+
+def unexplained_terms(x: Sparse, residual, count, rng):
+    """Marks the terms whose pairs hold more residual than chance: the sum over partners j of (sum of residuals of rows with both)^2, against its
+    expectation for independent signs. Random signs of the partners estimate it in linear time."""
+    import numpy as np
+
+    size = np.bincount(x.row, minlength=x.rows)
+    alone, chance, found = x.by_term(residual), x.by_term(residual**2 * (size - 1)), np.zeros(x.terms)
+    for _ in range(DRAWS):
+        sign = rng.choice([-1.0, 1.0], x.terms)
+        found += (x.by_term(residual * x.by_row(sign)) - alone * sign) ** 2 / DRAWS
+    ratio = np.where(count >= PAIR_DOCS, found / np.maximum(chance, 1e-9), 0)
+    marked = ratio > UNEXPLAINED
+    marked[np.argsort(-ratio, kind="stable")[PAIR_TERMS:]] = False
+    return marked
+
+
+def first_factors(x: Sparse, residual, count, marked):
+    """Factors of the marked terms: the leading eigenvectors of their pairs' residuals, each term scaled by the root of its count."""
+    import numpy as np
+
+    v, own, block = np.zeros((x.terms, FACTORS)), np.flatnonzero(marked), 512
+    number = np.full(x.terms, -1)
+    number[own] = np.arange(len(own))
+    some, pairs = x.only(marked), np.zeros((len(own), len(own)))
+    for k in range(0, x.rows, block):
+        a, b = np.searchsorted(some.row, [k, k + block])
+        dense = np.zeros((min(block, x.rows - k), len(own)))
+        dense[some.row[a:b] - k, number[some.term[a:b]]] = 1
+        pairs += dense.T @ (dense * residual[k : k + block, None])
+    np.fill_diagonal(pairs, 0)
+    scale = 1 / np.sqrt(count[own])
+    share, vectors = np.linalg.eigh(pairs * scale[:, None] * scale)
+    vectors = vectors[:, ::-1][:, :FACTORS] * np.sqrt(np.clip(share[::-1][:FACTORS], 0, None))
+    v[own, : vectors.shape[1]] = vectors
+    return v * (0.3 / max(np.sqrt((v * v).sum(axis=1)).max(), 1e-9))
+
+
+def train(rows: list[tuple[bytes, int]], epochs: int = 12, alone: int = 3, rate: float = 0.15, pair_rate: float = 0.05, l1: float = 1e-3, shrink: float = 3e-4, batch: int = 64, seed: int = 7) -> Machine:
+    """Fits a machine. ``rows``: each document's term hashes (32-bit little-endian) and its label. ``alone``: epochs of the weights only."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    batch = batch or (256 if len(rows) >= 2000 else max(16, len(rows) // 40))
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y):
         return Machine(0.0, [], np.zeros(0), np.zeros((0, FACTORS)))
@@ -93,52 +166,52 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 6, alone: int = 4, rate:
     ids, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
     kept = count >= LEAST_DOCS
     number = np.cumsum(kept) - 1
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), size)[kept[inverse]]
-    term = number[inverse[kept[inverse]]].astype(np.int32)
+    x = Sparse(np.repeat(np.arange(len(y), dtype=np.int32), size)[kept[inverse]], number[inverse[kept[inverse]]].astype(np.int32), len(y), int(kept.sum()))
     del flat, inverse
-    ids = ids[kept]
-    begin = np.searchsorted(doc, np.arange(len(y) + 1))
+    ids, count = ids[kept], count[kept]
     n, base = len(ids), min(max(y.mean(), 1e-4), 1 - 1e-4)
-    b, w, v = float(np.log(base / (1 - base))), np.zeros(n), rng.normal(0, 0.1, (n, FACTORS))
+    b, w, v = float(np.log(base / (1 - base))), np.zeros(n), np.zeros((n, FACTORS))
     gb, gw, gv = 1e-2, np.full(n, 1e-4), np.full((n, FACTORS), 1e-4)
-    open_ = None
+    paired = np.zeros(n, bool)
+
+    def chance(z):
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     for epoch in range(epochs):
-        pairs = epoch >= alone  # the weights come first; the pairs then explain what these leave
+        if epoch == alone and n:
+            residual = y - chance(b + x.by_row(w))
+            residual -= residual.mean()
+            paired = unexplained_terms(x, residual, count, rng)
+            if paired.any():
+                v = first_factors(x, residual, count, paired)
         order = rng.permutation(len(y))
         for k in range(0, len(y), batch):
             some = order[k : k + batch]
-            t = np.concatenate([term[begin[i] : begin[i + 1]] for i in some])
-            d = np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
-            z = b + np.bincount(d, w[t], len(some))
-            if pairs:
-                if open_ is None:  # terms that carry weight get factors; the others' pairs would only learn the rows by heart
-                    open_ = np.abs(w) >= PAIR_WEIGHT
-                    v *= open_[:, None]
-                some_open = open_[t]
-                tp, dp = t[some_open], d[some_open]
-                vt = v[tp]
-                s = np.stack([np.bincount(dp, vt[:, f], len(some)) for f in range(FACTORS)], axis=1)
-                z += 0.5 * ((s * s).sum(axis=1) - np.bincount(dp, (vt * vt).sum(axis=1), len(some)))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)
-            gd = g[d]
-            dw = np.bincount(t, gd, n)
-            hit = np.flatnonzero(np.bincount(t, minlength=n))
+            part = x.part(some)
+            z = b + part.by_row(w)
+            pairs = part.only(paired)
+            if len(pairs.term):
+                own = v[pairs.term]
+                s = np.stack([pairs.by_row(v[:, f]) for f in range(FACTORS)], axis=1)
+                z += 0.5 * ((s * s).sum(axis=1) - np.bincount(pairs.row, (own * own).sum(axis=1), len(some)))
+            g = (chance(z) - y[some]) / len(some)
+            slope = part.by_term(g)
+            hit = np.unique(part.term)
             gb += g.sum() ** 2
             b -= rate * g.sum() / np.sqrt(gb)
-            gw[hit] += dw[hit] ** 2
+            gw[hit] += slope[hit] ** 2
             step = rate / np.sqrt(gw[hit])
-            x = w[hit] - step * dw[hit]
-            w[hit] = np.sign(x) * np.maximum(np.abs(x) - step * l1, 0)
-            if not pairs:
+            new = w[hit] - step * slope[hit]
+            w[hit] = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+            if not len(pairs.term):
                 continue
-            dv = np.stack([np.bincount(tp, g[dp] * (s[dp, f] - vt[:, f]), n) for f in range(FACTORS)], axis=1)
-            hit = np.unique(tp)
-            gv[hit] += dv[hit] ** 2
+            slope = np.stack([np.bincount(pairs.term, g[pairs.row] * (s[pairs.row, f] - own[:, f]), n) for f in range(FACTORS)], axis=1)
+            hit = np.unique(pairs.term)
+            gv[hit] += slope[hit] ** 2
             step = pair_rate / np.sqrt(gv[hit])
-            x = v[hit] - step * dv[hit]
-            norm = np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-12
-            v[hit] = x * np.maximum(1 - step.mean(axis=1, keepdims=True) * shrink / norm, 0)
-    v = v if open_ is not None else v * 0
+            new = v[hit] - step * slope[hit]
+            norm = np.sqrt((new * new).sum(axis=1, keepdims=True)) + 1e-12
+            v[hit] = new * np.maximum(1 - step.mean(axis=1, keepdims=True) * shrink / norm, 0)
     used = (w != 0) | (np.abs(v).max(axis=1) > 1e-3)
     return Machine(b, ids[used], w[used], v[used])
 

@@ -147,17 +147,40 @@ def test_toxicity(spark):
 
 
 def test_pairs_are_learned():
-    """Two terms that are harmless alone and toxic together, beyond what weights alone can tell."""
+    """A word of one list with a word of another is toxic, several words of one list are not: no sum of weights can tell. With production settings, on held-out rows."""
     import numpy as np
 
-    rng = random.Random(5)
-    rows = []
-    for _ in range(4000):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        rows.append((np.array(sorted([1] * a + [2] * b + [rng.randrange(10, 60)]), "<u4").tobytes(), int(a and b)))
-    m = toxicity.train(rows, epochs=14)
-    at = [m.at[1], m.at[2]]
-    assert float(m.factors[at[0]] @ m.factors[at[1]]) > 0
+    rng = random.Random(99)
+    neutral = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8))) for _ in range(3000)]
+    insults, groups = "zorp blag vurk snid dreg qual".split(), "marsian ventian plutor jovan saturni mercur".split()
+
+    def row():
+        text = [neutral[min(2999, int(rng.paretovariate(0.6)) - 1)] for _ in range(rng.randint(30, 200))]
+        kind = rng.random()
+        a, b = (rng.randint(1, 2), rng.randint(1, 2)) if kind < 0.15 else (rng.randint(1, 4), 0) if kind < 0.4 else (0, rng.randint(1, 4)) if kind < 0.65 else (0, 0)
+        return " ".join(text + rng.choices(insults, k=a) + rng.choices(groups, k=b)), int(kind < 0.15)
+
+    train, held = [row() for _ in range(4000)], [row() for _ in range(1500)]
+    rows = [(np.array(sorted(toxicity.terms(t)), "<u4").tobytes(), y) for t, y in train]
+    wrong = lambda m: sum((m.score(t) >= toxicity.THRESHOLD) != y for t, y in held)
+    machine, weights = toxicity.train(rows), toxicity.train(rows, alone=12)
+    assert not weights.factors.any() and wrong(machine) < 0.5 * wrong(weights)
+    marginal = {w: float(weights.weights[weights.at[toxicity.word_terms(w)[0]]]) for w in ("zorp", "jovan") if toxicity.word_terms(w)[0] in weights.at}
+    assert all(abs(x) < 3 for x in marginal.values())
+    assert len(train) == len(rows) and machine.score("zorp jovan") > max(machine.score("zorp blag"), machine.score("jovan plutor"))
+
+
+def test_toxicity_ties_and_long_texts(spark):
+    """Repeated rows score alike, labels that disagree count as toxic, a very long text scores its distinct words, and order doesn't matter."""
+    rows = [(i, f"plain words number{i % 7} " + ("dolt" if i % 3 == 0 else "kind")) for i in range(300)]
+    lab = [(i, int(i % 3 == 0)) for i in range(300)] + [(0, 0), (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.fit(df, spark.createDataFrame(lab, "doc_id long, toxic int"))
+    again = toxicity.fit(df.orderBy(F.desc("doc_id")), spark.createDataFrame(lab[::-1], "doc_id long, toxic int"))
+    long_ = "plain words number1 dolt " * 100_000
+    assert machine.score(long_) == machine.score("dolt number1 words plain") == again.score(long_) > 0.5
+    twice = toxicity.scores(df.union(df), machine).groupBy("doc_id").agg(F.countDistinct("score").alias("n"), F.count("*").alias("rows")).collect()
+    assert {(r.n, r.rows) for r in twice} == {(1, 2)}
 
 
 def test_languages(spark):
