@@ -150,7 +150,7 @@ def first_factors(x: Sparse, residual, count, marked):
     share, vectors = np.linalg.eigh(pairs * scale[:, None] * scale)
     vectors = vectors[:, ::-1][:, :FACTORS] * np.sqrt(np.clip(share[::-1][:FACTORS], 0, None))
     v[own, : vectors.shape[1]] = vectors
-    return v * (0.3 / max(np.sqrt((v * v).sum(axis=1)).max(), 1e-9))
+    return v * (0.1 / max(np.sqrt((v * v).sum(axis=1)).max(), 1e-9))
 
 
 def train(rows: list[tuple[bytes, int]], epochs: int = 12, alone: int = 3, rate: float = 0.15, pair_rate: float = 0.05, l1: float = 1e-3, shrink: float = 3e-4, batch: int = 64, seed: int = 7) -> Machine:
