@@ -153,7 +153,7 @@ def first_factors(x: Sparse, residual, count, marked):
     return v * (0.1 / max(np.sqrt((v * v).sum(axis=1)).max(), 1e-9))
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = 12, alone: int = 3, rate: float = 0.15, pair_rate: float = 0.05, l1: float = 1e-3, shrink: float = 3e-4, batch: int = 64, seed: int = 7) -> Machine:
+def train(rows: list[tuple[bytes, int]], epochs: int = 16, alone: int = 4, rate: float = 0.15, pair_rate: float = 0.05, l1: float = 1e-3, shrink: float = 3e-4, batch: int = 64, seed: int = 7) -> Machine:
     """Fits a machine. ``rows``: each document's term hashes (32-bit little-endian) and its label. ``alone``: epochs of the weights only."""
     import numpy as np
 
