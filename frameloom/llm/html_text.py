@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +29,15 @@ LEAST_PAGES, LEAST_SHARE = 4, 0.2
 #: Template hashes that may be broadcast; more are joined in a shuffle.
 BROADCAST_ROWS = 200_000
 
-#: Depth of a tree; elements that lie deeper hold nothing, and what follows them belongs to the element at this depth (as in browsers).
-DEPTH = 400
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# a quote is one only after an equals sign, so that apostrophes in bare values are plain characters
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption option".split())
 #: What an opening tag closes, up to the nearest of the elements that hold it.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements that can be template inside the main text.
 CONTAINERS = frozenset("div section ul ol dl table figure details center article header".split())
 GONE = frozenset("nav footer aside form script style noscript template iframe svg math button select option textarea input head title object embed canvas audio video dialog menu datalist label fieldset map applet".split())
@@ -49,16 +49,22 @@ CLASSES = frozenset(
     header footer masthead topbar comment comments commentlist reply replies respond disqus discussion login search searchbox pagination pager skip
     copyright disclaimer toolbar hidden""".split()
 )
-_SPLIT = re.compile(r"[^a-z0-9]+")
+#: Of these, what also decides inside the main text, as a class; the others need links or recurrence there.
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot promo cookie cookies newsletter subscribe share sharing social comment comments commentlist respond disqus pagination breadcrumb breadcrumbs".split())
+TEASERS = frozenset("comment comments reply ad ads advert related promo teaser card".split())
+#: Parts of a class that make it a state of the element, not its kind.
+STATES = frozenset("has no not with without is are js hide show enabled disabled open opened closed on off".split())
+_SPLIT = re.compile(r"[-_]+")
 
 
 class Node:
     """An element: its tag, attributes and children (nodes and strings)."""
 
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("attrs", "holds", "kids", "linked", "size", "tag")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.size, self.linked, self.holds = 0, 0, False
 
     def get(self, *names: str) -> str:
         if not self.attrs.strip():
@@ -67,9 +73,15 @@ class Node:
 
 
 def parse(page: str | None) -> Node:
-    """The tree of a page. Strings keep their character references."""
+    """The tree of a page, of any depth. Strings keep their character references."""
     root = Node("#root")
-    stack, at, page = [root], 0, page or ""
+    stack, opened, at, page = [root], Counter(), 0, page or ""
+
+    def end(i: int) -> None:
+        """Closes the elements of the stack from the i-th on."""
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             stack[-1].kids.append(page[at : m.start()])
@@ -80,15 +92,13 @@ def parse(page: str | None) -> Node:
             continue
         tag = m[3].lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag] > 0:
+                end(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    end(i)
                     break
                 if stack[i].tag in BLOCK or stack[i].tag in ("td", "th", "button"):
                     break
@@ -98,36 +108,78 @@ def parse(page: str | None) -> Node:
                 if stack[i].tag in holds:
                     break
                 if stack[i].tag in ends and (tag != "tr" or stack[i].tag == "tr"):
-                    del stack[i:]
+                    end(i)
                     break
         node = Node(tag, m[4])
         stack[-1].kids.append(node)
         if tag in VOID or m[4].endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            stop = end.start() if end else len(page)
-            node.kids.append(page[at:stop])
-            at = end.end() if end else stop
+            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            node.kids.append(page[at : stop.start() if stop else len(page)])
+            at = stop.end() if stop else len(page)
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
+        stack.append(node)
+        opened[tag] += 1
     if at < len(page):
         stack[-1].kids.append(page[at:])
+    measure(root)
     return root
 
 
-def boilerplate(node: Node, inside: bool) -> bool:
-    """Whether an element is none of the main text by what it is. ``inside``: in the article, where a header holds its title."""
+def nodes(root: Node) -> list[Node]:
+    """All elements of a tree, parents before their children, in page order."""
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        todo += reversed(_kids(x))
+    return out
+
+
+def measure(root: Node) -> None:
+    """Sets for each element the characters of its text, those in links, and whether it holds the main text: an article or main element."""
+    for x in reversed(nodes(root)):
+        kids = _kids(x)
+        if x.tag not in GONE:
+            x.size = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) + sum(k.size for k in kids)
+            x.linked = x.size if x.tag == "a" else sum(k.linked for k in kids)
+        x.holds = any(k.holds or k.tag in ("article", "main") or "role" in k.attrs and k.get("role") == "main" for k in kids)
+
+
+def kinds(names: str) -> set[str]:
+    """The words of a class or id attribute that say what an element is: the first or last part of a name, unless the name is a state (has-sidebar)."""
+    out = set()
+    for name in names.lower().split():
+        parts = _SPLIT.split(name)
+        if not STATES & set(parts):
+            out |= {name, parts[0], parts[-1]}
+    return out
+
+
+def boilerplate(node: Node, inside: bool, whole: int = 0, beside: bool = False) -> bool:
+    """Whether an element is none of the main text by what it is. ``inside``: in the main text, where a header holds its title; ``beside``: in a main element, but in none of its articles.
+
+    A class or id doesn't decide about an element that holds the article, or more than half of the ``whole`` text. In an article ids don't decide, and classes that
+    aren't ``STRONG`` only if at least half of the text is links; what recurs on the host is found by counting.
+    """
     if node.tag in GONE or node.tag == "header" and not inside:
         return True
     if not node.attrs or node.tag in ("body", "html"):
         return False
-    if set(_SPLIT.split(node.get("class", "id").lower())) & CLASSES and not (inside and node.tag == "header") and node.tag not in ("article", "main") or ROLES & set(node.get("role").lower().split()):
-        return True
-    if node.tag == "article" and set(_SPLIT.split(node.get("class", "id").lower())) & {"comment", "comments", "reply", "ad", "ads", "advert", "related", "promo", "teaser"}:
-        return True
-    return "aria-hidden" in node.attrs and node.get("aria-hidden").lower() == "true" or bool(re.search(r"\bhidden(?=\s|$|=\s*[\"']?(hidden|true)?[\"']?(\s|$))|display\s*:\s*none", re.sub(r"(class|id)\s*=\s*(\"[^\"]*\"|'[^']*')", "", node.attrs), re.I))
+    if not node.holds and not (whole and 2 * node.size > whole) and node.tag not in ("main", *HEADINGS):
+        if node.tag == "article":
+            if kinds(node.get("class", "id")) & TEASERS:
+                return True
+        elif inside and not beside:
+            names = kinds(node.get("class"))
+            if node.tag != "header" and (names & STRONG or names & CLASSES and 2 * node.linked >= node.size):
+                return True
+        elif kinds(node.get("class", "id")) & CLASSES:
+            return True
+        if ROLES & set(node.get("role").lower().split()):
+            return True
+    return "aria-hidden" in node.attrs and node.get("aria-hidden").lower() == "true" or bool(re.search(r"\bhidden(?=\s|$|=\s*[\"']?(hidden|true)?[\"']?(\s|$))|display\s*:\s*none", re.sub(r"(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|\S+)", "", node.attrs), re.I))
 
 
 def _kids(node: Node) -> list[Node]:
@@ -135,35 +187,28 @@ def _kids(node: Node) -> list[Node]:
 
 
 def main_roots(root: Node) -> list[Node]:
-    """The elements that hold the main text: the outermost articles, else the main element, else the body."""
+    """The elements that hold the main text: the outermost main elements, else the outermost articles, else the body; where they are several, none that is mostly links."""
 
-    def find(node: Node, want) -> list[Node]:
-        out, todo = [], [node]
+    def find(want) -> list[Node]:
+        out, todo = [], [root]
         while todo:
             x = todo.pop()
             if want(x):
                 out.append(x)
-            elif not boilerplate(x, False):
+            elif not boilerplate(x, False, root.size):
                 todo += reversed(_kids(x))
-        return out
+        found = [x for x in out if blocks(x, frozenset())]
+        return [x for x in found if 2 * x.linked < x.size] or found
 
-    def text(x: Node) -> bool:
-        return bool(blocks(x, frozenset()))
-
-    for want in (lambda x: x.tag == "article" and not boilerplate(x, False), lambda x: x.tag == "main" or "role" in x.attrs and x.get("role") == "main", lambda x: x.tag == "body"):
-        if found := [x for x in find(root, want) if text(x)]:
+    for want in (lambda x: x.tag == "main" or "role" in x.attrs and x.get("role") == "main", lambda x: x.tag == "article" and not boilerplate(x, False), lambda x: x.tag == "body"):
+        if found := find(want):
             return found
     return [root]
 
 
 def subtree_hashes(node: Node, into: dict[int, bytes]) -> bytes:
     """Hash of a subtree; ``into`` gets those of all elements by their identity. White space between words doesn't matter."""
-    todo, order = [node], []
-    while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += _kids(x)
-    for x in reversed(order):
+    for x in reversed(nodes(node)):
         h = hashlib.blake2b(f"{x.tag}|{x.get('class', 'id', 'role')}".encode(), digest_size=8)
         for k in x.kids:
             h.update(into[id(k)] if isinstance(k, Node) else b"t" + " ".join(k.split()).encode())
@@ -183,27 +228,25 @@ def template_candidates(page: str | None) -> tuple[list[int], int]:
     keep = {id(x) for x in roots}
     into: dict[int, bytes] = {}
     subtree_hashes(root, into)
+    order = nodes(root)
+    up = {id(k): x for x in order for k in _kids(x)}
+    around: set[int] = set()
+    for x in roots:
+        while id(x) in up and id(x) not in around:
+            around.add(id(x))
+            x = up[id(x)]
     out: set[int] = set()
-
-    def walk(node: Node) -> bool:
-        """Whether the main text lies in the node."""
-        if id(node) in keep and roots[0].tag in ("article", "main"):
-            todo = _kids(node)
-            while todo:
-                x = todo.pop()
-                if not boilerplate(x, True):
-                    if x.tag in CONTAINERS and x.kids:
-                        out.add(template_key(into[id(x)], True))
-                    todo += _kids(x)
-            return True
-        around = False
-        for k in _kids(node):
-            around |= walk(k)
-        if not around and node.tag not in ("#root", "html", "body", "head") and node.kids:
-            out.add(template_key(into[id(node)], False))
-        return around
-
-    walk(root)
+    todo = [(root, False, False)]
+    while todo:
+        x, inside, beside = todo.pop()
+        beside = beside and x.tag != "article"
+        if inside and boilerplate(x, True, roots[0].size, beside):
+            continue
+        if id(x) in keep and x.tag != "body" and x.tag != "#root":
+            inside, beside = True, beside_articles(x)
+        elif x.kids and (x.tag in CONTAINERS if inside else id(x) not in around and x.tag not in ("#root", "html", "body", "head")):
+            out.add(template_key(into[id(x)], inside))
+        todo += [(k, inside, beside) for k in _kids(x)]
     longest = max((b for r in roots for b in blocks(r, frozenset())), key=lambda b: (len(b), b), default="")
     return sorted(out), int.from_bytes(hashlib.blake2b(longest.encode(), digest_size=8).digest(), "big", signed=True)
 
@@ -222,36 +265,46 @@ def blocks(node: Node, template: frozenset[int], inside: bool = False) -> list[s
                 out.append(text)
             run.clear()
 
-    def walk(x: Node) -> None:
-        for k in x.kids:
-            if not isinstance(k, Node):
-                run.append(k)
-            elif k.tag == "br":
+    frames = [(iter(node.kids), False, beside_articles(node))]
+    while frames:
+        kids, is_block, beside = frames[-1]
+        k = next(kids, None)
+        if k is None:
+            frames.pop()
+            if is_block:
+                close()
+        elif not isinstance(k, Node):
+            run.append(k)
+        elif k.tag in VOID:
+            if k.tag in ("br", "hr"):
+                close()
+        elif boilerplate(k, True, node.size, beside) or _teaser(k, node) or template and template_key(into[id(k)], inside) in template:
+            if k.tag in BLOCK:
+                close()
+        else:
+            if k.tag in BLOCK:
                 close()
-            elif k.tag in VOID:
-                if k.tag == "hr":
-                    close()
-            elif not boilerplate(k, True) and not (template and template_key(into[id(k)], inside) in template):
-                if k.tag in BLOCK:
-                    close()
-                    walk(k)
-                    close()
-                else:
-                    if k.tag in ("td", "th"):
-                        run.append(" ")
-                    walk(k)
-            else:
-                close() if k.tag in BLOCK else None
-
-    walk(node)
+            elif k.tag in ("td", "th"):
+                run.append(" ")
+            frames.append((iter(k.kids), k.tag in BLOCK, beside and k.tag != "article"))
     close()
     return out
 
 
+def beside_articles(node: Node) -> bool:
+    """Whether the children of a main text's root lie beside articles."""
+    return node.tag != "article" and node.holds
+
+
+def _teaser(node: Node, root: Node) -> bool:
+    """Whether an article inside a main element only points to another page: mostly links, and less than half of the text."""
+    return node.tag == "article" and 2 * node.linked >= node.size and 2 * node.size < root.size
+
+
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """The main text of one page, given the template hashes of its host."""
     roots = main_roots(parse(page))
-    inside = roots[0].tag in ("article", "main")
+    inside = roots[0].tag not in ("body", "#root")
     return "\n".join(b for r in roots for b in blocks(r, template, inside))
 
 

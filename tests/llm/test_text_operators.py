@@ -104,6 +104,54 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_names_quotes_depth_and_main():
+    text = html_text.main_text
+    article = "<article><h1>Title</h1><p>One.</p><p>Two.</p></article>"
+    for name in ("page has-sidebar", "no-comments", "with-share", "layout sidebar"):
+        assert text(f'<body><div class="{name}">{article}</div></body>') == "Title\nOne.\nTwo."
+    assert text(f"<body><p title=it's>x</p>{article}</body>") == "Title\nOne.\nTwo."
+    assert text("<article><p title=it's data-x='a>b'>One</p><p title=\"a > b\">Two</p></article>") == "One\nTwo"
+    deep = "<div>" * 5000 + "inner" + "</div>" * 5000
+    assert text(f"<article><p>One</p>{deep}<p>Tail</p></article>") == "One\ninner\nTail"
+    assert text("<article>" + "<b>" * 50_000 + "x" + "</i>" * 50_000 + "</b>" * 50_000 + "y</article>") == "xy"
+    teaser = '<article><a href="/x">Read our next story about things</a></article>'
+    main = f"<body><nav>n</nav><main><h1>Head</h1><article><p>{'Long text of the article. ' * 6}</p></article>{teaser}<p>After.</p><section id=comments><p>First!</p></section></main></body>"
+    assert text(main) == "Head\n" + ("Long text of the article. " * 6).strip() + "\nAfter."
+    kept = '<article><section id="discussion"><h2 id="related-work">Related work</h2><p>We discuss.</p></section><div class="notice"><p>Mind the gap.</p></div><p>End of a longer article text.</p></article>'
+    assert text(kept) == "Related work\nWe discuss.\nMind the gap.\nEnd of a longer article text."
+    links = '<article><p>Text of the article that is long enough.</p><div class="related"><a href=a>One</a> <a href=b>Two</a></div><div class="share-bar">Tweet</div></article>'
+    assert text(links) == "Text of the article that is long enough."
+    long_ = "<article>" + "<p>word &amp; word</p>" * 200_000 + "</article>"
+    assert text(long_).count("\n") == 199_999
+
+
+def plain_counts(pages):
+    """Recurring subtrees of a host by their serialised form, without hashes."""
+    import collections
+
+    def form(x):
+        return (x.tag, x.get("class", "id", "role"), tuple(form(k) if isinstance(k, html_text.Node) else ("#t", " ".join(k.split())) for k in x.kids))
+
+    out = collections.Counter()
+    for page in pages:
+        root = html_text.parse(page)
+        roots = html_text.main_roots(root)
+        held = {id(y) for x in html_text.nodes(root) for r in roots if any(z is r for z in html_text.nodes(x)) for y in [x]}
+        inside = {id(y) for r in roots for y in html_text.nodes(r)}
+        out.update({form(x) for x in html_text.nodes(root) if x.kids and id(x) not in held and id(x) not in inside and x.tag not in ("#root", "html", "body", "head")})
+    return out
+
+
+def test_html_subtree_counts():
+    """Counting by hash is counting by form: outside the main text every subtree once a page."""
+    import collections
+
+    rng = random.Random(3)
+    pages = [f"<body><div class=top>{rng.choice(['<p>Banner</p>', '<b>x</b>', ''])}</div><ul><li>a<li>{rng.choice('bc')}</ul><article><p>t {i}</p></article><div><p>{rng.choice(['same', 'other', str(i)])}</p></div></body>" for i in range(40)]
+    hashed = collections.Counter(h for p in pages for h in html_text.template_candidates(p)[0] if not h & 1)
+    assert sorted(hashed.values()) == sorted(plain_counts(pages).values())
+
+
 def test_html_template_inside_the_article(spark):
     """A recurring container in articles of different text goes; copied paragraphs, and what copies of one page share, stay."""
     box = '<div class="xbox"><p>Read our other stories</p></div>'
