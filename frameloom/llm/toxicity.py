@@ -26,7 +26,7 @@ from frameloom.llm.common import map_rows
 #: Rows that a fit may read, hash bits, documents a term must have in them, factors.
 MAX_ROWS, BITS, LEAST_DOCS, FACTORS = 8_000, 26, 6, 8
 #: Lengths of word beginnings that are terms too; words of which a worker remembers the terms.
-PREFIXES, MAX_WORDS = (4, 5, 6, 7), 300_000
+PREFIXES, MAX_WORDS = (4, 5, 6, 7), 120_000
 #: A term gets factors if its pairs hold so many times the residuals that chance gives, over so many random draws of the other terms; it must stand in
 #: so many labelled documents, and at most so many terms (the least explained ones) get factors.
 UNEXPLAINED, DRAWS, PAIR_DOCS, PAIR_TERMS = 1.6, 32, 12, 500
@@ -153,6 +153,16 @@ def first_factors(x: Sparse, residual, count, marked):
     return v * (0.1 / max(np.sqrt((v * v).sum(axis=1)).max(), 1e-9))
 
 
+def known_terms(terms, ids):
+    """Numbers of those terms that are among the sorted ids."""
+    import numpy as np
+
+    at = np.searchsorted(ids, terms)
+    held = at < len(ids)
+    held[held] = ids[at[held]] == terms[held]
+    return at[held].astype(np.int32)
+
+
 def train(rows: list[tuple[bytes, int]], epochs: int = 16, alone: int = 4, rate: float = 0.15, pair_rate: float = 0.05, l1: float = 1e-3, shrink: float = 3e-4, batch: int = 64, seed: int = 7) -> Machine:
     """Fits a machine. ``rows``: each document's term hashes (32-bit little-endian) and its label. ``alone``: epochs of the weights only."""
     import numpy as np
@@ -161,14 +171,11 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 16, alone: int = 4, rate:
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y):
         return Machine(0.0, [], np.zeros(0), np.zeros((0, FACTORS)))
-    flat = np.concatenate([np.frombuffer(r[0], "<u4") for r in rows])
-    size = np.array([len(r[0]) // 4 for r in rows])
-    ids, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    kept = count >= LEAST_DOCS
-    number = np.cumsum(kept) - 1
-    x = Sparse(np.repeat(np.arange(len(y), dtype=np.int32), size)[kept[inverse]], number[inverse[kept[inverse]]].astype(np.int32), len(y), int(kept.sum()))
-    del flat, inverse
-    ids, count = ids[kept], count[kept]
+    ids, count = np.unique(np.concatenate([np.frombuffer(r[0], "<u4") for r in rows]), return_counts=True)
+    ids, count = ids[count >= LEAST_DOCS], count[count >= LEAST_DOCS]
+    own = [known_terms(np.frombuffer(r[0], "<u4"), ids) for r in rows]
+    x = Sparse(np.repeat(np.arange(len(y), dtype=np.int32), [len(t) for t in own]), np.concatenate(own), len(y), len(ids))
+    del own
     n, base = len(ids), min(max(y.mean(), 1e-4), 1 - 1e-4)
     b, w, v = float(np.log(base / (1 - base))), np.zeros(n), np.zeros((n, FACTORS))
     gb, gw, gv = 1e-2, np.full(n, 1e-4), np.full((n, FACTORS), 1e-4)
