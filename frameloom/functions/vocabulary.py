@@ -33,8 +33,7 @@ def entry_text(entry: Column) -> Column:
 
 def labelled(items: Column, labels: Column, wanted: int = 1) -> Column:
     """Items whose label in a parallel array is the wanted one; items without a label are left out."""
-    pairs = F.arrays_zip(items.alias("item"), labels.alias("label"))
-    return F.transform(F.filter(pairs, lambda p: F.coalesce(p["1"] == wanted, F.lit(False))), lambda p: p["0"])
+    return F.filter(items, lambda x, i: F.coalesce(F.get(labels, i) == wanted, F.lit(False)))
 
 
 def section_after(text: Column, header: str) -> Column:

@@ -25,15 +25,20 @@ def turns(messages: DataFrame, run: str, role: str = "role") -> DataFrame:
 
 def pass_rates(runs: DataFrame, by: list[str]) -> DataFrame:
     """Pass statistics of runs (``turns, has_error, has_success, has_fail``) by group; runs with an error or without turns are left out of the rest."""
+    return runs.groupBy(*by).agg(*pass_columns())
+
+
+def pass_columns() -> list[Column]:
+    """The aggregates of :func:`pass_rates`."""
     bad = F.col("has_error") | F.col("turns").isNull()
     late = ~bad & F.col("has_success") & (F.col("turns") > 1)
     total, first = F.count_if(~bad), F.count_if(~bad) - F.count_if(~bad & (F.col("turns") > 1))
     fail = F.count_if(~bad & ~F.col("has_success") & F.col("has_fail"))
     iterations = F.when(late, F.col("turns"))
-    return runs.groupBy(*by).agg(
+    return [
         F.count_if(bad).alias("n_error"), total.alias("n_total"), first.alias("pass_0"), F.count_if(late).alias("pass_1plus"), fail.alias("n_fail"),
         F.round(F.try_divide(F.lit(100.0) * first, total), 6).alias("pass_0_pct"), F.round(F.avg(iterations), 6).alias("avg_iter"), F.coalesce(F.min(iterations), F.lit(0)).alias("min_iter"), F.coalesce(F.max(iterations), F.lit(0)).alias("max_iter"),
-    )
+    ]
 
 
 def keep_first(rows: DataFrame, keys: list, order: list) -> DataFrame:
@@ -58,7 +63,44 @@ def mix(generated: DataFrame, rewritten: DataFrame, n_generated: int, n_rewritte
     return out
 
 
+def prompted(runs: DataFrame, prompts: DataFrame, name: str, prefix: str = "") -> DataFrame:
+    """Runs whose name is one of the prompts' and begins with a prefix."""
+    return runs.where(F.col(name).startswith(prefix)).join(prompts.select(name), name, "left_semi")
+
+
+def run_order(name: Column) -> Column:
+    """What runs are ordered by: the parts of their name from the third on."""
+    return F.slice(F.split(name, "_"), 3, F.greatest(F.size(F.split(name, "_")), F.lit(1)))
+
+
+def log_runs(events: DataFrame) -> DataFrame:
+    """``run, turns, has_error, has_success, has_fail`` from logged rows (``run, kind, role``): kind is chat, success, fail or error; a run without a chat is an error."""
+    kind = F.col("kind")
+    seen = [F.max(F.coalesce(kind == k, F.lit(False))) for k in ("error", "success", "fail", "chat")]
+    out = events.groupBy("run").agg(F.count_if((kind == "chat") & (F.col("role") == "assistant")).alias("turns"), (seen[0] | ~seen[3]).alias("has_error"), seen[1].alias("has_success"), seen[2].alias("has_fail"))
+    return out.withColumn("turns", F.when(F.col("turns") > 0, F.col("turns")))
+
+
+def grand_total(runs: DataFrame, by: str) -> DataFrame:
+    """Pass statistics by group and, where ``by`` is null, of all groups: one rollup."""
+    return runs.rollup(by).agg(*pass_columns())
+
+
 def property_differences(a: DataFrame, b: DataFrame, on: list[str], tolerance: float) -> DataFrame:
     """Numeric comparison of two property series: ``on, same``."""
     rows = a.join(b.withColumnRenamed("value", "other"), on, "full")
     return rows.select(*on, F.coalesce(F.abs(F.col("value") - F.col("other")) <= tolerance, F.lit(False)).alias("same"))
+
+
+def equal_values(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Comparison by equality: ``on, same``; a missing side is not equal to anything, two nulls are equal."""
+    rows = a.withColumn("__a", F.lit(True)).join(b.withColumnRenamed("value", "other").withColumn("__b", F.lit(True)), on, "full")
+    return rows.select(*on, (F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.col("value").eqNullSafe(F.col("other"))).alias("same"))
+
+
+def overlap_ratio(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Intersection over union of two boxes (left, right, top, bottom); 0 where they don't meet."""
+    wide = F.greatest(F.lit(0.0), F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"]))
+    high = F.greatest(F.lit(0.0), F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"]))
+    area = lambda x: (x["right"] - x["left"]) * (x["bottom"] - x["top"])
+    return F.coalesce(F.try_divide(wide * high, area(a) + area(b) - wide * high), F.lit(0.0))

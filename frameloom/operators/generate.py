@@ -66,12 +66,14 @@ def program(motions: list[dict]) -> str:
             if m["type"] == "rotate":
                 d = "clockwise" if (d[0] if isinstance(d, list) else d) > 0 else "counterclockwise"
             tests.append(f"direction({var}, {literal(d)})")
-        for call in ("magnitude", "origin", "duration"):
+        agents = [name(o) for o in m.get("agents", [])]
+        for call in ("magnitude", "origin"):
             if (v := m.get(call)) is not None:
                 tests.append(f"{call}({var}, {literal(v)})")
-        agents = [name(o) for o in m.get("agents", [])]
-        if m.get("post"):
-            tests.append(f"post({var}, s_{m['post'].removesuffix('ing')}({agents[0]}, {name(m['post_reference'][0])}))")
+        if m.get("post") and m.get("post_reference"):
+            tests.append(f"post({var}, s_{m['post'].replace('ing', '')}({agents[0]}, {name(m['post_reference'][0])}))")
+        if (v := m.get("duration")) is not None:
+            tests.append(f"duration({var}, {literal(v)})")
         tests += [f"agent({var}, {a})" for a in agents[:1]]
         body = " and ".join(tests)
         own.append(f"exists(Motion, lambda {var}: {body})" if alone else f"m_{i + 1} = iota(Motion, lambda {var}: {body})")
@@ -80,6 +82,35 @@ def program(motions: list[dict]) -> str:
     return "\n\n".join([*blocks, "\n".join(own), *(["\n".join(order)] if order else [])])
 
 
+def programs(motions: DataFrame) -> DataFrame:
+    """``graph_id, program``: the program text of every scene graph, as :func:`program` writes it.
+
+    ``motions``: graph_id, motion_idx (from 0), type, direction, magnitude, origin, duration (as they stand in a program; null: none), agents and post_reference (arrays of shape and fill), post, relation (to the
+    motion before). Objects and motions join by graph and object; a graph's lines meet in one row.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    call = lambda name, value, var: F.when(value.isNotNull(), F.concat(F.lit(f"{name}("), var, F.lit(", "), value, F.lit(")")))
+    named = agent_rows(motions).withColumn("o", F.struct("shape", "fill"))
+    tests = F.concat_ws(" and ", call("color", quoted(F.col("fill")), F.lit("o")), call("shape", quoted(F.col("shape")), F.lit("o")))
+    line = F.concat(F.lit("o_"), F.col("obj").cast("string"), F.lit(" = iota(Object, lambda o: "), tests, F.lit(")"))
+    objects = named.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("obj", line.alias("l"))))["l"], "\n").alias("objects"))
+    side = lambda c: named.select("graph_id", F.col("o").alias(f"{c}_o"), F.concat(F.lit("o_"), F.col("obj").cast("string")).alias(c))
+    rows = motions.withColumn("who_o", F.get("agents", F.lit(0))).withColumn("to_o", F.get("post_reference", F.lit(0)))
+    rows = rows.join(side("who"), ["graph_id", "who_o"], "left").join(side("to"), ["graph_id", "to_o"], "left")
+    order = Window.partitionBy("graph_id").orderBy("motion_idx")
+    number = (F.col("motion_idx") + 1).cast("string")
+    alone = F.col("relation").isNull() & F.lead("relation").over(order).isNull()
+    var = F.when(alone, F.concat(F.lit("m_"), number)).otherwise(F.lit("m"))
+    post = F.when(F.col("post").isNotNull() & F.col("to").isNotNull(), F.concat(F.lit("s_"), F.replace("post", F.lit("ing"), F.lit("")), F.lit("("), F.col("who"), F.lit(", "), F.col("to"), F.lit(")")))
+    body = F.concat_ws(" and ", call("type", quoted(F.col("type")), var), *[call(c, F.col(c), var) for c in ("direction", "magnitude", "origin")], call("post", post, var), call("duration", F.col("duration"), var), call("agent", F.col("who"), var))
+    text = F.when(alone, F.concat(F.lit("exists(Motion, lambda "), var, F.lit(": "), body, F.lit(")"))).otherwise(F.concat(F.lit("m_"), number, F.lit(" = iota(Motion, lambda m: "), body, F.lit(")")))
+    relation = F.when(F.col("relation").isNotNull(), F.concat(F.element_at(F.create_map(*[F.lit(x) for kv in RELATION_CALLS.items() for x in kv]), F.col("relation")), F.lit("(m_"), F.col("motion_idx").cast("string"), F.lit(", m_"), number, F.lit(")")))
+    lines = rows.select("graph_id", "motion_idx", text.alias("l"), relation.alias("r"))
+    joined = lambda c: F.array_join(F.filter(F.array_sort(F.collect_list(F.struct("motion_idx", F.col(c).alias("l")))), lambda x: x["l"].isNotNull())["l"], "\n")
+    whole = lines.groupBy("graph_id").agg(joined("l").alias("own"), F.nullif(joined("r"), F.lit("")).alias("order")).join(objects, "graph_id")
+    return whole.select("graph_id", F.concat_ws("\n\n", "objects", "own", "order").alias("program"))
+
+
 def sentences(slots: DataFrame) -> DataFrame:
     """Every sentence form of every row of slots (object, verb, verb_past, verb_base, rest): ``form, sentence`` are added. The forms are a fixed small list."""
     forms = []

@@ -49,14 +49,15 @@ def magnitude(frames: DataFrame, tweens: DataFrame, scenes: DataFrame, mask: int
     """Marked frames of tweens that reach a magnitude.
 
     From a tween's first frame on, the last frame whose accumulated change is within 0.1 of the target ends the marked frames: before it for
-    translation and scaling, with it for rotation. A frame must have the type; the tween's own type doesn't matter. One equi join
-    of tweens and frames on the object, with the frame range as a residual.
+    translation and scaling, with it for rotation. A frame must have the type; the tween's own type doesn't matter. A tween's
+    frames are exploded and joined by object and frame, so that a long scene's frames don't meet all tweens.
     """
     wide = tweens.select(*keys, "tween_idx", F.floor("start").cast("int").alias("sf"), F.ceil("end").cast("int").alias("ef"))
     spans = wide.join(scenes.select(keys[0], "steps"), keys[0])
     base = frames.select(*keys, F.col("frame").alias("sf"), *[F.col(c).alias("b_" + c) for c in ("tx_acc", "ty_acc", "rot_acc", "sx_acc", "sy_acc")])
-    rows = spans.join(base, [*keys, "sf"]).join(frames.select(*keys, "frame", "types", "tx_acc", "ty_acc", "rot_acc", "sx_acc", "sy_acc"), keys)
-    rows = rows.where((F.col("frame") >= F.col("sf")) & (F.col("frame") < F.least(F.col("ef") + 2 - 1, F.col("steps") + 1)))
+    last_frame = F.least(F.col("ef"), F.col("steps"))
+    own = spans.join(base, [*keys, "sf"]).where(F.col("sf") <= last_frame).withColumn("frame", F.explode(F.sequence("sf", last_frame)))
+    rows = own.join(frames.select(*keys, "frame", "types", "tx_acc", "ty_acc", "rot_acc", "sx_acc", "sy_acc"), [*keys, "frame"])
     d = lambda c: F.col(c + "_acc") - F.col(f"b_{c}_acc")
     hits = []
     for kind in atoms(mask):

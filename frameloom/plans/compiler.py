@@ -15,23 +15,35 @@ from frameloom.functions.allen import REGIONS, RELATIONS, TEMPORAL, any_relation
 from frameloom.functions.motion_types import parse_types
 from frameloom.operators import motion
 from frameloom.operators.runs import covered, first_runs, runs, with_flag
-from frameloom.plans.lang import GETTERS, MOTION, OBJECT, Bool, Call, Program, Quant, Var, parse, resolve
+from frameloom.plans.lang import EXTENSIONS, GETTERS, MOTION, OBJECT, Bool, Call, Program, Quant, Var, parse, resolve
 from frameloom.sources.scenes import Scenes
 
 KEYS = ["scene_id", "obj_idx"]
 SIDES = ("left", "right", "top", "bottom")
 
 
-def color_is(name: str) -> Column:
+#: Builders of predicates that were added.
+BUILDERS: dict = {}
+
+
+def color_is(name: str | Column) -> Column:
     """A colour name that is part of the fill or stroke."""
-    return F.coalesce(F.contains(F.col("fill"), F.lit(name)), F.lit(False)) | F.coalesce(F.contains(F.col("stroke"), F.lit(name)), F.lit(False))
+    to = name if isinstance(name, Column) else F.lit(name)
+    return F.coalesce(F.contains(F.col("fill"), to), F.lit(False)) | F.coalesce(F.contains(F.col("stroke"), to), F.lit(False))
+
+
+def register_predicate(name: str, kind: str, build) -> None:
+    """Adds a predicate to the language: ``name(v, value)`` over objects or motions, where ``build(value)`` is a boolean column over the objects' or the frames' table."""
+    if not name.isidentifier() or kind not in (OBJECT, MOTION):
+        raise ValueError("a name, and Object or Motion")
+    EXTENSIONS[name], BUILDERS[name] = kind, build
 
 
 class Evaluation:
     """One program over one set of scenes."""
 
     def __init__(self, program: Program, tables: Scenes) -> None:
-        self.program, self.t, self.vars = program, tables, {}
+        self.program, self.t, self.vars, self.traced = program, tables, {}, []
 
     # variables and values
 
@@ -55,7 +67,8 @@ class Evaluation:
         a, b = (self.vars[x.name].select("scene_id", F.col("s").alias(f"s{i}"), F.col("e").alias(f"e{i}")) for i, x in enumerate(call.args))
         sides = (F.col("s0"), F.col("e0")), (F.col("s1"), F.col("e1"))
         held = any_relation(TEMPORAL[call.name], *sides, gap=1) if call.name in TEMPORAL else relation(call.name, *sides, gap=1)
-        return a.join(b, "scene_id").groupBy("scene_id").agg(F.max(held).alias("holds"))
+        b = b.withColumnRenamed("scene_id", "other")  # one related pair is enough: a semi join with the relation as its residual
+        return a.join(b, (F.col("scene_id") == F.col("other")) & held, "left_semi").select("scene_id").distinct().withColumn("holds", F.lit(True))
 
     def getter(self, call: Call) -> tuple[DataFrame, list[str]]:
         """``scene_id`` and the value columns of an object getter, for the first object of its variable."""
@@ -92,6 +105,8 @@ class Evaluation:
             if q.kind == OBJECT:
                 return self.flag(self.vars[x.name], KEYS)
             return self.flag(covered(self.vars[x.name], KEYS), [*KEYS, "frame"])
+        if x.name in BUILDERS:
+            return self.node(x.name, F.coalesce(BUILDERS[x.name](x.args[1]), F.lit(False)))
         return self.object_call(x) if q.kind == OBJECT else self.motion_call(x)
 
     def object_call(self, x: Call) -> Column:
@@ -104,7 +119,7 @@ class Evaluation:
         else:
             to = F.lit(value)
         if x.name == "color":
-            held = F.coalesce(F.contains(F.col("fill"), to), F.lit(False)) | F.coalesce(F.contains(F.col("stroke"), to), F.lit(False))
+            held = color_is(to)
         else:
             held = F.coalesce(F.col({"shape": "shape", "id": "obj_id"}[x.name]) == to, F.lit(False))
         return self.node(x.name, held)
@@ -142,12 +157,15 @@ class Evaluation:
         """``scene_id, holds`` and the node results ``n0..`` of a quantified statement; the variable's table; the node tags."""
         rows, held, nodes = self.body(q)
         marked = rows.select(*KEYS, *(["frame"] if q.kind == MOTION else []), held.alias("held"), *[c.alias(f"n{i}") for i, (_, c) in enumerate(nodes)])
+        self.traced.append((q, marked))
         tests = marked.groupBy("scene_id").agg(F.max("held").alias("holds"), *[F.max(f"n{i}").alias(f"n{i}") for i in range(len(nodes))])
         value = None
         if q.name in ("exists", "forall"):
             over = ["scene_id", "frame"] if q.kind == MOTION else ["scene_id"]
             inner = marked.groupBy(*over).agg((F.max if q.name == "exists" else F.min)("held").alias("h"))
             tests = tests.drop("holds").join(inner.groupBy("scene_id").agg(F.max("h").alias("holds")), "scene_id")
+        elif q.name == "count":
+            self.counted = (marked.where("held") if q.kind == OBJECT else runs(marked, KEYS, where=F.col("held"))).groupBy("scene_id").agg(F.count("*").alias("n"))
         elif q.kind == OBJECT:
             value = marked.where("held").select(*KEYS)
             if q.name == "iota":
@@ -191,7 +209,7 @@ class Evaluation:
         for n, s in enumerate(self.program.statements):
             if s.target is not None:
                 tests, value, names = self.quant(s.expr)
-                self.vars[s.target] = value
+                self.vars[s.target] = value.persist()  # later statements read the variable, they don't plan it again
             else:
                 tests, names = self.scene_bool(s.expr)
             cells = [("holds", s.text), *[(c, tag) for tag, c in names]]
@@ -210,6 +228,28 @@ def evaluate(program: str, tables: Scenes) -> DataFrame:
     return Evaluation(parse(program), tables).run()
 
 
+def count(program: str, tables: Scenes) -> DataFrame:
+    """``scene_id, n``: what the program's last statement counts (``count(Object|Motion, lambda v: ...)``): objects, or runs."""
+    run = Evaluation(parse(program), tables)
+    run.run()
+    last = run.program.statements[-1].expr
+    if not isinstance(last, Quant) or last.name != "count":
+        raise ValueError("the last statement counts")
+    return tables.scenes.select("scene_id").join(run.counted, "scene_id", "left").select("scene_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def trace(program: str, tables: Scenes) -> DataFrame:
+    """``scene_id, obj_idx, frame, quant_idx, node_idx, result``: the value of every function of every quantifier in every cell (frame is null for objects); node 0 is the body."""
+    run = Evaluation(parse(program), tables)
+    run.run()
+    out = []
+    for n, (q, cells) in enumerate(run.traced):
+        nodes = F.array(*[F.struct(F.lit(i).alias("node_idx"), F.col(c).alias("result")) for i, c in enumerate(["held", *[c for c in cells.columns if c.startswith("n")]])])
+        frame = F.col("frame") if q.kind == MOTION else F.lit(None).cast("int")
+        out.append(cells.select(*KEYS, frame.alias("frame"), F.lit(n).alias("quant_idx"), F.explode(nodes).alias("r")).select(*KEYS, "frame", "quant_idx", "r.*"))
+    return reduce(DataFrame.union, out)
+
+
 def verdicts(report: DataFrame) -> DataFrame:
     """For each scene: ``strict`` (no line of the report is false) and ``statements`` (every statement holds)."""
     return report.groupBy("scene_id").agg(F.min("result").alias("strict"), F.min(F.when(F.col("node_idx") == 0, F.col("result"))).alias("statements"))
@@ -228,4 +268,4 @@ def read_program(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-__all__ = ["Evaluation", "color_is", "evaluate", "read_program", "report_text", "verdicts"]
+__all__ = ["Evaluation", "color_is", "count", "evaluate", "read_program", "register_predicate", "report_text", "trace", "verdicts"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from frameloom.functions.allen import T_BEFORE, any_relation
 from frameloom.operators import analytics, generate
 from frameloom.operators import runs as rn
+from frameloom.plans import compose_queries, program_queries
 from frameloom.plans.compiler import color_is
 from frameloom.plans.driver_queries import OBJECTS, ORACLE_SQL, QUERIES, SERIES, TWEENS, day_tweens, load, objects, register, relation_sql, series
 from frameloom.sources import scenes as sc
@@ -21,13 +22,7 @@ register("q_splits", """WITH w AS (SELECT p_partkey, string_split(p_name || ' '
   FROM (SELECT *, unnest(generate_series(i, len(w))) AS j FROM (SELECT *, unnest(generate_series(0, len(w))) AS i FROM w))""")(
     lambda s, d: generate.splits(load(s, d, "part").select("p_partkey", F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("w")), "w").select("p_partkey", "i", "j", *[F.array_join(c, " ").alias(c) for c in ("prefix", "infix", "suffix")])
 )
-register("q_program_text", f"""WITH {OBJECTS}, {TWEENS} SELECT ord, 'o_1 = iota(Object, lambda o: color(o, "' || fill || '") and shape(o, "' || shape || '"))' || chr(10) || 'm_1 = iota(Motion, lambda m: type(m, "' || ['translate','rotate','scale'][kind+1] || '") and duration(m, ' || (e - s) || '.0) and agent(m, o_1))' AS program
-  FROM tweens JOIN objects ON obj_idx = cust""")(
-    lambda s, d: day_tweens(s, d).join(objects(s, d), F.col("obj_idx") == F.col("cust")).select("ord", F.concat(
-        F.lit('o_1 = iota(Object, lambda o: color(o, "'), "fill", F.lit('") and shape(o, "'), "shape", F.lit('"))\nm_1 = iota(Motion, lambda m: type(m, "'),
-        F.get(F.array(*map(F.lit, ("translate", "rotate", "scale"))), F.col("kind")), F.lit('") and duration(m, '), (F.col("e") - F.col("s")).cast("string"), F.lit(".0) and agent(m, o_1))")).alias("program"))
-)
-register("q_prop_compare_numeric", f"WITH {SERIES} SELECT a.vec_id, a.frame, coalesce(abs(a.acc - b.acc) <= 3, false) AS same FROM series a LEFT JOIN series b ON b.vec_id = a.vec_id AND b.frame = a.frame + 1")(
+register("q_prop_compare_numeric", f"WITH {SERIES} SELECT vec_id, frame, coalesce(abs(acc - lead(acc) OVER (PARTITION BY vec_id ORDER BY frame)) <= 3, false) AS same FROM series")(
     lambda s, d: analytics.property_differences(series(s, d).withColumnRenamed("acc", "value"), series(s, d).select("vec_id", (F.col("frame") - 1).alias("frame"), F.col("acc").alias("value")).where("frame >= 0"), ["vec_id", "frame"], 3.0)
 )
 register("q_session_runs", """SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 1 HOUR AS e, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM
@@ -67,4 +62,4 @@ def _flagship(s, d):
 
 
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "compose_queries", "program_queries"]
