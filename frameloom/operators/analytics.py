@@ -13,6 +13,30 @@ def near_point(positions: DataFrame, targets: DataFrame, tolerance: float, keys:
     return positions.join(t, keys).withColumn("error", error).where(F.col("error") <= tolerance).select(*keys, "target", "time", "error")
 
 
+#: Samples a second of a point query.
+POINT_RATE = 2400.0
+
+
+def points_in_time(tweens: DataFrame, scenes: DataFrame, objects: DataFrame, targets: DataFrame, tolerance: float = 0.1, rate: float = POINT_RATE) -> DataFrame:
+    """``scene_id, obj_id, matches``: the samples at which an object's centre is within ``tolerance`` of a target; null for ids that no scene has.
+
+    ``tweens``: scene_id, obj_id, begin, seconds, dx, dy (linear moves); ``objects``: scene_id, obj_id, x, y (rest centres); ``targets``: scene_id, obj_id, x, y. Only asked objects are sampled: they are joined by id
+    first, and each sample is one row of the scene's clock.
+    """
+    asked = targets.select("scene_id", "obj_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    own = tweens.groupBy("scene_id", "obj_id").agg(F.collect_list(F.struct("begin", "seconds", "dx", "dy")).alias("own"))
+    rows = asked.join(objects.select("scene_id", "obj_id", "x", "y"), ["scene_id", "obj_id"]).join(own, ["scene_id", "obj_id"], "left").join(scenes.select("scene_id", "duration"), "scene_id")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("duration") * rate)))).withColumn("time", F.least(F.col("i") / rate, F.col("duration")))
+    part = lambda m: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("time") - m["begin"], m["seconds"]), F.when(F.col("time") >= m["begin"], 1.0).otherwise(0.0))))
+    at = lambda rest, d: F.col(rest) + F.coalesce(F.aggregate("own", F.lit(0.0), lambda s, m: s + m[d] * part(m)), F.lit(0.0))
+    error = F.hypot(at("x", "dx") - F.col("tx"), at("y", "dy") - F.col("ty"))
+    hits = rows.withColumn("error", error).where(F.col("error") <= tolerance).groupBy("scene_id", "obj_id").agg(F.array_sort(F.collect_list(F.struct("time", "error"))).alias("found"))
+    known = objects.select("scene_id", "obj_id", F.lit(True).alias("known"))
+    none = F.array().cast("array<struct<time:double,error:double>>")
+    out = targets.select("scene_id", "obj_id").distinct().join(known, ["scene_id", "obj_id"], "left").join(hits, ["scene_id", "obj_id"], "left")
+    return out.select("scene_id", "obj_id", F.when(F.col("known"), F.coalesce("found", none)).alias("matches"))
+
+
 def best_match(matches: DataFrame, keys: list[str]) -> DataFrame:
     """The match of least error (then least time) for each target."""
     return matches.groupBy(*keys, "target").agg(F.min(F.struct("error", "time")).alias("m")).select(*keys, "target", F.col("m.time").alias("time"), F.col("m.error").alias("error"))

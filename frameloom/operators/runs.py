@@ -23,6 +23,15 @@ def covered(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return intervals.where("s <= e").select(*keys, F.explode(F.sequence(F.col("s").cast("int"), F.col("e").cast("int"))).alias("frame")).distinct()
 
 
+def merged(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, s, e``: the runs of the frames that closed intervals cover, without listing the frames: an interval that begins after all earlier ones' end plus one opens a run. One shuffle."""
+    before = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.coalesce(F.col("s") > F.max("e").over(before) + 1, F.lit(True))
+    rows = intervals.where("s <= e").select(*keys, "s", "e").withColumn("fresh", fresh.cast("int")).withColumn("g", F.sum("fresh").over(upto))
+    return rows.groupBy(*keys, "g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("g")
+
+
 def with_flag(frames: DataFrame, marked: DataFrame, on: list[str], flag: str) -> DataFrame:
     """``frames`` with a boolean column that says whether the row is in ``marked``."""
     return frames.join(marked.select(*on).distinct().withColumn(flag, F.lit(True)), on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

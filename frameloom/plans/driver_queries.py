@@ -149,11 +149,18 @@ def _at():
     return Window.partitionBy("vec_id").orderBy("frame")
 
 
+def _derived(s, d):
+    """Paths as accumulated values of one object a scene, with what ``scenes.derive`` makes of them."""
+    number = lambda c, v: F.lit(v).alias(c)
+    rows = paths(s, d).select(F.col("vec_id").alias("scene_id"), F.lit(0).alias("obj_idx"), "frame", F.lit(31).alias("steps"), F.col("x").alias("tx_acc"), F.col("y").alias("ty_acc"), (F.floor(F.col("x") / 10) * 10.0).alias("rot_acc"), F.col("x").alias("sx_acc"), number("sy_acc", 1.0), number("kx_acc", 0.0), number("ky_acc", 0.0))
+    return sc.derive(rows).withColumnRenamed("scene_id", "vec_id")
+
+
 register("q_delta_translate", f"WITH {PAIRED} SELECT vec_id, frame, round(x - coalesce(lag(x) OVER w, 0), 6) AS dx, round(y - coalesce(lag(y) OVER w, 0), 6) AS dy FROM paths WINDOW w AS (PARTITION BY vec_id ORDER BY frame)")(
-    lambda s, d: paths(s, d).select("vec_id", "frame", F.round(F.col("x") - F.coalesce(F.lag("x").over(_at()), F.lit(0.0)), 6).alias("dx"), F.round(F.col("y") - F.coalesce(F.lag("y").over(_at()), F.lit(0.0)), 6).alias("dy"))
+    lambda s, d: _derived(s, d).select("vec_id", "frame", F.round("tx", 6).alias("dx"), F.round("ty", 6).alias("dy"))
 )
-register("q_delta_scale", f"WITH {SERIES} SELECT vec_id, frame, acc / nullif(coalesce(lag(acc) OVER (PARTITION BY vec_id ORDER BY frame), 1), 0) AS ratio FROM series")(
-    lambda s, d: series(s, d).select("vec_id", "frame", F.try_divide(F.col("acc"), F.coalesce(F.lag("acc").over(_at()), F.lit(1.0))).alias("ratio"))
+register("q_delta_scale", f"WITH {PAIRED} SELECT vec_id, frame, round(x / nullif(coalesce(lag(x) OVER (PARTITION BY vec_id ORDER BY frame), 1), 0), 6) AS ratio FROM paths")(
+    lambda s, d: _derived(s, d).select("vec_id", "frame", F.round("sx", 6).alias("ratio"))
 )
 
 
@@ -163,11 +170,11 @@ def _deltas(s, d):
 
 
 DELTAS = f"{PAIRED}, deltas AS (SELECT vec_id, frame, round(x - coalesce(lag(x) OVER w, 0), 6) AS dx, round(y - coalesce(lag(y) OVER w, 0), 6) AS dy FROM paths WINDOW w AS (PARTITION BY vec_id ORDER BY frame))"
-register("q_type_mask", f"WITH {DELTAS} SELECT vec_id, frame, CASE WHEN abs(dx) > 10 THEN 1 ELSE 0 END + CASE WHEN abs(dy) > 10 THEN 2 ELSE 0 END AS mask FROM deltas")(
-    lambda s, d: _deltas(s, d).select("vec_id", "frame", (F.when(F.abs("dx") > 10, 1).otherwise(0) + F.when(F.abs("dy") > 10, 2).otherwise(0)).alias("mask"))
+register("q_type_mask", f"WITH {PAIRED}, d AS (SELECT vec_id, frame, x - coalesce(lag(x) OVER w, 0) AS dx, y - coalesce(lag(y) OVER w, 0) AS dy, floor(x / 10) * 10 - coalesce(lag(floor(x / 10) * 10) OVER w, 0) AS dr, x / nullif(coalesce(lag(x) OVER w, 1), 0) AS ratio FROM paths WINDOW w AS (PARTITION BY vec_id ORDER BY frame)) SELECT vec_id, frame, CASE WHEN dx <> 0 OR dy <> 0 THEN 1 ELSE 0 END + CASE WHEN dr <> 0 THEN 2 ELSE 0 END + CASE WHEN ratio <> 1 THEN 4 ELSE 0 END AS mask FROM d")(
+    lambda s, d: _derived(s, d).select("vec_id", "frame", F.col("types").alias("mask"))
 )
-register("q_dir_sign", f"WITH {DELTAS} SELECT vec_id, frame, CAST(sign(dx) AS INTEGER) AS sx, CAST(sign(dy) AS INTEGER) AS sy FROM deltas")(
-    lambda s, d: _deltas(s, d).select("vec_id", "frame", F.signum("dx").cast("int").alias("sx"), F.signum("dy").cast("int").alias("sy"))
+register("q_dir_sign", f"WITH {DELTAS} SELECT vec_id, frame, CASE WHEN frame < 31 THEN CAST(sign(ratio - 1) AS INTEGER) END AS sx, CASE WHEN frame < 31 THEN CAST(sign(dr) AS INTEGER) END AS rot FROM (SELECT vec_id, frame, floor(x / 10) * 10 - coalesce(lag(floor(x / 10) * 10) OVER w, 0) AS dr, x / nullif(coalesce(lag(x) OVER w, 1), 0) AS ratio FROM paths WINDOW w AS (PARTITION BY vec_id ORDER BY frame))")(
+    lambda s, d: _derived(s, d).select("vec_id", "frame", F.col("dir_sx").alias("sx"), F.col("dir_rot").alias("rot"))
 )
 register("q_dir_unit", f"WITH {DELTAS} SELECT vec_id, frame, round(CASE WHEN sqrt(dx*dx+dy*dy) > 0 THEN dx / sqrt(dx*dx+dy*dy) ELSE 0 END, 6) AS ux, round(CASE WHEN sqrt(dx*dx+dy*dy) > 0 THEN dy / sqrt(dx*dx+dy*dy) ELSE 0 END, 6) AS uy FROM deltas")(
     lambda s, d: _deltas(s, d).select("vec_id", "frame", *[F.round(c, 6).alias(n) for n, c in zip(("ux", "uy"), unit(F.col("dx"), F.col("dy")))])
@@ -230,11 +237,19 @@ def _origin_pct(s, d):
     return boxes(s, d).select("vec_id", "frame", F.round(at[0], 6).alias("x"), F.round(at[1], 6).alias("y"))
 
 
-register("q_motion_duration", f"WITH {TWEENS} SELECT DISTINCT cust, CAST(unnest(generate_series(s, e + 1)) AS INTEGER) AS frame FROM tweens WHERE kind = 1 AND abs((e - s) - 60) <= 1e-8 + 60e-5")(
-    lambda s, d: rn.covered(day_tweens(s, d).where((F.col("kind") == 1) & is_close((F.col("e") - F.col("s")).cast("double"), F.lit(60.0))).withColumn("e", F.col("e") + 1), ["cust"])
+register("q_motion_duration", f"WITH {TWEENS} SELECT DISTINCT cust, CAST(unnest(generate_series(s, e)) AS INTEGER) AS frame FROM tweens WHERE kind = 1 AND abs((e - s) - 60) <= 1e-8 + 60e-5")(
+    lambda s, d: motion.duration(*_day_tables(s, d), 2, 60.0).select(F.col("scene_id").alias("cust"), "frame")
 )
-register("q_motion_agent", f"WITH {OBJECTS}, {TWEENS} SELECT cust, ord FROM tweens SEMI JOIN (SELECT obj_idx AS cust FROM objects WHERE contains(fill, 're')) USING (cust)")(
-    lambda s, d: day_tweens(s, d).join(objects(s, d).where(color_is("re")).select(F.col("obj_idx").alias("cust")), "cust", "left_semi").select("cust", "ord")
+
+
+def _day_tables(s, d):
+    """Orders as tweens of one object a customer, and the scenes' steps."""
+    rows = day_tweens(s, d).select(F.col("cust").alias("scene_id"), F.lit(0).alias("obj_idx"), F.get(F.array(*map(F.lit, ("translate", "rotate", "scale"))), F.col("kind")).alias("type"), (F.col("e") - F.col("s")).cast("double").alias("duration"), F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"))
+    return rows, rows.select("scene_id").distinct().withColumn("steps", F.lit(1_000_000))
+
+
+register("q_motion_agent", f"WITH {OBJECTS}, {FRAMES} SELECT obj_idx, frame FROM frames JOIN objects USING (obj_idx) WHERE contains(fill, 're') AND types <> 0")(
+    lambda s, d: event_frames(s, d).join(objects(s, d), "obj_idx").where(motion.agent(color_is("re"), F.col("types"))).select("obj_idx", "frame")
 )
 
 
@@ -374,9 +389,8 @@ register("q_stats_passk", f"WITH {_RUNS} SELECT config_id, {_PASS} FROM runs GRO
 
 @register("q_stats_rollup", f"WITH {_RUNS} SELECT coalesce(CAST(config_id AS VARCHAR), 'all') AS config, {_PASS} FROM runs GROUP BY GROUPING SETS ((config_id), ())")
 def _rollup(s, d):
-    rows = _runs(s, d)
-    both = rows.withColumn("config", F.explode(F.array(F.col("config_id").cast("string"), F.lit("all"))))
-    return analytics.pass_rates(both, ["config"])
+    total = analytics.grand_total(_runs(s, d), "config_id")
+    return total.withColumn("config", F.coalesce(F.col("config_id").cast("string"), F.lit("all"))).drop("config_id")
 
 
 # keys, keyframes, samples
@@ -400,15 +414,15 @@ def _mix(s, d):
     return analytics.mix(gen, re, 80, 20, F.col("id") * 7919 % 10007, "id").select("id", "kind")
 
 
-register("q_dedup_keep_first", "SELECT doc_id, md5(text) AS h FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")(
-    lambda s, d: analytics.keep_first(load(s, d, "documents").select("doc_id", F.md5("text").alias("h")), ["h"], ["doc_id"]).select("doc_id", "h")
-)
 
 # texts
 
 _CLEAN = "text"
 for _pattern, _to in tx.CLEANUP:
     _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '{_to}', 'g')"
+register("q_dedup_keep_first", f"WITH c AS (SELECT doc_id, md5(trim({_CLEAN})) AS h FROM documents) SELECT min(doc_id) AS doc_id, h FROM c GROUP BY h")(
+    lambda s, d: analytics.keep_first(load(s, d, "documents").select("doc_id", F.md5(tx.clean_commas(F.col("text"))).alias("h")), ["h"], ["doc_id"]).select("doc_id", "h")
+)
 register("q_clean_commas", f"SELECT doc_id, md5(trim({_CLEAN})) AS h FROM documents")(lambda s, d: load(s, d, "documents").select("doc_id", F.md5(tx.clean_commas(F.col("text"))).alias("h")))
 
 

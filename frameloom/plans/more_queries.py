@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from frameloom.functions.allen import T_BEFORE, any_relation
 from frameloom.operators import analytics, generate
 from frameloom.operators import runs as rn
-from frameloom.plans import compose_queries, program_queries
+from frameloom.plans import compose_queries, program_queries, record_queries
 from frameloom.plans.compiler import color_is
 from frameloom.plans.driver_queries import OBJECTS, ORACLE_SQL, QUERIES, SERIES, TWEENS, day_tweens, load, objects, register, relation_sql, series
 from frameloom.sources import scenes as sc
@@ -55,11 +55,11 @@ _FLAG = " OR ".join(relation_sql(n, ("a.s", "a.e"), ("b.s", "b.e"), gap=" + 1")
 def _flagship(s, d):
     """Objects by colour, their motions as runs of days, and the pairs in which a run of one type comes before one of another."""
     mine = day_tweens(s, d).join(objects(s, d).where(color_is("e")).select(F.col("obj_idx").alias("cust")), "cust", "left_semi")
-    found = rn.runs(rn.covered(mine, ["cust", "kind"]), ["cust", "kind"])
+    found = rn.merged(mine, ["cust", "kind"])
     side = lambda kind, p: found.where(F.col("kind") == kind).select("cust", F.col("s").alias(f"{p}0"), F.col("e").alias(f"{p}1"))
     both = side(1, "a").join(side(2, "b"), "cust").where(any_relation(T_BEFORE, (F.col("a0"), F.col("a1")), (F.col("b0"), F.col("b1")), gap=1))
     return both.groupBy("cust").agg(F.count("*").alias("n_pairs"), F.min("a0").alias("first_day"))
 
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "compose_queries", "program_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "compose_queries", "program_queries", "record_queries"]

@@ -145,10 +145,32 @@ def object_list(elements: DataFrame) -> DataFrame:
     return kept.select("scene_id", (F.row_number().over(order) - 1).alias("obj_idx"), "obj_id", F.lit(None).cast("string").alias("source_id"), shape.alias("shape"), F.when(custom & (F.size(part) > 2), F.get(part, F.lit(2))).otherwise(F.lower("fill")).alias("fill"), F.lit(None).cast("string").alias("stroke"), size.alias("size"))
 
 
+def enumerate_elements(elements: DataFrame, tweens: DataFrame, graphical: list[str]) -> DataFrame:
+    """Elements with ``animated``: those of any depth with a tween, and direct children (``depth`` 1) without one.
+
+    ``elements``: scene_id, doc_idx, obj_id, tag, depth and what :func:`object_list` needs. Tweens decide by a semi and an anti join; ids with ``ignore`` and
+    tags that aren't graphical (for unanimated ones also masks) are left out.
+    """
+    moved = tweens.select("scene_id", "obj_id").distinct()
+    some = elements.where(F.col("tag").isin(*graphical) & ~F.contains(F.col("obj_id"), F.lit("ignore")))
+    animated = some.join(moved, ["scene_id", "obj_id"], "left_semi").withColumn("animated", F.lit(True))
+    still = some.where((F.col("depth") == 1) & (F.col("tag") != "mask")).join(moved, ["scene_id", "obj_id"], "left_anti").withColumn("animated", F.lit(False))
+    return animated.unionByName(still)
+
+
 def surrogate_keys(elements: DataFrame, id_col: str, path_col: str, keys: list[str], prefix: str = "__el_") -> DataFrame:
-    """Adds ``key``: the id where it is the only one of its kind, else the prefix and the element's path."""
+    """Adds ``key``: the id where it is the only one of its kind, else the prefix and the element's path, with as many underscores in front as make it no element's id."""
     many = F.count("*").over(Window.partitionBy(*keys, id_col)) > 1
-    return elements.withColumn("key", F.when(F.col(id_col).isNull() | (F.col(id_col) == "") | many, F.concat(F.lit(prefix), F.col(path_col).cast("string"))).otherwise(F.col(id_col)))
+    lacks = F.col(id_col).isNull() | (F.col(id_col) == "") | many
+    path = F.col(path_col).cast("string")
+    # ids that are a surrogate behind underscores, by the path they would stand for
+    stem = F.regexp_extract(F.col(id_col), f"^_*{prefix.lstrip('_')}(.*)$", 1)
+    taken = elements.where(F.col(id_col).rlike(f"^_*{prefix}")).select(*keys, stem.alias("__path"), F.col(id_col).alias("__id")).groupBy(*keys, "__path").agg(F.collect_set("__id").alias("__taken"))
+    rows = elements.withColumn("__lacks", lacks).withColumn("__path", path).join(taken, [*keys, "__path"], "left")
+    own = F.concat(F.lit(prefix), F.col("__path"))
+    free = F.aggregate(F.sequence(F.lit(0), F.size("__taken")), own, lambda k, _: F.when(F.array_contains("__taken", k), F.concat(F.lit("_"), k)).otherwise(k))
+    key = F.when(~F.col("__lacks"), F.col(id_col)).when(F.col("__taken").isNull(), own).otherwise(free)
+    return rows.withColumn("key", key).select(*[F.col(c) for c in elements.columns], "key")
 
 
 def keyframe_times(tweens: DataFrame, keys: list[str]) -> DataFrame:
