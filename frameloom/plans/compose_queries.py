@@ -89,8 +89,7 @@ register("q_phrase_duration", f"WITH {MOTIONS} SELECT o_orderkey, coalesce('for
 register("q_phrase_origin", f"WITH {MOTIONS} SELECT o_orderkey, CASE WHEN origin IS NULL THEN '~' WHEN origin = ['50%', '50%'] THEN 'about its center|around its center' ELSE 'about the point (10, 20)|around the point (10, 20)' END AS said FROM motions")(
     lambda s, d: motions(s, d).select("o_orderkey", shown(co.origin_phrases(C("origin"))).alias("said"))
 )
-_NAME = F.split("p_name", " ")
-_OBJECT = lambda: F.struct(F.get(_NAME, F.lit(0)).alias("fill"), F.get(_NAME, F.lit(1)).alias("shape"))
+_OBJECT = lambda: F.struct(F.get(F.split("p_name", " "), F.lit(0)).alias("fill"), F.get(F.split("p_name", " "), F.lit(1)).alias("shape"))
 register("q_phrase_object_post", "SELECT p_partkey, 'the ' || split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) || if(p_size % 2 = 0, ' and the ' || lower(p_type), '') AS object, if(p_size % 3 = 0, '~', 'until it is left of the ' || split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2)) AS post FROM part")(
     lambda s, d: load(s, d, "part").withColumn("objects", F.when(C("p_size") % 2 == 0, F.array(_OBJECT(), F.struct(F.lower("p_type").alias("fill"), F.lit(None).cast("string").alias("shape")))).otherwise(F.array(_OBJECT())))
     .select("p_partkey", shown(co.object_phrase(C("objects"))).alias("object"), shown(co.post_phrases(F.when(C("p_size") % 3 != 0, "left_of"), F.array(_OBJECT()))).alias("post"))
