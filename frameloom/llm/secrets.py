@@ -3,10 +3,10 @@
 A candidate is a run of at least 16 key characters that has a digit, one of the known key forms (with or without a digit), or a value of any length that
 is assigned to a name which ends in a key word (quoted: up to the closing quote, blanks as one; bare: up to white space). The forest judges it by its length, its
 transitions between character classes, its shares of digits, capitals, vowels, symbols and distinct characters, the share of it that a dictionary covers,
-the path it stands in, and the words before it. Forests are grown on a bounded table of labelled findings and compiled to one SQL expression
+the path it stands in (documents without one are judged by what ``path_col`` names instead, as their source), and the words before and after it. Forests are grown on a bounded table of labelled findings and compiled to one SQL expression
 each tree, so that the scan is a single map of built-in functions over the texts.
 
-Labelled findings come as a table (``candidate, before, path, label``); without one, :func:`sample_findings` makes a fixed, seeded table of the usual key forms and of
+Labelled findings come as a table (``candidate, before, path, label``, and ``after`` if it has one); without one, :func:`sample_findings` makes a fixed, seeded table of the usual key forms and of
 what is often taken for them (digests of commits and files, identifiers, long words, numbers, addresses, placeholders).
 
 Results: a null or empty text has no candidate. Candidates come in text order with their word number; in
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 KEY = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Trees, their depth, and labelled findings that a fit may read.
-TREES, DEPTH, MAX_FINDINGS = 15, 6, 20_000
-FEATURES = ("length", "transitions", "digits", "capitals", "vowels", "distinct", "hexadecimal", "covered", "key_words", "other_words", "assigned", "test_path", "known_form", "symbols")
+TREES, DEPTH, MAX_FINDINGS = 25, 8, 20_000
+FEATURES = ("length", "transitions", "digits", "capitals", "vowels", "distinct", "hexadecimal", "covered", "key_words", "other_words", "assigned", "test_path", "known_form", "symbols", "key_after", "other_after")
 
 # Word lists and key forms.
 DICTIONARY = "about access account action address admin after again agent alpha and apache api application array article async attr auth back base batch before block body book branch buffer build byte cache call case chain change char check class clean client clock close cloud code color column command comment commit common config connect const container content context control copy core count create current custom data database date debug default define delete deploy desc detail device digest direct disk docs document domain down drive driver element email empty enable encode end engine enter entry error event example exec export extend factory false fetch field file filter final find first flag float folder font form format frame from function get global graph group handle hash head header health height hello help hidden high home host html http image import index info init input insert install instance int integer interface internal item java join json key kind label language last layer layout length level library license line link list load local lock log login long loop machine main make manager map mask match max media member memory menu merge message meta method min mobile mode model module monitor more mount move name native network new next node none note null number object offset online open option order out output over package page panel param parent parse pass password path pattern pixel place player plugin point policy pool port post prefix press print private process product profile program project property protocol provider proxy public push query queue random range read record release remote remove render replace report request reset resource response result return role root route rule run sample save scale schema scope screen script search secret section select send sequence server service session set shape share show side sign simple size small sort source space spark spec split stack stage start state static status step stop storage store stream string style sub submit success suffix sum support switch sync system tab table tag target task team template term test text theme thread time title token tool total track transform tree true type union unique unit update upload url user util valid value variable vector version video view virtual visit watch web width window word work world wrap write zone".split()
@@ -39,7 +39,7 @@ NAME, ASSIGN = r"(?:secret|token|passw[a-z]*|passphrase|pwd|key|credentials?|aut
 TEST_PATH = "test|example|sample|fixture|mock|docs?/|readme"
 
 
-def features(candidate: Column, before: Column, path: Column) -> list[Column]:
+def features(candidate: Column, before: Column, path: Column, after: Column) -> list[Column]:
     """The feature columns of a candidate, in the order of ``FEATURES``."""
     n = F.greatest(F.length(candidate), F.lit(1)).cast("double")
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -50,7 +50,7 @@ def features(candidate: Column, before: Column, path: Column) -> list[Column]:
 
     words = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    context = F.lower(F.coalesce(before, F.lit("")))
+    context, follows = (F.lower(F.coalesce(c, F.lit(""))) for c in (before, after))
     return [
         n,
         (F.regexp_count(classes, F.lit("a+|A+|9+|[^aA9]+")) - 1) / n,
@@ -62,11 +62,27 @@ def features(candidate: Column, before: Column, path: Column) -> list[Column]:
         flag(F.lower(F.coalesce(path, F.lit(""))).rlike(TEST_PATH)),
         flag(candidate.rlike(KNOWN_FORMS)),
         share("[^A-Za-z0-9]"),
+        flag(follows.rlike(KEY_WORDS)), flag(follows.rlike(OTHER_WORDS)),
     ]
 
 
-def sample_findings(count: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]]:
-    """A seeded table of labelled findings: ``(candidate, before, path, label)``."""
+def sample_findings(count: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int, str]]:
+    """A seeded table of labelled findings: ``(candidate, before, path, label, after)``.
+
+    The words that follow are those of prose or of the next assignment; of some findings that are none, the word that names them follows instead of preceding.
+    """
+    rng = random.Random(seed + 1)
+    out = []
+    for candidate, before, path, label in _findings(count, seed):
+        after = rng.choice(["", "and then", "host =", "the value", "# set", "timeout: 30", "} ]", "user ="])
+        if not label and rng.random() < 0.15 and any(w in before for w in ("commit", "checksum", "digest", "revision", "build")):
+            before, after = "see the ", rng.choice(["commit of", "checksum", "(digest)", "revision", "build"])
+        out.append((candidate, before, path, label, after))
+    return out
+
+
+def _findings(count: int, seed: int) -> list[tuple[str, str, str, int]]:
+    """Findings without what follows them."""
     rng = random.Random(seed)
     hexa, word = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
@@ -74,7 +90,7 @@ def sample_findings(count: int = 3000, seed: int = 11) -> list[tuple[str, str, s
     cased = lambda s: s.upper() if rng.random() < 0.2 else s
     out = []
     for _ in range(count):
-        path = rng.choice(["src/app", "conf/prod", "web", "", "tests/unit", "docs/readme", "src0", "src7"])
+        path = rng.choice(["src/app", "conf/prod", "web", "", "tests/unit", "docs/readme", "lib/io", "deploy/stage.yml"])
         tail = rng.choice([' = "', ": ", "=", ' : "', ":", " = '", " "])
         if rng.random() < 0.5:
             name = rng.choice("token secret api_key apikey password auth_token access_key client_secret private_key bearer API_TOKEN db_password".split())
@@ -107,7 +123,7 @@ def _assigned_findings(count: int, rng: random.Random) -> list[tuple[str, str, s
     some = lambda of, n: "".join(rng.choice(of) for _ in range(n))
     out = []
     for _ in range(count):
-        path = rng.choice(["src/app", "conf/prod", "web", "", "tests/unit", "src0", "src7"])
+        path = rng.choice(["src/app", "conf/prod", "web", "", "tests/unit", "lib/io", "deploy/stage.yml"])
         name = rng.choice("token secret api_key password auth_token access_key client_secret PASSWORD db_password passwd pwd".split())
         before = "set " + name + rng.choice([' = "', ": ", "=", '="', " = '", " := "])
         kind = rng.randrange(8)
@@ -175,9 +191,10 @@ def fit(spark: SparkSession, findings: DataFrame | None = None) -> list:
     import numpy as np
 
     if findings is None:
-        findings = spark.createDataFrame(sample_findings(), "candidate string, before string, path string, label int")
+        findings = spark.createDataFrame(sample_findings(), "candidate string, before string, path string, label int, after string")
     known = findings.where("candidate is not null and label is not null").orderBy(F.xxhash64("candidate", "before", "path")).limit(MAX_FINDINGS)
-    rows = known.select(*[c.cast("double") for c in features(F.col("candidate"), F.col("before"), F.col("path"))], F.col("label").cast("double")).collect()
+    after = F.col("after") if "after" in findings.columns else F.lit("")
+    rows = known.select(*[c.cast("double") for c in features(F.col("candidate"), F.col("before"), F.col("path"), after)], F.col("label").cast("double")).collect()
     data = np.array([tuple(r) for r in rows], float).reshape(len(rows), len(FEATURES) + 1)
     data = data[np.lexsort(data.T)]
     return grow(data[:, :-1], data[:, -1])
@@ -195,7 +212,7 @@ def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str =
     after = lambda own, before: before.rlike(rf"(?i){NAME}\s*{ASSIGN}$") | own.rlike(rf"^{ASSIGN}[^=:>]") & before.rlike(rf"(?i){NAME}$")
     last = lambda i: F.concat_ws(" ", near(i, 2), near(i, 1))
     places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(r"[0-9]") & F.get("w", i).rlike(KEY) | F.get("w", i).rlike(KNOWN_INSIDE) | inside(F.get("w", i)) | after(F.get("w", i), last(i)))
-    word = lambda i: F.struct(i.alias("word"), F.get("w", i).alias("own"), F.concat_ws(" ", near(i, 3), near(i, 2), near(i, 1)).alias("before"), last(i).alias("last"), F.when(F.get("w", i).rlike("[\"']") & (inside(F.get("w", i)) | after(F.get("w", i), last(i))), F.concat_ws(" ", F.slice("w", i + 1, F.size("w")))).otherwise(F.get("w", i)).alias("tail"))
+    word = lambda i: F.struct(i.alias("word"), F.get("w", i).alias("own"), F.concat_ws(" ", near(i, 3), near(i, 2), near(i, 1)).alias("before"), last(i).alias("last"), F.when(F.get("w", i).rlike("[\"']") & (inside(F.get("w", i)) | after(F.get("w", i), last(i))), F.concat_ws(" ", F.slice("w", i + 1, F.size("w")))).otherwise(F.get("w", i)).alias("tail"), F.concat_ws(" ", F.get("w", i + 1), F.get("w", i + 2)).alias("after"))
     found = split.select("d", "p", F.explode(F.transform(places, word)).alias("x")).select("d", "p", "x.*")
     value = r"(?:\"([^\"]+)\"|'([^']+)'|([^\s\"']\S*?)[\"',;)]*(?:\s|$))"
     first = lambda pattern: F.array(*[F.regexp_extract("tail", pattern, k) for k in (1, 2, 3)])
@@ -207,8 +224,8 @@ def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str =
     more = F.array_except(F.filter(F.concat(known, assigned), lambda c: c != ""), F.filter(runs, lambda c: c.rlike("[0-9]")))
     each = found.select("*", F.size(runs).alias("n_runs"), F.posexplode(F.concat(runs, more)).alias("nth", "candidate"))
     parts = each.where((F.col("nth") >= F.col("n_runs")) | F.col("candidate").rlike("[0-9]"))
-    ready = parts.select("d", "word", "nth", "candidate", "p", F.concat(F.col("before"), F.lit(" "), F.expr("substring_index(tail, candidate, 1)")).alias("before"))
-    scored = ready.select("d", "word", "nth", "candidate", *[c.cast("double").alias(n) for n, c in zip(FEATURES, features(F.col("candidate"), F.col("before"), F.col("p")))])
+    ready = parts.select("d", "word", "nth", "candidate", "p", F.concat(F.col("before"), F.lit(" "), F.expr("substring_index(tail, candidate, 1)")).alias("before"), "after")
+    scored = ready.select("d", "word", "nth", "candidate", *[c.cast("double").alias(n) for n, c in zip(FEATURES, features(F.col("candidate"), F.col("before"), F.col("p"), F.col("after")))])
     total = " + ".join(tree_sql(t) for t in forest)
     out = scored.select(F.col("d").alias(id_col), "word", "nth", F.col("length").cast("long").alias("length"), F.sha2("candidate", 256).alias("sha256"), F.round(F.expr(f"({total}) / {len(forest)}D"), 6).alias("score"))
     return out.withColumn("secret", F.col("score") >= threshold)
