@@ -105,11 +105,16 @@ def sample(scenes: DataFrame, objects: DataFrame, plan: DataFrame) -> Scenes:
 
 
 def read_scene_json(spark: SparkSession, path: str) -> Scenes:
-    """Reads scene documents: one JSON object a file, with ``info`` and one entry for each element.
+    """Reads scene documents: one JSON object a file, with ``info`` and one entry for each element."""
+    return from_documents(spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:_data)?\.json$", 1).alias("scene_id"), "value"))
 
-    Elements are keys, so a document is first a map of texts. Arrays shorter than the longest give nulls in the last frame.
+
+def from_documents(texts: DataFrame) -> Scenes:
+    """The tables of scene documents (``scene_id, value``).
+
+    Elements are keys, so a document is first a map of texts. Arrays shorter than the longest give nulls in the last frame. Documents are parsed to maps once: the four tables read them from a cache.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:_data)?\.json$", 1).alias("scene_id"), F.from_json("value", "map<string,string>").alias("m"))
+    docs = texts.select("scene_id", F.from_json("value", "map<string,string>").alias("m")).persist()
     info = docs.select("scene_id", "m", F.from_json(F.col("m")["info"], "duration double, fps double, steps int, `scene-size` struct<width:double,height:double>, objects array<struct<id:string,sourceId:string,shape:string,fill:string,stroke:string,size:array<double>>>").alias("i"))
     scenes = info.select("scene_id", "i.duration", "i.fps", "i.steps", F.col("i.scene-size.width").alias("width"), F.col("i.scene-size.height").alias("height"))
     objects = info.select("scene_id", F.posexplode("i.objects").alias("obj_idx", "o")).select("scene_id", "obj_idx", F.col("o.id").alias("obj_id"), F.col("o.sourceId").alias("source_id"), "o.shape", "o.fill", "o.stroke", "o.size")
