@@ -25,7 +25,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     held = getattr(spark.sparkContext, "_frameloom_scratch", None)
     if held is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="frameloom-")
         spark.sparkContext._frameloom_scratch = held
@@ -54,12 +54,21 @@ def drop_table(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder as Parquet and reads it back.
 
-    It cuts lineage, and survives lost executors: nothing is recomputed after it, and nothing lives on one machine alone.
+    It cuts lineage, and survives lost executors: nothing is recomputed after it, and nothing lives on one machine alone. :func:`discard` deletes
+    the table; what a lazy result still reads stays until whoever owns the shared folder clears it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._frameloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for df in tables:
+        drop_table(df.sparkSession, df._frameloom_path)
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
@@ -112,6 +121,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         nxt = materialise(nxt, "edges")
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         old, cur = cur, nxt
+        discard(old)
         if now == seen:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

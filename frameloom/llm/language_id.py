@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import map_rows
 
 #: Training texts of a language, share of them that must have an n-gram, n-gram length, hashes, greatest number of languages.
-PER_LANG, SHARE, GRAM, HASHES, MOST_LANGS = 1500, 0.02, 3, 3, 64
+PER_LANG, SHARE, GRAM, HASHES, MOST_LANGS = 1500, 0.02, 3, 3, 1024
 UNKNOWN = "und"
 #: Characters that are hashed at a time.
 BLOCK = 1 << 18
@@ -54,16 +54,17 @@ class Filters:
         import numpy as np
 
         if len(sets) > MOST_LANGS:
-            raise ValueError(f"a mask holds {MOST_LANGS} languages")
+            raise ValueError(f"more than {MOST_LANGS} languages")
         self.langs, self.common = sorted(sets), common
         most = max([1024, *map(len, sets.values())])
         self.bits = max(12, (8 * most - 1).bit_length())
-        self.cells = np.zeros(1 << self.bits, np.uint64)
+        #: one slice of cells for every 64 languages
+        self.cells = np.zeros((-(-len(sets) // 64), 1 << self.bits), np.uint64)
         for i, lang in enumerate(self.langs):
             h = np.array(sets[lang], np.int64).view(np.uint64)
             for at in self._places(h):
-                np.bitwise_or.at(self.cells, at, np.uint64(1 << i))
-        fill = [float((self.cells >> np.uint64(i) & np.uint64(1)).mean()) for i in range(len(self.langs))]
+                np.bitwise_or.at(self.cells[i // 64], at, np.uint64(1 << i % 64))
+        fill = [float((self.cells[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean()) for i in range(len(self.langs))]
         self.wrong = np.array([f**HASHES for f in fill])
 
     def _places(self, h):
@@ -80,9 +81,9 @@ class Filters:
         n, count = 0, np.zeros(len(self.langs))
         for h in grams(text):
             at = self._places(h)
-            mask = self.cells[at[0]] & self.cells[at[1]] & self.cells[at[2]]
+            masks = [c[at[0]] & c[at[1]] & c[at[2]] for c in self.cells]
             n += len(h)
-            count += [np.count_nonzero(mask & np.uint64(1 << i)) for i in range(len(self.langs))]
+            count += [np.count_nonzero(masks[i // 64] & np.uint64(1 << i % 64)) for i in range(len(self.langs))]
         true = np.maximum(0, (count - n * self.wrong) / (1 - self.wrong))
         if not true.sum():
             return self.common, 0.0

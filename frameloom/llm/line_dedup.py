@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from frameloom.llm.common import materialise
+from frameloom.llm.common import discard, materialise
 
 #: Characters from which near copies are looked for, words for each word edit, greatest number of word edits.
 LEAST, PER_EDIT, MOST = 20, 20, 3
@@ -234,12 +234,14 @@ def near_copies(lines: DataFrame, texts_of, per_edit: int, most: int, cuts: int)
     shared = each.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max(own).alias("own")).where("lo <> hi and own = 1").select("key")
     shared = materialise(shared, "line-keys")
     met = lines.select("h1", "place", F.explode("keys").alias("k")).where("k is not null").withColumn("key", key).join(_few(shared), "key")
-    met = materialise(met.groupBy("key", "h1").agg(F.min("place").alias("place"), F.max(own).alias("own")), "line-members")
-    texts = texts_of(materialise(met.select("h1", "place").distinct(), "line-ids")).withColumn("hashes", word_hashes(F.col("line")))
+    alone = materialise(met.groupBy("key", "h1").agg(F.min("place").alias("place"), F.max(own).alias("own")), "line-keyed")
+    discard(shared)
+    texts = texts_of(materialise(alone.select("h1", "place").distinct(), "line-ids")).withColumn("hashes", word_hashes(F.col("line")))
     sketches = [word_sketch(F.col("hashes"), 6 * i).alias(f"sketch{i}") for i in (0, 1)]
     texts = materialise(texts.select("h1", "h2", "line", "n_chars", F.size("hashes").alias("n_words"), *sketches), "line-texts")
     columns = ["h1", "place", "n_words", "n_chars", "sketch0", "sketch1", "own"]
-    met = materialise(met.join(_few(texts.select("h1", *columns[2:6])), "h1").select("key", *columns), "line-members")
+    met = materialise(alone.join(_few(texts.select("h1", *columns[2:6])), "h1").select("key", *columns), "line-members")
+    discard(alone)
     u = met.select("key", *[F.col(c).alias(f"u_{c}") for c in columns])
     near = lambda pairs: near_pairs(pairs.select(F.col("u_h1").alias("u"), F.col("x_h1").alias("x")).distinct(), texts, per_edit, most, cuts).groupBy("u").agg(F.min("x").alias("x"))
 

@@ -8,7 +8,7 @@ principle some segment starts a chain in which every prefix stays within its sha
 segments at most 0, 1, 2, 3 bits differ (the floor of 3/4 a segment). Such a chain is found by equality: its first
 segment is equal; of the second segment's two bytes one is equal (one difference at most); of the third segment's three parts one is equal (two differences at most).
 So each fingerprint has 4 x 2 x 3 keys of 29 or 30 bits. Pairs that share a key are kept in the join itself only if the whole
-chain is viable, and only under the first key that they share, before the full Hamming check.
+chain is viable, then by the full Hamming check; pairs that share several keys are listed once afterwards.
 
 **Scale.** Equal fingerprints are one node, so copies never meet as pairs, and each link of different fingerprints is found.
 Components contract in the shared folder by star rounds. Nothing is collected.

@@ -63,6 +63,7 @@ class Machine:
     def __init__(self, bias: float, ids, weights, factors) -> None:
         self.bias, self.weights, self.factors = bias, weights, factors
         self.at = {int(t): i for i, t in enumerate(ids)}
+        self.trained = True
         self.known: dict[str, tuple[int, ...]] = {}
 
     def of_terms(self, terms) -> float:
@@ -206,7 +207,9 @@ def train_once(rows: list[tuple[bytes, int]], epochs: int, alone: int, rate: flo
     rng = np.random.default_rng(seed)
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y):
-        return Machine(0.0, [], np.zeros(0), np.zeros((0, FACTORS)))
+        untrained = Machine(0.0, [], np.zeros(0), np.zeros((0, FACTORS)))
+        untrained.trained = False
+        return untrained
     ids, count = np.unique(np.concatenate([np.frombuffer(r[0], "<u4") for r in rows]), return_counts=True)
     ids, count = ids[count >= LEAST_DOCS], count[count >= LEAST_DOCS]
     own = [known_terms(np.frombuffer(r[0], "<u4"), ids) for r in rows]
@@ -287,7 +290,9 @@ def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows that score under ``threshold``, with all their columns."""
+    """The rows that score under ``threshold``, with all their columns. A machine that saw no label rejects nothing."""
+    if not machine.trained:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def keep(batches):

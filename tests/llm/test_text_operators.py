@@ -243,11 +243,25 @@ def test_languages(spark):
     assert [got[k].lang_pred for k in (500, 501, 502)] == ["und"] * 3 and got[503].lang_pred in stems and got[503].score == 0
     assert all(0 <= r.score <= 1 for r in got.values())
     # filters know every n-gram they were given
-    masks = [filters.cells[at] for at in filters._places(next(language_id.grams("bankol")))]
+    masks = [filters.cells[0][at] for at in filters._places(next(language_id.grams("bankol")))]
     assert ((masks[0] & masks[1] & masks[2]) & __import__("numpy").uint64(1)).all()
     assert language_id.fit(df.limit(0)).predict("abc") == ("und", 0.0)
 
 
+def test_many_languages_ties_and_repeats(spark):
+    """More languages than a mask has bits, repeated rows, a tie between two languages of one text, and a very long text."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: alphabet[k % 26] * 2 + alphabet[k // 26] + alphabet[(k * 7) % 26]
+    rows = [(k * 10 + j, " ".join([word(k)] * 5), f"l{k:02d}") for k in range(70) for j in range(3)]
+    df = spark.createDataFrame(rows + [(9000, "zzzz qqqq", "t2"), (9001, "zzzz qqqq", "t1")], "doc_id long, text string, lang string")
+    filters = language_id.fit(df)
+    assert filters.cells.shape[0] == 2 and [filters.predict(f"{word(k)} {word(k)}")[0] for k in (0, 40, 63, 64, 69)] == ["l00", "l40", "l63", "l64", "l69"]
+    assert filters.predict("zzzz qqqq") == ("t1", 0.5)  # a tie goes to the first name
+    assert filters.predict(f"{word(3)} " * 200_000)[0] == "l03"
+    twice = language_id.predictions(df.union(df), filters).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("lang_pred").alias("k")).collect()
+    assert {(r.n, r.k) for r in twice} == {(2, 1)}
+
+
 def brute_stats(text):
     words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
     lines = [x for x in (text or "").split("\n") if __import__("re").search(r"[^\x20\x09-\x0D]", x)]
