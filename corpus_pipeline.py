@@ -2,6 +2,10 @@
 
 Toxic documents go; repeated lines go from the texts; of each group of near duplicates one document stays; documents with a benchmark item go;
 what is left is encoded. Every stage but the last returns the columns of its input, and works on every row that it gets.
+
+Defined results: a null or empty text is clean, has no line to drop, has fingerprint zero (of all documents without words one stays) and no benchmark item, and encodes to no tokens.
+A null id is an id before all others; repeated rows are near duplicates of each other, of which one stays; ties go to the least id, then to the least hash of the text. Empty tables give
+empty results (without labels nothing is toxic, without a benchmark nothing contaminated). Further columns are kept as they are, ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import byte_bpe, decontaminate, line_dedup, simhash, toxicity
-from frameloom.llm.common import materialise
+from frameloom.llm.common import discard, materialise
 from frameloom.llm.registry import fold, table
 
 
@@ -55,7 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents`` in order."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
