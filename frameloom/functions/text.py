@@ -40,6 +40,13 @@ def code_block(text: Column, mark: str = "```") -> Column:
     return F.when((begin > 0) & (end > 0), F.trim(F.substring(rest, F.lit(1), end - 1), F.lit("\n")))
 
 
+def render(template: Column, values: dict[str, Column]) -> Column:
+    """A template with ``{{name}}`` replaced by the values; names that have none stay. Values are put in one after the other, so a value can hold a later name."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return template
+
+
 def format_number(x: Column) -> Column:
     """A number without a trailing ``.0``."""
     return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frameloom.functions import text as tx
 from frameloom.functions import vocabulary as vo
 from frameloom.operators import compose as co
 from frameloom.operators import generate
@@ -158,6 +159,9 @@ register("q_labelled_synonyms", "SELECT p_partkey, array_to_string(list_filter(s
 register("q_doc_section", "SELECT item_id, ltrim(string_split('head' || chr(10) || '### Part' || chr(10) || chr(10) || text || '### Part tail', '### Part')[2], chr(10)) AS section FROM benchmark")(
     lambda s, d: load(s, d, "benchmark").select("item_id", vo.section_after(F.concat(F.lit("head\n### Part\n\n"), "text", F.lit("### Part tail")), "### Part").alias("section"))
 )
+register("q_template_render", "SELECT p_partkey, 'Make ' || p_name || ' move ' || p_size || ' px ({{other}}), ' || p_name AS said FROM part")(
+    lambda s, d: load(s, d, "part").select("p_partkey", tx.render(F.lit("Make {{object}} move {{size}} px ({{other}}), {{object}}"), {"object": C("p_name"), "size": C("p_size")}).alias("said"))
+)
 register("q_group_type", "SELECT p_partkey, CASE WHEN split_part(p_type, ' ', 3) IN ('TIN', 'BRASS') THEN 'soft' WHEN split_part(p_type, ' ', 3) = 'STEEL' THEN 'hard' END AS kind FROM part")(
     lambda s, d: load(s, d, "part").select("p_partkey", vo.group_of(F.get(F.split("p_type", " "), F.lit(2)), {"soft": ("TIN", "BRASS"), "hard": ("STEEL", "TIN")}).alias("kind"))
 )

@@ -104,6 +104,10 @@ register("q_program_post", f"""WITH {_SPACE}, hit AS (SELECT DISTINCT scene, k F
   SELECT s.scene AS scene_id, coalesce(bool_or(dx <> 0), false) AS result FROM scenes s LEFT JOIN c1 ON c1.scene = s.scene GROUP BY 1""")(
     lambda s, d: compiler.evaluate(OBJECTS_ + 'm_1 = iota(Motion, lambda m: type(m, "translate") and post(m, s_left(o_1, o_2)) and agent(m, o_1))', scene_tables(s, d)).where("stmt_idx = 2 and node_idx = 0").select("scene_id", "result")
 )
+RECORDED = 'm_1 = iota(Motion, lambda m: type(m, "translate") and direction(m, [1.0, 0.0]) and duration(m, 3.0))\nm_2 = iota(Motion, lambda m: type(m, get_type(m_1)) and direction(m, get_direction(m_1)) and duration(m, get_duration(m_1)) and not m_1)'
+register("q_program_motion_getters", report_sql(f"""{SCENES}, {first_runs_sql('m1', 'dx > 0')}, rest AS (SELECT DISTINCT scene FROM cells c JOIN m1 USING (scene, obj) WHERE dx > 0 AND NOT frame BETWEEN s AND e),
+  r AS (SELECT scene, bool_or(dx > 0) AS a, bool_or(dx <> 0) AS t, scene IN (SELECT scene FROM rest) AS two, true AS yes FROM cells GROUP BY 1)""",
+    [(0, 0, "a"), (0, 1, "t"), (0, 2, "a"), (0, 3, "yes"), (1, 0, "two"), (1, 1, "t"), (1, 2, "a"), (1, 3, "yes")], "r"))(reported(RECORDED))
 register("q_program_count", f"WITH {SCENES}, {first_runs_sql('m', 'dx <> 0')} SELECT s.scene AS scene_id, count(m_all.s) AS n FROM scenes s LEFT JOIN m_all ON m_all.scene = s.scene GROUP BY 1")(
     lambda s, d: compiler.count('count(Motion, lambda m: type(m, "translate"))', scene_tables(s, d))
 )
