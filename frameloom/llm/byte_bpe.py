@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from frameloom.llm.common import map_rows
 
 #: States of the transducer and entries of the piece memory that a worker keeps at most; beyond, they aren't kept.
-MAX_STATES = 40_000
-MAX_PIECES = 150_000
+MAX_STATES = 60_000
+MAX_PIECES = 400_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Tokens that are decoded at a time.
 BLOCK = 1 << 16

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python worker holds as results before it hands them back to the JVM.
-OUT_ROWS = 2048
+#: Rows that a Python worker gets in one Arrow batch (texts can be long), and that it holds as results before it hands them back to the JVM.
+IN_ROWS, OUT_ROWS = 2000, 2048
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -71,6 +71,14 @@ def discard(*tables: DataFrame) -> None:
         drop_table(df.sparkSession, df._frameloom_path)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``IN_ROWS`` rows: the session's setting is lowered to it, as both sides hold whole batches of texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= IN_ROWS:
+        conf.set(name, IN_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """Applies a row function to every row of ``df`` in Arrow batches.
 
@@ -91,7 +99,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]
     from pyspark.sql.types import _parse_datatype_string
 
     types = to_arrow_schema(_parse_datatype_string(schema))
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

@@ -24,7 +24,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_rows, materialise
+from frameloom.llm.common import map_batches, map_rows, materialise
 
 #: Edits for each character of an item, and the length from which items may have edits.
 RATE, LEAST = 0.08, 24
@@ -172,6 +172,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_c
                 at = batch.schema.get_field_index(text_col)
                 yield batch.filter(pa.array([not matcher.find(fold(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        out = (out if last is None else materialise(out, "cleaned")).mapInArrow(keep, docs.schema)
+        out = map_batches(out if last is None else materialise(out, "cleaned"), keep, docs.schema)
         last = block
     return out

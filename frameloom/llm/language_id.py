@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_rows
+from frameloom.llm.common import map_batches, map_rows
 
 #: Training texts of a language, share of them that must have an n-gram, n-gram length, hashes, greatest number of languages.
 PER_LANG, SHARE, GRAM, HASHES, MOST_LANGS = 1500, 0.02, 3, 3, 1024
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, share: float = SHARE, id_col:
             gram, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    seen = some.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    seen = map_batches(some, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1.0, share * min(n, per_lang)))])
     sets: dict[str, list[int]] = {lang: [] for lang in sizes}
     for lang, gram in seen.where(F.col("n") >= F.try_element_at(least, F.col("lang"))).select("lang", "gram").collect():

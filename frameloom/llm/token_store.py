@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from frameloom.llm.byte_bpe import ChunkedEncoder, pack
-from frameloom.llm.common import drop_table, map_rows, materialise, scratch_path
+from frameloom.llm.common import drop_table, map_batches, map_rows, materialise, scratch_path
 
 #: Rolling-hash cuts: window, bits that must be zero, least and greatest ids of a chunk.
 WINDOW, BITS, LEAST, MOST = 16, 10, 256, 8192
@@ -160,7 +160,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["kind", "gkey", "n", "payload", "doc_id"])
 
     encoded = scratch_path(spark, "encoded")
-    rows = docs.select(F.col(text_col), F.col(id_col)).mapInArrow(encode, f"kind string, gkey binary, n int, payload binary, doc_id {kind}")
+    rows = map_batches(docs.select(F.col(text_col), F.col(id_col)), encode, f"kind string, gkey binary, n int, payload binary, doc_id {kind}")
     rows.write.partitionBy("kind").option("compression", "none").parquet(encoded)
     both = spark.read.schema(f"gkey binary, n int, payload binary, doc_id {kind}, kind string").parquet(encoded)
     both.where("kind = 'chunk'").select("gkey", "n", "payload").repartition("gkey").dropDuplicates(["gkey"]).write.option("compression", "none").parquet(f"{path}/chunks")

@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_rows
+from frameloom.llm.common import map_batches, map_rows
 
 #: Rows that a fit may read, hash bits, documents a term must have in them, factors.
 MAX_ROWS, BITS, LEAST_DOCS, FACTORS = 8_000, 26, 6, 8
@@ -303,4 +303,4 @@ def keep_clean(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD,
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
