@@ -26,12 +26,14 @@ from frameloom.llm.common import map_batches, map_rows
 #: Rows that a fit may read, hash bits, documents a term must have in them, factors.
 MAX_ROWS, BITS, LEAST_DOCS, FACTORS = 8_000, 26, 6, 8
 #: Lengths of word beginnings that are terms too; words of which a worker remembers the terms.
-PREFIXES, MAX_WORDS = (4, 5, 6, 7), 120_000
+PREFIXES, MAX_WORDS = (4, 5, 6, 7), 60_000
 #: A term gets factors if its pairs hold so many times the residuals that chance gives, over so many random draws of the other terms; it must stand in
 #: so many labelled documents, and at most so many terms (the least explained ones) get factors.
 UNEXPLAINED, DRAWS, PAIR_DOCS, PAIR_TERMS = 1.6, 32, 12, 500
 #: Epochs, those of the weights alone before, and rows that a check of the pairs needs.
 EPOCHS, ALONE, LEAST_CHECKED = 16, 4, 50
+#: Rows, at most, on which the two machines of the check are fitted and compared.
+CHECK_ROWS = 4000
 #: Share of the weights' loss that pairs must get under.
 MARGIN = 0.95
 THRESHOLD = 0.3
@@ -186,14 +188,14 @@ def log_loss(machine: Machine, rows: list[tuple[bytes, int]]) -> float:
 def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, alone: int = ALONE, seed: int = 7) -> Machine:
     """Fits a machine on ``rows``: each document's term hashes (32-bit little-endian) and its label.
 
-    Pairs take part if they help: of two machines that are fitted on four fifths of the rows, one with factors after ``alone`` epochs and one of weights only, the
+    Pairs take part if they help: of two machines that are fitted on four fifths of the rows (of at most ``CHECK_ROWS``), one with factors after ``alone`` epochs and one of weights only, the
     first says how all rows are fitted if its loss on the last fifth is under ``MARGIN`` of the second's.
     """
     import numpy as np
 
     if alone < epochs and len(rows) >= 5 * LEAST_CHECKED:
-        order = np.random.default_rng(seed).permutation(len(rows)).tolist()
-        cut = len(rows) // 5
+        order = np.random.default_rng(seed).permutation(len(rows)).tolist()[:CHECK_ROWS]
+        cut = len(order) // 5
         check, some = [rows[i] for i in order[:cut]], [rows[i] for i in order[cut:]]
         losses = [log_loss(train_once(some, epochs, a, seed=seed), check) for a in (alone, epochs)]
         alone = alone if losses[0] < MARGIN * losses[1] else epochs
@@ -302,5 +304,6 @@ def keep_clean(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD,
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        model.known.clear()
 
     return map_batches(docs, keep, docs.schema)
