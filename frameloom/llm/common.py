@@ -85,9 +85,11 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def tidy() -> None:
-    """Gives a worker's free memory back to the machine: idle workers stay beside the JVM for a while."""
+    """Gives a process's free memory back to the machine: idle workers, and the driver's Python, stay beside a JVM."""
     import ctypes
+    import gc
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_batches, map_rows
+from frameloom.llm.common import map_batches, map_rows, tidy
 
 #: Rows that a fit may read, hash bits, documents a term must have in them, factors.
 MAX_ROWS, BITS, LEAST_DOCS, FACTORS = 8_000, 26, 6, 8
@@ -197,7 +197,10 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, alone: int = ALON
         order = np.random.default_rng(seed).permutation(len(rows)).tolist()[:CHECK_ROWS]
         cut = len(order) // 5
         check, some = [rows[i] for i in order[:cut]], [rows[i] for i in order[cut:]]
-        losses = [log_loss(train_once(some, epochs, a, seed=seed), check) for a in (alone, epochs)]
+        losses = []
+        for a in (alone, epochs):
+            losses.append(log_loss(train_once(some, epochs, a, seed=seed), check))
+            tidy()
         alone = alone if losses[0] < MARGIN * losses[1] else epochs
     return train_once(rows, epochs, alone, seed=seed)
 
@@ -277,7 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
 
         return lambda text, y: (np.array(sorted(terms(text)), "<u4").tobytes(), y)
 
-    return train(sorted(tuple(r) for r in map_rows(found, "terms binary, y int", make).collect()))
+    machine = train(sorted(tuple(r) for r in map_rows(found, "terms binary, y int", make).collect()))
+    tidy()
+    return machine
 
 
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
