@@ -20,17 +20,40 @@ POINT_RATE = 2400.0
 def points_in_time(tweens: DataFrame, scenes: DataFrame, objects: DataFrame, targets: DataFrame, tolerance: float = 0.1, rate: float = POINT_RATE) -> DataFrame:
     """``scene_id, obj_id, matches``: the samples at which an object's centre is within ``tolerance`` of a target; null for ids that no scene has.
 
-    ``tweens``: scene_id, obj_id, begin, seconds, dx, dy (linear moves); ``objects``: scene_id, obj_id, x, y (rest centres); ``targets``: scene_id, obj_id, x, y. Only asked objects are sampled: they are joined by id
-    first, and each sample is one row of the scene's clock.
+    ``tweens``: scene_id, obj_id, begin, seconds, dx, dy (linear moves); ``objects``: scene_id, obj_id, x, y (rest centres); ``targets``: scene_id, obj_id, x, y. Between the ends of an object's tweens its
+    centre moves on a line, so the distance to a target is within the tolerance between the roots of a quadratic. Only the samples between them, and one more on either side, are listed and tested; the others
+    of a scene's clock never become rows.
     """
+    move = "struct<begin:double,seconds:double,dx:double,dy:double>"
+    own = tweens.groupBy("scene_id", "obj_id").agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("begin", "seconds", "dx", "dy")])).alias("own"))
     asked = targets.select("scene_id", "obj_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    own = tweens.groupBy("scene_id", "obj_id").agg(F.collect_list(F.struct("begin", "seconds", "dx", "dy")).alias("own"))
-    rows = asked.join(objects.select("scene_id", "obj_id", "x", "y"), ["scene_id", "obj_id"]).join(own, ["scene_id", "obj_id"], "left").join(scenes.select("scene_id", "duration"), "scene_id")
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("duration") * rate)))).withColumn("time", F.least(F.col("i") / rate, F.col("duration")))
-    part = lambda m: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("time") - m["begin"], m["seconds"]), F.when(F.col("time") >= m["begin"], 1.0).otherwise(0.0))))
-    at = lambda rest, d: F.col(rest) + F.coalesce(F.aggregate("own", F.lit(0.0), lambda s, m: s + m[d] * part(m)), F.lit(0.0))
-    error = F.hypot(at("x", "dx") - F.col("tx"), at("y", "dy") - F.col("ty"))
-    hits = rows.withColumn("error", error).where(F.col("error") <= tolerance).groupBy("scene_id", "obj_id").agg(F.array_sort(F.collect_list(F.struct("time", "error"))).alias("found"))
+    rows = asked.join(objects.select("scene_id", "obj_id", "x", "y"), ["scene_id", "obj_id"]).join(own, ["scene_id", "obj_id"], "left").join(scenes.select("scene_id", F.col("duration").cast("double").alias("duration")), "scene_id")
+    rows = rows.where("duration is not null").withColumn("own", F.coalesce("own", F.array().cast(f"array<{move}>")))
+    # pieces: from one end of a tween to the next, within the scene
+    ends = F.concat(F.array(F.lit(0.0), F.col("duration")), F.transform("own", lambda m: m["begin"]), F.transform("own", lambda m: m["begin"] + F.coalesce(m["seconds"], F.lit(0.0))))
+    cuts = F.array_sort(F.array_distinct(F.filter(ends, lambda t: (t >= 0) & (t <= F.col("duration")))))
+    rows = rows.withColumn("cuts", cuts).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.size("cuts") - 2, F.lit(0)))))
+    rows = rows.select("scene_id", "obj_id", "x", "y", "tx", "ty", "own", "duration", F.get("cuts", F.col("piece")).alias("since"), F.coalesce(F.get("cuts", F.col("piece") + 1), F.get("cuts", F.col("piece"))).alias("until"))
+    part = lambda m, t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(t - m["begin"], m["seconds"]), F.when(t >= m["begin"], 1.0).otherwise(0.0))))
+    at = lambda rest, d, t: F.col(rest) + F.aggregate("own", F.lit(0.0), lambda s, m: s + m[d] * part(m, t))
+    middle = (F.col("since") + F.col("until")) / 2
+    speed = lambda d: F.aggregate("own", F.lit(0.0), lambda s, m: s + F.when((m["begin"] <= middle) & (middle < m["begin"] + m["seconds"]), F.try_divide(m[d], m["seconds"])).otherwise(0.0))
+    rows = rows.withColumns({"px": at("x", "dx", F.col("since")) - F.col("tx"), "py": at("y", "dy", F.col("since")) - F.col("ty"), "vx": speed("dx"), "vy": speed("dy")})
+    # |p + v t| <= r for t from the piece's beginning on, with a margin for rounding
+    r = F.lit(tolerance * (1 + 1e-9)) + F.lit(1e-9) * (F.abs("px") + F.abs("py") + F.abs("tx") + F.abs("ty"))
+    rows = rows.withColumns({"qa": F.col("vx") ** 2 + F.col("vy") ** 2, "qb": F.col("px") * F.col("vx") + F.col("py") * F.col("vy"), "qc": F.col("px") ** 2 + F.col("py") ** 2 - r * r})
+    inner = F.col("qb") ** 2 - F.col("qa") * F.col("qc")
+    root = F.sqrt(F.greatest(inner, F.lit(0.0)))
+    far = F.col("until") - F.col("since")
+    low = F.when(F.col("qa") > 0, F.greatest(F.lit(0.0), (-F.col("qb") - root) / F.col("qa"))).otherwise(0.0)
+    high = F.when(F.col("qa") > 0, F.least(far, (root - F.col("qb")) / F.col("qa"))).otherwise(far)
+    rows = rows.where(F.when(F.col("qa") > 0, inner >= 0).otherwise(F.col("qc") <= 0)).withColumns({"low": low, "high": high}).where("low <= high")
+    last = F.ceil(F.col("duration") * rate)
+    first_tick, last_tick = F.greatest(F.lit(0).cast("long"), F.floor((F.col("since") + F.col("low")) * rate) - 1), F.least(last, F.ceil((F.col("since") + F.col("high")) * rate) + 1)
+    ticks = rows.where(first_tick <= last_tick).select("scene_id", "obj_id", "x", "y", "tx", "ty", "own", "since", "until", "duration", F.explode(F.sequence(first_tick, last_tick)).alias("i"))
+    ticks = ticks.withColumn("time", F.least(F.col("i") / rate, F.col("duration"))).where("time >= since and (time < until or until >= duration)")  # each sample in one piece
+    error = F.hypot(at("x", "dx", F.col("time")) - F.col("tx"), at("y", "dy", F.col("time")) - F.col("ty"))
+    hits = ticks.withColumn("error", error).where(F.col("error") <= tolerance).groupBy("scene_id", "obj_id").agg(F.array_sort(F.collect_list(F.struct("time", "error"))).alias("found"))
     known = objects.select("scene_id", "obj_id", F.lit(True).alias("known"))
     none = F.array().cast("array<struct<time:double,error:double>>")
     out = targets.select("scene_id", "obj_id").distinct().join(known, ["scene_id", "obj_id"], "left").join(hits, ["scene_id", "obj_id"], "left")

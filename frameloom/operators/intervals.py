@@ -15,7 +15,7 @@ from frameloom.functions.allen import INVERSE, RELATIONS, TOLERANCE
 from frameloom.operators.runs import merged
 
 #: Mark of the universe in a sweep: above the bits of all sets.
-UNIVERSE = 1 << 62
+UNIVERSE = 1 << 44
 #: Relative part of the relations' tolerance.
 RELATIVE = 1e-5
 
@@ -33,7 +33,7 @@ def segments(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def combined(sets: dict[str, DataFrame], universe: DataFrame, keys: Sequence[str], held: Callable[[dict[str, Column]], Column]) -> DataFrame:
-    """``keys, s, e``: where ``held`` is true of the sets' flags, within ``universe``, as maximal intervals. ``held`` may use and, or and not of at most 60 sets."""
+    """``keys, s, e``: where ``held`` is true of the sets' flags, within ``universe``, as maximal intervals. ``held`` may use and, or and not of at most 44 sets."""
     marks = [x.select(*keys, "s", "e", F.lit(1 << i).alias("bit")) for i, x in enumerate(sets.values())]
     swept = segments(reduce(DataFrame.unionByName, marks, universe.select(*keys, "s", "e", F.lit(UNIVERSE).alias("bit"))), keys)
     flag = {name: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0 for i, name in enumerate(sets)}

@@ -46,7 +46,12 @@ def direction(mask: int, target, types: str = "types", prefix: str = "dir_") ->
 
 
 def magnitude(frames: DataFrame, tweens: DataFrame, scenes: DataFrame, mask: int, target, keys: list[str] = KEYS) -> DataFrame:
-    """Marked frames of tweens that reach a magnitude.
+    """Marked frames of tweens that reach a magnitude: the frames of :func:`magnitude_spans`."""
+    return covered(magnitude_spans(frames, tweens, scenes, mask, target, keys), keys)
+
+
+def magnitude_spans(frames: DataFrame, tweens: DataFrame, scenes: DataFrame, mask: int, target, keys: list[str] = KEYS) -> DataFrame:
+    """``keys, s, e`` of tweens that reach a magnitude.
 
     From a tween's first frame on, the last frame whose accumulated change is within 0.1 of the target ends the marked frames: before it for
     translation and scaling, with it for rotation. A frame must have the type; the tween's own type doesn't matter. A tween's
@@ -71,22 +76,32 @@ def magnitude(frames: DataFrame, tweens: DataFrame, scenes: DataFrame, mask: int
         hits.append(F.when(has_type(kind, F.col("types")) & near, end))
     last = F.greatest(*hits) if len(hits) > 1 else hits[0]
     spans = rows.groupBy(*keys, "tween_idx", "sf").agg(F.max(last).alias("e")).where("e is not null")
-    return covered(spans.select(*keys, F.col("sf").alias("s"), "e"), keys)
+    return spans.select(*keys, F.col("sf").alias("s"), "e")
 
 
 def duration(tweens: DataFrame, scenes: DataFrame, mask: int, seconds: float, keys: list[str] = KEYS) -> DataFrame:
-    """Marked frames of tweens of one of the types that last so long: from the first frame to the one after the last."""
+    """Marked frames of tweens of one of the types that last so long."""
+    return covered(duration_spans(tweens, scenes, mask, seconds, keys), keys)
+
+
+def duration_spans(tweens: DataFrame, scenes: DataFrame, mask: int, seconds: float, keys: list[str] = KEYS) -> DataFrame:
+    """``keys, s, e`` of such tweens: from the first frame to the one after the last."""
     names = [n for n, m in (("translate", TRANSLATE), ("rotate", ROTATE), ("scale", SCALE)) if m & mask]
     some = tweens.where(F.col("type").isin(names) & is_close(F.col("duration"), F.lit(float(seconds))))
     end = F.least(F.ceil("end") + 1, F.col("steps")) - 1
-    return covered(some.join(scenes.select(keys[0], "steps"), keys[0]).select(*keys, F.floor("start").alias("s"), end.alias("e")), keys)
+    return some.join(scenes.select(keys[0], "steps"), keys[0]).select(*keys, F.floor("start").alias("s"), end.alias("e"))
 
 
 def post(tweens: DataFrame, scenes: DataFrame, rel: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Marked frames of tweens at whose end a spatial relation (``scene_id, frame, holds``) holds; the type doesn't matter."""
+    """Marked frames of tweens at whose end a spatial relation holds."""
+    return covered(post_spans(tweens, scenes, rel, keys), keys)
+
+
+def post_spans(tweens: DataFrame, scenes: DataFrame, rel: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """``keys, s, e`` of tweens at whose end a spatial relation (``scene_id, frame, holds``) holds; the type doesn't matter."""
     at = tweens.join(scenes.select(keys[0], "steps"), keys[0]).withColumn("frame", F.least(F.ceil("end"), F.col("steps") - 1).cast("int"))
     held = at.join(rel.where("holds").select(keys[0], "frame"), [keys[0], "frame"], "left_semi")
-    return covered(held.select(*keys, F.floor("start").alias("s"), F.least(F.ceil("end") - 1, F.col("steps") - 1).alias("e")), keys)
+    return held.select(*keys, F.floor("start").alias("s"), F.least(F.ceil("end") - 1, F.col("steps") - 1).alias("e"))
 
 
 def origin(target, wld: tuple[Column, Column], corners: list[tuple[Column, Column]]) -> Column:

@@ -35,3 +35,17 @@ def merged(intervals: DataFrame, keys: list[str]) -> DataFrame:
 def with_flag(frames: DataFrame, marked: DataFrame, on: list[str], flag: str) -> DataFrame:
     """``frames`` with a boolean column that says whether the row is in ``marked``."""
     return frames.join(marked.select(*on).distinct().withColumn(flag, F.lit(True)), on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+#: What :func:`stretches` keeps of frames.
+STATE = ("types", "dir_tx", "dir_ty", "dir_rot", "dir_sx", "dir_sy")
+
+
+def stretches(frames: DataFrame, keys: tuple[str, ...] = ("scene_id", "obj_idx")) -> DataFrame:
+    """``keys, s, e`` and the state of each stretch of frames (before ``steps``) in which an object's types and directions stay the same. One shuffle on the keys."""
+    state = F.struct(*STATE)
+    at = Window.partitionBy(*keys).orderBy("frame")
+    fresh = F.lag("frame").over(at).isNull() | (F.lag("frame").over(at) + 1 != F.col("frame")) | ~F.lag(state).over(at).eqNullSafe(state)
+    rows = frames.where("frame < steps").select(*keys, "frame", *STATE, fresh.cast("int").alias("fresh"))
+    rows = rows.withColumn("g", F.sum("fresh").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, "g").agg(F.min("frame").cast("bigint").alias("s"), F.max("frame").cast("bigint").alias("e"), *[F.first(c).alias(c) for c in STATE]).drop("g")

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import text as tx
-from frameloom.functions.allen import REGIONS, RELATIONS, TEMPORAL, any_relation, axis_relation, region, relation
+from frameloom.functions.allen import REGIONS, RELATIONS, TEMPORAL, axis_relation, region
 from frameloom.functions.geometry import boxes_meet, half_plane, in_quad, point_in_box, unit
 from frameloom.functions.motion_types import parse_types
 from frameloom.operators import analytics, motion
 from frameloom.operators import runs as rn
+from frameloom.operators.intervals import related
 from frameloom.plans.compiler import color_is
 from frameloom.sources import scenes as sc
 
@@ -309,10 +310,7 @@ def relation_sql(name: str, a: tuple[str, str], b: tuple[str, str], less: str =
 def _temporal(names):
     def query(s, d):
         rows = day_tweens(s, d)
-        side = lambda kind, p: rows.where(F.col("kind") == kind).select("cust", F.col("s").alias(f"{p}0"), F.col("e").alias(f"{p}1"))
-        both = side(1, "a").join(side(2, "b"), "cust")
-        held = any_relation(names, (F.col("a0"), F.col("a1")), (F.col("b0"), F.col("b1")), gap=1)
-        return both.where(held).select("cust").distinct()
+        return related(rows.where("kind = 1"), rows.where("kind = 2"), ["cust"], names, gap=1).select("cust").distinct()
 
     return query
 

@@ -12,6 +12,7 @@ from frameloom.functions.allen import REGIONS, T_BEFORE
 from frameloom.operators import generate
 from frameloom.plans import compiler
 from frameloom.plans.driver_queries import BOXES, SIDES, boxes, load, register, relation_sql
+from frameloom.plans.program_tables import evaluate_programs
 from frameloom.sources import scenes as sc
 
 C = F.col
@@ -124,6 +125,37 @@ def _registered(s, d):
 register("q_program_registered_predicate", f"""WITH {SCENES} SELECT scene AS scene_id, bool_or("right" - "left" >= 12 AND dx <> 0) AS result FROM cells GROUP BY 1""")(_registered)
 
 
+# a table of programs: each scene's own, on that scene and the next two
+
+
+def _program_table(s, d):
+    found = scene_tables(s, d)
+    ids = found.scenes.select(C("scene_id").alias("program_id"))
+    color, kind = F.get(F.array(*map(F.lit, COLORS)), (C("program_id") % 3).cast("int")), F.when(C("program_id") % 2 == 1, "translate").otherwise("rotate")
+    lines = F.concat(
+        F.lit('thing = iota(Object, lambda o: color(o, "'), color, F.lit('"))\n'), F.lit('m_1 = iota(Motion, lambda m: type(m, "'), kind, F.lit('") and agent(m, thing))\n'),
+        F.lit('m_2 = iota(Motion, lambda m: not m_1 and type(m, "rotate"))\n'), F.when(C("program_id") % 5 == 0, "exists(Object, thing)").otherwise("t_before(m_1, m_2) and not precedes(m_2, m_1)"),
+    )
+    assigned = ids.select("program_id", F.explode(F.sequence(C("program_id"), C("program_id") + 2)).alias("scene_id"))
+    out = evaluate_programs(ids.select("program_id", lines.alias("text")), assigned, found)
+    return out.select("program_id", "scene_id", "stmt_idx", "node_idx", "result", "status")
+
+
+_NODES = [(0, 0, "red"), (0, 1, "red"), (1, 0, "one"), (1, 1, "kind"), (1, 2, "moves"), (2, 0, "two"), (2, 1, "rot"), (3, 0, "bef AND NOT coalesce(pre, false)"), (3, 1, "bef"), (3, 2, "pre")]
+_HELD = lambda names: " OR ".join(relation_sql(n, ("a.s", "a.e"), ("b.s", "b.e"), gap=" + 1") for n in names)
+register("q_program_table", f"""WITH {SCENES}, asked AS (SELECT p.scene AS p, s.scene, ['red', 'green', 'blue'][p.scene % 3 + 1] AS c, p.scene % 2 = 1 AS tr FROM scenes p JOIN scenes s ON s.scene BETWEEN p.scene AND p.scene + 2),
+  one AS (SELECT p, scene, tr, min(obj) AS obj FROM asked JOIN ids USING (scene) WHERE fill = c GROUP BY ALL), mine AS (SELECT p, tr, cells.* FROM one JOIN cells USING (scene, obj)),
+  f1 AS (SELECT p, scene, obj, min(frame) AS s, max(frame) AS e FROM (SELECT p, scene, obj, frame, frame - row_number() OVER (PARTITION BY p, scene, obj ORDER BY frame) AS g FROM mine WHERE if(tr, dx <> 0, dr <> 0)) GROUP BY p, scene, obj, g), m1 AS (SELECT p, scene, obj, min(s) AS s, arg_min(e, s) AS e FROM f1 GROUP BY ALL),
+  rest AS (SELECT asked.p, cells.* FROM asked JOIN cells USING (scene) LEFT JOIN m1 ON m1.p = asked.p AND m1.scene = cells.scene AND m1.obj = cells.obj WHERE dr <> 0 AND NOT coalesce(cells.frame BETWEEN m1.s AND m1.e, false)),
+  f2 AS (SELECT p, scene, obj, min(frame) AS s, max(frame) AS e FROM (SELECT p, scene, obj, frame, frame - row_number() OVER (PARTITION BY p, scene, obj ORDER BY frame) AS g FROM rest) GROUP BY p, scene, obj, g), m2 AS (SELECT p, scene, obj, min(s) AS s, arg_min(e, s) AS e FROM f2 GROUP BY ALL),
+  rel AS (SELECT p, scene, bool_or({_HELD(T_BEFORE)}) AS bef, bool_or(b.e + 1 < a.s) AS pre FROM m1 a JOIN m2 b USING (p, scene) GROUP BY ALL),
+  r AS (SELECT asked.p, asked.scene, (SELECT bool_or(fill = c) FROM ids WHERE ids.scene = asked.scene) AS red, EXISTS (SELECT 1 FROM m1 WHERE m1.p = asked.p AND m1.scene = asked.scene) AS one, coalesce(if(tr, t, o), false) AS kind, o AS rot,
+    EXISTS (SELECT 1 FROM mine WHERE mine.p = asked.p AND mine.scene = asked.scene AND (dx <> 0 OR dr <> 0)) AS moves, EXISTS (SELECT 1 FROM m2 WHERE m2.p = asked.p AND m2.scene = asked.scene) AS two, bef, pre
+    FROM asked LEFT JOIN (SELECT scene, bool_or(dx <> 0) AS t, bool_or(dr <> 0) AS o FROM cells GROUP BY 1) USING (scene) LEFT JOIN rel ON rel.p = asked.p AND rel.scene = asked.scene)
+  {" UNION ALL ".join(f"SELECT p AS program_id, scene AS scene_id, {n} AS stmt_idx, {i} AS node_idx, coalesce({c}, false) AS result, 'ok' AS status FROM r WHERE p % 5 <> 0" for n, i, c in _NODES)}
+  UNION ALL SELECT p, scene, -1, 0, false, 'rejected' FROM asked WHERE p % 5 = 0""")(_program_table)
+
+
 def _graphs(s, d):
     """Each order as a scene graph of two motions."""
     rows = load(s, d, "orders").select(C("o_orderkey").alias("graph_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("motion_idx"), "o_custkey")

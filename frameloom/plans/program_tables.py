@@ -11,21 +11,20 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.allen import RELATIONS, is_close, relation
 from frameloom.functions.geometry import CONE
 from frameloom.operators import intervals
 from frameloom.operators.motion import has_type
-from frameloom.operators.runs import first_runs, merged, runs
+from frameloom.operators.runs import first_runs, merged, runs, stretches
 from frameloom.plans.compiler import color_is
 from frameloom.plans.normal_form import SCHEMA, normal_form
 from frameloom.scratch import Scratch, written
 from frameloom.sources.scenes import Scenes
 
 KEYS = ["scene_id", "obj_idx"]
-STATE = ("types", "dir_tx", "dir_ty", "dir_rot", "dir_sx", "dir_sy")
 SIDES = ("left", "right", "top", "bottom")
 _C = F.col
 
@@ -57,16 +56,6 @@ def _bit(of: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), of)
 
 
-def stretches(frames: DataFrame) -> DataFrame:
-    """``scene_id, obj_idx, s, e`` and the state of each stretch of frames in which the types and directions of an object stay the same."""
-    state = F.struct(*STATE)
-    at = Window.partitionBy(*KEYS).orderBy("frame")
-    fresh = F.lag("frame").over(at).isNull() | (F.lag("frame").over(at) + 1 != _C("frame")) | ~F.lag(state).over(at).eqNullSafe(state)
-    rows = frames.where("frame < steps").select(*KEYS, "frame", *STATE, fresh.cast("int").alias("fresh"))
-    rows = rows.withColumn("g", F.sum("fresh").over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*KEYS, "g").agg(F.min("frame").cast("bigint").alias("s"), F.max("frame").cast("bigint").alias("e"), *[F.first(c).alias(c) for c in STATE]).drop("g")
-
-
 def directed() -> Column:
     """Whether a stretch moves in the direction of a predicate (``mask, text, x, y``)."""
     length = F.sqrt(_C("x") * _C("x") + _C("y") * _C("y"))

@@ -121,11 +121,17 @@ def test_language_extensions(spark):
         compiler.register_predicate("not a name", "Motion", lambda x: x)
 
 
-def test_plans(spark):
-    """Temporal relations stop at the first related pair, and merging needs one shuffle."""
+def test_plans(spark, monkeypatch):
+    """Temporal relations don't meet the pairs of a scene, independent statements read the frames once, and merging needs one shuffle."""
     made = scene(spark, [tween("black-square", 0, "translate", 0.0, 0.5, 40.0)], 1.0, 4.0)
-    text = 'm_1 = iota(Motion, lambda m: type(m, "translate"))\nm_2 = iota(Motion, lambda m: type(m, "rotate"))\nt_before(m_1, m_2)'
+    text = 'm_1 = iota(Motion, lambda m: type(m, "translate"))\nm_2 = iota(Motion, lambda m: type(m, "rotate"))\nprecedes(m_1, m_2)'
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftSemi" in plan(compiler.evaluate(text, made))
+    temporal = plan(compiler.evaluate(text, made))
+    assert "NestedLoop" not in temporal and "min(e" in temporal and "max(s" in temporal
+    read = []
+    monkeypatch.setattr(compiler, "stretches", lambda frames: read.append(frames) or runs.stretches(frames))
+    program_queries = __import__("frameloom.plans.program_queries", fromlist=["EXISTENCE"])
+    report = compiler.evaluate(program_queries.EXISTENCE, made)
+    assert len(read) == 1 and plan(report).count("stretches-") <= 2 and plan(report).count("Aggregate [scene_id") <= 4
     merged = runs.merged(spark.range(10).selectExpr("id % 3 as k", "id as s", "id + 1 as e"), ["k"])
     assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
