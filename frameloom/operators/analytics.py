@@ -35,10 +35,16 @@ def points_in_time(tweens: DataFrame, scenes: DataFrame, objects: DataFrame, tar
     rows = rows.withColumn("cuts", cuts).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.size("cuts") - 2, F.lit(0)))))
     rows = rows.select("scene_id", "obj_id", "x", "y", "tx", "ty", "own", "duration", F.get("cuts", F.col("piece")).alias("since"), F.coalesce(F.get("cuts", F.col("piece") + 1), F.get("cuts", F.col("piece"))).alias("until"))
     part = lambda m, t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(t - m["begin"], m["seconds"]), F.when(t >= m["begin"], 1.0).otherwise(0.0))))
-    at = lambda rest, d, t: F.col(rest) + F.aggregate("own", F.lit(0.0), lambda s, m: s + m[d] * part(m, t))
     middle = (F.col("since") + F.col("until")) / 2
-    speed = lambda d: F.aggregate("own", F.lit(0.0), lambda s, m: s + F.when((m["begin"] <= middle) & (middle < m["begin"] + m["seconds"]), F.try_divide(m[d], m["seconds"])).otherwise(0.0))
-    rows = rows.withColumns({"px": at("x", "dx", F.col("since")) - F.col("tx"), "py": at("y", "dy", F.col("since")) - F.col("ty"), "vx": speed("dx"), "vy": speed("dy")})
+
+    def along(s: Column, m: Column) -> Column:
+        """Adds a move's place at the piece's beginning, and its speed if it goes on over the piece."""
+        done = part(m, F.col("since"))
+        rate_ = F.when((m["begin"] <= middle) & (middle < m["begin"] + m["seconds"]), F.try_divide(F.lit(1.0), m["seconds"])).otherwise(0.0)
+        return F.struct((s["px"] + m["dx"] * done).alias("px"), (s["py"] + m["dy"] * done).alias("py"), (s["vx"] + m["dx"] * rate_).alias("vx"), (s["vy"] + m["dy"] * rate_).alias("vy"))
+
+    start = F.struct((F.col("x") - F.col("tx")).alias("px"), (F.col("y") - F.col("ty")).alias("py"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
+    rows = rows.withColumn("z", F.aggregate("own", start, along)).select("*", "z.*").drop("z")
     # |p + v t| <= r for t from the piece's beginning on, with a margin for rounding
     r = F.lit(tolerance * (1 + 1e-9)) + F.lit(1e-9) * (F.abs("px") + F.abs("py") + F.abs("tx") + F.abs("ty"))
     rows = rows.withColumns({"qa": F.col("vx") ** 2 + F.col("vy") ** 2, "qb": F.col("px") * F.col("vx") + F.col("py") * F.col("vy"), "qc": F.col("px") ** 2 + F.col("py") ** 2 - r * r})
@@ -52,7 +58,8 @@ def points_in_time(tweens: DataFrame, scenes: DataFrame, objects: DataFrame, tar
     first_tick, last_tick = F.greatest(F.lit(0).cast("long"), F.floor((F.col("since") + F.col("low")) * rate) - 1), F.least(last, F.ceil((F.col("since") + F.col("high")) * rate) + 1)
     ticks = rows.where(first_tick <= last_tick).select("scene_id", "obj_id", "x", "y", "tx", "ty", "own", "since", "until", "duration", F.explode(F.sequence(first_tick, last_tick)).alias("i"))
     ticks = ticks.withColumn("time", F.least(F.col("i") / rate, F.col("duration"))).where("time >= since and (time < until or until >= duration)")  # each sample in one piece
-    error = F.hypot(at("x", "dx", F.col("time")) - F.col("tx"), at("y", "dy", F.col("time")) - F.col("ty"))
+    at = lambda rest, d: F.col(rest) + F.aggregate("own", F.lit(0.0), lambda s, m: s + m[d] * part(m, F.col("time")))
+    error = F.hypot(at("x", "dx") - F.col("tx"), at("y", "dy") - F.col("ty"))
     hits = ticks.withColumn("error", error).where(F.col("error") <= tolerance).groupBy("scene_id", "obj_id").agg(F.array_sort(F.collect_list(F.struct("time", "error"))).alias("found"))
     known = objects.select("scene_id", "obj_id", F.lit(True).alias("known"))
     none = F.array().cast("array<struct<time:double,error:double>>")

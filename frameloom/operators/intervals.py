@@ -11,11 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.allen import INVERSE, RELATIONS, TOLERANCE
+from frameloom.functions.allen import INVERSE, RELATIONS, TOLERANCE, relation
 from frameloom.operators.runs import merged
 
 #: Mark of the universe in a sweep: above the bits of all sets.
 UNIVERSE = 1 << 44
+#: Groups of at most so many intervals a side are met pair by pair, which is linear in the rows too; larger ones are sorted.
+FEW = 32
 #: Relative part of the relations' tolerance.
 RELATIVE = 1e-5
 
@@ -138,7 +140,15 @@ def _equals(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(cells, same & close, "left_semi").select(*keys)
 
 
-def related(a: DataFrame, b: DataFrame, keys: Sequence[str], names: Sequence[str] = RELATIONS, gap: float = 0.0) -> DataFrame:
+def _pairs(a: DataFrame, b: DataFrame, keys: list[str], names: Sequence[str], gap: float) -> DataFrame:
+    """All pairs of small groups."""
+    both = a.join(b.select(*keys, F.col("s").alias("u"), F.col("e").alias("v")), keys)
+    sides = (F.col("s"), F.col("e")), (F.col("u"), F.col("v"))
+    held = [F.max(relation(n, *sides, gap=gap)).alias(n) for n in names]
+    return both.groupBy(*keys).agg(*held).select(*keys, F.explode(F.array(*[F.when(F.col(n), F.lit(n)) for n in names])).alias("relation")).where("relation is not null")
+
+
+def related(a: DataFrame, b: DataFrame, keys: Sequence[str], names: Sequence[str] = RELATIONS, gap: float = 0.0, few: int = FEW) -> DataFrame:
     """``keys, relation``: the relations of ``names`` that some interval of ``a`` has to some interval of ``b`` with the same keys (``keys, s, e`` both; finite ends, start before or at end).
 
     Same results as testing every pair with :func:`frameloom.functions.allen.relation`, in sorts of each side: precedes by extremes; contains by a prefix maximum; meets, overlaps,
@@ -149,9 +159,12 @@ def related(a: DataFrame, b: DataFrame, keys: Sequence[str], names: Sequence[str
     swapped = {INVERSE[n]: n for n in names if n in INVERSE}
     plain = {n for n in names if n not in INVERSE}
     levels = 1
-    if (plain | set(swapped)) - {"precedes", "contains", "equals"}:
+    if (plain | set(swapped)) - {"precedes"}:
         sizes = a.groupBy(*keys).count().unionByName(b.groupBy(*keys).count())
-        levels = _levels(sizes.agg(F.max("count")).first()[0] or 1)
+        largest = sizes.agg(F.max("count")).first()[0] or 1
+        if largest <= few:
+            return _pairs(a, b, keys, names, gap)
+        levels = _levels(largest)
     out = _one_way(a, b, keys, plain, gap, levels)
     for rows in _one_way(b, a, keys, set(swapped), gap, levels):
         back = F.create_map(*[F.lit(x) for pair in swapped.items() for x in pair])

@@ -48,10 +48,12 @@ def test_relations_equal_all_pairs(spark, seed, numbers, gap):
         b += [(k, *map(float, x)) for x in right]
         want |= {(k, n) for n in RELATIONS if any(holds(n, x, y, gap) for x in left for y in right)}
     a, b = (spark.createDataFrame(x, "g int, s double, e double") for x in (a + a[:9], b))
-    got = {tuple(r) for r in iv.related(a, b, ["g"], gap=gap).collect()}
-    assert got == want and {n for _, n in want} == set(RELATIONS)
+    for few in (0, iv.FEW):
+        got = {tuple(r) for r in iv.related(a, b, ["g"], gap=gap, few=few).collect()}
+        assert got == want
+    assert {n for _, n in want} == set(RELATIONS)
     some = ("overlaps", "finishes", "precedes")
-    assert {tuple(r) for r in iv.related(a, b, ["g"], some, gap).collect()} == {(k, n) for k, n in want if n in some}
+    assert {tuple(r) for r in iv.related(a, b, ["g"], some, gap, 0).collect()} == {(k, n) for k, n in want if n in some}
 
 
 def test_relations_of_many_runs(spark):
