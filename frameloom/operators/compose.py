@@ -6,13 +6,14 @@ are explosions of a row's own arrays, never joins. The vocabulary is a small map
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.text import format_number
+from frameloom.functions.text import clean_commas, format_number
 
 #: Words of the default vocabulary.
 VOCABULARY: dict[str, tuple[str, ...]] = {
@@ -215,3 +216,129 @@ def down_sample(rows: DataFrame, keys: list[str], most: int, tie: list[str], see
     """At most ``most`` rows of each key, by hash; groups that are no larger stay whole."""
     order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *tie), *tie)
     return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+
+
+# whole prompts
+
+FORMS = ("present", "present_pass", "imperative", "imperative_ccomp", "imperative_advcl")
+#: Forms in which a phrase between object and verb stands apart in the order of parts.
+_APART = ("present", "present_pass")
+# Participles that don't end in -ed.
+PARTICIPLES = {"rise": "risen", "fall": "fallen", "spin": "spun", "grow": "grown", "shrink": "shrunk", "drop": "dropped"}
+#: A prime that is larger than any number of sentences of a group, as a step between the numbers that are drawn.
+STEP = 1_000_003
+
+
+def third_person(verb: Column) -> Column:
+    return F.concat(verb, F.when(verb.rlike("(s|x|ch|sh)$"), "es").otherwise("s"))
+
+
+def participle(verb: Column) -> Column:
+    own = reduce(lambda out, k: F.when(verb == k, PARTICIPLES[k]).otherwise(out), PARTICIPLES, F.lit(None).cast("string"))
+    return F.coalesce(own, F.concat(verb, F.when(verb.endswith("e"), "d").otherwise("ed")))
+
+
+def sentence(form: Column, prefix: Column, thing: Column, infix: Column, verb: Column, suffix: Column, plural: Column) -> Column:
+    """One sentence of a form. ``prefix``, ``infix`` and ``suffix`` are arrays of phrases, of which nulls aren't said; commas stand after each phrase before the object, and around one between object and verb."""
+    said = lambda c: F.filter(c, lambda x: x.isNotNull())
+    first = F.array_join(F.transform(said(prefix), lambda x: F.concat(x, F.lit(","))), " ")
+    between, last = F.array_join(said(infix), " "), F.array_join(said(suffix), " ")
+    apart = F.when(between == "", thing).otherwise(F.concat(thing, F.lit(", "), between, F.lit(",")))
+    does, done = F.when(plural, verb).otherwise(third_person(verb)), F.concat(F.when(plural, "are ").otherwise("is "), participle(verb))
+    parts = {
+        "present": (first, apart, does, last), "present_pass": (first, apart, done, last), "imperative": (first, verb, thing, between, last),
+        "imperative_ccomp": (first, F.lit("make"), thing, verb, between, last), "imperative_advcl": (first, F.lit("animate"), thing, F.lit("to"), verb, between, last),
+    }
+    texts = {k: F.array_join(F.filter(F.array(*v), lambda x: x != ""), " ") for k, v in parts.items()}
+    text = reduce(lambda out, k: F.when(form == k, texts[k]).otherwise(out), texts, F.lit(None).cast("string"))
+    return clean_commas(F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)), F.lit(".")))
+
+
+def drawn(total: Column, most: int, rank: Column) -> Column:
+    """At most ``most`` different numbers under ``total``: all of them in order where there are no more, else by steps of a prime from a place that ``rank`` gives."""
+    some = F.sequence(F.lit(0).cast("bigint"), F.least(total, F.lit(most).cast("bigint")) - 1)
+    return F.when(total <= 0, F.array().cast("array<bigint>")).when(total <= most, some).otherwise(F.transform(some, lambda q: F.pmod(F.pmod(rank, total) + q * STEP, total)))
+
+
+def prompts(units_: DataFrame, keys: Sequence[str], rank: Column, forms: Sequence[str] = FORMS, orders: int = 120, per_group: int = 2, mode: Column | None = None) -> DataFrame:
+    """Sentences of every motion: ``keys, unit, order_no, form, ordering, sentence``, cleaned, each sentence of a motion once.
+
+    ``units_``: the table of :func:`units`. The space of a motion's sentences is unit x order of the modifiers x form x cut into prefix, infix and suffix x choice of a phrase for every part. Rules cut it before anything is
+    drawn: at most one phrase between, which must be said, and directions beside object or verb for other motions than translations. What is left of a form, order and cut is a group with a number of sentences
+    that the lengths of the phrase lists give; at most ``per_group`` numbers of each are drawn and turned back into choices, so no product is listed. ``orders``: how many of the plain unit's 120 orders are drawn. ``rank``: a
+    whole number that places the draws. ``mode``: how the object is said (:func:`referred`).
+    """
+    table = [list(p) for p in itertools.permutations(range(5))]
+    perms = F.array(*[F.array(*map(F.lit, p)) for p in table])
+    plain = F.col("unit") == 0
+    own = F.sequence(F.lit(0), F.size("sequence") - 1)
+    rows = units_.withColumn("__rank", rank).withColumn("order_no", F.explode(F.when(plain, drawn(F.lit(len(table)).cast("bigint"), orders, F.col("__rank"))).otherwise(F.array(F.lit(0).cast("bigint")))))
+    rows = rows.withColumn("__perm", F.when(plain, F.get(perms, F.col("order_no").cast("int"))).otherwise(own))
+    rows = rows.withColumns({"__names": F.transform("__perm", lambda i: F.get("sequence", i)), "__mods": F.transform("__perm", lambda i: F.get("slots", i + 2))})
+    # a group: a form, where the prefix ends, and which of the two cuts after it (nothing, or one phrase, between)
+    k = F.size("__names")
+    groups = []
+    for form in forms:
+        variants = ((True, False), (False, True)) if form in _APART else ((True, True),)
+        groups += [F.struct(F.lit(form).alias("form"), F.lit(a).alias("bare"), F.lit(b).alias("with")) for a, b in variants]
+    rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(0), k))).withColumn("__g", F.explode(F.array(*groups))).select("*", "__g.*").drop("__g")
+    i = F.col("__i")
+    head, tail = F.slice("__names", F.lit(1), i), F.slice("__names", i + 1, k)
+    rest = F.slice("__names", i + 2, k)
+    pair = F.when(F.col("form") == "imperative", F.array(F.lit("verb"), F.lit("object"))).otherwise(F.array(F.lit("object"), F.lit("verb")))
+    split = F.concat(head, F.array(F.lit("object")), F.slice("__names", i + 1, F.lit(1)), F.array(F.lit("verb")), rest)
+    ordering = F.when(F.col("form").isin(*_APART) & F.col("with"), split).otherwise(F.concat(head, pair, tail))
+    rows = rows.withColumn("ordering", ordering).where(direction_adjacent(F.col("type"), F.col("ordering")) & (F.col("bare") | (i < k)))
+    product = lambda lists: F.aggregate(F.transform(lists, F.size), F.lit(1).cast("bigint"), lambda s, n: s * n)
+    base = F.concat(F.slice("slots", 1, 2), F.col("__mods"))
+    strict = F.transform(base, lambda x, j: F.when(j == i + 2, F.filter(x, lambda y: y.isNotNull())).otherwise(x))
+    rows = rows.withColumns({"__base": base, "__strict": strict})
+    rows = rows.withColumns({"__n0": F.when(F.col("bare"), product("__base")).otherwise(0), "__n1": F.when(F.col("with") & (i < k), product("__strict")).otherwise(0)})
+    rows = rows.withColumn("__r", F.explode(drawn(F.col("__n0") + F.col("__n1"), per_group, F.col("__rank") * 31 + F.col("order_no") * 7 + i)))
+    between = F.col("__r") >= F.col("__n0")
+    rows = rows.withColumns({"__lists": F.when(between, F.col("__strict")).otherwise(F.col("__base")), "__at": F.when(between, F.col("__r") - F.col("__n0")).otherwise(F.col("__r")), "__wide": between.cast("int")})
+    # a number back into a choice: the last part's phrases change fastest
+    sizes = F.transform("__lists", F.size)
+    below = lambda j: F.aggregate(F.slice(sizes, j + 2, F.size("__lists")), F.lit(1).cast("bigint"), lambda s, n: s * n)
+    rows = rows.withColumn("__choice", F.transform("__lists", lambda x, j: F.get(x, (F.floor(F.col("__at") / below(j)) % F.size(x)).cast("int"))))
+    part = lambda start, count: F.slice("__choice", start, count)
+    thing, plural = F.get("__choice", F.lit(0)), F.contains(F.get("__choice", F.lit(0)), F.lit(" and "))
+    spoken = thing if mode is None else F.coalesce(referred(thing, mode, F.when(plural, 2).otherwise(1)), F.lit(""))
+    wide = F.col("__wide")
+    text = sentence(F.col("form"), part(F.lit(3), i), spoken, part(i + 3, wide), F.get("__choice", F.lit(1)), part(i + 3 + wide, F.size("__choice")), plural)
+    rows = rows.withColumn("sentence", text)
+    order = Window.partitionBy(*keys, "sentence").orderBy("form", "unit", "order_no", "__i", "__wide", "__at")
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*keys, "unit", F.col("order_no").cast("int").alias("order_no"), "form", "ordering", "sentence")
+
+
+# pairs of sentences
+
+
+def pair_prompts(first: DataFrame, second: DataFrame, connectors: DataFrame, keys: Sequence[str], rules: Mapping[str, Sequence[str] | None], most: int, rank: Column, down: int = 50) -> DataFrame:
+    """``keys, relation, first_form, second_form, way, sentence``: at most ``most`` joined sentences of each key, cleaned, each once.
+
+    ``first``: keys, form, sentence; ``second``: the same and ``relation``; ``connectors``: relation, way (standalone or concat), connector (a small table; a relation that it lacks is joined by nothing). A key's sentences of
+    either side become two lists of at most ``down`` by the hash of their text, so a key is one row; the pairs with their ways of connecting are numbered, numbers are drawn, and each is turned back into a pair. Where
+    the rules forbid to join a pair in one sentence the number is rejected, so a key with more than ``most`` numbers may give fewer sentences. ``rank``: a whole number of the key.
+    """
+    listed = lambda rows, name: down_sample(rows, list(keys), down, ["sentence", "form"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sentence", "form"))).alias(name))
+    how = connectors.groupBy("relation").agg(F.array_sort(F.collect_list(F.struct("way", "connector"))).alias("__ways"))
+    related_ = second.groupBy(*keys).agg(F.min("relation").alias("relation"))
+    rows = listed(first, "__a").join(listed(second, "__b"), list(keys)).join(related_, list(keys)).join(F.broadcast(how), "relation", "left")
+    none = F.array(F.struct(F.lit("standalone").alias("way"), F.lit("").alias("connector")))
+    rows = rows.withColumn("__ways", F.coalesce("__ways", none))
+    total = (F.size("__a").cast("bigint") * F.size("__b")) * F.size("__ways")
+    each = rows.withColumn("__r", F.explode(drawn(total, most, rank)))
+    at = lambda c, n: F.get(c, n.cast("int"))
+    wide, deep = F.size("__ways"), F.size("__b")
+    each = each.withColumns({"__x": at("__a", F.floor(F.col("__r") / (wide * deep))), "__y": at("__b", F.floor(F.col("__r") / wide) % deep), "__w": at("__ways", F.col("__r") % wide)})
+    allowed = F.array_contains(connections(F.col("__x.form"), F.col("__y.form"), rules), F.col("__w.way"))
+    each = each.where(allowed)
+    a, b, word = F.trim(F.col("__x.sentence")), F.trim(F.col("__y.sentence")), F.col("__w.connector")
+    small = F.concat(F.lower(F.substring(b, 1, 1)), F.substring(b, F.lit(2), F.length(b)))
+    alone = F.concat(F.when(a.endswith("."), a).otherwise(F.concat(a, F.lit("."))), F.lit(" "), F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))), F.lit(", "), small)
+    joined = F.concat(F.rtrim(a, F.lit(".")), F.lit(", "), word, F.lit(" "), small)
+    text = F.when(word == "", F.concat_ws(" ", a, b)).when(F.col("__w.way") == "standalone", alone).otherwise(joined)
+    out = each.select(*keys, "relation", F.col("__x.form").alias("first_form"), F.col("__y.form").alias("second_form"), F.col("__w.way").alias("way"), clean_commas(text).alias("sentence"), "__r")
+    order = Window.partitionBy(*keys, "sentence").orderBy("__r")
+    return out.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__r")

@@ -126,13 +126,16 @@ _CUTS = """cuts AS (SELECT p_partkey, i, j, w[i+1:j] AS infix FROM (SELECT *, un
 register("q_infix_valid", f"WITH {_CUTS} SELECT p_partkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM cuts WHERE len(infix) <= 1 AND coalesce(infix[1], '') <> 'BRASS'")(
     lambda s, d: generate.splits(load(s, d, "part").select("p_partkey", F.transform(F.split("p_type", " "), lambda w: F.nullif(w, F.lit("BRASS"))).alias("w")), "w").where(co.infix_allowed(C("infix"))).select("p_partkey", "i", "j")
 )
-_ORDERS = "orders_ AS (SELECT [a.m, b.m, c.m, d.m] AS seq FROM m a, m b, m c, m d WHERE len(list_distinct([a.m, b.m, c.m, d.m])) = 4)"
-register("q_direction_adjacency", f"WITH m AS (SELECT unnest(['object', 'verb', 'direction', 'duration']) AS m), {_ORDERS} SELECT t AS type, array_to_string(seq, ',') AS seq FROM orders_, (VALUES ('translate'), ('rotate')) k(t) WHERE t = 'translate' OR (list_position(seq, 'direction') > 1 AND seq[list_position(seq, 'direction') - 1] IN ('object', 'verb'))")(
-    lambda s, d: s.createDataFrame([(list(p),) for p in __import__("itertools").permutations(("object", "verb", "direction", "duration"))], "seq array<string>").withColumn("type", F.explode(F.array(F.lit("translate"), F.lit("rotate")))).where(co.direction_adjacent(C("type"), C("seq"))).select("type", F.array_join("seq", ",").alias("seq"))
+_ADJACENT = "t = 'translate' OR (list_position(seq, 'direction') > 1 AND seq[list_position(seq, 'direction') - 1] IN ('object', 'verb'))"
+register("q_direction_adjacency", f"""WITH w AS (SELECT p_partkey, ['translate', 'rotate', 'scale'][p_size % 3 + 1] AS t, list_filter(['object', 'direction', 'duration', 'verb'], lambda x, i: (p_partkey + i) % 5 > 0) AS a, p_size % 4 AS k FROM part),
+  r AS (SELECT p_partkey, t, a[k + 1:] || a[1:k] AS seq FROM w) SELECT p_partkey, t AS type, array_to_string(seq, ',') AS seq FROM r WHERE list_position(seq, 'direction') IS NULL OR list_position(seq, 'direction') = 0 OR {_ADJACENT}""")(
+    lambda s, d: load(s, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, _KIND)), C("p_size") % 3).alias("type"), F.filter(F.array(*map(F.lit, ("object", "direction", "duration", "verb"))), lambda x, i: (C("p_partkey") + i + 1) % 5 > 0).alias("a"), (C("p_size") % 4).alias("k"))
+    .withColumn("seq", F.concat(F.slice("a", C("k") + 1, F.size("a")), F.slice("a", F.lit(1), C("k")))).where(co.direction_adjacent(C("type"), C("seq"))).select("p_partkey", "type", F.array_join("seq", ",").alias("seq"))
 )
 _FORMS = ("present", "present_pass", "imperative", "imperative_ccomp")
-register("q_pair_legality", "WITH f AS (SELECT unnest(['present', 'present_pass', 'imperative', 'imperative_ccomp']) AS f) SELECT a.f AS first, b.f AS second, if(a.f = 'present' AND b.f = 'present', 'standalone,concat', 'standalone') AS ways FROM f a, f b")(
-    lambda s, d: s.createDataFrame([(a, b) for a in _FORMS for b in _FORMS], "first string, second string").select("first", "second", F.array_join(co.connections(C("first"), C("second"), {"present": ["present"], "imperative": None}), ",").alias("ways"))
+_PICK = "['present', 'present_pass', 'imperative', 'imperative_ccomp'][l_{0} % 4 + 1]"
+register("q_pair_legality", f"SELECT l_orderkey, l_linenumber, if(a = 'present' AND b = 'present', 'standalone,concat', 'standalone') AS ways FROM (SELECT l_orderkey, l_linenumber, {_PICK.format('partkey')} AS a, {_PICK.format('suppkey')} AS b FROM lineitem)")(
+    lambda s, d: load(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(co.connections(*[F.get(F.array(*map(F.lit, _FORMS)), (C(c) % 4).cast("int")) for c in ("l_partkey", "l_suppkey")], {"present": ["present"], "imperative": None}), ",").alias("ways"))
 )
 register("q_pronoun_mode", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = l_partkey % 3 THEN CASE WHEN l_linenumber > 1 THEN 'they' ELSE 'it' END ELSE l_returnflag END AS said FROM lineitem")(
     lambda s, d: load(s, d, "lineitem").select("l_orderkey", "l_linenumber", co.referred(C("l_returnflag"), co.object_mode(F.array(C("l_suppkey") % 3), F.array(C("l_partkey") % 3)), C("l_linenumber")).alias("said"))
@@ -141,6 +144,63 @@ register("q_down_sample", "SELECT p_brand, least(count(*), 4) AS n FROM part GRO
     lambda s, d: co.down_sample(load(s, d, "part"), ["p_brand"], 4, ["p_partkey"]).groupBy("p_brand").agg(F.count("*").alias("n"))
 )
 
+# whole prompts: the plain unit of every motion, one order of its modifiers, two forms, one sentence of each group
+
+_THIRD = "verb || CASE WHEN regexp_matches(verb, '(s|x|ch|sh)$') THEN 'es' ELSE 's' END"
+_TEXT = "t"
+for _pattern, _to in tx.CLEANUP:
+    _TEXT = f"regexp_replace({_TEXT}, '{_pattern}', '{_to}', 'g')"
+_ONE = "CASE WHEN {0} <> [NULL] AND {1} = [NULL] THEN {0} WHEN {0} = [NULL] AND {1} <> [NULL] THEN {1} ELSE [NULL] END"
+_PRODUCT = "coalesce(CAST(list_aggregate(list_transform({0}, lambda x: len(x)), 'product') AS BIGINT), 1)"
+PROMPTS = f"""{_LISTS}, parts AS (SELECT said.o_orderkey, said.type, [['the red square'], CASE said.type WHEN 'translate' THEN ['move', 'shift'] WHEN 'rotate' THEN ['rotate', 'turn'] ELSE ['scale'] END] AS core,
+    [{_ONE.format("dx", "dy")}, {_ONE.format("mx", "my")}, CASE WHEN origin IS NULL THEN [NULL] WHEN origin = ['50%', '50%'] THEN ['about its center', 'around its center'] ELSE ['about the point (10, 20)', 'around the point (10, 20)'] END,
+     CASE WHEN duration IS NULL THEN [NULL] ELSE list_transform(['for ', 'over '], lambda p: p || CAST(CAST(duration AS BIGINT) AS VARCHAR) || if(duration = 1, ' second', ' seconds')) END,
+     CASE WHEN post IS NULL THEN [NULL] ELSE ['until it is left of the red square'] END] AS mods FROM said JOIN motions USING (o_orderkey)),
+  perms AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS no FROM (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM range(5) a(i), range(5) b(i), range(5) c(i), range(5) d(i), range(5) e(i)) WHERE len(list_distinct(p)) = 5),
+  ordered AS (SELECT o_orderkey, type, no, core, list_transform(p, lambda i: mods[i + 1]) AS m, list_transform(p, lambda i: ['direction', 'magnitude', 'origin', 'duration', 'post'][i + 1]) AS names FROM parts JOIN perms ON no = o_orderkey % 120),
+  cut AS (SELECT o_orderkey, type, no, core, names, m, i, form, bare, wide FROM ordered, (SELECT unnest(range(6)) AS i), (VALUES ('imperative', true, true), ('present', true, false), ('present', false, true)) f(form, bare, wide) WHERE bare OR i < 5),
+  placed AS (SELECT *, CASE WHEN form = 'present' AND wide THEN names[1:i] || ['object'] || names[i + 1:i + 1] || ['verb'] || names[i + 2:] WHEN form = 'present' THEN names[1:i] || ['object', 'verb'] || names[i + 1:] ELSE names[1:i] || ['verb', 'object'] || names[i + 1:] END AS seq,
+    core || m AS base, list_transform(core || m, lambda x, j: if(j = i + 3, list_filter(x, lambda y: y IS NOT NULL), x)) AS strict FROM cut),
+  counted AS (SELECT *, if(bare, {_PRODUCT.format("base")}, 0) AS n0, if(wide AND i < 5, {_PRODUCT.format("strict")}, 0) AS n1 FROM placed WHERE type = 'translate' OR (list_position(seq, 'direction') > 1 AND seq[list_position(seq, 'direction') - 1] IN ('object', 'verb'))),
+  picked AS (SELECT *, if(n0 + n1 = 1, 0, (o_orderkey * 31 + no * 7 + i) % (n0 + n1)) AS r FROM counted WHERE n0 + n1 > 0),
+  sided AS (SELECT *, r >= n0 AS mid, if(r >= n0, strict, base) AS lists, if(r >= n0, r - n0, r) AS nth FROM picked),
+  chosen AS (SELECT *, list_transform(lists, lambda x, j: x[1 + (nth // {_PRODUCT.format("lists[j + 1:]")}) % len(x)]) AS c FROM sided),
+  worded AS (SELECT *, c[1] AS thing, c[2] AS verb, array_to_string(list_transform(list_filter(c[3:i + 2], lambda x: x IS NOT NULL), lambda x: x || ','), ' ') AS pre, if(mid, coalesce(c[i + 3], ''), '') AS inf, array_to_string(list_filter(c[if(mid, i + 4, i + 3):], lambda x: x IS NOT NULL), ' ') AS suf FROM chosen),
+  spoken AS (SELECT *, array_to_string(list_filter(CASE form WHEN 'present' THEN [pre, if(inf = '', thing, thing || ', ' || inf || ','), {_THIRD}, suf] ELSE [pre, verb, thing, inf, suf] END, lambda x: x <> ''), ' ') AS u FROM worded),
+  cleaned AS (SELECT *, trim({_TEXT}) AS sentence FROM (SELECT *, upper(left(u, 1)) || substring(u, 2) || '.' AS t FROM spoken))"""
+_KEPT = "row_number() OVER (PARTITION BY o_orderkey, sentence ORDER BY form, no, i, mid, nth) = 1"
+
+
+def _prompts(s, d):
+    rows = _unit_rows(s, d).where("unit = 0")
+    return co.prompts(rows, ["o_orderkey"], C("o_orderkey"), ("present", "imperative"), 1, 1)
+
+
+register("q_prompts", f"WITH {PROMPTS} SELECT o_orderkey, form, CAST(no AS INTEGER) AS order_no, array_to_string(seq, ',') AS ordering, sentence FROM cleaned QUALIFY {_KEPT}")(
+    lambda s, d: _prompts(s, d).select("o_orderkey", "form", "order_no", F.array_join("ordering", ",").alias("ordering"), "sentence")
+)
+
+
+def _pair_prompts(s, d):
+    """The sentences of an order's motion, and those of the same motion as its second, with a connector."""
+    rows = _prompts(s, d).select(C("o_orderkey").alias("graph"), "form", "sentence").where("length(sentence) % 3 = 0")
+    words = s.createDataFrame([("before", "standalone", "then"), ("before", "concat", "and then"), ("after", "standalone", "before that")], "relation string, way string, connector string")
+    second = rows.withColumn("relation", F.when(C("graph") % 3 == 0, "before").when(C("graph") % 3 == 1, "after"))
+    return co.pair_prompts(rows, second, words, ["graph"], {"present": ["present"], "imperative": None}, 4, C("graph"), 50)
+
+
+_SMALL = "lower(left(y.sentence, 1)) || substring(y.sentence, 2)"
+register("q_pair_prompts", f"""WITH {PROMPTS}, kept AS (SELECT o_orderkey AS graph, form, sentence FROM (SELECT * FROM cleaned QUALIFY {_KEPT}) WHERE length(sentence) % 3 = 0),
+  lists AS (SELECT graph, list({{'sentence': sentence, 'form': form}} ORDER BY sentence, form) AS l FROM kept GROUP BY 1),
+  ways AS (SELECT *, CASE graph % 3 WHEN 0 THEN [{{'way': 'concat', 'word': 'and then'}}, {{'way': 'standalone', 'word': 'then'}}] WHEN 1 THEN [{{'way': 'standalone', 'word': 'before that'}}] ELSE [{{'way': 'standalone', 'word': ''}}] END AS w FROM lists),
+  spaces AS (SELECT *, len(l) * len(l) * len(w) AS total FROM ways), numbers AS (SELECT *, unnest(range(least(total, 4))) AS q FROM spaces), placed_ AS (SELECT *, if(total <= 4, q, (graph % total + q * 1000003) % total) AS r FROM numbers),
+  paired AS (SELECT graph, r, l[1 + r // (len(w) * len(l))] AS x, l[1 + (r // len(w)) % len(l)] AS y, w[1 + r % len(w)] AS v FROM placed_),
+  said_ AS (SELECT graph, r, x.form AS first_form, y.form AS second_form, v.way AS way, CASE WHEN v.word = '' THEN x.sentence || ' ' || y.sentence WHEN v.way = 'standalone' THEN x.sentence || ' ' || upper(left(v.word, 1)) || substring(v.word, 2) || ', ' || {_SMALL}
+    ELSE rtrim(x.sentence, '.') || ', ' || v.word || ' ' || {_SMALL} END AS t FROM paired WHERE v.way = 'standalone' OR (x.form = 'present' AND y.form = 'present'))
+  SELECT graph, first_form, second_form, way, sentence FROM (SELECT *, trim({_TEXT}) AS sentence FROM said_) QUALIFY row_number() OVER (PARTITION BY graph, sentence ORDER BY r) = 1""")(
+    lambda s, d: _pair_prompts(s, d).select("graph", "first_form", "second_form", "way", "sentence")
+)
+
 # vocabulary
 
 register("q_object_label", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'object' WHEN p_size % 4 = 1 THEN lower(p_type) WHEN p_size % 4 = 2 THEN p_brand ELSE lower(p_type) || ' ' || p_brand END AS label FROM part")(

@@ -11,7 +11,7 @@ from frameloom.plans import compose_queries, program_queries, record_queries
 from frameloom.plans.compiler import color_is
 from frameloom.plans.driver_queries import OBJECTS, ORACLE_SQL, QUERIES, SERIES, TWEENS, day_tweens, load, objects, register, relation_sql, series
 from frameloom.sources import scenes as sc
-from frameloom.streaming.runs import stream_runs
+from frameloom.streaming.runs import close_runs, stream_runs
 
 register("q_modifier_permutations", """WITH m AS (SELECT unnest(['direction', 'magnitude', 'origin', 'duration', 'post']) AS m)
   SELECT concat_ws(',', a.m, b.m, c.m, d.m, e.m) AS modifiers FROM m a, m b, m c, m d, m e WHERE len(list_distinct([a.m, b.m, c.m, d.m, e.m])) = 5""")(
@@ -29,6 +29,9 @@ register("q_session_runs", """SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 1
   (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g""")(
     lambda s, d: stream_runs(load(s, d, "events"), ["user_id"])
 )
+register("q_closed_runs", """WITH f AS (SELECT DISTINCT user_id, CAST(epoch_us(ts) // 3600000000 - 473352 AS BIGINT) AS frame FROM events) SELECT user_id, 'run' AS kind, min(frame) AS s, max(frame) AS e FROM (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS g FROM f) GROUP BY user_id, g""")(
+    lambda s, d: close_runs(load(s, d, "events").select("user_id", (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3600000000)) - 473352).alias("frame")), ["user_id"])
+)
 register("q_property_series", f"WITH {OBJECTS} SELECT obj_idx, unnest(['fill', 'shape', 'size']) AS prop, unnest([fill, shape, CAST(size AS VARCHAR)]) AS value FROM objects")(
     lambda s, d: sc.property_series(objects(s, d).select(F.lit(0).alias("scene_id"), "obj_idx", F.lit(0).alias("frame"), "fill", "shape", "size"), ["fill", "shape", "size"]).select("obj_idx", "prop", "value")
 )

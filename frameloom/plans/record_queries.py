@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameloom.operators import analytics
+from frameloom.operators.ordinal import numbered
 from frameloom.plans.driver_queries import OBJECTS, PAIRS, TWEENS, day_tweens, load, neighbours, objects, register
 from frameloom.plans.program_queries import SCENES, scene_tables
+from frameloom.scratch import fresh_path
 from frameloom.sources import records
 from frameloom.sources import scenes as sc
 
@@ -34,7 +35,7 @@ register("q_prompt_filter", f"WITH {_RUN_NAMES}, prompts AS (SELECT name FROM na
     lambda s, d: analytics.prompted(_names(s, d), _names(s, d).where(C("p_partkey") % 3 == 0), "name", "s").select("p_partkey")
 )
 register("q_run_order", f"WITH {_RUN_NAMES} SELECT p_partkey, CAST(row_number() OVER (ORDER BY string_split(name, '_')[3:], name) AS INTEGER) AS place FROM names")(
-    lambda s, d: _names(s, d).withColumn("at", analytics.run_order(C("name"))).select("p_partkey", F.row_number().over(Window.orderBy("at", "name")).alias("place"))  # a report's order over runs: one list
+    lambda s, d: numbered(_names(s, d).withColumn("at", analytics.run_order(C("name"))), [C("at"), C("name")], "n").select("p_partkey", (C("n") + 1).cast("int").alias("place"))
 )
 
 # comparison
@@ -93,18 +94,11 @@ register("q_sink_keyframes", f"WITH {_KEYED} SELECT scene AS scene_id, vec_id, k
 
 def _written(s, docs, kind, schema):
     """Documents written and read back, as maps."""
-    import uuid
-
-    path = f"{_scratch(s)}/documents-{uuid.uuid4().hex}"
+    path = fresh_path(s, "documents")
     records.write_documents(docs, path, kind)
     return records.read_documents(s, path, kind).select(C("scene_id").cast("bigint").alias("scene_id"), F.from_json("value", schema).alias("m"))
 
 
-def _scratch(s) -> str:
-    """The folder that a session shares: the cluster's, or the warehouse where none is named."""
-    return (s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 register("q_sink_rendered", f"WITH {SCENES} SELECT scene AS scene_id, vec_id, acc.frame, CAST(tx AS DOUBLE) AS x FROM acc JOIN ids USING (scene, obj)")(
     lambda s, d: _written(s, records.rendered_documents(sc.property_series(scene_tables(s, d).frames, ["tx_acc", "rot_acc"]), scene_tables(s, d).objects), "data_rendered", "map<string,map<string,array<string>>>")
     .select("scene_id", F.explode("m").alias("vec_id", "props")).select("scene_id", C("vec_id").cast("bigint").alias("vec_id"), F.posexplode(C("props")["tx_acc"]).alias("frame", "x")).withColumn("x", C("x").cast("double"))
@@ -130,11 +124,20 @@ register("q_sink_data", f"WITH {SCENES} SELECT scene AS scene_id, vec_id, acc.fr
 
 @register("q_dataset_json", "SELECT item_id, text FROM benchmark")
 def _dataset(s, d):
-    import uuid
-
-    path = f"{_scratch(s)}/dataset-{uuid.uuid4().hex}"
+    path = fresh_path(s, "dataset")
     records.write_dataset(load(s, d, "benchmark").select("item_id", "text"), path, ["item_id"])
-    return records.read_dataset(s, path, "item_id bigint, text string")
+    return records.read_dataset_lines(s, path, "item_id bigint, text string")
+
+
+@register("q_sink_pruned", "SELECT user_id % 5 AS scene_id, count(DISTINCT user_id) AS n FROM events WHERE user_id % 5 >= 3 GROUP BY 1")
+def _pruned(s, d):
+    """Documents of some scenes, out of small bundles by way of the index."""
+    rows = load(s, d, "events").groupBy((C("user_id") % 5).alias("scene_id"), C("user_id").cast("string").alias("obj_id")).agg(F.array_sort(F.collect_set("event_type")).alias("props"))
+    path = fresh_path(s, "documents")
+    records.write_documents(records.property_documents(rows), path, "properties", 1 << 10)
+    some = load(s, d, "events").select((C("user_id") % 5).alias("scene_id")).where("scene_id >= 3")
+    found = records.read_documents(s, path, "properties", some)
+    return found.select(C("scene_id").cast("bigint").alias("scene_id"), F.size(F.from_json("value", "map<string,array<string>>")).cast("bigint").alias("n"))
 
 
 # point queries

@@ -7,11 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.operators.ordinal import numbered, running_sum
+from frameloom.scratch import written
 from frameloom.sources.scenes import ACC, Scenes
 
 #: Names of the accumulated series in scene documents.
 SERIES = dict(zip(ACC, ("translateX_acc", "translateY_acc", "rotate_acc", "scaleX_acc", "scaleY_acc", "skewX_acc", "skewY_acc")))
 KINDS = ("data", "data_keyframes", "data_rendered", "properties")
+#: Bytes of documents in a bundle.
+BUNDLE_BYTES = 64 << 20
+#: Bundles that a reader names one by one, so that the others' files are not even listed; more of them are met by a join.
+FEW_BUNDLES = 10_000
 
 
 def _element(value: Column) -> Column:
@@ -74,16 +80,32 @@ def property_documents(props: DataFrame) -> DataFrame:
     return _document(props.withColumn("obj_idx", F.col("obj_id")).select("scene_id", "obj_idx", "obj_id", _element(F.col("props")).alias("doc")))
 
 
-def write_documents(docs: DataFrame, path: str, kind: str) -> None:
-    """Writes documents as text, a folder for each scene: ``<path>/scene_id=<id>/kind=<kind>``. No file name depends on a driver."""
+def write_documents(docs: DataFrame, path: str, kind: str, bundle_bytes: int = BUNDLE_BYTES) -> None:
+    """Writes the documents of one kind (``scene_id, value``, one of each scene) in bundles of about ``bundle_bytes``, and an index of where each scene's document lies.
+
+    Documents stand in the order of their scenes; a running sum of their sizes says which bundle each is in, so the number of files follows the bytes, not the scenes, and a rerun makes the same bundles. A document that is larger
+    than a bundle has one of its own, or the end of one. ``<path>/bundles/kind=<kind>/bundle=<n>`` and ``<path>/index/kind=<kind>`` are replaced.
+    """
     if kind not in KINDS:
         raise ValueError(f"one of {KINDS}")
-    docs.withColumn("kind", F.lit(kind)).repartition("scene_id").write.mode("append").partitionBy("scene_id", "kind").text(path)
-
-
-def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``scene_id, value`` of the documents of one kind."""
-    return spark.read.text(path, wholetext=True).where(F.col("kind") == kind).select(F.col("scene_id").cast("string").alias("scene_id"), F.rtrim("value", F.lit("\n")).alias("value"))
+    named = docs.select(F.col("scene_id").cast("string").alias("scene_id"), "value")
+    sizes = named.select("scene_id", F.octet_length("value").cast("bigint").alias("size"))
+    index = running_sum(sizes, [F.col("scene_id")], F.col("size"), "offset").withColumn("bundle", F.floor(F.col("offset") / bundle_bytes))
+    index.write.mode("overwrite").parquet(f"{path}/index/kind={kind}")
+    placed = named.join(docs.sparkSession.read.parquet(f"{path}/index/kind={kind}").select("scene_id", "bundle"), "scene_id")
+    placed.repartition("bundle").sortWithinPartitions("bundle", "scene_id").write.mode("overwrite").partitionBy("bundle").parquet(f"{path}/bundles/kind={kind}")
+
+
+def read_documents(spark: SparkSession, path: str, kind: str, scenes: DataFrame | None = None) -> DataFrame:
+    """``scene_id, value`` of the documents of one kind; with ``scenes`` (``scene_id``) only of those, from the bundles that the index names."""
+    docs = spark.read.parquet(f"{path}/bundles/kind={kind}")
+    if scenes is not None:
+        wanted = scenes.select(F.col("scene_id").cast("string").alias("scene_id")).distinct()
+        bundles = spark.read.parquet(f"{path}/index/kind={kind}").join(wanted, "scene_id", "left_semi").select("bundle").distinct()  # at most as many as there are bundles
+        named = [r.bundle for r in bundles.limit(FEW_BUNDLES + 1).collect()]
+        docs = docs.where(F.col("bundle").isin(named)) if len(named) <= FEW_BUNDLES else docs.join(bundles, "bundle", "left_semi")
+        docs = docs.join(wanted, "scene_id", "left_semi")
+    return docs.select("scene_id", "value")
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -92,10 +114,21 @@ def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_dataset(entries: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Writes a data set as one JSON list of objects, in order. A data set is a list that people read; it is one file."""
-    rows = entries.select(F.struct(*order).alias("at"), _element(F.struct(*entries.columns)).alias("v"))
-    whole = rows.agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "v")))["v"], ",\n").alias("v"))
-    whole.select(F.concat(F.lit("[\n"), F.col("v"), F.lit("\n]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Writes a data set as one JSON list of objects in order: an object a line, in files that make the list when they are put together in the order of their names."""
+    rows = numbered(entries.select(*[F.col(c).alias(f"at{i}") for i, c in enumerate(order)], _element(F.struct(*entries.columns)).alias("v")), [F.col(f"at{i}") for i in range(len(order))], "n")
+    rows = written(rows.select("n", "v"), "dataset")
+    last = rows.agg(F.max("n")).first()[0]
+    if last is None:
+        entries.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode("overwrite").text(path)
+        return
+    line = F.concat(F.when(F.col("n") == 0, F.lit("[\n")).otherwise(F.lit("")), "v", F.when(F.col("n") == last, F.lit("\n]")).otherwise(F.lit(",")))
+    rows.repartitionByRange("n").sortWithinPartitions("n").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_dataset_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A data set as :func:`write_dataset` leaves it, read line by line: no task reads the whole list."""
+    lines = spark.read.text(path).where(~F.trim("value").isin("[", "]", "[]", ""))
+    return lines.select(F.from_json(F.regexp_replace("value", r",\s*$", ""), schema).alias("v")).select("v.*")
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import random
 
 import pytest
@@ -47,7 +48,20 @@ def test_other_documents(spark, tmp_path):
 def test_dataset_log_and_config(spark, tmp_path):
     entries = spark.createDataFrame([(2, "b"), (1, None)], "id int, prompt string")
     records.write_dataset(entries, f"file://{tmp_path}/set", ["id"])
-    assert [tuple(r) for r in records.read_dataset(spark, f"file://{tmp_path}/set", "id int, prompt string").collect()] == [(1, None), (2, "b")]
+    assert [tuple(r) for r in records.read_dataset_lines(spark, f"file://{tmp_path}/set", "id int, prompt string").collect()] == [(1, None), (2, "b")]
+    (tmp_path / "list.json").write_text('[{"id": 1, "prompt": null},\n {"id": 2, "prompt": "b"}]')
+    assert [tuple(r) for r in records.read_dataset(spark, f"file://{tmp_path}/list.json", "id int, prompt string").collect()] == [(1, None), (2, "b")]
+    many = spark.range(500).selectExpr("id", "concat('p,', id, ']\\n') as prompt").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    records.write_dataset(many, f"file://{tmp_path}/parts", ["id"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(tmp_path.glob("parts/part-*"))
+    whole = json.loads("".join(f.read_text() for f in files))
+    assert len(files) > 1 and [x["id"] for x in whole] == list(range(500)) and whole[7]["prompt"] == "p,7]\n"
+    again = records.read_dataset_lines(spark, f"file://{tmp_path}/parts", "id bigint, prompt string")
+    assert sorted(map(tuple, again.collect())) == [(x["id"], x["prompt"]) for x in whole]
+    records.write_dataset(many.limit(0), f"file://{tmp_path}/none", ["id"])
+    assert json.loads("".join(f.read_text() for f in tmp_path.glob("none/part-*"))) == [] and records.read_dataset_lines(spark, f"file://{tmp_path}/none", "id int").count() == 0
     rows = [("r", "chat", 0, "user", "x"), ("r", "chat", 1, "assistant", "y"), ("r", "success", 2, None, ""), ("q", "fail", 0, None, "")]
     for row in rows:
         records.append_log(spark.createDataFrame([row], "run string, kind string, seq int, role string, text string"), f"file://{tmp_path}/log")
@@ -135,3 +149,26 @@ def test_plans(spark, monkeypatch):
     assert len(read) == 1 and plan(report).count("stretches-") <= 2 and plan(report).count("Aggregate [scene_id") <= 4
     merged = runs.merged(spark.range(10).selectExpr("id % 3 as k", "id as s", "id + 1 as e"), ["k"])
     assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_bundles(spark, tmp_path, monkeypatch):
+    """Files follow the bytes of documents; a reader opens only the bundles of the scenes that it asks for."""
+    path = f"file://{tmp_path}/sink"
+    docs = spark.range(300).selectExpr("lpad(id, 3, '0') as scene_id", "repeat('x', 90 + cast(id % 7 as int)) as value").repartition(5)
+    records.write_documents(docs, path, "data", 3000)
+    first = {r.scene_id: r.bundle for r in spark.read.parquet(f"{path}/index/kind=data").collect()}
+    files = list(tmp_path.glob("sink/bundles/kind=data/bundle=*/*.parquet"))
+    assert len(files) == len(set(first.values())) == 10
+    assert sorted(map(tuple, records.read_documents(spark, path, "data").collect())) == sorted(map(tuple, docs.collect()))
+    some = spark.createDataFrame([("005",), ("006",), ("none",), ("005",)], "scene_id string")
+    found = records.read_documents(spark, path, "data", some)
+    assert sorted(r.scene_id for r in found.collect()) == ["005", "006"]
+    assert {first["005"], first["006"]} == {0} and re.search(r"PartitionFilters: \[[^\]]*bundle", found._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(records, "FEW_BUNDLES", 0)
+    assert sorted(r.scene_id for r in records.read_documents(spark, path, "data", some).collect()) == ["005", "006"]
+    records.write_documents(docs.coalesce(1), path, "data", 3000)  # again, dealt otherwise: the same bundles
+    assert {r.scene_id: r.bundle for r in spark.read.parquet(f"{path}/index/kind=data").collect()} == first
+    records.write_documents(docs.limit(0), path, "properties")
+    assert spark.read.parquet(f"{path}/index/kind=properties").count() == 0
+    with pytest.raises(ValueError):
+        records.write_documents(docs, path, "other")
