@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,11 +28,6 @@ def splits(rows: DataFrame, items: str) -> DataFrame:
     return cut.withColumns({"prefix": F.slice(items, F.lit(1), F.col("i")), "infix": F.slice(items, F.col("i") + 1, F.col("j") - F.col("i")), "suffix": F.slice(items, F.col("j") + 1, n)})
 
 
-def literal(value) -> str:
-    """A value as it stands in a program."""
-    return json.dumps(value, ensure_ascii=False) if isinstance(value, str) or isinstance(value, list) and any(isinstance(v, str) for v in value) else str(value)
-
-
 def agent_rows(motions: DataFrame) -> DataFrame:
     """``graph_id, obj, shape, fill``: the distinct objects of a graph's motions, in the order of their first mention (posts after agents)."""
     rows = motions.select("graph_id", "motion_idx", F.posexplode(F.concat(F.coalesce("agents", F.array().cast("array<struct<shape:string,fill:string>>")), F.coalesce("post_reference", F.array().cast("array<struct<shape:string,fill:string>>")))).alias("pos", "o"))
@@ -41,49 +35,8 @@ def agent_rows(motions: DataFrame) -> DataFrame:
     return first.withColumn("obj", F.row_number().over(Window.partitionBy("graph_id").orderBy("at"))).select("graph_id", "obj", "o.shape", "o.fill")
 
 
-def program(motions: list[dict]) -> str:
-    """Program text of one scene graph. Each motion: relation (to the one before), type, agents, and magnitude, direction, origin, duration, post, post_reference or None.
-
-    A motion tied to no other by a relation is an existence statement, others are variables that the relations name.
-    """
-    objects: list[tuple] = []
-    for m in motions:
-        for o in [*m.get("agents", []), *(m.get("post_reference") or [])]:
-            if (key := tuple(sorted(o.items()))) not in objects:
-                objects.append(key)
-    name = lambda o: f"o_{objects.index(tuple(sorted(o.items()))) + 1}"
-    lines = []
-    for i, key in enumerate(objects, 1):
-        tests = [f"{call}(o, {literal(v)})" for call, v in (("color", dict(key).get("fill")), ("shape", dict(key).get("shape")), ("id", dict(key).get("id"))) if v]
-        lines.append(f"o_{i} = iota(Object, lambda o: {' and '.join(tests)})")
-    blocks, order = ["\n".join(lines)], []
-    own = []
-    for i, m in enumerate(motions):
-        alone = not m.get("relation") and not (i + 1 < len(motions) and motions[i + 1].get("relation"))
-        var = f"m_{i + 1}" if alone else "m"
-        tests = [f"type({var}, {literal(m['type'])})"]
-        if (d := m.get("direction")) is not None:
-            if m["type"] == "rotate":
-                d = "clockwise" if (d[0] if isinstance(d, list) else d) > 0 else "counterclockwise"
-            tests.append(f"direction({var}, {literal(d)})")
-        agents = [name(o) for o in m.get("agents", [])]
-        for call in ("magnitude", "origin"):
-            if (v := m.get(call)) is not None:
-                tests.append(f"{call}({var}, {literal(v)})")
-        if m.get("post") and m.get("post_reference"):
-            tests.append(f"post({var}, s_{m['post'].replace('ing', '')}({agents[0]}, {name(m['post_reference'][0])}))")
-        if (v := m.get("duration")) is not None:
-            tests.append(f"duration({var}, {literal(v)})")
-        tests += [f"agent({var}, {a})" for a in agents[:1]]
-        body = " and ".join(tests)
-        own.append(f"exists(Motion, lambda {var}: {body})" if alone else f"m_{i + 1} = iota(Motion, lambda {var}: {body})")
-        if m.get("relation"):
-            order.append(f"{RELATION_CALLS[m['relation']]}(m_{i}, m_{i + 1})")
-    return "\n\n".join([*blocks, "\n".join(own), *(["\n".join(order)] if order else [])])
-
-
 def programs(motions: DataFrame) -> DataFrame:
-    """``graph_id, program``: the program text of every scene graph, as :func:`program` writes it.
+    """``graph_id, program``: the program text of every scene graph. A motion tied to no other by a relation is an existence statement, others are variables that the relations name.
 
     ``motions``: graph_id, motion_idx (from 0), type, direction, magnitude, origin, duration (as they stand in a program; null: none), agents and post_reference (arrays of shape and fill), post, relation (to the
     motion before). Objects and motions join by graph and object; a graph's lines meet in one row.
@@ -121,14 +74,3 @@ def sentences(slots: DataFrame) -> DataFrame:
         expr = F.replace(expr, F.lit("{Verb_base}"), F.initcap("verb_base"))
         forms.append(F.struct(F.lit(form).alias("form"), F.regexp_replace(expr, r"\s+\.", ".").alias("sentence")))
     return slots.withColumn("f", F.explode(F.array(*forms))).select(*slots.columns, "f.*")
-
-
-def motion_pairs(first: DataFrame, second: DataFrame, connectors: DataFrame, rank: Column, most: int) -> DataFrame:
-    """Pairs of sentences of one graph with the connectors that their relation allows, at most so many a graph by rank.
-
-    Both sides and the connectors are equi-joined (graph; relation), never crossed.
-    """
-    a = first.select("graph_id", F.col("sentence").alias("a"))
-    b = second.select("graph_id", "relation", F.col("sentence").alias("b"))
-    rows = a.join(b, "graph_id").join(F.broadcast(connectors), "relation")
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("graph_id").orderBy(rank, "a", "b", "connector"))).where(F.col("__n") <= most).drop("__n")

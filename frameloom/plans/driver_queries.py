@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import text as tx
 from frameloom.functions.allen import REGIONS, RELATIONS, TEMPORAL, axis_relation, region
-from frameloom.functions.geometry import boxes_meet, half_plane, in_quad, point_in_box, unit
+from frameloom.functions.geometry import boxes_meet, half_plane, point_in_box, unit
 from frameloom.functions.motion_types import parse_types
 from frameloom.operators import analytics, motion
 from frameloom.operators import runs as rn
@@ -231,11 +231,11 @@ register("q_motion_origin_abs", f"""WITH {BOXES} SELECT vec_id, frame FROM boxes
 )
 
 
-@register("q_motion_origin_pct", f"""WITH {BOXES} SELECT vec_id, frame, round("left" + 0.25 * ("right" - "left"), 6) AS x, round(top + 0.5 * (bottom - top), 6) AS y FROM boxes""")
+@register("q_motion_origin_pct", f"""WITH {BOXES} SELECT vec_id, frame FROM boxes WHERE abs("left" + 3 - ("left" + 0.25 * ("right" - "left"))) <= 0.1 + 1e-5 * abs("left" + 0.25 * ("right" - "left")) AND abs(top + 2 - (top + 0.5 * (bottom - top))) <= 0.1 + 1e-5 * abs(top + 0.5 * (bottom - top))""")
 def _origin_pct(s, d):
     c = F.col
-    at = in_quad([(c("left"), c("top")), (c("right"), c("top")), (c("right"), c("bottom")), (c("left"), c("bottom"))], 0.25, 0.5)
-    return boxes(s, d).select("vec_id", "frame", F.round(at[0], 6).alias("x"), F.round(at[1], 6).alias("y"))
+    corners = [(c("left"), c("top")), (c("right"), c("top")), (c("right"), c("bottom")), (c("left"), c("bottom"))]
+    return boxes(s, d).where(motion.origin(["25%", "50%"], (c("left") + 3, c("top") + 2), corners)).select("vec_id", "frame")
 
 
 register("q_motion_duration", f"WITH {TWEENS} SELECT DISTINCT cust, CAST(unnest(generate_series(s, e)) AS INTEGER) AS frame FROM tweens WHERE kind = 1 AND abs((e - s) - 60) <= 1e-8 + 60e-5")(

@@ -13,9 +13,9 @@ from frameloom.plans.driver_queries import OBJECTS, ORACLE_SQL, QUERIES, SERIES,
 from frameloom.sources import scenes as sc
 from frameloom.streaming.runs import close_runs, stream_runs
 
-register("q_modifier_permutations", """WITH m AS (SELECT unnest(['direction', 'magnitude', 'origin', 'duration', 'post']) AS m)
-  SELECT concat_ws(',', a.m, b.m, c.m, d.m, e.m) AS modifiers FROM m a, m b, m c, m d, m e WHERE len(list_distinct([a.m, b.m, c.m, d.m, e.m])) = 5""")(
-    lambda s, d: generate.modifier_orders(s).select(F.array_join("modifiers", ",").alias("modifiers"))
+register("q_modifier_permutations", """WITH names AS (SELECT ['direction', 'magnitude', 'origin', 'duration', 'post'] AS n), perms AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS ord FROM (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i), range(1, 6) e(i)) WHERE len(list_distinct(p)) = 5)
+  SELECT p_partkey, array_to_string(list_transform(p, lambda i: n[i]), ',') AS modifiers FROM part JOIN perms ON ord = p_partkey % 120, names""")(
+    lambda s, d: load(s, d, "part").select("p_partkey", (F.col("p_partkey") % 120).cast("int").alias("ord")).join(F.broadcast(generate.modifier_orders(s)), "ord").select("p_partkey", F.array_join("modifiers", ",").alias("modifiers"))
 )
 register("q_splits", """WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS w FROM part)
   SELECT p_partkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, array_to_string(w[1:i], ' ') AS prefix, array_to_string(w[i+1:j], ' ') AS infix, array_to_string(w[j+1:], ' ') AS suffix

@@ -109,6 +109,15 @@ RECORDED = 'm_1 = iota(Motion, lambda m: type(m, "translate") and direction(m, [
 register("q_program_motion_getters", report_sql(f"""{SCENES}, {first_runs_sql('m1', 'dx > 0')}, rest AS (SELECT DISTINCT scene FROM cells c JOIN m1 USING (scene, obj) WHERE dx > 0 AND NOT frame BETWEEN s AND e),
   r AS (SELECT scene, bool_or(dx > 0) AS a, bool_or(dx <> 0) AS t, scene IN (SELECT scene FROM rest) AS two, true AS yes FROM cells GROUP BY 1)""",
     [(0, 0, "a"), (0, 1, "t"), (0, 2, "a"), (0, 3, "yes"), (1, 0, "two"), (1, 1, "t"), (1, 2, "a"), (1, 3, "yes")], "r"))(reported(RECORDED))
+TAKEN = OBJECTS_ + 'm_1 = iota(Motion, lambda m: type(m, "translate") and post(m, s_left(o_1, o_2)) and agent(m, o_1))\nexists(Motion, lambda m: type(m, get_type(m_1)) and post(m, get_post(m_1)) and agent(m, get_agent(m_1)))\nm_3 = iota(Motion, lambda m: type(m, "translate") and magnitude(m, 16.0))\nexists(Motion, lambda m: type(m, "translate") and magnitude(m, get_magnitude(m_3)) and not m_3)'
+register("q_program_taken", f"""WITH {_SPACE}, hit AS (SELECT DISTINCT scene, k FROM pairs, generate_series(0, 3) g(k) WHERE pairs.frame = least(4 * k + 3, 14) AND ({_region_sql('s_left')})),
+  marked AS (SELECT DISTINCT scene, CAST(unnest(generate_series(4 * k, least(4 * k + 3, 15) - 1)) AS INT) AS frame FROM hit), c1 AS (SELECT c.* FROM cells c SEMI JOIN o1 USING (scene, obj) SEMI JOIN marked m ON c.scene = m.scene AND c.frame = m.frame),
+  ends AS (SELECT b.scene, b.obj, k, 4 * k AS s, max(f.frame) - 1 AS e FROM generate_series(0, 3) g(k) JOIN acc b ON b.frame = 4 * k JOIN moved f ON f.scene = b.scene AND f.obj = b.obj AND f.frame BETWEEN 4 * k AND least(4 * k + 3, 15) WHERE f.dx <> 0 AND abs(abs(f.tx - b.tx) - 16) <= 0.1 + 16e-5 GROUP BY ALL),
+  far AS (SELECT DISTINCT cells.scene, cells.obj, cells.frame FROM cells JOIN ends ON cells.scene = ends.scene AND cells.obj = ends.obj AND cells.frame BETWEEN s AND e WHERE dx <> 0), {first_runs_sql('m3', 'true', 'far')},
+  r AS (SELECT s.scene, EXISTS (SELECT 1 FROM c1 WHERE c1.scene = s.scene AND dx <> 0) AS taken, EXISTS (SELECT 1 FROM far WHERE far.scene = s.scene) AS far, EXISTS (SELECT 1 FROM far JOIN m3 USING (scene, obj) WHERE far.scene = s.scene AND NOT far.frame BETWEEN m3.s AND m3.e) AS more FROM scenes s)
+  SELECT scene AS scene_id, n AS stmt_idx, CASE n WHEN 2 THEN taken WHEN 3 THEN taken WHEN 4 THEN far ELSE more END AS result FROM r, generate_series(2, 5) g(n)""")(
+    lambda s, d: compiler.evaluate(TAKEN, scene_tables(s, d)).where("node_idx = 0 and stmt_idx > 1").select("scene_id", "stmt_idx", "result")
+)
 register("q_program_count", f"WITH {SCENES}, {first_runs_sql('m', 'dx <> 0')} SELECT s.scene AS scene_id, count(m_all.s) AS n FROM scenes s LEFT JOIN m_all ON m_all.scene = s.scene GROUP BY 1")(
     lambda s, d: compiler.count('count(Motion, lambda m: type(m, "translate"))', scene_tables(s, d))
 )

@@ -122,6 +122,28 @@ register("q_sink_data", f"WITH {SCENES} SELECT scene AS scene_id, vec_id, acc.fr
 )
 
 
+register("q_read_documents", f"WITH {SCENES} SELECT scene AS scene_id, vec_id, acc.frame, tx AS x, rot FROM acc JOIN ids USING (scene, obj)")(
+    lambda s, d: sc.from_documents(_data(s, d)).frames.select("scene_id", C("obj_id").cast("bigint").alias("vec_id"), "frame", C("tx_acc").alias("x"), C("rot_acc").alias("rot"))
+)
+
+
+def _sampled(s, d):
+    """Each vector as a scene of one object that two of its numbers move, one after the other, and a third turns."""
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    rows = load(s, d, "embeddings").select(C("vec_id").alias("scene_id"), "embedding", F.lit("a").alias("obj_id"))
+    none = F.lit(0.0)
+    objects = rows.select("scene_id", F.lit(0).alias("obj_idx"), "obj_id", none.alias("x"), none.alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
+    tween = lambda k, begin, dx, rot: F.struct(F.lit(k).alias("tween_idx"), F.lit("other").alias("type"), F.lit(begin).alias("begin"), F.lit(0.5).alias("seconds"), dx.alias("dx"), none.alias("dy"), rot.alias("rot"), F.lit(1.0).alias("scale_x"), F.lit(1.0).alias("scale_y"), none.alias("skew_x"), none.alias("skew_y"))
+    plan = rows.select("scene_id", "obj_id", F.explode(F.array(tween(0, 0.0, e(0) * 100, none), tween(1, 0.25, e(1) * 100, e(2) * 90))).alias("t")).select("scene_id", "obj_id", "t.*")
+    return sc.sample(rows.select("scene_id", F.lit(1.0).alias("duration"), F.lit(12.0).alias("fps")), objects, plan)
+
+
+register("q_sampler", """WITH t AS (SELECT vec_id, CAST(f AS INTEGER) AS frame, CAST(embedding[1] AS DOUBLE) * 100 AS a, CAST(embedding[2] AS DOUBLE) * 100 AS b, CAST(embedding[3] AS DOUBLE) * 90 AS r, least(1, f / 12.0 / 0.5) AS p, greatest(0, least(1, (f / 12.0 - 0.25) / 0.5)) AS q FROM embeddings, range(13) g(f))
+  SELECT vec_id AS scene_id, frame, round(a * p + b * q, 6) AS x, round(r * q, 6) AS rot FROM t""")(
+    lambda s, d: _sampled(s, d).frames.select("scene_id", "frame", F.round("tx_acc", 6).alias("x"), F.round("rot_acc", 6).alias("rot"))
+)
+
+
 @register("q_dataset_json", "SELECT item_id, text FROM benchmark")
 def _dataset(s, d):
     path = fresh_path(s, "dataset")

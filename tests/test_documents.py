@@ -7,6 +7,7 @@ import json
 import re
 import random
 
+import program_text
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,11 +94,11 @@ def test_program_text_as_columns(spark):
             motions.append(m)
         graphs.append(motions)
     pair = lambda xs: [(x["shape"], x["fill"]) for x in xs] if xs else None
-    text = lambda v: None if v is None else generate.literal(v)
+    text = lambda v: None if v is None else program_text.literal(v)
     rows = [(g, i, m["type"], *[text(m.get(k)) for k in ("direction", "magnitude", "origin", "duration")], pair(m["agents"]), m.get("post"), pair(m.get("post_reference")), m.get("relation")) for g, ms in enumerate(graphs) for i, m in enumerate(ms)]
     df = spark.createDataFrame(rows, "graph_id int, motion_idx int, type string, direction string, magnitude string, origin string, duration string, agents array<struct<shape:string,fill:string>>, post string, post_reference array<struct<shape:string,fill:string>>, relation string")
     got = {r.graph_id: r.program for r in generate.programs(df).collect()}
-    assert got == {g: generate.program(ms) for g, ms in enumerate(graphs)}
+    assert got == {g: program_text.program(ms) for g, ms in enumerate(graphs)}
     order = got[next(g for g, ms in enumerate(graphs) if any(m.get("post") and m.get("duration") for m in ms))]
     line = next(x for x in order.split("\n") if "post(" in x and "duration(" in x)
     assert line.index("post(") < line.index("duration(") < line.index("agent(")

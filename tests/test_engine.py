@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 
+import program_text
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,7 +181,7 @@ def test_texts(spark):
 
 def test_program_generation():
     blue = {"shape": "circle", "fill": "blue"}
-    text = generate.program([{"type": "translate", "agents": [blue], "direction": [0.0, 1.0], "magnitude": 100.0}, {"relation": "before", "type": "rotate", "agents": [blue], "direction": -1.0, "magnitude": 90.0, "duration": 1.0}])
+    text = program_text.program([{"type": "translate", "agents": [blue], "direction": [0.0, 1.0], "magnitude": 100.0}, {"relation": "before", "type": "rotate", "agents": [blue], "direction": -1.0, "magnitude": 90.0, "duration": 1.0}])
     assert text == """o_1 = iota(Object, lambda o: color(o, "blue") and shape(o, "circle"))
 
 m_1 = iota(Motion, lambda m: type(m, "translate") and direction(m, [0.0, 1.0]) and magnitude(m, 100.0) and agent(m, o_1))
@@ -195,10 +196,6 @@ def test_generators(spark):
     assert generate.splits(spark.createDataFrame([(["a", "b", "c"],)], "w array<string>"), "w").count() == 10
     motions = spark.createDataFrame([("g", 0, [("circle", "blue")], None), ("g", 1, [("square", "red"), ("circle", "blue")], [("square", "black")])], "graph_id string, motion_idx int, agents array<struct<shape:string,fill:string>>, post_reference array<struct<shape:string,fill:string>>")
     assert [(r.obj, r.fill) for r in generate.agent_rows(motions).orderBy("obj").collect()] == [(1, "blue"), (2, "red"), (3, "black")]
-    a = spark.createDataFrame([("g", f"a{i}") for i in range(3)], "graph_id string, sentence string")
-    b = spark.createDataFrame([("g", "before", f"b{i}") for i in range(3)], "graph_id string, relation string, sentence string")
-    links = spark.createDataFrame([("before", "then"), ("after", "once")], "relation string, connector string")
-    assert generate.motion_pairs(a, b, links, F.lit(0), 5).count() == 5
 
 
 def test_statistics(spark):
