@@ -11,7 +11,7 @@ Items shorter than ``least`` characters have no error budget: they are searched
 The items go to the executors in blocks of a bounded size, one block at a time; a benchmark of one block is one map over the documents without a shuffle. A larger one takes a
 pass for each block, whose hits (not texts) are joined by the document's id and text hash.
 
-Results: a null or empty text has no hits. Items that are null, or empty after folding, are not searched.
+Results: a null or empty text has no hits. Items whose text is null, or empty after folding, are not searched; an item without an id is, and reports null.
 Repeated items each report; repeated documents each get their row. An empty benchmark contaminates nothing.
 """
 
@@ -122,7 +122,7 @@ class Matcher:
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple]]:
     """The items in blocks of about ``most`` characters; the driver holds one block at a time."""
-    items = benchmark.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null and k is not null")
+    items = benchmark.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // most))
     for b in range(n):

@@ -51,10 +51,20 @@ CLASSES = frozenset(
 )
 #: Of these, what also decides inside the main text, as a class; the others need links or recurrence there.
 STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot promo cookie cookies newsletter subscribe share sharing social comment comments commentlist respond disqus pagination breadcrumb breadcrumbs".split())
+#: Words that may stand beside a strong one in a name (share-bar, post-comments); beside others it says something else (market-share).
+BESIDE = frozenset(
+    """area article bar block bottom box button buttons card container content desktop entry fixed float form group header holder icon icons inline item items js left link links list menu mid middle mobile
+    module native page panel post right row section side signup slot sticky strip template text thread tool tools top unit wrap wrapper""".split()
+)
+#: Ids of reader comments, which decide inside the main text as well.
+COMMENTS = frozenset("comments comment-section comments-section comments-area commentlist respond disqus_thread".split())
+#: Of the elements that go, those that pages also put around their main text.
+WRAPPERS = frozenset("form dialog fieldset".split())
 TEASERS = frozenset("comment comments reply ad ads advert related promo teaser card".split())
 #: Parts of a class that make it a state of the element, not its kind.
 STATES = frozenset("has no not with without is are js hide show enabled disabled open opened closed on off".split())
 _SPLIT = re.compile(r"[-_]+")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 
 
 class Node:
@@ -141,10 +151,10 @@ def measure(root: Node) -> None:
     """Sets for each element the characters of its text, those in links, and whether it holds the main text: an article or main element."""
     for x in reversed(nodes(root)):
         kids = _kids(x)
-        if x.tag not in GONE:
+        x.holds = any(k.holds or k.tag in ("article", "main") or "role" in k.attrs and k.get("role") == "main" for k in kids)
+        if x.tag not in GONE or x.tag in WRAPPERS and x.holds:
             x.size = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) + sum(k.size for k in kids)
             x.linked = x.size if x.tag == "a" else sum(k.linked for k in kids)
-        x.holds = any(k.holds or k.tag in ("article", "main") or "role" in k.attrs and k.get("role") == "main" for k in kids)
 
 
 def kinds(names: str) -> set[str]:
@@ -157,29 +167,49 @@ def kinds(names: str) -> set[str]:
     return out
 
 
+def strong(names: str) -> bool:
+    """Whether a class attribute has a name of which a ``STRONG`` word is all, or all but words that say nothing else."""
+    for name in names.lower().split():
+        parts = _SPLIT.split(name)
+        if name in STRONG or not STATES & set(parts) and {parts[0], parts[-1]} & STRONG and all(p in STRONG or p in CLASSES or p in BESIDE or p.isdigit() or not p for p in parts):
+            return True
+    return False
+
+
+def hidden(node: Node) -> bool:
+    """Whether an element's attributes hide it: hidden, aria-hidden, or a style that doesn't show it."""
+    for name, value in _ATTR.findall(node.attrs):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 def boilerplate(node: Node, inside: bool, whole: int = 0, beside: bool = False) -> bool:
     """Whether an element is none of the main text by what it is. ``inside``: in the main text, where a header holds its title; ``beside``: in a main element, but in none of its articles.
 
-    A class or id doesn't decide about an element that holds the article, or more than half of the ``whole`` text. In an article ids don't decide, and classes that
-    aren't ``STRONG`` only if at least half of the text is links; what recurs on the host is found by counting.
+    A class or id doesn't decide about an element that holds the article, or more than half of the ``whole`` text. In an article ids don't decide, but for those of reader comments, and classes that
+    aren't ``strong`` only if at least half of the text is links; what recurs on the host is found by counting. A form or dialog around the article stays.
     """
-    if node.tag in GONE or node.tag == "header" and not inside:
+    if node.tag in GONE and not (node.tag in WRAPPERS and node.holds) or node.tag == "header" and not inside:
         return True
     if not node.attrs or node.tag in ("body", "html"):
         return False
+    if inside and not (whole and 2 * node.size > whole) and node.tag not in ("main", *HEADINGS) and node.get("id").lower() in COMMENTS:
+        return True
     if not node.holds and not (whole and 2 * node.size > whole) and node.tag not in ("main", *HEADINGS):
         if node.tag == "article":
             if kinds(node.get("class", "id")) & TEASERS:
                 return True
         elif inside and not beside:
-            names = kinds(node.get("class"))
-            if node.tag != "header" and (names & STRONG or names & CLASSES and 2 * node.linked >= node.size):
+            names = node.get("class")
+            if node.tag != "header" and (strong(names) or kinds(names) & CLASSES and 2 * node.linked >= node.size):
                 return True
         elif kinds(node.get("class", "id")) & CLASSES:
             return True
         if ROLES & set(node.get("role").lower().split()):
             return True
-    return "aria-hidden" in node.attrs and node.get("aria-hidden").lower() == "true" or bool(re.search(r"\bhidden(?=\s|$|=\s*[\"']?(hidden|true)?[\"']?(\s|$))|display\s*:\s*none", re.sub(r"(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|\S+)", "", node.attrs), re.I))
+    return hidden(node)
 
 
 def _kids(node: Node) -> list[Node]:

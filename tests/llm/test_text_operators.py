@@ -85,6 +85,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section id="comments"><p>First!</p></section><form><input><p>mail</p></form><footer>&copy; me</footer>"""
 
 
+def test_items_without_an_id_are_searched(spark):
+    item = "a benchmark question that nobody should have seen before"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "something else")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (7, "other text that is long enough to be an item"), (None, None)], "item_id long, text string")
+    for most in (500_000, 30):
+        rows = {r.doc_id: (r.contaminated, r.item_ids, r.distances) for r in decontaminate.contamination(docs, bench, block_chars=most).collect()}
+        assert rows == {1: (True, [None], [0]), 2: (False, [], [])}
+        assert [r.doc_id for r in decontaminate.clean(docs, bench, block_chars=most).collect()] == [2]
+
+
 def test_html(spark):
     want = "A & B title\nOne two\nThree <four> café\nx\ny\n1 2"
     page = PAGE.replace("{promo}", "<!-- ad --><div class=ad>Buy</div>").replace("{more}", "")
@@ -142,6 +152,26 @@ def plain_counts(pages):
     return out
 
 
+def test_html_wrappers_hidden_names_and_comments():
+    """A form or dialog around the article, words in attribute values, names that only sound like boilerplate, reader comments by id."""
+    text = html_text.main_text
+    body = "<p>One sentence of the story.</p><p>Another sentence of it.</p>"
+    for tag in ("form", "dialog"):
+        assert text(f'<body><{tag} id="aspnetForm"><div><input name=q><article>{body}</article></div><form><label>Search</label></form></{tag}></body>') == "One sentence of the story.\nAnother sentence of it."
+        assert text(f"<body><article>{body}<{tag}><p>Sign up now</p></{tag}></article></body>") == "One sentence of the story.\nAnother sentence of it."
+    assert text(f'<body><div style="overflow: hidden ; color: red"><article>{body}</article></div></body>').count("\n") == 1
+    assert text(f'<body><article>{body}<p title="the hidden truth of it">Third.</p><p style="overflow: hidden !important">Fourth.</p></article></body>').endswith("Third.\nFourth.")
+    for gone in ("hidden", 'hidden=""', 'HIDDEN="hidden"', 'style="display: none"', "style='color:red;visibility:hidden'", 'aria-hidden="true"'):
+        assert text(f"<body><article>{body}<div {gone}>Unseen.</div></article></body>").endswith("it.")
+    for kept in ("market-share", "social-sciences", "ad-hoc", "comment-theory"):
+        assert text(f'<body><article>{body}<div class="{kept}">Kept words.</div></article></body>').endswith("Kept words."), kept
+    for gone in ("share", "share-bar", "social-share", "post-comments", "ad-slot-2", "newsletter-box"):
+        assert text(f'<body><article>{body}<div class="{gone}">Gone words.</div></article></body>').endswith("it."), gone
+    replies = '<section id="comments"><article><p>I agree.</p></article></section>'
+    assert text(f"<body><article>{body}{replies}</article></body>").endswith("it.")
+    assert text(f'<body><article>{body}<h2 id="comments">Comments of the court</h2></article></body>').endswith("Comments of the court")
+
+
 def test_html_subtree_counts():
     """Counting by hash is counting by form: outside the main text every subtree once a page."""
     import collections
