@@ -248,6 +248,26 @@ def test_pairs_are_learned():
     assert len(train) == len(rows) and machine.score("zorp jovan") > max(machine.score("zorp blag"), machine.score("jovan plutor"))
 
 
+def test_toxicity_of_documents_takes_pairs():
+    """On the given tables, fitted on two training folds and checked on the third: the machine has factors, and errs no more than weights alone."""
+    import os
+    import zlib
+
+    import duckdb
+    import numpy as np
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    found = duckdb.sql(f"SELECT doc_id, text, max(toxic) FROM '{d}/labels.parquet' JOIN '{d}/documents.parquet' USING (doc_id) WHERE toxic IS NOT NULL GROUP BY ALL").fetchall()
+    fold = lambda k: zlib.crc32(str(k).encode()) % 4
+    rows = sorted((np.array(sorted(toxicity.terms(t)), "<u4").tobytes(), y) for k, t, y in found if fold(k) in (0, 1))
+    machine, weights = toxicity.train(rows), toxicity.train(rows, alone=toxicity.EPOCHS)
+    wrong = lambda m: sum((m.score(t) >= toxicity.THRESHOLD) != y for k, t, y in found if fold(k) == 3)
+    assert (abs(machine.factors) > 0).any(axis=1).sum() > 100 and not weights.factors.any()
+    assert wrong(machine) <= wrong(weights)
+
+
 def test_toxicity_ties_and_long_texts(spark):
     """Repeated rows score alike, labels that disagree count as toxic, a very long text scores its distinct words, and order doesn't matter."""
     rows = [(i, f"plain words number{i % 7} " + ("dolt" if i % 3 == 0 else "kind")) for i in range(300)]
