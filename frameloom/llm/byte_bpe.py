@@ -248,6 +248,10 @@ class Chunks(dict):
             ids = self.tails[text] = self.encode(text)
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.tails = {}, {}
+
     def put(self, part: str, ids: bytes | None) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
@@ -374,8 +378,9 @@ class Codec:
         find = regex.compile(pattern).findall
         encode = self.machine.encode
 
-        matches = Matches(encode, MAX_PIECES // 4)
-        self.encode = ChunkedEncoder(lambda text: b"".join([matches[m] for m in find(text)]), lambda text: pack(encode(text.encode()))).encode
+        self.matches = matches = Matches(encode, MAX_PIECES // 4)
+        self.parts = ChunkedEncoder(lambda text: b"".join([matches[m] for m in find(text)]), lambda text: pack(encode(text.encode())))
+        self.encode = self.parts.encode
 
     @classmethod
     def of(cls, data: bytes, pattern: str) -> Codec:
@@ -384,6 +389,14 @@ class Codec:
             cls.held = {key: cls(data, pattern)}
         return cls.held[key]
 
+    @classmethod
+    def rest(cls) -> None:
+        """Between tasks a worker keeps the transducer, but not the parts of texts that it has seen: it may be idle beside other work."""
+        for codec in cls.held.values():
+            codec.matches.clear()
+            codec.parts.first.forget()
+            codec.parts.inner.forget()
+
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encodes and decodes every text.
@@ -416,4 +429,4 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
         return row
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids binary" * keep_ids
-    return map_rows(docs.select(id_col, text_col), schema, make)
+    return map_rows(docs.select(id_col, text_col), schema, make, Codec.rest)

@@ -71,14 +71,19 @@ def discard(*tables: DataFrame) -> None:
         drop_table(df.sparkSession, df._frameloom_path)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most ``IN_ROWS`` rows: the session's setting is lowered to it, as both sides hold whole batches of texts."""
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, after: Callable[[], None] | None = None) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``IN_ROWS`` rows: the session's setting is lowered to it, as both sides hold whole batches of texts.
+
+    ``after`` ends each task, in the worker, before it gives its free memory back.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= IN_ROWS:
         conf.set(name, IN_ROWS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        if after is not None:
+            after()
         tidy()
 
     return df.mapInArrow(task, schema)
@@ -97,7 +102,7 @@ def tidy() -> None:
         pass
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]], after: Callable[[], None] | None = None) -> DataFrame:
     """Applies a row function to every row of ``df`` in Arrow batches.
 
     ``make`` runs once per task on the executor and returns the row function, which takes the columns of ``df`` in order and
@@ -117,7 +122,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]
     from pyspark.sql.types import _parse_datatype_string
 
     types = to_arrow_schema(_parse_datatype_string(schema))
-    return map_batches(df, run, schema)
+    return map_batches(df, run, schema, after)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
