@@ -1,10 +1,10 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of at least 16 key characters that has a digit, one of the known key forms (with or without a digit), or a value of any length that
-is assigned to a name which ends in a key word (quoted: up to the closing quote, blanks as one; bare: up to white space). The forest judges it by its length, its
+is assigned to a name which ends in a key word (quoted: up to the closing quote, blanks as one; bare: up to white space, another such assignment, or a separator before
+another name). Each assignment counts, also several in one word or inside a quoted value. Words end at white space, at any of ``, ; & { }`` and after a run of key characters. The time is linear in a text's length. The forest judges it by its length, its
 transitions between character classes, its shares of digits, capitals, vowels, symbols and distinct characters, the share of it that a dictionary covers,
-the path it stands in (documents without one are judged by what ``path_col`` names instead, as their source), and the words before and after it. Forests are grown on a bounded table of labelled findings and compiled to one SQL expression
-each tree, so that the scan is a single map of built-in functions over the texts.
+the path it stands in (documents without one are judged by what ``path_col`` names instead, as their source), and the words before and after it. Forests are grown on a bounded table of labelled findings and walked as constant arrays, so that the scan is a single map of built-in functions over the texts.
 
 Labelled findings come as a table (``candidate, before, path, label``, and ``after`` if it has one); without one, :func:`sample_findings` makes a fixed, seeded table of the usual key forms and of
 what is often taken for them (digests of commits and files, identifiers, long words, numbers, addresses, placeholders).
@@ -35,7 +35,14 @@ KNOWN_FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^sk_(live
 #: The same forms inside a word.
 KNOWN_INSIDE = "(?<![A-Za-z0-9])(?:" + "|".join(f.strip("^$") for f in KNOWN_FORMS.split("|^")) + ")(?![A-Za-z0-9])"
 #: A name that ends in a key word, with what may close it; and what assigns.
-NAME, ASSIGN = r"(?:secret|token|passw[a-z]*|passphrase|pwd|key|credentials?|auth|bearer|signature|access|private)[\"'\])]*", r"(?::=|=>|==?|:)"
+NAME, ASSIGN = r"(?:secret|token|passw(?:(?!passw)[a-z])*+|passphrase|pwd|key|credentials?|auth|bearer|signature|access|private)[\"'\])]*+", r"(?::=|=>|==?|:)"
+NAMED = rf"(?i){NAME}\s*+{ASSIGN}"
+#: An assigned value: quoted, or bare. A quote or separator inside a bare one needs a word after it that isn't assigned to.
+VALUE = rf"\"([^\"]+)\"|'([^']+)'|((?![\"'])(?:(?!{NAME}{ASSIGN}[^\s=:>])(?:[^\s\"'&,;]|[&,;](?![\"']?[\w.\-]++[\"']?\s*+[=:])|[\"'](?=\w)))++)"
+#: Marks in a scanned text (code points that no text holds; if one does, they count as another): around a copied value, before its bare form, after a run.
+OPEN, BARE, SHUT, CUT, LOST = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4"
+#: A word of a marked text: a copied value and what follows it, or what stands between white space, separators and marks.
+WORD = rf"{OPEN}[^{SHUT}]*+{SHUT}[^\s,;&{{}}{OPEN}{CUT}]*+|[^\s,;&{{}}{OPEN}{CUT}]++"
 TEST_PATH = "test|example|sample|fixture|mock|docs?/|readme"
 
 
@@ -200,32 +207,63 @@ def fit(spark: SparkSession, findings: DataFrame | None = None) -> list:
     return grow(data[:, :-1], data[:, -1])
 
 
+def marked(text: Column) -> Column:
+    """The text with a copy of each assigned value before its place, between marks, and with a mark after each run of key characters that can hold a known form.
+
+    A quoted value is only looked at, not passed over, so assignments inside it are found too; it ends at the next quote of its kind, so all of them together are
+    read in linear time. A bare value ends before white space, before another assignment and at a separator that another name follows.
+    """
+    text = F.translate(text, OPEN + BARE + SHUT + CUT, LOST * 4)
+    copied = F.regexp_replace(text, rf"(?i){NAME}\s*+{ASSIGN}\s*+(?=[^\s=:>])(?={VALUE})", f"$0{OPEN}$1$2{BARE}$3{SHUT}")
+    return F.regexp_replace(F.when(text.rlike(NAMED), copied).otherwise(text), "([A-Za-z0-9+/_-]{13,}+={0,2})", f"$1{CUT}")
+
+
+def forest_score(forest: list) -> Column:
+    """The forest's mean vote over the feature columns.
+
+    The nodes are constant arrays that are walked from each root, so the plan's code doesn't grow with the forest.
+    """
+    nodes, roots = [], []
+
+    def add(tree) -> int:
+        at = len(nodes)
+        nodes.append([0, 0.0, at, at, tree])  # a leaf leads to itself
+        if not isinstance(tree, float):
+            f, cut, a, b = tree
+            nodes[at] = [f, cut, add(a), add(b), 0.0]
+        return at
+
+    roots = [add(t) for t in forest]
+    depth = lambda t: 1 if isinstance(t, float) else 1 + max(depth(t[2]), depth(t[3]))
+    fixed = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    feature, cut, low, high, share = (fixed(v, k) for v, k in zip(zip(*nodes), ("int", "double", "int", "int", "double")))
+
+    def total(x: Column) -> Column:
+        step = lambda n, _: F.when(F.get(x, F.get(feature, n)) <= F.get(cut, n), F.get(low, n)).otherwise(F.get(high, n))
+        leaf = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(max(map(depth, forest)))), root, step)
+        return F.aggregate(fixed(roots, "int"), F.lit(0.0), lambda s, root: s + F.get(share, leaf(root)))
+
+    return F.get(F.transform(F.array(F.array(*FEATURES)), total), F.lit(0)) / F.lit(float(len(forest)))
+
+
 def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """A row for each candidate: ``id_col, word, nth`` (its word and place in it), ``length, sha256, score, secret``."""
-    words = F.split(F.col("t"), r"\s+")
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), (F.col(path_col) if path_col else F.lit("")).cast("string").alias("p"))
-    named = rf"(?i){NAME}\s*{ASSIGN}"
-    split = texts.where(F.col("t").rlike(r"[A-Za-z0-9+/_-]{16}") | F.col("t").rlike(KNOWN_INSIDE) | F.col("t").rlike(named)).select("d", "p", words.alias("w"))
-    near = lambda i, k: F.coalesce(F.get("w", i - k), F.lit(""))
-    # a word holds a value that is assigned in it, or that the words before it assign
-    inside = lambda own: own.rlike(rf"(?i){NAME}{ASSIGN}[^=:>]")
-    after = lambda own, before: before.rlike(rf"(?i){NAME}\s*{ASSIGN}$") | own.rlike(rf"^{ASSIGN}[^=:>]") & before.rlike(rf"(?i){NAME}$")
-    last = lambda i: F.concat_ws(" ", near(i, 2), near(i, 1))
-    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(r"[0-9]") & F.get("w", i).rlike(KEY) | F.get("w", i).rlike(KNOWN_INSIDE) | inside(F.get("w", i)) | after(F.get("w", i), last(i)))
-    word = lambda i: F.struct(i.alias("word"), F.get("w", i).alias("own"), F.concat_ws(" ", near(i, 3), near(i, 2), near(i, 1)).alias("before"), last(i).alias("last"), F.when(F.get("w", i).rlike("[\"']") & (inside(F.get("w", i)) | after(F.get("w", i), last(i))), F.concat_ws(" ", F.slice("w", i + 1, F.size("w")))).otherwise(F.get("w", i)).alias("tail"), F.concat_ws(" ", F.get("w", i + 1), F.get("w", i + 2)).alias("after"))
-    found = split.select("d", "p", F.explode(F.transform(places, word)).alias("x")).select("d", "p", "x.*")
-    value = r"(?:\"([^\"]+)\"|'([^']+)'|([^\s\"']\S*?)[\"',;)]*(?:\s|$))"
-    first = lambda pattern: F.array(*[F.regexp_extract("tail", pattern, k) for k in (1, 2, 3)])
-    own = F.col("own")
-    here = rf"(?i)^\S*?{NAME}{ASSIGN}{value}"
-    assigned = F.when(inside(own), first(here)).when(after(own, F.col("last")), first(rf"^{ASSIGN}?{value}")).otherwise(F.array().cast("array<string>"))
-    runs = F.regexp_extract_all("own", F.lit(f"({KEY})"), F.lit(1))
+    some = texts.where(F.col("t").rlike(r"[A-Za-z0-9+/_-]{16}") | F.col("t").rlike(KNOWN_INSIDE) | F.col("t").rlike(NAMED))
+    split = some.select("d", "p", F.regexp_extract_all(marked(F.col("t")), F.lit(f"({WORD})"), F.lit(1)).alias("w"))
+    bare = lambda w: F.regexp_replace(w, f"{OPEN}[^{SHUT}]*+{SHUT}", "")
+    near = lambda i, k: bare(F.coalesce(F.get("w", i + k), F.lit("")))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).startswith(OPEN) | F.get("w", i).rlike("[0-9]") & F.get("w", i).rlike(KEY) | F.get("w", i).rlike(KNOWN_INSIDE))
+    word = lambda i: F.struct(i.alias("word"), F.get("w", i).alias("whole"), F.concat_ws(" ", *[near(i, -k) for k in (3, 2, 1)]).alias("before"), F.concat_ws(" ", near(i, 1), near(i, 2)).alias("after"))
+    found = split.select("d", "p", F.explode(F.when(F.size("w") > 0, F.transform(places, word))).alias("x")).select("d", "p", "x.*")
+    found = found.select("d", "p", "word", "before", "after", bare(F.col("whole")).alias("own"), F.regexp_extract("whole", f"^{OPEN}([^{SHUT}]*+){SHUT}", 1).alias("copy"))
+    value = F.translate(F.concat(F.substring_index("copy", BARE, 1), F.rtrim(F.substring_index("copy", BARE, -1), F.lit("\"',;)"))), CUT, "")
+    runs = F.filter(F.regexp_extract_all("own", F.lit(f"({KEY})"), F.lit(1)), lambda c: c.rlike("[0-9]"))
     known = F.regexp_extract_all("own", F.lit(f"({KNOWN_INSIDE})"), F.lit(1))
-    more = F.array_except(F.filter(F.concat(known, assigned), lambda c: c != ""), F.filter(runs, lambda c: c.rlike("[0-9]")))
-    each = found.select("*", F.size(runs).alias("n_runs"), F.posexplode(F.concat(runs, more)).alias("nth", "candidate"))
-    parts = each.where((F.col("nth") >= F.col("n_runs")) | F.col("candidate").rlike("[0-9]"))
-    ready = parts.select("d", "word", "nth", "candidate", "p", F.concat(F.col("before"), F.lit(" "), F.expr("substring_index(tail, candidate, 1)")).alias("before"), "after")
+    assigned = F.regexp_replace(value, r"\s++", " ")
+    more = F.array_except(F.filter(F.concat(known, F.array(assigned)), lambda c: c != ""), runs)
+    each = found.select("*", F.posexplode(F.concat(runs, more)).alias("nth", "candidate"))
+    ready = each.select("d", "word", "nth", "candidate", "p", F.concat(F.col("before"), F.lit(" "), F.expr("CASE WHEN instr(own, candidate) > 0 THEN substring_index(own, candidate, 1) ELSE '' END")).alias("before"), "after")
     scored = ready.select("d", "word", "nth", "candidate", *[c.cast("double").alias(n) for n, c in zip(FEATURES, features(F.col("candidate"), F.col("before"), F.col("p"), F.col("after")))])
-    total = " + ".join(tree_sql(t) for t in forest)
-    out = scored.select(F.col("d").alias(id_col), "word", "nth", F.col("length").cast("long").alias("length"), F.sha2("candidate", 256).alias("sha256"), F.round(F.expr(f"({total}) / {len(forest)}D"), 6).alias("score"))
+    out = scored.select(F.col("d").alias(id_col), "word", "nth", F.col("length").cast("long").alias("length"), F.sha2("candidate", 256).alias("sha256"), F.round(forest_score(forest), 6).alias("score"))
     return out.withColumn("secret", F.col("score") >= threshold)

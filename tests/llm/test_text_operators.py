@@ -397,6 +397,100 @@ def test_secrets_without_digits_and_assigned_values(spark, forest):
     assert all(r.secret for r in rows if r.doc_id in (1, 2, 3, 4, 5))
 
 
+def _candidates(text: str) -> list[str]:
+    """Candidates of a text with plain blanks, read character by character."""
+    import re
+
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    names = ("secret", "token", "password", "pwd", "key", "auth", "bearer")
+    out, i = [], 0
+    while i < len(text):  # runs
+        j = i
+        while j < len(text) and text[j] in key:
+            j += 1
+        if j - i >= 16 and any(c.isdigit() for c in text[i:j]):
+            out.append(text[i:j])
+        i = max(j, i + 1)
+    def start(i: int, blanks: str) -> int | None:
+        """Where the value begins that is assigned to a name at i."""
+        name = next((n for n in names if text[i:].lower().startswith(n)), None)
+        if not name:
+            return None
+        j = i + len(name)
+        while text[j : j + 1] in ("\"", "'"):
+            j += 1
+        while text[j : j + 1] == blanks:
+            j += 1
+        if text[j : j + 1] not in (":", "="):
+            return None
+        j += 1
+        while text[j : j + 1] == blanks:
+            j += 1
+        return j if j < len(text) and text[j] not in " =:>" else None
+
+    for i in range(len(text)):  # assigned values
+        j = start(i, " ")
+        if j is None:
+            continue
+        if text[j] in "\"'":
+            end = text.find(text[j], j + 1)
+            value = text[j + 1 : end] if end > 0 else ""
+        else:
+            end = j
+            while end < len(text) and text[end] != " " and start(end, "none") is None:
+                rest = text[end + 1 :]
+                if text[end] in ",&;" and re.match(r"[\"']?[\w.-]+[\"']? *[=:]", rest) or text[end] in "\"'" and not re.match(r"\w", rest):
+                    break
+                end += 1
+            value = text[j:end].rstrip("\"',;)")
+        if value and not (value in out and len(value) >= 16):
+            out.append(value)
+    return sorted(out)
+
+
+def test_secret_candidates_against_brute_force(spark, forest):
+    """Minified texts, several assignments in a word, values inside values, and random texts of such parts."""
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    texts = [
+        '{"password":"a1!b","secret":"c2?d","api_key":"e3*f"}', "?token=abc1&password=b2", "x=1;token=abc1;y=2", '"auth": "token: \'q9 w8\' z"',
+        "auth_key=token=abc9", "password: \n\n hunter2 x", "no value: token:", "", "password = 'it ends'", 'token="open', "key=\ufdd0a",
+    ]
+    parts = ['"token":"', '",', "&password=", "; ", " secret: ", "abc1", "Zz9", "0123456789abcdef0", " the ", '"', "pwd = '", "', ", "monkey ", "x.y", ","]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(3, 12))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found: dict = {}
+    for r in secrets.scan(df, forest).collect():
+        found.setdefault(r.doc_id, []).append(r.sha256)
+    digest = lambda c: hashlib.sha256(" ".join(c.split()).encode() if c.strip() == c else __import__("re").sub(r"\s+", " ", c).encode()).hexdigest()
+    want = [_candidates(t.replace("\n", " ").replace("\ufdd0", "\ufdd4")) for t in texts]
+    for i, (text, w) in enumerate(zip(texts, want)):
+        assert sorted(found.get(i, [])) == sorted(map(digest, w)), (text, w)
+
+
+def test_secrets_in_a_very_long_text(spark, forest):
+    """Tens of thousands of quoted values in one text, with and without blanks."""
+    import time
+
+    rows = [(1, ", ".join(f'"token": "v{i}!x"' for i in range(60_000)), "a"), (2, "{" + ",".join(f'"password":"w{i}!x"' for i in range(60_000)) + "}", "a"), (3, "token='" * 20_000, "a"), (4, "passw" * 50_000 + "key]" * 20_000, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    begin = time.monotonic()
+    got = {r.doc_id: r["count"] for r in secrets.scan(df, forest).groupBy("doc_id").count().collect()}
+    print("seconds", time.monotonic() - begin)
+    assert got[1] == got[2] == 60_000 and time.monotonic() - begin < 120
+
+
+def test_forest_score_is_its_trees(spark, forest):
+    rows = secrets.sample_findings(50, seed=5)
+    df = spark.createDataFrame(rows, "candidate string, before string, path string, label int, after string")
+    cols = [c.cast("double").alias(n) for n, c in zip(secrets.FEATURES, secrets.features(F.col("candidate"), F.col("before"), F.col("path"), F.col("after")))]
+    total = " + ".join(secrets.tree_sql(t) for t in forest)
+    both = df.select(*cols).select(F.expr(f"({total}) / {len(forest)}D").alias("a"), secrets.forest_score(forest).alias("b")).collect()
+    assert len(both) == len(rows) and all(abs(r.a - r.b) < 1e-12 for r in both)
+
+
 #: Lines written by hand, apart from the findings that the forest learns from: path, line, whether it holds a secret.
 HELD_OUT = """
 deploy.sh	export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYzzkeyq9Zt1aB	1
