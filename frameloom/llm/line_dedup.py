@@ -13,7 +13,9 @@ edit distance that runs one bit-parallel automaton over the band of 2k + 1 diago
 
 **Scale.** Only hashes are shuffled, pre-aggregated, until it is known which keys two different lines share; texts are read again for those lines alone.
 Near lines are not expanded into pairs: of all lines that share a key, each is first held against the earliest one, which is one pair a line.
-Only lines that this leaves undecided meet the others of their keys, and only those whose word sketches allow for so few edits. Whether a line is near to
+Lines that this leaves undecided meet the others of their keys, those whose word sketches allow for so few edits. A key with more than ``SMALL`` undecided lines
+is first divided: the segment that they share is cut out, and what is left of each is a shorter line within the same budget, which is cut into segments in
+turn, until few lines share a key (a common beginning of log lines is passed over this way). Whether a line is near to
 an earlier one is thus decided exactly, while the links inside a group of near copies are never listed; a dropped line names one earlier line.
 
 Everything is DataFrame functions. Tables of ids are broadcast only while they are few; beyond, they join in a shuffle.
@@ -36,6 +38,10 @@ from frameloom.llm.common import discard, materialise
 LEAST, PER_EDIT, MOST = 20, 20, 3
 #: Rows of ids that may be broadcast (up to 40 bytes each); more are joined in a shuffle.
 BROADCAST_ROWS = 150_000
+#: Undecided lines that may meet all lines of their key, and how often a key with more is divided.
+SMALL, LEVELS = 64, 10
+#: A key, what it is of (0: characters, else words with so many edits), and the place it has in its line.
+PLACED = "struct<k:bigint,kind:int,at:int,size:int>"
 #: Symbols after which the automaton looks whether it can stop.
 STRETCH = 16
 
@@ -66,24 +72,31 @@ def segment_starts(n: Column, i: int, parts: int) -> Column:
     return F.floor(n * F.lit(i) / F.lit(parts)).cast("int")
 
 
-def _key(n: Column, less: int, i: int, edits: int, shift: int, cut, tag: str) -> Column:
+def _placed(key: Column, kind: int, at: Column, size: Column) -> Column:
+    return F.struct(key.alias("k"), F.lit(kind).alias("kind"), at.alias("at"), size.alias("size")).cast(PLACED)
+
+
+def _key(n: Column, less: int, i: int, edits: int, shift: int, cut, tag: str, placed: bool = False, group: tuple = ()) -> Column:
     """Hash of what a line of n symbols has at the place of segment i of a line that is shorter by ``less``, shifted; null if it doesn't fit.
 
-    The last bit tells whether it is a segment of the line itself, which its index holds.
+    The last bit tells whether it is a segment of the line itself, which its index holds. ``group`` names a key that is divided by this one;
+    with ``placed`` the key comes with its place.
     """
     m = n - F.lit(less)
     begin, end = segment_starts(m, i, edits + 1), segment_starts(m, i + 1, edits + 1)
     at = begin + F.lit(shift)
-    value = F.xxhash64(F.lit(f"{tag}{edits}"), m, F.lit(i), cut(at + 1, end - begin)).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(less == shift == 0)))
+    value = F.xxhash64(*group, F.lit(f"{tag}{edits}"), m, F.lit(i), cut(at + 1, end - begin)).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(less == shift == 0)))
+    if placed:
+        value = _placed(value, edits if tag == "w" else 0, at, end - begin)
     return F.when((at >= 0) & (at + (end - begin) <= n) & (end > begin), value)
 
 
-def index_keys(n: Column, edits: int, cut, tag: str) -> list[Column]:
+def index_keys(n: Column, edits: int, cut, tag: str, placed: bool = False) -> list[Column]:
     """Keys of a line's own segments."""
-    return [_key(n, 0, i, edits, 0, cut, tag) for i in range(edits + 1)]
+    return [_key(n, 0, i, edits, 0, cut, tag, placed) for i in range(edits + 1)]
 
 
-def probe_keys(n: Column, edits: int, cut, tag: str) -> list[Column]:
+def probe_keys(n: Column, edits: int, cut, tag: str, placed: bool = False, group: tuple = ()) -> list[Column]:
     """Keys of the substrings that can be a segment of a line that is shorter by up to ``edits`` (its own segments among them).
 
     A substring is shifted by no more than the edits on its left, and on its right.
@@ -92,25 +105,59 @@ def probe_keys(n: Column, edits: int, cut, tag: str) -> list[Column]:
     for less in range(edits + 1):
         for i in range(edits + 1):
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                out.append(_key(n, less, i, edits, shift, cut, tag))
+                out.append(_key(n, less, i, edits, shift, cut, tag, placed, group))
     return out
 
 
-def line_keys(per_edit: int, most: int) -> Column:
+def line_keys(per_edit: int, most: int, placed: bool = False) -> Column:
     """All keys (some null) of a line that has the columns ``line, n_chars, n_words, hashes`` (of its words)."""
     n, c = F.col("n_words"), F.col("n_chars")
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast(f"array<{PLACED if placed else 'bigint'}>")
     words = lambda at, size: F.slice("hashes", at, size)
     own = budget(n, per_edit, most)
-    keys = [F.when(n < 2 * per_edit, F.array(*probe_keys(c, 1, lambda at, size: F.substring("line", at, size), "c"))).otherwise(none)]
+    keys = [F.when(n < 2 * per_edit, F.array(*probe_keys(c, 1, lambda at, size: F.substring("line", at, size), "c", placed))).otherwise(none)]
     probes = none
     for k in range(1, most + 1):
-        probes = F.when(own == k, F.array(*probe_keys(n, k, words, "w"))).otherwise(probes)
+        probes = F.when(own == k, F.array(*probe_keys(n, k, words, "w", placed))).otherwise(probes)
         # lines that a longer one of the next budget can be near to stand in that budget's index too
-        keys.append(F.when((own < k) & (budget(n + k, per_edit, most) >= k), F.array(*index_keys(n, k, words, "w"))).otherwise(none))
+        keys.append(F.when((own < k) & (budget(n + k, per_edit, most) >= k), F.array(*index_keys(n, k, words, "w", placed))).otherwise(none))
     return F.concat(probes, *keys)
 
 
+def divided_keys(most: int) -> Column:
+    """Keys that divide the group ``key``, of what is left of a member (``words``, or ``chars`` where ``kind`` is 0), with their places.
+
+    What is left may be too short for segments that hold something: if the shorter of two has at most as many symbols as edits. With one edit, the longer one
+    then has two symbols of which the other is one, or neither has over one; with more edits, all that are so short meet.
+    """
+    def keys(n: Column, edits: int, cut, kind: int) -> Column:
+        def short(own: Column, *what: Column) -> Column:
+            return _placed(F.xxhash64("key", F.lit("short"), *what).bitwiseAND(F.lit(-2)).bitwiseOR(own.cast("long")), kind, F.lit(0), F.lit(0))
+
+        if edits == 1:
+            ends = [F.when(n == 2, short(F.lit(0), cut(F.lit(k), F.lit(1)))) for k in (1, 2)]
+            ends += [F.when(n == 1, short(F.lit(1), cut(F.lit(1), F.lit(1)))), F.when(n <= 1, short(F.lit(1)))]
+        else:
+            ends = [F.when(n <= 2 * edits, short(n <= edits))]
+        return F.array(*probe_keys(n, edits, cut, "w" if kind else "c", True, (F.col("key"),)), *ends)
+
+    out = F.when(F.col("kind") == 0, keys(F.length("chars"), 1, lambda at, size: F.substring("chars", at, size), 0))
+    for k in range(1, most + 1):
+        out = out.when(F.col("kind") == k, keys(F.size("words"), k, lambda at, size: F.slice("words", at, size), k))
+    return out
+
+
+def without_segments(members: DataFrame, placed: Column, columns: list[str]) -> DataFrame:
+    """A row for each of a member's ``placed`` keys, with what is left of its ``words`` and ``chars`` when the key's segment is cut out."""
+    each = members.withColumn("p", F.explode(placed)).where("p is not null")
+    at, after, kind = F.col("p.at"), F.col("p.at") + F.col("p.size"), F.col("p.kind")
+    words = F.concat(F.slice("words", F.lit(1), at), F.slice("words", after + 1, F.greatest(F.size("words") - after, F.lit(0))))
+    chars = F.concat(F.substring("chars", F.lit(1), at), F.substring("chars", after + 1, F.length("chars")))
+    key, own = F.col("p.k").bitwiseAND(F.lit(-2)), F.col("p.k").bitwiseAND(F.lit(1))
+    held = [own.alias(c) if c == "own" else F.col(c) for c in columns]
+    return each.select(key.alias("key"), *held, kind.alias("kind"), F.when(kind > 0, words).alias("words"), F.when(kind == 0, chars).alias("chars"))
+
+
 def word_sketch(hashes: Column, shift: int) -> Column:
     """For each of 64 classes of words, whether the line has an odd number of them. A word edit changes at most two bits, a character edit three."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int"))
@@ -242,17 +289,42 @@ def near_copies(lines: DataFrame, texts_of, per_edit: int, most: int, cuts: int)
     columns = ["h1", "place", "n_words", "n_chars", "sketch0", "sketch1", "own"]
     met = materialise(alone.join(_few(texts.select("h1", *columns[2:6])), "h1").select("key", *columns), "line-members")
     discard(alone)
-    u = met.select("key", *[F.col(c).alias(f"u_{c}") for c in columns])
     near = lambda pairs: near_pairs(pairs.select(F.col("u_h1").alias("u"), F.col("x_h1").alias("x")).distinct(), texts, per_edit, most, cuts).groupBy("u").agg(F.min("x").alias("x"))
 
-    # every line against the earliest line of each of its keys
-    earliest = met.groupBy("key").agg(F.min("place").alias("x_place"), *[F.min_by(c, "place").alias(f"x_{c}") for c in columns if c != "place"])
-    decided = materialise(near(u.join(earliest, "key").where(may_be_near(per_edit, most))), "line-near")
+    against = lambda some, others: some.select("key", *[F.col(c).alias(f"u_{c}") for c in columns]).join(others, "key").where(may_be_near(per_edit, most))
+
+    def undecided(some: DataFrame) -> DataFrame:
+        return some.join(_few(reduce(DataFrame.union, found).select(F.col("u").alias("h1"))), "h1", "left_anti") if found else some
+
+    def meet_earliest(some: DataFrame) -> None:
+        """Every undecided line against the earliest line of each of its keys."""
+        earliest = some.groupBy("key").agg(F.min("place").alias("x_place"), *[F.min_by(c, "place").alias(f"x_{c}") for c in columns if c != "place"])
+        found.append(materialise(near(against(undecided(some), earliest)), "line-near"))
+
+    found: list[DataFrame] = []
+    meet_earliest(met)
+    groups, calm = met, []
+    for level in range(LEVELS + 1):
+        hot = materialise(undecided(groups).groupBy("key").count().where(F.col("count") > SMALL).select("key"), "line-hot")
+        if level == LEVELS or hot.isEmpty():
+            calm.append(groups)
+            break
+        calm.append(groups.join(_few(hot), "key", "left_anti"))
+        crowded = groups.join(_few(hot), "key")
+        if level == 0:
+            crowded = crowded.join(texts.select("h1", "line"), "h1").withColumn("hashes", word_hashes(F.col("line"))).withColumn("words", F.col("hashes")).withColumn("chars", F.col("line"))
+            own = F.filter(line_keys(per_edit, most, True), lambda q: q["k"].bitwiseAND(F.lit(-2)) == F.col("key"))
+            crowded = without_segments(crowded, own, columns)
+        parts = materialise(without_segments(crowded, divided_keys(most), columns).distinct(), "line-parts")
+        shared = parts.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("lo <> hi and own = 1").select("key")
+        groups = materialise(parts.join(_few(materialise(shared, "line-keys")), "key"), "line-groups")
+        discard(parts)
+        meet_earliest(groups)
 
     # what is left against all earlier lines of its keys
-    left = u.join(_few(decided.select(F.col("u").alias("u_h1"))), "u_h1", "left_anti")
-    more = near(left.join(met.select("key", *[F.col(c).alias(f"x_{c}") for c in columns]), "key").where(may_be_near(per_edit, most)))
-    return texts.select("h1", "h2").join(decided.union(more), F.col("h1") == F.col("u")).select("h1", "h2", "x")
+    others = lambda some: some.select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
+    more = near(reduce(DataFrame.union, [against(undecided(some), others(some)).select("u_h1", "x_h1") for some in calm]))
+    return texts.select("h1", "h2").join(reduce(DataFrame.union, [*found, more]), F.col("h1") == F.col("u")).select("h1", "h2", "x")
 
 
 def may_be_near(per_edit: int, most: int) -> Column:

@@ -214,3 +214,32 @@ def test_lines_of_large_groups(spark):
     finally:
         line_dedup.BROADCAST_ROWS = held
     assert {int(r.doc_id): (r.exact, r.near) for r in named} == {i: (r.exact, r.near) for i, r in kept.items()}
+
+
+@pytest.mark.parametrize("per_edit,most,small", [(4, 1, 1), (3, 3, 3)])
+def test_hot_keys_are_divided(spark, monkeypatch, per_edit, most, small):
+    """Lines with common beginnings, ends and middles, which differ in a few words, in very short remainders, or in characters of one word."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "LEVELS", 4)
+    rng = random.Random(per_edit + most)
+    some = lambda: rng.choice(["a", "bé", "c", "dd", "xyz", "q1", "r22"])
+    pool = []
+    for k in range(70):
+        fixed = ["log", "at", "host", "seven", "says"]
+        pool += [" ".join((fixed + [some(), some(), some()], [some(), some()] + fixed + [some()], [some()] + fixed[:3] + [some()] + fixed[3:], fixed + [some()] * rng.randint(0, 3))[k % 4])]
+        pool += ["https://example.org/p/" + "".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(4))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = check_lines(docs, rows, per_edit, most, 10)
+    assert sum(len(x[1]) for x in want.values()) > 15
+
+
+def test_many_lines_that_share_half(spark):
+    """A key with 4,000 lines of which each but a few is near to none, and its copies with one word changed."""
+    rng = random.Random(4)
+    head = "a common beginning of ten words that all lines share"
+    lines = [head + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(10)) for _ in range(4000)]
+    late = {4000 + i: lines[i * 700].rsplit(" ", 1)[0] + f" other{i}" for i in range(5)}
+    docs = spark.createDataFrame([*enumerate(lines), *late.items()], "doc_id int, text string")
+    got = {r.doc_id: r.near_of for r in line_dedup.line_report(docs).where("size(near) > 0").collect()}
+    assert got == {4000 + i: [i * 700] for i in range(5)}
