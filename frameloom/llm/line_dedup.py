@@ -39,7 +39,7 @@ LEAST, PER_EDIT, MOST = 20, 20, 3
 #: Rows of ids that may be broadcast (up to 40 bytes each); more are joined in a shuffle.
 BROADCAST_ROWS = 150_000
 #: Undecided lines that may meet all lines of their key, and how often a key with more is divided.
-SMALL, LEVELS = 64, 10
+SMALL, LEVELS = 1024, 10
 #: A key, what it is of (0: characters, else words with so many edits), and the place it has in its line.
 PLACED = "struct<k:bigint,kind:int,at:int,size:int>"
 #: Symbols after which the automaton looks whether it can stop.
@@ -315,7 +315,7 @@ def near_copies(lines: DataFrame, texts_of, per_edit: int, most: int, cuts: int)
             crowded = crowded.join(texts.select("h1", "line"), "h1").withColumn("hashes", word_hashes(F.col("line"))).withColumn("words", F.col("hashes")).withColumn("chars", F.col("line"))
             own = F.filter(line_keys(per_edit, most, True), lambda q: q["k"].bitwiseAND(F.lit(-2)) == F.col("key"))
             crowded = without_segments(crowded, own, columns)
-        parts = materialise(without_segments(crowded, divided_keys(most), columns).distinct(), "line-parts")
+        parts = materialise(without_segments(crowded, F.array_distinct(divided_keys(most)), columns), "line-parts")
         shared = parts.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("lo <> hi and own = 1").select("key")
         groups = materialise(parts.join(_few(materialise(shared, "line-keys")), "key"), "line-groups")
         discard(parts)
