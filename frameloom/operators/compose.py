@@ -166,17 +166,26 @@ def units(motions: DataFrame, vocabulary: Mapping = VOCABULARY) -> DataFrame:
     return motions.withColumn("__u", F.explode(F.concat(F.array(plain), more))).select(*motions.columns, "__u.*")
 
 
-def slot_product(rows: DataFrame, slots: str, keys: list[str], most: int, seed: int = 0) -> DataFrame:
+#: A prime, as the step between the numbers that are drawn.
+STEP = 1_000_003
+
+
+def stride(total: Column) -> Column:
+    """A step that shares no factor with the total, so that numbers drawn by it don't repeat."""
+    return F.when(total % STEP == 0, F.lit(1)).otherwise(F.lit(STEP))
+
+
+def slot_product(rows: DataFrame, slots: str, keys: list[str], most: int, seed: int = 0, start: Column | None = None) -> DataFrame:
     """One row for each choice of a phrase from every slot (``choice``: an array), at most ``most`` for each key.
 
-    Choices are numbered in mixed radix, so a larger product is never listed: ``most`` numbers are drawn from it by hash, without repetition (a stride that shares no factor with the product).
+    Choices are numbered in mixed radix, so a larger product is never listed: ``most`` numbers are drawn from it without repetition, by a stride that shares no factor with the
+    product, from ``start`` on (an integer column; by default a hash of the keys).
     """
     sizes = F.transform(F.col(slots), F.size)
     total = F.aggregate(sizes, F.lit(1).cast("long"), lambda s, n: s * n)
     radix = F.transform(sizes, lambda n, i: F.aggregate(F.slice(sizes, i + 2, F.size(sizes)), F.lit(1).cast("long"), lambda s, m: s * m))
-    first = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.col("__total"))
-    prime = F.lit(1_000_003)  # fixed value: a prime, larger than any product of a sentence's phrases
-    number = F.when(F.col("__total") <= most, F.col("__i")).otherwise(F.pmod(first + F.col("__i") * prime, F.col("__total")))
+    first = F.pmod(F.xxhash64(*keys, F.lit(seed)) if start is None else start.cast("long"), F.col("__total"))
+    number = F.when(F.col("__total") <= most, F.col("__i")).otherwise(F.pmod(first + F.col("__i") * stride(F.col("__total")), F.col("__total")))
     each = rows.withColumns({"__total": total, "__radix": radix, "__sizes": sizes}).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.least("__total", F.lit(most)) - 1)))
     each = each.where("__total > 0").withColumn("__n", number)
     choice = F.transform(F.col(slots), lambda s, i: F.get(s, (F.col("__n") / F.get("__radix", i)).cast("long") % F.get("__sizes", i)))
@@ -212,9 +221,9 @@ def referred(phrase: Column, mode: Column, count: Column) -> Column:
     return F.when(mode == "pron", F.when(count > 1, "they").otherwise("it")).when(mode == "omit", F.lit(None)).otherwise(phrase)
 
 
-def down_sample(rows: DataFrame, keys: list[str], most: int, tie: list[str], seed: int = 0) -> DataFrame:
-    """At most ``most`` rows of each key, by hash; groups that are no larger stay whole."""
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *tie), *tie)
+def down_sample(rows: DataFrame, keys: list[str], most: int, tie: list[str], seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """At most ``most`` rows of each key, those of least ``draw`` (by default a hash of ``tie``, which also decides ties); groups that are no larger stay whole."""
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *tie) if draw is None else draw, *tie)
     return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
 
 
@@ -225,8 +234,6 @@ FORMS = ("present", "present_pass", "imperative", "imperative_ccomp", "imperativ
 _APART = ("present", "present_pass")
 # Participles that don't end in -ed.
 PARTICIPLES = {"rise": "risen", "fall": "fallen", "spin": "spun", "grow": "grown", "shrink": "shrunk", "drop": "dropped"}
-#: A prime that is larger than any number of sentences of a group, as a step between the numbers that are drawn.
-STEP = 1_000_003
 
 
 def third_person(verb: Column) -> Column:
@@ -257,7 +264,7 @@ def sentence(form: Column, prefix: Column, thing: Column, infix: Column, verb: C
 def drawn(total: Column, most: int, rank: Column) -> Column:
     """At most ``most`` different numbers under ``total``: all of them in order where there are no more, else by steps of a prime from a place that ``rank`` gives."""
     some = F.sequence(F.lit(0).cast("bigint"), F.least(total, F.lit(most).cast("bigint")) - 1)
-    return F.when(total <= 0, F.array().cast("array<bigint>")).when(total <= most, some).otherwise(F.transform(some, lambda q: F.pmod(F.pmod(rank, total) + q * STEP, total)))
+    return F.when(total <= 0, F.array().cast("array<bigint>")).when(total <= most, some).otherwise(F.transform(some, lambda q: F.pmod(F.pmod(rank, total) + q * stride(total), total)))
 
 
 def prompts(units_: DataFrame, keys: Sequence[str], rank: Column, forms: Sequence[str] = FORMS, orders: int = 120, per_group: int = 2, mode: Column | None = None) -> DataFrame:

@@ -119,8 +119,10 @@ _SLOTS = "slots AS (SELECT p_partkey, string_split(p_name, ' ') AS a, string_spl
 register("q_slot_product", f"WITH {_SLOTS} SELECT p_partkey, a || '|' || b || '|' || c AS choice FROM (SELECT p_partkey, a, b, unnest(c) AS c FROM (SELECT p_partkey, a, unnest(b) AS b, c FROM (SELECT p_partkey, unnest(a) AS a, b, c FROM slots)))")(
     lambda s, d: co.slot_product(_slots(s, d), "slots", ["p_partkey"], 1000).select("p_partkey", shown(C("choice")).alias("choice"))
 )
-register("q_slot_product_capped", f"WITH {_SLOTS} SELECT p_partkey, least(len(a) * len(b) * len(c), 5) AS n, least(len(a) * len(b) * len(c), 5) AS different FROM slots")(
-    lambda s, d: co.slot_product(_slots(s, d), "slots", ["p_partkey"], 5).groupBy("p_partkey").agg(F.count("*").alias("n"), F.countDistinct("choice_no").alias("different"))
+register("q_slot_product_capped", f"""WITH {_SLOTS}, sized AS (SELECT *, len(a) * len(b) * len(c) AS total FROM slots),
+  drawn AS (SELECT *, CASE WHEN total <= 5 THEN i ELSE (p_partkey * 7919 % total + i * 1000003) % total END AS n FROM (SELECT *, unnest(generate_series(0, least(total, 5) - 1)) AS i FROM sized))
+  SELECT p_partkey, CAST(n AS BIGINT) AS choice_no, a[n // (len(b) * len(c)) + 1] || '|' || b[n // len(c) % len(b) + 1] || '|' || c[n % len(c) + 1] AS choice FROM drawn""")(
+    lambda s, d: co.slot_product(_slots(s, d), "slots", ["p_partkey"], 5, start=C("p_partkey") * 7919).select("p_partkey", "choice_no", shown(C("choice")).alias("choice"))
 )
 _CUTS = """cuts AS (SELECT p_partkey, i, j, w[i+1:j] AS infix FROM (SELECT *, unnest(generate_series(i, len(w))) AS j FROM (SELECT *, unnest(generate_series(0, len(w))) AS i FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part))))"""
 register("q_infix_valid", f"WITH {_CUTS} SELECT p_partkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM cuts WHERE len(infix) <= 1 AND coalesce(infix[1], '') <> 'BRASS'")(
@@ -140,8 +142,8 @@ register("q_pair_legality", f"SELECT l_orderkey, l_linenumber, if(a = 'present'
 register("q_pronoun_mode", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = l_partkey % 3 THEN CASE WHEN l_linenumber > 1 THEN 'they' ELSE 'it' END ELSE l_returnflag END AS said FROM lineitem")(
     lambda s, d: load(s, d, "lineitem").select("l_orderkey", "l_linenumber", co.referred(C("l_returnflag"), co.object_mode(F.array(C("l_suppkey") % 3), F.array(C("l_partkey") % 3)), C("l_linenumber")).alias("said"))
 )
-register("q_down_sample", "SELECT p_brand, least(count(*), 4) AS n FROM part GROUP BY p_brand")(
-    lambda s, d: co.down_sample(load(s, d, "part"), ["p_brand"], 4, ["p_partkey"]).groupBy("p_brand").agg(F.count("*").alias("n"))
+register("q_down_sample", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey * 7919 % 10007, p_partkey) AS n FROM part) WHERE n <= 4")(
+    lambda s, d: co.down_sample(load(s, d, "part"), ["p_brand"], 4, ["p_partkey"], draw=C("p_partkey") * 7919 % 10007).select("p_brand", "p_partkey")
 )
 
 # whole prompts: the plain unit of every motion, one order of its modifiers, two forms, one sentence of each group

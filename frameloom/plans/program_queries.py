@@ -100,6 +100,10 @@ register("q_program_region", report_sql(f"""{_SPACE}, held AS (SELECT scene, boo
 register("q_program_getters", report_sql(f"""{SCENES}, o1 AS (SELECT scene, arg_min(fill, obj) AS fill, min(obj) AS obj FROM ids WHERE shape = 'square' GROUP BY 1),
   r AS (SELECT s.scene, q.h AS sq, g.h AS same, g.other FROM scenes s LEFT JOIN (SELECT scene, bool_or(shape = 'square') AS h FROM ids GROUP BY 1) q USING (scene) LEFT JOIN (SELECT ids.scene, bool_or(ids.fill = o1.fill) AS h, bool_or(ids.fill = o1.fill AND ids.obj <> o1.obj) AS other FROM ids LEFT JOIN o1 USING (scene) GROUP BY 1) g USING (scene))""",
     [(0, 0, "sq"), (0, 1, "sq"), (1, 0, "other"), (1, 1, "same")], "r"))(reported('o_1 = iota(Object, lambda o: shape(o, "square"))\no_2 = all(Object, lambda o: color(o, get_color(o_1)) and not o_1)'))
+OWN = 'o_1 = iota(Object, lambda o: color(o, "red"))\no_2 = all(Object, lambda o: shape(o, get_shape(o_1)) and not o_1)\no_3 = all(Object, lambda o: id(o, get_id(o_1)))\nexists(Object, lambda o: id(o, "5"))'
+register("q_program_object_getters", report_sql(f"""{SCENES}, o1 AS (SELECT scene, arg_min(shape, obj) AS shape, arg_min(vec_id, obj) AS vec_id, min(obj) AS obj FROM ids WHERE fill = 'red' GROUP BY 1),
+  r AS (SELECT ids.scene, bool_or(fill = 'red') AS red, bool_or(ids.shape = o1.shape AND ids.obj <> o1.obj) AS other, bool_or(ids.shape = o1.shape) AS alike, bool_or(ids.vec_id = o1.vec_id) AS same, bool_or(ids.vec_id = 5) AS five FROM ids LEFT JOIN o1 USING (scene) GROUP BY 1)""",
+    [(0, 0, "red"), (0, 1, "red"), (1, 0, "other"), (1, 1, "alike"), (2, 0, "same"), (2, 1, "same"), (3, 0, "five"), (3, 1, "five")], "r"))(reported(OWN))
 register("q_program_post", f"""WITH {_SPACE}, hit AS (SELECT DISTINCT scene, k FROM pairs, generate_series(0, 3) g(k) WHERE pairs.frame = least(4 * k + 3, 14) AND ({_region_sql('s_left')})),
   marked AS (SELECT DISTINCT scene, CAST(unnest(generate_series(4 * k, least(4 * k + 3, 15) - 1)) AS INT) AS frame FROM hit), c1 AS (SELECT c.* FROM cells c SEMI JOIN o1 USING (scene, obj) SEMI JOIN marked m ON c.scene = m.scene AND c.frame = m.frame)
   SELECT s.scene AS scene_id, coalesce(bool_or(dx <> 0), false) AS result FROM scenes s LEFT JOIN c1 ON c1.scene = s.scene GROUP BY 1""")(

@@ -130,3 +130,15 @@ def test_pairs_equal_the_listed_product(spark):
         assert got == sorted(want.values())
     sampled = co.pair_prompts(first, second, words, ["g"], rules, 10**6, F.col("g"), 2)
     assert sampled.where("g = 2").count() == 4
+
+
+def test_draws_dont_repeat_where_the_step_divides_the_product(spark):
+    rows = spark.range(2).select(F.col("id"), F.array(F.transform(F.sequence(F.lit(1), F.lit(co.STEP)), lambda x: x.cast("string"))).alias("slots"))
+    out = co.slot_product(rows, "slots", ["id"], 50).select("id", "choice_no", F.get("choice", F.lit(0)).cast("long").alias("said")).collect()
+    assert len({(r.id, r.choice_no) for r in out}) == len(out) == 100 and all(r.said == r.choice_no + 1 for r in out)
+
+
+def test_a_given_draw_decides_and_small_groups_stay_whole(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1), (None, 2)], "k string, v int")
+    out = {(r.k, r.v) for r in co.down_sample(rows, ["k"], 3, ["v"], draw=-F.col("v")).collect()}
+    assert out == {("a", 8), ("a", 7), ("a", 6), ("b", 1), (None, 2)}
