@@ -7,8 +7,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from frameloom.functions.text import CLEANUP
+from frameloom.functions.text import CLEANUP, clean_commas
 from frameloom.operators import compose as co
+from frameloom.operators.dealing import by_keys
 
 
 def clean(text):
@@ -142,3 +143,25 @@ def test_a_given_draw_decides_and_small_groups_stay_whole(spark):
     rows = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1), (None, 2)], "k string, v int")
     out = {(r.k, r.v) for r in co.down_sample(rows, ["k"], 3, ["v"], draw=-F.col("v")).collect()}
     assert out == {("a", 8), ("a", 7), ("a", 6), ("b", 1), (None, 2)}
+
+
+def exchanges(df):
+    """Shuffles of a plan, as lines."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_sentences_are_not_shuffled(spark):
+    """A motion's units meet before they are said: one shuffle, of the units; the sentences stay where they are."""
+    said = co.prompts(co.units(motions(spark)), ["id"], F.col("id"), ("present", "imperative"), 1, 1)
+    assert [("sentence" in line, "(id#" in line) for line in exchanges(said)] == [(False, True)]
+
+
+def test_tasks_grow_with_the_rows(spark):
+    assert by_keys(spark.range(1000), ["id"], 3, most=100).rdd.getNumPartitions() == 30
+    assert by_keys(spark.range(3), ["id"], 10**6, most=1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_clean_texts_are_recognised(spark):
+    texts = ["".join(t) for n in range(6) for t in itertools.product("a ,.\t", repeat=n)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", clean_commas(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == {t: clean(t) for t in texts}
