@@ -151,9 +151,15 @@ def exchanges(df):
 
 
 def test_sentences_are_not_shuffled(spark):
-    """A motion's units meet before they are said: one shuffle, of the units; the sentences stay where they are."""
+    """A motion's units meet before they are said: one shuffle, of the units; the sentences and their pairs stay where they are."""
     said = co.prompts(co.units(motions(spark)), ["id"], F.col("id"), ("present", "imperative"), 1, 1)
     assert [("sentence" in line, "(id#" in line) for line in exchanges(said)] == [(False, True)]
+    words = spark.createDataFrame([("before", "standalone", "then")], "relation string, way string, connector string")
+    second = said.select("id", "form", "sentence", F.lit("before").alias("relation"))
+    pairs = co.pair_prompts(second, second, words, ["id"], {"present": ["present"]}, 4, F.col("id"))
+    assert len([line for line in exchanges(pairs) if "(id#" in line]) == 1
+    once = {tuple(r) for r in pairs.collect()}
+    assert once and once == {tuple(r) for r in co.pair_prompts(second.drop("relation"), second, words, ["id"], {"present": ["present"]}, 4, F.col("id")).collect()}
 
 
 def test_tasks_grow_with_the_rows(spark):
