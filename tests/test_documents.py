@@ -173,3 +173,23 @@ def test_bundles(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{path}/index/kind=properties").count() == 0
     with pytest.raises(ValueError):
         records.write_documents(docs, path, "other")
+
+
+def test_programs_meet_once(spark):
+    """One shuffle, by graph; a graph's objects are numbered by their first mention, and motions of no object, with nulls or of graphs without objects have the text they had."""
+    box, ball = ("square", "red"), ("circle", None)
+    rows = [
+        (1, 0, "translate", None, [ball, box], None, None, None), (1, 1, "scale", "2.0", [box], "bordering", [ball], "before"), (1, 2, "rotate", None, None, "bordering", [box], None),
+        (2, 0, "scale", None, None, None, None, None), (None, 0, "scale", None, [box], None, None, None),
+    ]
+    pair = "array<struct<shape:string,fill:string>>"
+    df = spark.createDataFrame(rows, f"graph_id int, motion_idx int, type string, duration string, agents {pair}, post string, post_reference {pair}, relation string").selectExpr("*", "null direction", "null magnitude", "null origin")
+    df = df.withColumns({c: F.col(c).cast("string") for c in ("direction", "magnitude", "origin")})
+    out = generate.programs(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {r.graph_id: r.program for r in out.collect()} == {1: "\n".join([
+        'o_1 = iota(Object, lambda o: shape(o, "circle"))', 'o_2 = iota(Object, lambda o: color(o, "red") and shape(o, "square"))', "",
+        'm_1 = iota(Motion, lambda m: type(m, "translate") and agent(m, o_1))', 'm_2 = iota(Motion, lambda m: type(m, "scale") and post(m, s_border(o_2, o_1)) and duration(m, 2.0) and agent(m, o_2))',
+        'exists(Motion, lambda m_3: type(m_3, "rotate"))', "", "t_before(m_1, m_2)",
+    ])}

@@ -165,6 +165,7 @@ def test_sentences_are_not_shuffled(spark):
 def test_tasks_grow_with_the_rows(spark):
     assert by_keys(spark.range(1000), ["id"], 3, most=100).rdd.getNumPartitions() == 30
     assert by_keys(spark.range(3), ["id"], 10**6, most=1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert by_keys(spark.range(1000), ["id"], 10, most=1).rdd.getNumPartitions() == 200
 
 
 def test_clean_texts_are_recognised(spark):
