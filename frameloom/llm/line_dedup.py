@@ -69,7 +69,7 @@ def budget(words: Column, per_edit: int, most: int) -> Column:
 
 def segment_starts(n: Column, i: int, parts: int) -> Column:
     """Start (from 0) of segment i of a line of n symbols."""
-    return F.floor(n * F.lit(i) / F.lit(parts)).cast("int")
+    return F.lit(0) if i == 0 else n if i == parts else F.floor(n * F.lit(i) / F.lit(parts)).cast("int")
 
 
 def _placed(key: Column, kind: int, at: Column, size: Column) -> Column:
@@ -82,13 +82,18 @@ def _key(n: Column, less: int, i: int, edits: int, shift: int, cut, tag: str, pl
     The last bit tells whether it is a segment of the line itself, which its index holds. ``group`` names a key that is divided by this one;
     with ``placed`` the key comes with its place.
     """
-    m = n - F.lit(less)
+    m = n - F.lit(less) if less else n
     begin, end = segment_starts(m, i, edits + 1), segment_starts(m, i + 1, edits + 1)
-    at = begin + F.lit(shift)
-    value = F.xxhash64(*group, F.lit(f"{tag}{edits}"), m, F.lit(i), cut(at + 1, end - begin)).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(less == shift == 0)))
+    at, size = begin + F.lit(shift) if shift else begin, end - begin if i else end
+    value = F.xxhash64(*group, F.lit((100 if tag == "w" else 0) + 10 * edits + i), m, cut(at + 1, size)).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(less == shift == 0)))
     if placed:
-        value = _placed(value, edits if tag == "w" else 0, at, end - begin)
-    return F.when((at >= 0) & (at + (end - begin) <= n) & (end > begin), value)
+        value = _placed(value, edits if tag == "w" else 0, at, size)
+    fits = end > begin
+    if shift < 0:
+        fits &= at >= 0
+    if shift > less:  # else it ends by the end of the line
+        fits &= end + F.lit(shift) <= n
+    return F.when(fits, value)
 
 
 def index_keys(n: Column, edits: int, cut, tag: str, placed: bool = False) -> list[Column]:
