@@ -20,22 +20,25 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from frameloom.llm.byte_bpe import ChunkedEncoder, pack
+from frameloom.llm.byte_bpe import PUNCTUATION, pack
 from frameloom.llm.common import drop_table, map_batches, map_rows, materialise, scratch_path
 
 #: Rolling-hash cuts: window, bits that must be zero, least and greatest ids of a chunk.
 WINDOW, BITS, LEAST, MOST = 16, 10, 256, 8192
-#: Texts that a worker encodes together.
-TOGETHER = 256
-#: Words of which a worker remembers the ids (two generations of so many).
-MAX_PARTS = 400_000
+#: Bytes of texts that a worker encodes together (or one longer text); unknown words that the model gets at once; ids hashed at once for cuts.
+TOGETHER, JOINT, BLOCK = 4 << 20, 64, 1 << 16
+#: Segments of texts of which a worker remembers the ids (two generations of so many), and their greatest length.
+MAX_PARTS, LONGEST = 400_000, 100
 #: Chunk keys that a task remembers; recipes under one root of the manifest's lowest level.
 SEEN, RUN = 200_000, 1024
 MIX = 0x9E3779B97F4A7C15  # fixed value: an odd multiplier
@@ -48,32 +51,213 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class LibraryEncoder(ChunkedEncoder):
-    """Encodes with the library: words of letters by its model alone (they are one match of the split), all else by the whole tokenizer."""
+def _kinds():
+    """Of each byte: 1 if it belongs to an ASCII, Latin, Greek or Cyrillic letter, mostly (or ends some other character), 2 for ASCII punctuation, 4 for ASCII white space."""
+    import numpy as np
+
+    kinds = np.zeros(256, np.uint8)
+    kinds[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA), *range(0xCE, 0xD2)]] = 1
+    kinds[list(PUNCTUATION.encode())] = 2
+    kinds[[*range(9, 14), *range(28, 33)]] = 4
+    return kinds
+
+
+#: White space of two and three bytes in UTF-8.
+WIDE_SPACES = [int.from_bytes(c.encode()) for c in map(chr, range(128, 0x3001)) if c.isspace()]
+
+
+def segments(data, bounds):
+    """Cuts texts (bytes one after another, and where each begins; last, where all end) where the split of the byte-level tokenizers surely cuts.
+
+    Those places are before a blank and around a line break that stand between characters that aren't white space, and between letters and the ASCII punctuation
+    that ends their segment. Returns where segments begin (last, where all end) and which of them such punctuation follows; the caller
+    checks that these are letters, as bytes tell it only mostly.
+    """
+    import numpy as np
+
+    n, kinds = len(data), _kinds()[data]
+    space = kinds == 4
+    wide = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(wide):  # white space of two or three bytes
+        code = np.zeros((len(wide), 3), np.int64)
+        for k in range(3):
+            code[:, k] = data[np.minimum(wide + k, n - 1)]
+        for size, held in ((2, np.isin(code[:, 0] << 8 | code[:, 1], WIDE_SPACES)), (3, np.isin(code[:, 0] << 16 | code[:, 1] << 8 | code[:, 2], WIDE_SPACES))):
+            for k in range(size):
+                space[wide[held] + k] = True
+    outer = np.zeros(n, bool)  # beside white space or a border of its text
+    outer[1:] = space[:-1]
+    outer[:-1] |= space[1:]
+    outer[bounds[:-1][bounds[:-1] < n]] = True
+    outer[bounds[1:] - 1] = True
+    line = (data == 10) & ~outer
+    mark = np.zeros(n + 1, bool)
+    mark[bounds] = True
+    mark[:n] |= line
+    mark[1:] |= line
+    mark[:n] |= (data == 32) & ~outer
+    starts = np.flatnonzero(mark)
+    begin, end = starts[:-1], starts[1:]
+    count = np.zeros(n + 1, np.int32)
+    np.cumsum(kinds != 1, out=count[1:])
+    lead = data[begin] == 32
+    size = count[end] - count[begin] - lead
+    size[size >= end - begin - lead] = 0
+    np.cumsum(kinds == 2, out=count[1:])
+    tails = (end - size)[(size > 0) & (count[end] - count[end - size] == size)]
+    mark[tails] = True
+    starts = np.flatnonzero(mark)
+    mark[:] = False
+    mark[tails] = True
+    return starts, mark[starts[1:]]
+
+
+class LibraryEncoder:
+    """Encodes with the library: words of letters by its model alone (they are one match of the split), all else by the whole tokenizer.
+
+    Texts are cut into segments, of which a worker remembers the ids: two generations of ``most``, from the older of which segments in use come back.
+    """
 
     held: dict[str, LibraryEncoder] = {}
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, most: int = MAX_PARTS) -> None:
+        import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
         library = Tokenizer.from_str(spec)
-        model, letters = library.model.tokenize, str.maketrans(_byte_letters())
         splits = library.pre_tokenizer
         self.added = [t.content for t in library.get_added_tokens_decoder().values()]
-        #: whether parts may be encoded alone: no normalizer, and the byte-level split, which never joins over a blank between other characters
+        self.model, self.letters = library.model.tokenize, np.array([ord(c) for _, c in sorted(_byte_letters().items())], "<u4")
+        self.apart = self._apart(library.model, library.get_vocab(with_added_tokens=False))
+        #: whether segments may be encoded alone: no normalizer, and the byte-level split
         self.parts = library.normalizer is None and isinstance(splits, pre_tokenizers.ByteLevel) and splits.use_regex and not splits.add_prefix_space
-
-        def word(text: str) -> bytes:
-            text = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(letters)
-            return pack([t.id for t in model(text)])
-
         self.whole = lambda text: pack(library.encode(text, add_special_tokens=False).ids)
-        super().__init__(self.whole, word, MAX_PARTS)
+        self.most, self.known, self.old = most, {}, {}
 
     def encode(self, text: str) -> bytes:
-        if not self.parts or any(map(text.__contains__, self.added)):
-            return self.whole(text)
-        return super().encode(text)
+        return bytes(self.encode_all(pa.array([text]), b"")[0])
+
+    def encode_all(self, texts: pa.StringArray, end: bytes) -> tuple[memoryview, list[int]]:
+        """The ids of all texts (null: empty), ``end`` after each, one after another, and where each text's ids begin (in bytes; last, where all end).
+
+        Arrow numbers the distinct segments, so each is looked up once for all its places. Texts with a special token, or with
+        punctuation after what only looked like letters, are encoded whole.
+        """
+        import numpy as np
+
+        texts = texts.cast(pa.string()).fill_null("")
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds -= bounds[0]
+        if not len(data):
+            return memoryview(end * len(texts)), [len(end) * k for k in range(len(texts) + 1)]
+        alone = np.full(len(texts), not self.parts)
+        for content in self.added:
+            alone |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if self.parts:
+            starts, followed = segments(data, bounds)
+        else:
+            starts = np.unique(bounds)
+        first = np.searchsorted(starts, bounds)
+        coded = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        parts, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        if self.parts:
+            stems, odd = np.zeros(len(parts), bool), np.zeros(len(parts), bool)
+            stems[at[followed]] = True
+            odd[[i for i in np.flatnonzero(stems).tolist() if not parts[i].isascii() and not parts[i].removeprefix(" ").isalpha()]] = True
+            if odd.any():
+                alone[np.searchsorted(first, np.flatnonzero(odd[at] & followed), "right") - 1] = True
+        sizes = np.diff(first)
+        alone &= sizes > 0
+        apart = np.flatnonzero(alone)
+        if len(apart):  # the first place of such a text holds all its ids
+            keep = np.repeat(~alone, sizes)
+            keep[first[apart]] = True
+            at[first[apart]] = len(parts) + np.arange(len(apart))
+            at, sizes = at[keep], np.where(alone, 1, sizes)
+            used = np.zeros(len(parts) + len(apart), bool)
+            used[at] = True
+            parts, at = [p for p, u in zip(parts, used.tolist()) if u], (np.cumsum(used) - 1)[at]
+        values = self.ids_of(parts) + [self.whole(texts[i].as_py()) for i in apart.tolist()]
+        ends = np.cumsum(sizes)
+        joined = pa.array([*values, end], pa.large_binary()).take(pa.array(np.insert(at, ends, len(values))))
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)
+        return memoryview(joined.buffers()[2]), [0, *offsets[ends + np.arange(1, len(texts) + 1)].tolist()]
+
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct segments; unknown words are encoded together."""
+        known, old = self.known, self.old
+        found = list(map(known.get, parts))
+        words, begins = [], []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            part = parts[i]
+            ids = old.get(part)
+            if ids is None:
+                if len(part) > LONGEST:
+                    found[i] = self.whole(part)
+                    continue
+                if part[0] == " " and part[1:].isalpha():
+                    words.append(i)
+                    continue
+                if part.isalpha():
+                    begins.append(i)
+                    continue
+                ids = self.whole(part)
+            found[i] = known[part] = ids
+        for places, lead in ((words, " "), (begins, "\n")):
+            some = [parts[i] for i in places]
+            new = self.together(some, lead)
+            known.update(zip(some, new))
+            for i, ids in zip(places, new):
+                found[i] = ids
+        if len(known) > self.most:
+            self.old, self.known = known, {}
+        return found
+
+    def together(self, words: list[str], lead: str) -> list[bytes]:
+        """The ids of words of letters, all with a blank before them or all without (``lead`` a line break)."""
+        import numpy as np
+
+        if not words:
+            return []
+        size = JOINT if lead in self.apart else 1
+        skip, between = (4, lead) if lead == "\n" and lead in self.apart else (0, "")
+        ids, stops = [], []
+        for k in range(0, len(words), size):
+            text = between.join(["", *words[k : k + size]])
+            ids += [t.id for t in self.model(self.letters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le"))]
+            stops.append(len(ids))
+        ids = np.array(ids, "<u4")
+        begins = np.flatnonzero(self.apart[lead][ids]) if lead in self.apart else np.array([0, *stops[:-1]])
+        if len(begins) != len(words):
+            raise ValueError("words and their tokens don't fit")
+        raw = ids.tobytes()
+        return [raw[a + skip : b] for a, b in pairwise([*(4 * begins).tolist(), len(raw)])]  # a line break is a token of its own
+
+    @staticmethod
+    def _apart(model, vocabulary: dict[str, int]) -> dict:
+        """The leads with which the model may get many words at once, and of each id whether its token begins with that lead.
+
+        Merges stay inside the words if no token goes over a border: none holds the lead after a letter, or a line break before one.
+        """
+        import numpy as np
+        from tokenizers import models
+
+        code = {ord(c): b for b, c in _byte_letters().items()}
+        if not isinstance(model, models.BPE) or model.dropout is not None or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix or not all(map(vocabulary.__contains__, map(chr, code))):
+            return {}
+        tokens = {i: bytes(code[ord(c)] for c in t) for t, i in vocabulary.items() if all(ord(c) in code for c in t)}
+
+        def letter(data: bytes, at: int) -> bool:  # or a part of one
+            return bool(data) and ((c := data.decode(errors="replace")[at]) == "\ufffd" or c.isalpha())
+
+        out = {}
+        for lead in (" ", "\n"):
+            sides = [t.split(lead.encode()) for t in tokens.values() if lead.encode() in t]
+            if not any(letter(a, -1) or (lead == "\n" and letter(b, 0)) for side in sides for a, b in pairwise(side)):
+                out[lead] = np.zeros(max(vocabulary.values()) + 1, bool)
+                out[lead][[i for i, t in tokens.items() if t.startswith(lead.encode())]] = True
+        return out
 
     @classmethod
     def of(cls, spec: str) -> LibraryEncoder:
@@ -83,33 +267,61 @@ class LibraryEncoder(ChunkedEncoder):
         return cls.held[key]
 
 
-def cut_points(ids) -> list[int]:
-    """Ends of the chunks of an id array: where the rolling hash of the last ``WINDOW`` ids has ``BITS`` zero bits."""
+def marks(ids) -> list[int]:
+    """Where a chunk may end: after ids where the rolling hash of the last ``WINDOW`` ids has ``BITS`` zero bits."""
     import numpy as np
 
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    x = ids.astype(np.uint64) * np.uint64(MIX)
-    x ^= x >> np.uint64(29)
-    total = np.cumsum(x, dtype=np.uint64)
-    roll = total.copy()
-    roll[WINDOW:] -= total[:-WINDOW]
-    roll *= np.uint64(MIX)
-    marks = (np.flatnonzero(roll >> np.uint64(64 - BITS) == 0) + 1).tolist()
-    ends, begin = [], 0
-    for m in [*marks, n]:
-        while m - begin > MOST:
+    found = []
+    for begin in range(0, len(ids), BLOCK):
+        low = max(0, begin - WINDOW)
+        x = ids[low : begin + BLOCK].astype(np.uint64)
+        x *= np.uint64(MIX)
+        x ^= x >> np.uint64(29)
+        total = np.cumsum(x, dtype=np.uint64)
+        roll = total.copy()
+        roll[WINDOW:] -= total[:-WINDOW]
+        roll *= np.uint64(MIX)
+        at = np.flatnonzero(roll < np.uint64(1 << 64 - BITS)) + low
+        found += (at[at >= begin] + 1).tolist()
+    return found
+
+
+def cut_points(ids) -> list[int]:
+    """Ends of the chunks of an id array."""
+    return chunk_ends(marks(ids), 0, len(ids))
+
+
+def chunk_ends(marked: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the ids from ``begin`` to ``end``. Marks in a text's first ``LEAST`` ids are never ends, so the marks may be those of many texts in a row."""
+    ends = []
+    if end - begin > LEAST:
+        for m in marked[bisect_right(marked, begin) : bisect_left(marked, end)]:
+            while m - begin > MOST:
+                begin += MOST
+                ends.append(begin)
+            if m - begin >= LEAST:
+                begin = m
+                ends.append(m)
+        while end - begin > MOST:
             begin += MOST
             ends.append(begin)
-        if m - begin >= LEAST and m < n:
-            begin = m
-            ends.append(m)
-    if begin < n:
-        ends.append(n)
+    if begin < end:
+        ends.append(end)
     return ends
 
 
+def groups(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts (first column) have at most ``most`` bytes together, or one row."""
+    begin = total = 0
+    for k, size in enumerate(pc.binary_length(batch.column(0)).to_pylist()):
+        if total and total + (size or 0) > most:
+            yield batch.slice(begin, k - begin)
+            begin, total = k, 0
+        total += size or 0
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
 def merkle_root(keys: list[bytes]) -> bytes:
     """Root of a binary Merkle tree; an odd node moves up as it is. Leaves and inner nodes are hashed apart."""
     level = [hashlib.sha256(b"\0" + k).digest() for k in keys]
@@ -139,31 +351,36 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id
         library, press, seen = LibraryEncoder.of(spec.value), zstandard.ZstdCompressor(level=1), set()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(k, TOGETHER)
-                rows = []
-                for doc, text in zip(part.column(1).to_pylist(), part.column(0).to_pylist()):
-                    raw = library.encode(text or "") + end
-                    ids = np.frombuffer(raw, "<u4")
-                    keys, begin = [], 0
-                    for stop in cut_points(ids):
-                        key = hashlib.sha256(raw[4 * begin : 4 * stop]).digest()
+            for part in groups(batch, TOGETHER):
+                raw, bounds = library.encode_all(part.column(0), end)
+                ids = np.frombuffer(raw, "<u4")
+                marked = marks(ids)
+                narrow = memoryview(ids.astype("<u2").tobytes()) if ids.max() < 1 << 16 else None
+                chunks, recipes = [], []
+                for begin, stop in pairwise(bounds):
+                    keys, begin = [], begin // 4
+                    total = stop // 4 - begin
+                    for cut in chunk_ends(marked, begin, stop // 4):
+                        key = hashlib.sha256(raw[4 * begin : 4 * cut]).digest()
                         keys.append(key)
                         if key not in seen:
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen.add(key)
-                            some = ids[begin:stop]
-                            rows.append(("chunk", key, stop - begin, press.compress((some.astype("<u2") if some.max() < 1 << 16 else some).tobytes()), None))
-                        begin = stop
-                    rows.append(("recipe", merkle_root(keys), len(ids), b"".join(keys), doc))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["kind", "gkey", "n", "payload", "doc_id"])
+                            some = narrow[2 * begin : 2 * cut] if narrow else _packed(ids[begin:cut])
+                            chunks.append(("chunk", key, cut - begin, press.compress(some)))
+                        begin = cut
+                    recipes.append(("recipe", merkle_root(keys), total, b"".join(keys)))
+                docs = [*[None] * len(chunks), *part.column(1).to_pylist()]
+                columns = [*zip(*chunks, *recipes), docs]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["kind", "gkey", "n", "payload", "doc_id"])
 
     encoded = scratch_path(spark, "encoded")
     rows = map_batches(docs.select(F.col(text_col), F.col(id_col)), encode, f"kind string, gkey binary, n int, payload binary, doc_id {kind}")
     rows.write.partitionBy("kind").option("compression", "none").parquet(encoded)
     both = spark.read.schema(f"gkey binary, n int, payload binary, doc_id {kind}, kind string").parquet(encoded)
     both.where("kind = 'chunk'").select("gkey", "n", "payload").repartition("gkey").dropDuplicates(["gkey"]).write.option("compression", "none").parquet(f"{path}/chunks")
+    drop_table(spark, f"{encoded}/kind=chunk")
     recipes = both.where("kind = 'recipe'").select("doc_id", F.col("n").cast("long").alias("n_tokens"), F.col("payload").alias("keys"), F.col("gkey").alias("root"))
     sorted_ = materialise(recipes.repartitionByRange("doc_id", "root").withColumn("part", F.spark_partition_id()), "recipes")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of the range shuffle
@@ -220,6 +437,10 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/recipes")
 
 
+def _packed(ids) -> bytes:
+    return (ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes()
+
+
 def _unpack(payload: bytes, n: int) -> bytes:
     import numpy as np
     import zstandard

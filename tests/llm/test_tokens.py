@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import glob
 import hashlib
+import itertools
+import json
 import os
 import random
 import shutil
@@ -12,6 +14,7 @@ import struct
 import zlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -59,6 +62,81 @@ def test_library_encoder_equals_library():
         assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def in_batches(encoder, texts, size):
+    for k in range(0, len(texts), size):
+        raw, bounds = encoder.encode_all(pa.array(texts, pa.string()).slice(k, size), struct.pack("<I", 2))
+        yield from (list(struct.unpack(f"<{(b - a) // 4}I", raw[a:b])) for a, b in itertools.pairwise(bounds))
+
+
+def test_batches_equal_library():
+    spec = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    whole, rng = Tokenizer.from_str(spec), random.Random(4)
+    letters = [*"abé ß漢×÷·’”،'ſ", *" " * 8, *"\n\n\t\r\x0b\x1c\x85\xa0   　", *",.!-'_$,.", *"19²", "the", "'s", "́", "🙂"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += [None, "", "", "à µ à ª", "a\xa0 \xa0 b à \xa0", "é×, é, ×! a×", "x<|endoftext|>, y", "<|endoftext", " \n a,\n", "word,\nWord!\nword.\n\nword", "one, " * 3000]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for most, size in ((100, 37), (10**6, 5000), (0, 1)):
+        encoder = token_store.LibraryEncoder(spec, most)
+        for text, got, ids in zip(texts, in_batches(encoder, texts, size), want, strict=True):
+            assert got == ids, text
+
+
+@pytest.mark.parametrize("change", ["token", "ignore_merges", "prefix"])
+def test_other_tokenizers(change):
+    """Words are encoded one by one where tokens could go over their borders, and texts whole where the split is another one."""
+    spec = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    if change == "token":
+        merge = ["e", "Ġ"] if isinstance(spec["model"]["merges"][0], list) else "e Ġ"
+        spec["model"]["merges"].insert(0, merge)
+        spec["model"]["vocab"]["eĠ"] = 50257
+    elif change == "prefix":
+        spec["pre_tokenizer"]["add_prefix_space"] = True
+    else:
+        spec["model"]["ignore_merges"] = True
+    spec = json.dumps(spec)
+    whole, encoder = Tokenizer.from_str(spec), token_store.LibraryEncoder(spec)
+    assert " " not in encoder.apart or change == "prefix"
+    texts = [*random_texts(300, 6), "the tree\nthe trees, be, e\nbe e"]
+    for text, got in zip(texts, in_batches(encoder, texts, 64), strict=True):
+        assert got == [*whole.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_words_together():
+    """The model gets unknown words together, each word once for all its forms; before, each by a call of its own."""
+    encoder = token_store.LibraryEncoder(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    calls, model, whole = [], encoder.model, encoder.whole
+    encoder.model = lambda text: calls.append(text) or model(text)
+    encoder.whole = lambda text: calls.append(text) or whole(text)
+    words = ["w" + "".join("abcdefghij"[int(d)] for d in str(i)) for i in range(640)]
+    texts = [" ".join(["", *words]), " ".join(["", *(w + "," for w in words)]), "x\n" + "\nx ".join(w + ".!" for w in words)]
+    assert len(list(in_batches(encoder, texts, 3))) == 3
+    assert len(calls) <= 2 * 640 // token_store.JOINT + 10
+    calls.clear()
+    list(in_batches(encoder, texts[::-1], 1))
+    assert not calls
+
+
+def test_cuts_of_many_texts():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    sizes = [1, 255, 256, 257, 5000, 0, 70000, 20000, 3]
+    docs = [rng.integers(0, 50000, n).astype("<u4") for n in sizes[:-2]] + [np.full(20000, 7, "<u4"), np.arange(3, dtype="<u4")]
+    bounds = np.cumsum([0, *map(len, docs)]).tolist()
+    marked = token_store.marks(np.concatenate(docs))
+    for ids, (begin, end) in zip(docs, itertools.pairwise(bounds), strict=True):
+        x = [int(v) * token_store.MIX % 2**64 for v in ids.tolist()]
+        x = [v ^ v >> 29 for v in x]
+        ends, last = [], 0
+        for k in range(1, len(x) + 1):  # the definition
+            due = sum(x[max(0, k - token_store.WINDOW) : k]) * token_store.MIX % 2**64 >> 64 - token_store.BITS == 0
+            if k == len(x) or (due and k - last >= token_store.LEAST) or k - last == token_store.MOST:
+                ends.append(k)
+                last = k
+        assert token_store.cut_points(ids) == [e - begin for e in token_store.chunk_ends(marked, begin, end)] == ends
+    assert [[r["d"] for r in g.to_pylist()] for g in token_store.groups(pa.RecordBatch.from_pydict({"t": ["aa", None, "é", "x" * 9, "", "b"], "d": [*range(6)]}), 4)] == [[0, 1, 2], [3], [4, 5]]
+
+
 def test_transducer_on_random_bytes(codec):
     rng = random.Random(3)
     for _ in range(300):
